@@ -45,3 +45,11 @@ def _own_folder() -> str:
     import tempfile
 
     return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors and the driver see."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

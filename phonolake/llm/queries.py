@@ -5,6 +5,9 @@ from __future__ import annotations
 from phonolake.llm.line_dedup import OP6_SQL, op6_line_dedup
 from phonolake.llm.pareto_mix import op9_mixing
 from phonolake.llm.quality_rules import OP2_SQL, op2_quality_rules
+from phonolake.llm.token_counts import op3_token_counts
+from phonolake.llm.token_files import op8_token_files
+from phonolake.llm.tree_bpe import op10_bpe
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op6_line_dedup, op8_token_files, op9_mixing, op10_bpe)}
 ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op6_line_dedup": OP6_SQL}
