@@ -23,30 +23,46 @@ POWERS = np.cumprod(np.full(1 << 12, PLACE, dtype=np.uint64))
 BACK = np.cumprod(np.full(1 << 12, np.uint64(pow(int(PLACE), -1, 1 << 64)), dtype=np.uint64))
 
 
+#: Bytes that are hashed at a time; a piece ends with the last white space in it.
+PIECE = 1 << 20
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, A-Z in lower case, and where each text's words begin, with a last end."""
     parts = [t.encode().lower() if t else b"" for t in texts]
     b = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
+    found, start = [], 0
+    while start < len(b):
+        end = min(len(b), start + PIECE)
+        while not IS_SPACE[b[end - 1]]:  # a word as long as a piece
+            more = np.flatnonzero(IS_SPACE[b[end : end + PIECE]])
+            end = end + int(more[0]) + 1 if len(more) else min(len(b), end + PIECE)
+        if len(spaces := np.flatnonzero(IS_SPACE[b[max(start, end - 4096) : end]])):
+            end = max(start, end - 4096) + int(spaces[-1]) + 1
+        found.append(_hashes(b[start:end], start))
+        start = end
+    at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return np.concatenate([h for h, _ in found]), np.searchsorted(np.concatenate([x for _, x in found]), at)
+
+
+def _hashes(b: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of bytes that end with white space, and where they begin, counted from start."""
     space = IS_SPACE[b]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    # bytes weigh by their place in blocks of the powers' size; a word across blocks is the sum of its parts
+    # bytes weigh by their place in blocks of the powers' size; a word across blocks is hashed by itself
     n, size = len(b), len(POWERS)
-    powers = np.resize(POWERS, n)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(OF_BYTE[b] * powers, out=sums[1:])
+    np.cumsum(OF_BYTE[b] * np.resize(POWERS, n), out=sums[1:])
     h = (sums[ends] - sums[begins]) * BACK[begins % size]
-    if len(far := np.flatnonzero(begins // size != (ends - 1) // size)):
-        for k in far.tolist():
-            a, z = int(begins[k]), int(ends[k])
-            at = np.arange(z - a)
-            place = np.ones(z - a, dtype=np.uint64)
-            for bit in range(int(z - a).bit_length()):  # PLACE to the power of at
-                place[(at >> bit) & 1 == 1] *= np.uint64(pow(int(PLACE), 1 << bit, 1 << 64))
-            h[k] = np.sum(OF_BYTE[b[a:z]] * place, dtype=np.uint64)
-    h = mixed(h + (ends - begins).astype(np.uint64) * MIX2)
-    at = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return h, np.searchsorted(begins, at)
+    for k in np.flatnonzero(begins // size != (ends - 1) // size).tolist():
+        word = b[int(begins[k]) : int(ends[k])]
+        at = np.arange(len(word))
+        place = np.ones(len(word), dtype=np.uint64)
+        for bit in range(len(word).bit_length()):  # PLACE to the power of at
+            place[(at >> bit) & 1 == 1] *= np.uint64(pow(int(PLACE), 1 << bit, 1 << 64))
+        h[k] = np.sum(OF_BYTE[word] * place, dtype=np.uint64)
+    return mixed(h + (ends - begins).astype(np.uint64) * MIX2), begins + start
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
