@@ -37,8 +37,6 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         while not IS_SPACE[b[end - 1]]:  # a word as long as a piece
             more = np.flatnonzero(IS_SPACE[b[end : end + PIECE]])
             end = end + int(more[0]) + 1 if len(more) else min(len(b), end + PIECE)
-        if len(spaces := np.flatnonzero(IS_SPACE[b[max(start, end - 4096) : end]])):
-            end = max(start, end - 4096) + int(spaces[-1]) + 1
         found.append(_hashes(b[start:end], start))
         start = end
     at = np.cumsum([0, *(len(p) + 1 for p in parts)])
