@@ -105,7 +105,7 @@ def transient_detect(energies: DataFrame, share: float = 0.92) -> DataFrame:
     d = energies.withColumn("smooth", F.sum("energy").over(near.rowsBetween(-2, 2)) / 5)
     d = d.withColumn("change", F.coalesce(F.abs(F.col("smooth") - F.lag("smooth").over(near)), F.lit(0.0)))
     limit = d.groupBy("rec_id").agg(F.percentile("change", F.lit(share)).alias("limit"))
-    return d.join(limit, "rec_id").filter(F.col("change") > F.col("limit")).select("rec_id", "frame_idx", "change", "limit")
+    return d.join(limit, "rec_id").filter(F.col("change") > F.col("limit") + 1e-12).select("rec_id", "frame_idx", "change", "limit")
 
 
 def dataset_qa(recordings: DataFrame, fs: int) -> DataFrame:
@@ -123,6 +123,10 @@ def dims(vec: Column) -> Column:
     return F.posexplode(vec).alias("dim", "v")
 
 
+def _times(k: float):
+    return lambda x: k * x
+
+
 def delta(features: DataFrame, win: int = 2) -> DataFrame:
     """(rec_id, frame_idx, vec) -> vec replaced by sum of k (c[t+k] - c[t-k]) over 2 sum of k^2 + 1e-10, edges repeated."""
     w = W.partitionBy("rec_id").orderBy("frame_idx")
@@ -132,7 +136,7 @@ def delta(features: DataFrame, win: int = 2) -> DataFrame:
         d = d.withColumn(f"_a{k}", F.coalesce(F.lead("vec", k).over(w), F.col("_last"))).withColumn(f"_b{k}", F.coalesce(F.lag("vec", k).over(w), F.col("_first")))
     sums = None
     for k in range(1, win + 1):
-        part = F.zip_with(f"_a{k}", f"_b{k}", lambda a, b, k=k: k * (a - b))
+        part = F.transform(F.zip_with(f"_a{k}", f"_b{k}", lambda a, b: a - b), _times(k))
         sums = part if sums is None else F.zip_with(sums, part, lambda a, b: a + b)
     scale = 2 * sum(k * k for k in range(1, win + 1)) + 1e-10
     return d.withColumn("vec", F.transform(sums, lambda x: x / scale)).drop("_first", "_last", *[f"_{s}{k}" for s in "ab" for k in range(1, win + 1)])
