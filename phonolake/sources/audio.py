@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 RECORDING = "rec_id string, path string, fs int, channels int, bit_depth int, n_frames long, duration double, sample_width int, file_size long, samples array<double>, samples_ch array<array<double>>"
@@ -106,12 +105,12 @@ def role_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"(enroll|dev|test)[^/]*\.wav$", 1), F.lit(""))
 
 
-METADATA = T.StructType.fromDDL("unit_id string, label string, ascii string, candidate int, speaker string, duration_s double, rms double, path string")
-RATINGS = T.StructType.fromDDL("listener_id string, sentence string, method string, intelligibility int, naturalness_mos double, continuity_score double, overall_score double")
-RESULTS = T.StructType.fromDDL("file string, true string, pred string, top1_label string, top1_score double, top2_label string, top2_score double")
+METADATA = "unit_id string, label string, ascii string, candidate int, speaker string, duration_s double, rms double, path string"
+RATINGS = "listener_id string, sentence string, method string, intelligibility int, naturalness_mos double, continuity_score double, overall_score double"
+RESULTS = "file string, true string, pred string, top1_label string, top1_score double, top2_label string, top2_score double"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True)
 
 
