@@ -235,9 +235,9 @@ def links(sets: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
     d = d.join(large, "grp")
     blocks = d.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).alias("blocks"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class"), F.col("class"))).alias(f"h{k}") for k in range(HUBS)])
     d = checkpointed(d.join(blocks.select("grp", "band", "blocks"), ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks"))))
-    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     hubs = blocks.select("grp", F.explode(F.array(*[F.col(f"h{k}")["class"] for k in range(HUBS)])).alias("class")).distinct()
-    hubs = d.join(hubs, ["grp", "class"], "left_semi").withColumn("at", F.col("band") + near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
+    hubs = d.join(hubs, ["grp", "class"], "left_semi").withColumn("at", near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
     hubs = hubs.select("grp", F.col("at").alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"), "class", "set")
     tile = F.xxhash64("grp", "band", "block").alias("tile")
     diagonal = d.select("grp", "band", "block", "class", "set").unionAll(hubs).select(tile, F.lit(0).cast("long").alias("part"), "class", F.col("class").alias("label"), F.lit(True).alias("ask"), "set")
@@ -248,7 +248,7 @@ def links(sets: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
     rest = d.join(most, "grp").filter("label <> main").drop("main")
     askers = rest.groupBy("grp").agg(F.ceil(F.count("*") / TILE).alias("turns"))
     rest = rest.join(askers, "grp").withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), "class"), F.col("turns")))
-    asking = rest.withColumn("at", F.col("band") + near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
+    asking = rest.withColumn("at", near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
     asking = asking.select("grp", F.col("at").alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"), "turn", "class", "label", F.lit(True).alias("ask"), "set")
     asked = d.join(askers, "grp").select("grp", "band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "class", "label", F.lit(False).alias("ask"), "set")
     tile = F.xxhash64("grp", "band", "block", "turn").alias("tile")
