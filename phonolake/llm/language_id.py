@@ -20,11 +20,21 @@ BINS = 1 << 15
 NONE = "und"
 
 
+#: What stands for each byte: letters in lower case and bytes of other than ASCII characters for themselves, all else for a space.
+LETTER = np.array([k + 32 if 65 <= k <= 90 else k if 97 <= k <= 122 or k >= 128 else 32 for k in range(256)], dtype=np.uint8)
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of the byte trigrams of all texts, A-Z in lower case, and where each text's begin, with a last end."""
-    parts = [b"\n" + t.encode().lower() + b"\n" if t else b"" for t in texts]
-    b = np.frombuffer(b"".join(parts) + b"\n\n", dtype=np.uint8).astype(np.uint16)
-    return (b[:-2] ^ (b[1:-1] << 5) ^ (b[2:] << 10)) & (BINS - 1), np.cumsum([0, *map(len, parts)])
+    """Bins of the byte trigrams of all texts, and where each text's begin, with a last end.
+
+    A-Z count as lower case, and what lies between letters (digits, addresses' dots, numbers of any length) as one space.
+    """
+    parts = [b" " + t.encode() + b" " if t else b"" for t in texts]
+    b = LETTER[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+    keep = (b != 32) | np.concatenate([[True], b[:-1] != 32])[: len(b)]
+    at = np.concatenate([[0], np.cumsum(keep)])[np.cumsum([0, *map(len, parts)])]
+    b = np.concatenate([b[keep], [32, 32]]).astype(np.uint16)
+    return (b[:-2] ^ (b[1:-1] << 5) ^ (b[2:] << 10)) & (BINS - 1), at
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_docs: int = 4000, least_docs: int = 5) -> pd.DataFrame:

@@ -30,7 +30,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", m
     Keys are told apart by 96 bits of hash. Counting works on (hash, row) pairs with map-side sums, the hot keys are
     joined back by sort-merge join, whose skewed keys Spark splits, and the text itself moves once at most.
     """
-    n_lines, n_dropped, rid, all_lines, at = fresh(docs, "n_lines", "n_dropped", "rid", "lines", "at")
+    n_lines, n_dropped, rid, all_lines, at, own_id, own_rid = fresh(docs, "n_lines", "n_dropped", "rid", "lines", "at", "own_id", "own_rid")
     docs = docs.withColumn(rid, F.xxhash64(F.lit(7), F.col(text)))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(rid).alias("rid"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
     keys = rows.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
@@ -39,7 +39,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", m
     held = keys.groupBy("h", "g", "id", "rid").agg(F.collect_list("pos").alias("pos"))
     hot = held.groupBy("h", "g").agg(F.sum(F.when(F.size("pos") > 0, 1)).alias("docs")).filter(F.col("docs") >= min_docs)
     drop = held.join(hot.select("h", "g"), ["h", "g"], "left_semi").groupBy("id", "rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias(at))
-    out = docs.join(drop.withColumnsRenamed({"id": "_id", "rid": "_rid"}), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col(rid) == F.col("_rid")), "left").drop("_id", "_rid")
+    out = docs.join(drop.withColumnsRenamed({"id": own_id, "rid": own_rid}), F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(rid) == F.col(own_rid)), "left").drop(own_id, own_rid)
     out = out.withColumn(all_lines, lines_of(F.col(text)))
     ends = F.concat(F.array(F.lit(-1)), F.col(at), F.array(F.size(all_lines)))
     between = F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.slice(F.col(all_lines), F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1))

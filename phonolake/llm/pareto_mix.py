@@ -113,10 +113,10 @@ def mixture(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sour
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs with each row as often as the mixture takes it, columns as they were."""
-    key, rid, copies = fresh(docs, "key", "rid", "copies")
+    key, rid, src, copies = fresh(docs, "key", "rid", "src", "copies")
     taken = mixture(docs, doc_id=doc_id, text=text, source=source, **options).filter(F.col("copies") > 0)
-    taken = taken.groupBy(F.col("doc_id").alias(key), F.col("rid").alias(rid), F.col("source").alias("_source")).agg(F.max("copies").alias(copies))
-    on = F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.lit(7), F.col(text)) == F.col(rid)) & F.col(source).eqNullSafe(F.col("_source"))
+    taken = taken.groupBy(F.col("doc_id").alias(key), F.col("rid").alias(rid), F.col("source").alias(src)).agg(F.max("copies").alias(copies))
+    on = F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.lit(7), F.col(text)) == F.col(rid)) & F.col(source).eqNullSafe(F.col(src))
     out = docs.join(taken, on).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return out.select(*docs.columns)
 
