@@ -303,11 +303,18 @@ def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is their component's, columns as they were."""
-    key = fresh(docs, "key")[0]
-    kept = ngram_join(docs, doc_id=doc_id, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is their component's, columns as they were.
+
+    An id that comes more than once keeps one row for each of its texts that is not linked to a lesser id.
+    """
+    key, times, rid = fresh(docs, "key", "times", "rid")
+    joined = ngram_join(docs, doc_id=doc_id, text=text, **options)
+    kept = joined.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).filter("kept").select(key, times)
+    on = F.col(doc_id).eqNullSafe(F.col(key))
+    once = docs.join(kept.filter(F.col(times) == 1), on, "left_semi")
+    more = docs.join(kept.filter(F.col(times) > 1), on, "left_semi").withColumn(rid, F.xxhash64(F.lit(7), F.col(text)))
+    return once.unionAll(more.dropDuplicates([doc_id, rid]).drop(rid))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
