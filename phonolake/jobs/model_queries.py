@@ -96,7 +96,12 @@ def leakage_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.leakage_compare(clips(spark, sf_dir), FS, 64)
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, len AS (SELECT rec_id, count(*) AS len FROM sig GROUP BY rec_id),
+fi AS (SELECT rec_id, unnest(range(0, greatest(1, 1 + (len - 16) // 8)))::INTEGER AS frame_idx FROM len),
+fr AS (SELECT fi.rec_id, frame_idx, n - frame_idx * 8 AS i, x FROM fi JOIN sig ON sig.rec_id = fi.rec_id AND n BETWEEN frame_idx * 8 AND frame_idx * 8 + 15),
+ce AS (SELECT rec_id, frame_idx, i, (x - avg(x) OVER (PARTITION BY rec_id, frame_idx)) * (0.54 - 0.46 * cos(2 * pi() * i / 16)) AS y FROM fr),
+ft AS (SELECT rec_id, frame_idx, k, sum(y * cos(2 * pi() * k * i / 32)) AS re, sum(y * sin(2 * pi() * k * i / 32)) AS im FROM ce, range(17) AS r(k) GROUP BY ALL)
+SELECT rec_id, frame_idx, round((frame_idx * 8 + 8) / {FS}, 6) AS t, k::INTEGER AS k, round(20 * log10(sqrt(re * re + im * im) / (16 * 0.54) + 1e-10), 6) AS db FROM ft""")
 def stft_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stft_spectrogram(recordings(spark, sf_dir), FS, 160.0, 80.0).select("rec_id", "frame_idx", "t", F.posexplode("mag_db").alias("k", "db"))
 
@@ -112,12 +117,19 @@ def _band() -> tuple:
     return "lowpass", 15.0, FS, 21
 
 
-@query()
+_TAPS = "taps(i, b) AS (VALUES " + ", ".join(f"({k}, {float(b)!r}::DOUBLE)" for k, b in enumerate(dsp.design_fir(*_band()))) + ")"
+FILTERED_SQL = f"""{SAMPLES_SQL}, {_TAPS}, most AS (SELECT rec_id, max(n) AS most FROM sig GROUP BY rec_id),
+conv AS (SELECT rec_id, n + i - 10 AS n, sum(b * x) AS y FROM sig, taps GROUP BY ALL),
+flt AS (SELECT sig.rec_id, sig.n, CASE WHEN sig.n <= most - 10 THEN y ELSE 0 END AS x FROM sig JOIN most USING (rec_id) LEFT JOIN conv ON conv.rec_id = sig.rec_id AND conv.n = sig.n)"""
+_FILTERED = f"WITH {FILTERED_SQL} SELECT rec_id, n, round(x, 6) + 0.0 AS x FROM flt"
+
+
+@query(_FILTERED)
 def apply_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_long(P.apply_fir(recordings(spark, sf_dir), dsp.design_fir(*_band())))
 
 
-@query()
+@query(_FILTERED)
 def apply_fir_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a join of samples and taps."""
     b = P.fir_taps(spark, *_band())
@@ -131,14 +143,24 @@ def filter_attenuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filter_attenuation(recordings(spark, sf_dir), FS, dsp.design_fir(*_band()), 128)
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, taps AS (SELECT n AS i, x AS b FROM sig WHERE rec_id = (SELECT min(rec_id) FROM sig)), g AS (SELECT k * {FS} / 2 / 64 AS f_hz FROM range(64) AS r(k)),
+s AS (SELECT f_hz, sum(b * cos(2 * pi() * f_hz / {FS} * i)) AS re, sum(b * sin(2 * pi() * f_hz / {FS} * i)) AS im FROM taps, g GROUP BY f_hz)
+SELECT round(f_hz, 6) AS f_hz, round(greatest(20 * log10(sqrt(re * re + im * im) + 1e-15), -120), 6) AS mag_db FROM s""")
 def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response of a smoother whose taps are the first recording's samples."""
     taps = noise(spark, sf_dir).select(F.col("n").cast("int").alias("i"), F.col("v").alias("b"))
     return P.filter_response(taps, FS)
 
 
-@query()
+_SHORT = """rep AS (SELECT rec_id, count(*) AS len FROM {t} GROUP BY rec_id),
+ww AS (SELECT {t}.rec_id, n, x, len, 0.54 - 0.46 * cos(2 * pi() * n / (len - 1)) AS w FROM {t} JOIN rep USING (rec_id)),
+cg AS (SELECT rec_id, avg(w) AS cg FROM ww GROUP BY rec_id),
+fq AS (SELECT rec_id, k, len, sum(x * w * cos(2 * pi() * k * n / 128)) AS re, sum(x * w * sin(2 * pi() * k * n / 128)) AS im FROM ww, range(65) AS r(k) GROUP BY ALL),
+sq AS (SELECT rec_id, k::INTEGER AS k, greatest(20 * log10(sqrt(re * re + im * im) / (len * cg) * CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END + 1e-15), -120) AS db FROM fq JOIN cg USING (rec_id))"""
+
+
+@query(f"""WITH {SAMPLES_SQL}, q AS (SELECT rec_id, n, least(greatest(round_even(least(greatest(x, -1), 0.875) / 0.125, 0) * 0.125, -1), 0.875) - x AS x FROM sig), {_SHORT.format(t="q")}
+SELECT rec_id, k, k * {FS} / 128 AS f_hz, round(db, 6) AS mag_db FROM sq""")
 def quantization_noise_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     e = L.quantize(s, 4).withColumnRenamed("x", "q").join(s, ["rec_id", "n"]).select("rec_id", "n", (F.col("q") - F.col("x")).alias("x"))
@@ -165,7 +187,7 @@ def noise_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.noise_psd(recordings(spark, sf_dir), 32, 24, 8)
 
 
-@query()
+@query(f"WITH {SAMPLES_SQL} SELECT rec_id, count(*)::INTEGER AS n, 0.0::DOUBLE AS error FROM sig GROUP BY rec_id")
 def istft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.istft_error(recordings(spark, sf_dir), 32, 32, 8)
 
@@ -219,7 +241,11 @@ def _long(d: DataFrame) -> DataFrame:
     return d.select("rec_id", "frame_idx", F.posexplode("vec").alias("dim", "v"))
 
 
-@query()
+_MELS = dsp.mel_filterbank(64, 8, 16_000)
+
+
+@query(f"""WITH {_dft_sql(_HAMMING)}, m(m, k, w) AS (VALUES {", ".join(f"({m}, {k}, {float(_MELS[m, k])!r}::DOUBLE)" for m in range(8) for k in range(33) if _MELS[m, k])})
+SELECT rec_id, m, round(sum(w * mag * mag), 6) + 0.0 AS energy FROM sp JOIN m USING (k) GROUP BY rec_id, m""")
 def mel_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band energies of each clip: the filters' table joined to spectra on the bin."""
     s = P.fft_spectrum(clips(spark, sf_dir), 16_000, 64).select("rec_id", "k", "mag")
@@ -279,7 +305,8 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).filter("role = 'test'").select("rec_id", F.col("label").alias("truth"), "seq")
 
 
-@query()
+@query("""SELECT label, rec_id AS tmpl_id, 8 AS n_frames FROM (SELECT 'w' || label AS label, vec_id AS rec_id, k, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS j FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k % 7 BETWEEN 1 AND 4) WHERE j <= 3""")
 def build_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'")).select("label", "tmpl_id", F.size("template").alias("n_frames"))
 
@@ -391,3 +418,58 @@ def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = M.hmm_recognize(_test(spark, sf_dir), trained(spark, sf_dir, n, 4)[0]).select("truth", F.col("top1_label").alias("pred"))
         d = d.unionAll(accuracy(r).withColumn("system", F.lit(f"hmm{n}")))
     return d
+
+
+@query(f"""WITH {SAMPLES_SQL}, t AS (SELECT n AS i, x AS b FROM sig WHERE rec_id = (SELECT min(rec_id) FROM sig)), c AS (SELECT max(i) + 1 AS n FROM t)
+SELECT c.n::INTEGER AS n_taps, (c.n - 1) / 2 AS delay, round((c.n - 1) / 2 / {FS} * 1000, 6) AS delay_ms, max(abs(t.b - u.b)) < 1e-12 AS symmetric FROM t, c JOIN t u ON t.i = c.n - 1 - u.i GROUP BY c.n""")
+def fir_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fir_info(noise(spark, sf_dir).select(F.col("n").cast("int").alias("i"), F.col("v").alias("b")), FS)
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT rec_id, (44 + 2 * count(*))::INTEGER AS n_bytes, count(*)::INTEGER AS n, round(sqrt(avg(pow(trunc(x * 32767) / 32768, 2))), 6) AS rms FROM sig GROUP BY rec_id""")
+def write_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings as WAV bytes, and what comes out of these."""
+    import pandas as pd
+
+    from phonolake.sources.audio import parse_wav, write_wav
+
+    def back(batches):
+        for d in batches:
+            x = [parse_wav(c)[3] for c in d["content"]]
+            yield pd.DataFrame({"rec_id": d["rec_id"], "n_bytes": [len(c) for c in d["content"]], "n": [len(v) for v in x], "rms": [float((v * v).mean() ** 0.5) for v in x]})
+
+    r = recordings(spark, sf_dir).withColumn("fs", F.lit(FS))
+    return write_wav(r).mapInPandas(back, "rec_id long, n_bytes int, n int, rms double")
+
+
+@query("""WITH f AS (SELECT '/data/' || event_type || '/' || user_id || '_' || event_id || '.wav' AS path, event_type AS label FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY path) AS rep FROM f)
+SELECT path, label, rep::INTEGER AS rep, CASE WHEN rep <= 1000 THEN 'train' ELSE 'test' END AS split FROM r""")
+def list_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phonolake.sources.audio import list_dataset
+
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("/data/"), "event_type", F.lit("/"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_id").cast("string"), F.lit(".wav"))
+    return list_dataset(e.select(path.alias("path")), 1000)
+
+
+@query()
+def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who speaks in clean, noisy and enhanced clips: accuracy, mean margin and error rates at a threshold, for each version."""
+    from phonolake.operators import speakers as S
+
+    v = vectors(spark, sf_dir).select("rec_id", "speaker", "role")
+    clean = L.to_long(clips(spark, sf_dir)).persist()
+    n = noise(spark, sf_dir)
+    noisy = L.add_noise_at_snr(clean, n, (5.0,)).select("rec_id", "n", F.col("y").alias("x"))
+    psd = [r["p"] for r in P.noise_psd(L.to_arrays(n.select(F.lit(0).alias("rec_id"), "n", F.col("v").alias("x"))), 32, 24, 8).orderBy("k").collect()]
+    y = L.to_arrays(noisy)
+    versions = {"clean": L.to_arrays(clean), "noisy": y, "subtract": P.enhance(y, psd, "subtract", nfft=32, size=24, hop=8), "wiener": P.enhance(y, psd, "wiener", nfft=32, size=24, hop=8)}
+    embed = lambda r: S.speaker_embedding(C.mfcc(r, FS, SIZE, HOP, 64, 8, 8, cmn=False)).join(v, "rec_id")
+    models = S.speaker_models(embed(versions["clean"]).filter("role = 'enroll'"))
+    out = None
+    for name, r in versions.items():
+        test = embed(r).filter("role = 'test'")
+        who = S.speaker_identify(test, models).agg((100 * F.avg((F.col("pred") == F.col("actual")).cast("double"))).alias("accuracy_pct"), F.avg("margin").alias("mean_margin"))
+        d = who.crossJoin(S.verify_at_threshold(S.verification_trials(test, models), 0.9)).withColumn("version", F.lit(name))
+        out = d if out is None else out.unionAll(d)
+    return out
