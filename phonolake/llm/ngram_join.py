@@ -30,7 +30,7 @@ from phonolake.llm.shingles import shingle_sets
 #: Sets below WHOLE are counted with all their shingles, larger ones with those in the first PART of the hash space.
 WHOLE, PART = 64, 0.32
 #: Shingles in a bucket, classes in a tile, and hubs of a group that all its tiles have.
-BUCKET, TILE, HUBS = 1_000_000, 1024, 8
+BUCKET, TILE, HUBS = 250_000, 1024, 8
 #: Bits of a bitmap for each shingle of the largest set of a tile.
 BITS = 4
 
