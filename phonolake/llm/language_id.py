@@ -158,7 +158,8 @@ def identify(
 def keep_identified(docs: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that identify keeps, columns as they were."""
     key, rid = fresh(docs, "key", "rid")
-    kept = identify(docs, train(labelled), doc_id=doc_id, text=text, **options).filter("kept").select(F.col("doc_id").alias(key), F.col("rid").alias(rid))
+    # written first: a filter right on it would be moved below, and work out the probabilities over and over
+    kept = checkpointed(identify(docs, train(labelled), doc_id=doc_id, text=text, **options).select("doc_id", "rid", "kept")).filter("kept").select(F.col("doc_id").alias(key), F.col("rid").alias(rid))
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.lit(7), F.col(text)) == F.col(rid)), "left_semi")
 
 
