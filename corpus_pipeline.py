@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phonolake.llm.common import shared_folder
 from phonolake.llm.language_id import keep_identified
@@ -18,8 +19,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents share go from all of them."""
-    return line_dedup(docs).select(docs.columns)
+    """Lines that ten documents share go from all of them; n_chars is counted anew."""
+    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
