@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +61,15 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
     return np.log(table.add(0.5)).sub(np.log(table.sum(axis=1) + 0.5 * BINS), axis=0)
 
 
-def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text", as_col: str = "tl", most_trigrams: int = 100) -> DataFrame:
-    """Adds log likelihoods of the text, one for each language of the model and one for none of them.
+def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text", most_trigrams: int = 100) -> DataFrame:
+    """Adds tl, log likelihoods of the text, one for each language of the model and one for none of them, and p, what these
+    alone make of the languages' probabilities.
 
     All trigrams count in the mean; it weighs as most_trigrams of them at most, for neighbours are not independent. A
-    text without letters or digits has null.
+    text without letters or digits has null in both.
     """
     table = np.vstack([model.to_numpy(), np.full(BINS, -np.log(BINS))]) if len(model) else np.full((1, BINS), -np.log(BINS))
-    schema = T.StructType([*docs.schema.fields, T.StructField(as_col, T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("tl", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -80,8 +81,8 @@ def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text"
                 sums[full] = np.stack([np.add.reduceat(t[bins], at[full]) for t in table], axis=1)
             tl = sums / np.maximum(n, 1)[:, None] * np.minimum(n, most_trigrams)[:, None]
             some = [bool(x) and any(c.isalnum() for c in x) for x in texts]
-            column = pa.array([x.tolist() if s else None for x, s in zip(tl, some, strict=True)], pa.list_(pa.float64()))
-            yield pa.record_batch([*batch.columns, column], names=[*batch.schema.names, as_col])
+            both = [pa.array([x.tolist() if s else None for x, s in zip(v, some, strict=True)], pa.list_(pa.float64())) for v in (tl, probabilities(tl))]
+            yield pa.record_batch([*batch.columns, *both], names=[*batch.schema.names, "tl", "p"])
 
     return docs.mapInArrow(score, schema)
 
@@ -94,42 +95,62 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1).alias("declared"))
 
 
-def _softmax(logs: Column) -> Column:
-    exps = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, y: a + y))
+def probabilities(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def fuse(evidence: DataFrame, languages: list[str], *, prior_weight: float = 20.0, least_none: float = 1e-3) -> DataFrame:
-    """(…, host, suffix, declared, tl) -> those and the posterior probabilities of the languages and of none.
+def smoothed(n: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
+    """Shares of counts, the prior counting as so many rows."""
+    return (n + weight * prior) / (n.sum(axis=1, keepdims=True) + weight)
+
+
+def fuse(evidence: DataFrame, languages: list[str], *, prior_weight: float = 20.0, least_none: float = 1e-3, least_prob: float = 0.5) -> DataFrame:
+    """(doc_id, rid, host, suffix, declared, tl, p) -> (doc_id, rid, language, probability, text_language, kept).
 
     Priors are smoothed from the whole table down: a suffix's by the table's, a host's by its suffix's, each with the
     weight of prior_weight rows, and without the row that they are for. What is declared counts by how often texts of each
-    language come with it. All these are sums over rows, grouped by host, suffix and declared code.
+    language come with it. All these are sums over rows, grouped by host, suffix and declared code, and joined to the rows.
     """
     k = len(languages) + 1
-    e = evidence.withColumn("p", _softmax(F.coalesce("tl", F.array_repeat(F.lit(0.0), k))))
-    e = e.withColumn("p", F.when(F.col("tl").isNull(), F.array_repeat(F.lit(0.0), k)).otherwise(F.col("p")))
-    sums = lambda name: F.array(*[F.sum(F.get("p", i)) for i in range(k)]).alias(name)
-    flat = [1.0 / k] * k
-    total = e.agg(sums("n")).first()["n"]
-    total = [max(x or 0.0, 0.0) for x in total]
-    top = [max((x + f) / (sum(total) + 1.0), least_none) for x, f in zip(total, flat, strict=True)]
-    base = F.array(*[F.lit(float(x)) for x in top])
-    mass = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    smooth = lambda n, prior: F.transform(prior, lambda q, i: (F.greatest(F.get(n, i), F.lit(0.0)) + prior_weight * q) / (F.greatest(mass(n), F.lit(0.0)) + prior_weight))
+    e = evidence
+    sums = lambda name: F.array(*[F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0.0)) for i in range(k)]).alias(name)
+    total = np.array(e.agg(sums("n")).first()["n"])
+    top = np.maximum((total + 1.0 / k) / (total.sum() + 1.0), least_none)
     hosts = e.groupBy("host", "suffix").agg(sums("hn"))
-    suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.get("hn", i)) for i in range(k)]).alias("sn"))
-    hosts = hosts.join(suffixes.withColumnRenamed("suffix", "_suffix"), F.col("suffix").eqNullSafe(F.col("_suffix"))).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), "hn", "sn")
+    suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.get("hn", F.lit(i))) for i in range(k)]).alias("sn")).withColumnRenamed("suffix", "_suffix")
+    hosts = hosts.join(suffixes, F.col("suffix").eqNullSafe(F.col("_suffix"))).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), "hn", "sn")
     codes = e.filter(F.col("declared").isNotNull()).groupBy("declared").agg(sums("dn")).withColumnRenamed("declared", "_declared")
     e = e.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
-    e = e.join(codes, F.col("declared") == F.col("_declared"), "left")
-    minus = lambda n: F.zip_with(n, F.col("p"), lambda a, b: a - b)
-    prior = smooth(minus(F.col("hn")), smooth(minus(F.col("sn")), base))
-    # P(declared | language), smoothed towards what holds if the language says nothing about the code
-    share = lambda i: (F.greatest(F.get(minus(F.col("dn")), i), F.lit(0.0)) + prior_weight * F.greatest(mass(F.col("dn")) - 1, F.lit(0.0)) / max(sum(total), 1.0) + 1e-9) / (F.get(F.array(*[F.lit(x) for x in total]), i) + prior_weight)
-    said = F.when(F.col("dn").isNull(), F.array_repeat(F.lit(0.0), k)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.log(share(i))))
-    logs = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("tl", i) + F.log(F.get(prior, i)) + F.get(said, i))
-    return e.withColumn("logs", logs).withColumn("post", F.when(F.col("tl").isNotNull(), _softmax(F.col("logs")))).drop("logs", "p", "hn", "sn", "dn", "_host", "_suffix", "_declared")
+    e = e.join(codes, F.col("declared") == F.col("_declared"), "left").select("doc_id", "rid", "tl", "p", "hn", "sn", "dn")
+    names = np.array([*languages, NONE], dtype=object)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.select(["tl", "p", "hn", "sn", "dn"]).to_pandas()
+            some = d["tl"].notna().to_numpy()
+            out = pd.DataFrame({"language": [NONE] * len(d), "probability": 0.0, "text_language": NONE, "kept": False})
+            if some.any():
+                tl, p, hn, sn = (np.stack(d.loc[some, c].to_numpy()) for c in ("tl", "p", "hn", "sn"))
+                # none of the counts has the row itself
+                prior = smoothed(np.maximum(hn - p, 0), smoothed(np.maximum(sn - p, 0), top[None], prior_weight), prior_weight)
+                logs = tl + np.log(prior)
+                said = d.loc[some, "dn"].notna().to_numpy()
+                if said.any():
+                    dn = np.maximum(np.stack(d.loc[some, "dn"][said].to_numpy()) - p[said], 0)
+                    chance = dn.sum(axis=1, keepdims=True) / max(total.sum(), 1.0)
+                    logs[said] += np.log((dn + prior_weight * chance + 1e-9) / (total + prior_weight))
+                post = probabilities(logs)
+                best, most = post.argmax(axis=1), post.max(axis=1)
+                kept = (best < k - 1) & (most >= least_prob)
+                out.loc[some, "language"] = np.where(kept, names[best], NONE)
+                out.loc[some, "probability"] = np.round(most, 6)
+                out.loc[some, "text_language"] = names[tl.argmax(axis=1)]
+                out.loc[some, "kept"] = kept
+            made = pa.RecordBatch.from_pandas(out, preserve_index=False)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *made.columns], names=["doc_id", "rid", *made.schema.names])
+
+    return e.mapInArrow(decide, "doc_id long, rid long, language string, probability double, text_language string, kept boolean")
 
 
 def identify(
@@ -147,12 +168,7 @@ def identify(
     code = F.regexp_extract(part(declared), "^([a-z]{2,3})(?:$|[-_])", 1)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"), part(host).alias("host"), part(suffix).alias("suffix"), F.nullif(code, F.lit("")).alias("declared"))
     e = checkpointed(text_likelihoods(d, model).drop("text"))
-    out = fuse(e, languages)
-    names = F.array(*[F.lit(x) for x in [*languages, NONE]])
-    best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
-    out = out.withColumn("probability", F.array_max("post")).withColumn("language", best(F.col("post")))
-    kept = F.coalesce((F.col("language") != NONE) & (F.col("probability") >= least_prob), F.lit(False))
-    return out.select("doc_id", "rid", F.when(kept, F.col("language")).otherwise(NONE).alias("language"), F.coalesce(F.round("probability", 6), F.lit(0.0)).alias("probability"), F.coalesce(best(F.col("tl")), F.lit(NONE)).alias("text_language"), kept.alias("kept"))
+    return fuse(e, languages, least_prob=least_prob)
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

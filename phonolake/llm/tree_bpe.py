@@ -211,9 +211,11 @@ def encode_bpe(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", f
 
     cuts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / segment_chars).cast("int"))
     rid = F.sha2(F.col("text").cast("binary"), 256).alias("rid")
-    segments = long.select("doc_id", rid, F.posexplode(F.transform(cuts, lambda k: F.substr("text", k * segment_chars + 1, F.lit(segment_chars)))).alias("place", "text"))
-    segments = segments.repartition("doc_id", "rid", "place").mapInPandas(leaves, "doc_id long, rid string, place int, part binary")
-    return short.mapInArrow(encode, _ROW).unionAll(segments.groupBy("doc_id", "rid").applyInPandas(join, _ROW))
+    # ids as strings, for pandas has no long that may be null
+    segments = long.select(F.col("doc_id").cast("string").alias("doc_id"), rid, F.posexplode(F.transform(cuts, lambda k: F.substr("text", k * segment_chars + 1, F.lit(segment_chars)))).alias("place", "text"))
+    segments = segments.repartition("doc_id", "rid", "place").mapInPandas(leaves, "doc_id string, rid string, place int, part binary")
+    joined_rows = segments.groupBy("doc_id", "rid").applyInPandas(join, "doc_id string, ids array<int>")
+    return short.mapInArrow(encode, _ROW).unionAll(joined_rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"))
 
 
 def decode_bpe(encoded: DataFrame, *, file: str | None = None) -> DataFrame:
