@@ -53,3 +53,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after its session is told to send Python no more than so many rows at a time: texts are long, and a batch is held on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df

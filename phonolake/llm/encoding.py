@@ -47,7 +47,10 @@ def encoder(tokenizer_file: str, ranks_file: str) -> ByteEncoder:
 
 
 def slices(batches: Iterator, rows: int = 1000) -> Iterator:
-    """Arrow batches of at most so many rows, so that what is made of them stays small."""
+    """Arrow batches of at most so many rows, so that what is made of them stays small; what they took is given back at the end."""
+    import pyarrow as pa
+
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonolake.llm.common import checkpointed, fresh, read
+from phonolake.llm.common import checkpointed, fresh, read, small_batches
 from phonolake.llm.encoding import slices
 
 #: Bins of hashed byte trigrams.
@@ -84,7 +84,7 @@ def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text"
             both = [pa.array([x.tolist() if s else None for x, s in zip(v, some, strict=True)], pa.list_(pa.float64())) for v in (tl, probabilities(tl))]
             yield pa.record_batch([*batch.columns, *both], names=[*batch.schema.names, "tl", "p"])
 
-    return docs.mapInArrow(score, schema)
+    return small_batches(docs).mapInArrow(score, schema)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import checkpointed, fresh, read
+from phonolake.llm.common import checkpointed, fresh, read, small_batches
 from phonolake.llm.components import components
 from phonolake.llm.encoding import slices
 from phonolake.llm.shingles import shingle_sets
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
     rows: none come back. Other columns of docs are not looked at.
     """
     null = -(1 << 63)
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("id"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("id"), F.col(text).alias("text"))
     rows = checkpointed(classes(d, width))
     each = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("u").alias("u"))
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import read
+from phonolake.llm.common import read, small_batches
 from phonolake.llm.encoding import slices
 
 WORD_BPE = "word_bpe_49k.json"
 #: Characters in a segment, and on each side of a join in the first window.
 SEGMENT, WINDOW = 1 << 15, 64
 #: Words whose ids a worker keeps.
-KEEP = 500_000
+KEEP = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +181,7 @@ def encode_bpe(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", f
     than one document's segments at a time.
     """
     file = file or public_tokenizers.path(WORD_BPE)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     short, long = d.filter(F.char_length("text") <= segment_chars), d.filter(F.char_length("text") > segment_chars)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
