@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from phonolake.llm.common import SPACES, WORD, read
+from phonolake.llm.common import SPACES, WORD, fresh, read
 from phonolake.llm.line_dedup import line_key, lines_of
 
 #: Bits of a window's hash and of its place in a text, packed in one long for sorting.
@@ -63,25 +63,56 @@ def text_counts(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
     return d.withColumn("n_repeat_words", F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x)).drop("at")
 
 
+def worded(text: Column) -> Column:
+    """The lines of a text that have a word."""
+    return F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+
+def hot_lines(d: DataFrame, line_docs: int, line_pct: int) -> DataFrame:
+    """(host, text) -> (_host, _h, _g): hashes of the lines that at least line_docs rows of a host have, over line_pct percent of its rows."""
+    keys = d.select("host", F.explode(F.array_distinct(F.transform(worded(F.col("text")), line_key))).alias("key")).select("host", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+    found = keys.groupBy("host", "h", "g").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
+    if line_pct:
+        sizes = d.groupBy("host").agg(F.count("*").alias("host_docs"))
+        found = found.join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") * 100 > F.col("host_docs") * line_pct)
+    return found.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.col("g").alias("_g"))
+
+
+def drop_hot_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", line_docs: int = 10, line_pct: int = 0) -> DataFrame:
+    """docs with text without its hot lines, which quality_rules counts; other columns and all rows stay.
+
+    Lines without a word stay. A null text stays null, and one that loses all lines becomes empty.
+    """
+    rid, own_id, own_rid, own_host, at, all_lines = fresh(docs, "rid", "own_id", "own_rid", "own_host", "at", "lines")
+    docs = docs.withColumn(rid, F.xxhash64(F.lit(7), F.col(text)))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(host).alias("host"), F.col(text).alias("text"))
+    rows = d.select("doc_id", "rid", "host", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).filter(F.btrim("line", F.lit(SPACES)) != "")
+    rows = rows.select("doc_id", "rid", "host", "pos", line_key(F.col("line")).alias("key")).select("doc_id", "rid", "host", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+    drop = rows.join(hot_lines(d, line_docs, line_pct), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left_semi")
+    # rows of one id, host and text have the same places
+    drop = drop.groupBy(F.col("doc_id").alias(own_id), F.col("rid").alias(own_rid), F.col("host").alias(own_host)).agg(F.array_sort(F.collect_set("pos")).alias(at))
+    out = docs.join(drop, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(rid) == F.col(own_rid)) & F.col(host).eqNullSafe(F.col(own_host)), "left").withColumn(all_lines, lines_of(F.col(text)))
+    ends = F.concat(F.array(F.lit(-1)), F.col(at), F.array(F.size(all_lines)))
+    between = F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.slice(F.col(all_lines), F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1))
+    left = F.when(F.col(at).isNull(), F.col(text)).otherwise(F.array_join(F.flatten(between), "\n"))
+    return out.withColumn(text, left).select(*[c for c in docs.columns if c != rid])
+
+
 def quality_rules(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, line_pct: int = 5, min_left_pct: int = 50
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, line_pct: int = 0, min_left_pct: int = 50
 ) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, n_hot_lines, n_left_words and kept.
 
-    A line with a word is removed if at least line_docs documents of its host have it and these are over line_pct
-    percent of the host's documents. A document is depleted, and not kept, if under min_left_pct percent of its
+    A line with a word is removed if at least line_docs documents of its host have it and, where line_pct is given, these are
+    over line_pct percent of the host's documents; drop_hot_lines gives the texts that are left. A document is depleted, and not kept, if under min_left_pct percent of its
     words are left; base_failed documents are not kept either. Each row is a
     document, repeated rows too. Null texts have no words and fail; null hosts are
     one host, and null ids are ids like any other. No rows: none come back. Other columns of docs are not looked at.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"))
     counts = text_counts(d, F.col("text"), "doc_id", "rid", "host")
-    own = d.select("doc_id", "rid", "host", F.filter(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"))
-    keys = own.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).select("host", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
-    found = keys.groupBy("host", "h", "g").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
-    sizes = d.groupBy("host").agg(F.count("*").alias("host_docs"))
-    hot = found.join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") * 100 > F.col("host_docs") * line_pct)
-    hot = hot.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.col("g").alias("_g"))
+    own = d.select("doc_id", "rid", "host", worded(F.col("text")).alias("lines"))
+    hot = hot_lines(d, line_docs, line_pct)
     rows = own.select("doc_id", "rid", "host", F.explode("lines").alias("line"))
     rows = rows.select("doc_id", "rid", "host", F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), line_key(F.col("line")).alias("key"))
     rows = rows.select("doc_id", "rid", "host", "words", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
@@ -97,8 +128,27 @@ def quality_rules(
     return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_hot_lines", "n_left_words")
 
 
+def clean_documents(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, line_pct: int = 0, min_left_pct: int = 50
+) -> DataFrame:
+    """quality_rules with the texts: doc_id, host, text without its hot lines, the whole text's counts, base_failed, and n_left_words and
+    kept, which follow from the text that is left."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    out = drop_hot_lines(text_counts(d, F.col("text"), "doc_id", "host", "text"), host="host", line_docs=line_docs, line_pct=line_pct)
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
+    out = out.withColumn("base_failed", failed).withColumn("n_left_words", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") * 100 >= F.col("n_words") * min_left_pct))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    """As OP2_SQL has it: lines are hot only above five percent of their host's documents too."""
+    return quality_rules(read(spark, sf_dir, "documents"), line_pct=5)
+
+
+def op2_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents of a host suffice for a hot line, however large the host: verdicts, and digests of the texts that are left."""
+    out = clean_documents(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_left_words", "base_failed", "kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("left_sha256"))
 
 
 OP2_SQL = r"""
