@@ -6,8 +6,9 @@
 3. The other classes' sets are made once more. Of each, the shingles that it shares, rarest first, beyond what a partner may
    lack: two linked classes have one of these in common. Classes that hang together by them are candidates of each other.
 4. Candidates meet in tiles: a group's classes of a band of sizes, in blocks of a bounded number. Bitmaps of hashed shingles
-   bound overlaps from above by their bit counts; what is left is intersected. Classes that hang together already are not
-   compared. What tiles give are the edges of spanning trees, never all pairs.
+   bound overlaps from above by their bit counts; what is left is intersected. ngram_links compares all pairs of each band and
+   the next one; tiles give sums of links for each class, never pairs. ngram_join, which asks for components alone, does not
+   compare classes that hang together already, and has the edges of spanning trees from tiles.
 """
 
 from __future__ import annotations
@@ -158,6 +159,16 @@ class Forest:
         return self.up
 
 
+def bitmaps(sets: list[np.ndarray], largest: int) -> np.ndarray:
+    """A row of bits for each set."""
+    bits = 1 << int(BITS * max(largest, 16) - 1).bit_length()
+    maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
+    for k, s in enumerate(sets):
+        at = (s >> np.uint64(20)) & np.uint64(bits - 1)
+        np.bitwise_or.at(maps[k], (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+    return maps.view(np.uint64)
+
+
 def tile_edges(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, ask: np.ndarray, pct: int) -> list[tuple[int, int]]:
     """Edges between linked classes of a tile that do not hang together yet, each with one that asks.
 
@@ -166,12 +177,7 @@ def tile_edges(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, as
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     names, size, ask, sets = names[order], size[order], ask[order], [sets[k] for k in order]
-    bits = 1 << int(BITS * max(int(size[-1]), 16) - 1).bit_length()
-    maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
-    for k, s in enumerate(sets):
-        at = (s >> np.uint64(20)) & np.uint64(bits - 1)
-        np.bitwise_or.at(maps[k], (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
-    maps = maps.view(np.uint64)
+    maps = bitmaps(sets, int(size[-1]))
     ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
     forest = Forest(len(sets))
     for group in pd.Series(np.arange(len(sets))).groupby(labels[order]).indices.values():
@@ -256,6 +262,92 @@ def links(sets: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
     return first.unionAll(second).unionAll(checkpointed(third))
 
 
+def tile_links(names: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's linked classes: the class, the first that it hangs together with in the tile, and how many rows it is linked with.
+
+    All pairs are compared, if sides are 0, and those of different sides otherwise.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    names, size, copies, side, sets = names[order], size[order], copies[order], side[order], [sets[k] for k in order]
+    maps = bitmaps(sets, int(size[-1]))
+    ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    # shingles as numbers, without those that one class alone has
+    words, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    ids = [x[often[x] > 1] for x in ids]
+    mark, most = np.zeros(len(words), dtype=np.uint8), max(1, (1 << 22) // max(1, int(size[-1])))
+    forest, sums = Forest(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    step = max(1, (1 << 25) // (8 * maps.shape[1]))
+    for k in range(len(sets)):
+        end = int(np.searchsorted(size, size[k] * 100 // pct, "right"))
+        mark[ids[k]] = 1
+        for a in range(k + 1, end, step):
+            at = np.arange(a, min(end, a + step))
+            at = at[(side[at] != side[k]) | (side[at] == 0)]
+            if not len(at):
+                continue
+            need = -(-(size[at] + size[k]) * pct // (100 + pct))
+            both = np.bitwise_count(maps[at] & maps[k]).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(size[at] - (ones[at] - both), size[k] - (ones[k] - both))
+            at, need = at[bound >= need], need[bound >= need]
+            for z in range(0, len(at), most):
+                some = at[z : z + most]
+                parts = [ids[j] for j in some.tolist()]
+                total = np.concatenate([[0], np.cumsum(mark[np.concatenate(parts)], dtype=np.int64)])
+                ends = np.cumsum([0, *map(len, parts)])
+                linked = some[total[ends[1:]] - total[ends[:-1]] >= need[z : z + most]]
+                if len(linked):
+                    sums[k] += copies[linked].sum()
+                    sums[linked] += copies[k]
+                    for j in linked[forest.up[linked] != forest.up[k]].tolist():
+                        forest.up[forest.root(j)] = forest.root(k)
+        mark[ids[k]] = 0
+    found = np.flatnonzero(sums)
+    return names[found], names[forest.roots()[found]], sums[found]
+
+
+def links_of(tiles: DataFrame, pct: int) -> DataFrame:
+    """Rows of tiles -> (a, b, links): see tile_links. Parts of a tile never meet."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        d = rows.to_pandas()
+        found = [tile_links(g["class"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in g["set"]], g["copies"].to_numpy(), g["side"].to_numpy(), pct) for _, g in d.groupby("part", sort=False) if len(g) > 1]
+        return pa.table({name: pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *(f[k] for f in found)]), pa.int64()) for k, name in enumerate(("a", "b", "links"))})
+
+    return tiles.select("tile", "part", "class", "copies", "side", "set").groupBy("tile").applyInArrow(compare, "a long, b long, links long")
+
+
+def all_links(sets: DataFrame, groups: DataFrame, copies: DataFrame, pct: int) -> DataFrame:
+    """(class, n, set), (node, root) of candidates and (class, copies) -> (a, b, links), in one row or more for each linked class.
+
+    Groups of up to TILE classes are whole tiles. Larger ones are split by bands of sizes and, within these, by a hash, into blocks
+    of about TILE; each pair of blocks of one band or of neighbouring bands is a tile, so each pair of classes that may be linked meets once.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct)) - 1e-9)
+    d = sets.join(groups, F.col("class") == F.col("node")).join(copies.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class"))
+    d = checkpointed(d.select("class", "copies", "set", F.col("root").alias("grp"), band.alias("band")))
+    sizes = d.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
+    total = sizes.filter(F.col("size") <= TILE).agg(F.sum("size").alias("n")).first()["n"] or 0
+    small = d.join(sizes.filter(F.col("size") <= TILE).select("grp"), "grp")
+    tiles = small.select(F.pmod(F.xxhash64("grp"), F.lit(max(1, total // TILE))).alias("tile"), F.col("grp").alias("part"), "class", "copies", F.lit(0).alias("side"), "set")
+    first = checkpointed(links_of(tiles, pct))
+    large = sizes.filter(F.col("size") > TILE).select("grp")
+    if large.isEmpty():
+        return first
+    d = d.join(large, "grp")
+    blocks = d.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    d = d.join(blocks, ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")))
+    one = checkpointed(blocks.select("grp", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    two = one.toDF("_grp", "_band", "_block")
+    meet = ((F.col("_band") == F.col("band")) & (F.col("_block") >= F.col("block"))) | (F.col("_band") == F.col("band") + 1)
+    same = (F.col("_band") == F.col("band")) & (F.col("_block") == F.col("block"))
+    pairs = one.join(two, F.col("grp") == F.col("_grp")).filter(meet).withColumn("tile", F.xxhash64("grp", "band", "block", "_band", "_block"))
+    sides = pairs.select("grp", "band", "block", "tile", F.when(same, 0).otherwise(1).alias("side")).unionAll(pairs.filter(~same).select("grp", F.col("_band").alias("band"), F.col("_block").alias("block"), "tile", F.lit(2).alias("side")))
+    tiles = d.join(sides, ["grp", "band", "block"]).select("tile", F.col("tile").alias("part"), "class", "copies", "side", "set")
+    return first.unionAll(checkpointed(links_of(tiles, pct)))
+
+
 def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, pct: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, the least id among what links lead to.
 
@@ -264,10 +356,21 @@ def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
     own id. Rows with equal sets are linked whatever their ids; a null id comes before all others, as a component too. No
     rows: none come back. Other columns of docs are not looked at.
     """
+    return joined(docs, text, doc_id, width, pct, False).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, pct: int = 80) -> DataFrame:
+    """ngram_join with class_id, the least id of the rows with an equal set, and n_links, how many other rows the row is linked
+    with, those of its class and repeated rows included. Rows with empty sets are classes of their own, without links."""
+    return joined(docs, text, doc_id, width, pct, True)
+
+
+def joined(docs: DataFrame, text: str, doc_id: str, width: int, pct: int, all_pairs: bool) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if all_pairs are verified, class_id and n_links."""
     null = -(1 << 63)
     d = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("id"), F.col(text).alias("text"))
     rows = checkpointed(classes(d, width))
-    each = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("u").alias("u"))
+    each = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("u").alias("u"), F.count("*").alias("copies"))
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     shared = shared_counts(d, width, pct, max(1, int(total * PART) // BUCKET + 1))
     alone = F.col("u") - F.coalesce(F.when(F.col("n") < WHOLE, F.col("whole")).otherwise(F.col("part")), F.lit(0))
@@ -294,13 +397,17 @@ def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
     heads = checkpointed(heads.select("class", F.col("head")["t"].alias("t")))
     hubs = heads.groupBy("t").agg(F.min("class").alias("b"), F.count("*").alias("k")).filter("k > 1").withColumnRenamed("t", "_t")
     groups = components(heads.join(hubs, F.col("t") == F.col("_t")).select(F.col("class").alias("a"), "b"))
-    together = components(links(sets, groups, pct))
-    roots = each.join(together, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("root", "class").alias("root"))
+    found = all_links(sets, groups, each.select("class", "copies"), pct) if all_pairs else links(sets, groups, pct).withColumn("links", F.lit(0))
+    together = components(found.select("a", "b"))
+    sums = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))
+    roots = each.join(together, F.col("class") == F.col("node"), "left").select("class", "id", "copies", F.coalesce("root", "class").alias("root"))
+    roots = roots.join(sums, F.col("class") == F.col("_a"), "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))) if all_pairs else roots.withColumn("links", F.lit(0))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "_root")
-    by_class = roots.join(least, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), "component_id")
+    by_class = roots.join(least, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), "component_id", F.col("id").alias("class_id"), "links")
     out = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     real = lambda c: F.nullif(c, F.lit(null))
-    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return out if all_pairs else out.drop("class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -318,4 +425,4 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(read(spark, sf_dir, "documents"))
+    return ngram_links(read(spark, sf_dir, "documents"))

@@ -118,6 +118,41 @@ def test_large_group(spark, monkeypatch):
     assert records(got, *got.columns) == brute_join(docs)
 
 
+def brute_links(docs):
+    """(doc_id, component, class, number of links) of each row, all pairs compared."""
+    sets = []
+    for _, t in docs:
+        w = words(low(t or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    key = lambda i: -1 if docs[i][0] is None else docs[i][0]
+    out = []
+    for i, s in enumerate(sets):
+        n = sum(1 for j, o in enumerate(sets) if j != i and s and o and 100 * len(s & o) >= 80 * len(s | o))
+        least = min((key(j) for j, o in enumerate(sets) if s and o == s), default=key(i))
+        out.append((docs[i][0], None if least < 0 else least, n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("tile", [ngram_join.TILE, 4])
+def test_all_links(spark, odd, empty, monkeypatch, tile):
+    """Every link of every row is counted, those within what hangs together already too."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    got = ngram_join.ngram_links(odd)
+    assert records(got, "doc_id", "class_id", "n_links") == brute_links([r[:2] for r in rows()])
+    assert records(got, "doc_id", "n_shingles", "component_id") == brute_join([r[:2] for r in rows()])
+    r, docs, w = random.Random(4), [], [f"w{k}" for k in range(200)]
+    for k in range(90):
+        if k % 3 == 0:
+            w[r.randrange(len(w))] = f"n{k}"
+        docs.append((k, " ".join(w[: r.randint(150, 200)])))
+    got = ngram_join.ngram_links(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute_links(docs)
+    assert records(got, "doc_id", "class_id", "n_links") == want
+    assert sum(n for *_, n in want) > 2 * len(docs)
+    if tile > 4:
+        assert ngram_join.ngram_links(empty).count() == 0
+
+
 def test_shingles_are_sets():
     texts = [t for _, t, *_ in rows()]
     for t, s in zip(texts, shingle_sets(texts), strict=True):
