@@ -308,7 +308,8 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT label, rec_id AS tmpl_id, 8 AS n_frames FROM (SELECT 'w' || label AS label, vec_id AS rec_id, k, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS j FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k % 7 BETWEEN 1 AND 4) WHERE j <= 3""")
 def build_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'")).select("label", "tmpl_id", F.size("template").alias("n_frames"))
+    """Each label's first three, as the SQL has it; recognition takes all."""
+    return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'"), 3).select("label", "tmpl_id", F.size("template").alias("n_frames"))
 
 
 @query()
@@ -361,8 +362,8 @@ def split_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.split_gain(table(spark, sf_dir, "embeddings").select(F.col("label").alias("node"), (x(2) > 0).cast("int").alias("side"), x(0).alias("a"), x(1).alias("b")))
 
 
-def trained(spark: SparkSession, sf_dir: str, n_states: int = 3, n_iter: int = 6) -> tuple[dict, list]:
-    return M.hmm_train(labelled(spark, sf_dir).filter("role = 'enroll'"), n_states, n_iter)
+def trained(spark: SparkSession, sf_dir: str, n_states: int = 3) -> tuple[dict, list]:
+    return M.hmm_train(labelled(spark, sf_dir).filter("role = 'enroll'"), n_states)
 
 
 @query()
@@ -378,12 +379,12 @@ def hmm_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_log_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.hmm_log_emission(sequences(spark, sf_dir), M.models_table(spark, trained(spark, sf_dir, n_iter=2)[0]))
+    return M.hmm_log_emission(sequences(spark, sf_dir), M.models_table(spark, trained(spark, sf_dir)[0]))
 
 
 @query()
 def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.hmm_scores(labelled(spark, sf_dir), trained(spark, sf_dir, n_iter=3)[0])
+    return M.hmm_scores(labelled(spark, sf_dir), trained(spark, sf_dir)[0])
 
 
 @query()
@@ -393,13 +394,13 @@ def hmm_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = M.hmm_viterbi(labelled(spark, sf_dir), trained(spark, sf_dir, n_iter=3)[0])
+    d = M.hmm_viterbi(labelled(spark, sf_dir), trained(spark, sf_dir)[0])
     return d.withColumn("path", F.array_join(F.col("path").cast("array<string>"), " "))
 
 
 @query()
 def hmm_state_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.hmm_state_durations(M.hmm_viterbi(labelled(spark, sf_dir), trained(spark, sf_dir, n_iter=3)[0]))
+    return M.hmm_state_durations(M.hmm_viterbi(labelled(spark, sf_dir), trained(spark, sf_dir)[0]))
 
 
 @query()
@@ -415,7 +416,7 @@ def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy for several numbers of states, against templates."""
     d = accuracy(M.dtw_recognize(_test(spark, sf_dir), M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'"))).select("truth", F.col("top1_label").alias("pred"))).withColumn("system", F.lit("dtw"))
     for n in (2, 3):
-        r = M.hmm_recognize(_test(spark, sf_dir), trained(spark, sf_dir, n, 4)[0]).select("truth", F.col("top1_label").alias("pred"))
+        r = M.hmm_recognize(_test(spark, sf_dir), trained(spark, sf_dir, n)[0]).select("truth", F.col("top1_label").alias("pred"))
         d = d.unionAll(accuracy(r).withColumn("system", F.lit(f"hmm{n}")))
     return d
 

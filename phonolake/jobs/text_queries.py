@@ -122,6 +122,13 @@ def next_word_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.next_word_probs(train, N.vocabulary(train).orderBy(F.desc("c"), "word").limit(20).select(F.col("word").alias("context")))
 
 
+@query()
+def next_words_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """next_word_probs, whose SQL asks the 20 most frequent contexts, for every context of the vocabulary."""
+    train = sentences(spark, sf_dir)
+    return N.next_word_probs(train, N.vocabulary(train).select(F.col("word").alias("context")))
+
+
 _WORDS = ["the", "of", "and", "in"]
 
 

@@ -38,10 +38,11 @@ def dtw_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(rows, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", cost double, path_length long, score double")
 
 
-def build_templates(sequences: DataFrame, per_label: int = 3) -> DataFrame:
-    """(label, tmpl_id, template): each label's first sequences."""
-    k = F.row_number().over(W.partitionBy("label").orderBy("rec_id"))
-    return sequences.withColumn("k", k).filter(F.col("k") <= per_label).select("label", F.col("rec_id").alias("tmpl_id"), F.col("seq").alias("template"))
+def build_templates(sequences: DataFrame, per_label: int | None = None) -> DataFrame:
+    """(label, tmpl_id, template): all sequences, or each label's first per_label."""
+    if per_label is not None:
+        sequences = sequences.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("rec_id"))).filter(F.col("k") <= per_label)
+    return sequences.select("label", F.col("rec_id").alias("tmpl_id"), F.col("seq").alias("template"))
 
 
 def ranked(scores: DataFrame, best: Column, top: int = 2) -> DataFrame:
@@ -53,8 +54,8 @@ def ranked(scores: DataFrame, best: Column, top: int = 2) -> DataFrame:
 
 
 def dtw_recognize(test: DataFrame, templates: DataFrame, top: int = 2) -> DataFrame:
-    """(rec_id, truth, seq) against all templates, a bounded table that is broadcast: the least score of each label, ranked."""
-    pairs = test.select("rec_id", "truth", "seq").crossJoin(F.broadcast(templates))
+    """(rec_id, truth, seq) against all templates, partitions of the ones with partitions of the others: the least score of each label, ranked."""
+    pairs = test.select("rec_id", "truth", "seq").crossJoin(templates.select("label", "tmpl_id", "template"))
     d = dtw_pairs(pairs).groupBy("rec_id", "truth", "label").agg(F.min("score").alias("score"))
     return ranked(d, F.col("score").asc(), top)
 

@@ -167,3 +167,20 @@ def test_crossfade(spark):
     u = spark.createDataFrame([(1, 0, [1.0] * 10), (1, 1, [0.0] * 10)], "sent_id long, pos int, samples array<double>")
     r = units.crossfade_concat(u, 4).first()
     assert len(r["samples"]) == 16 and r["boundaries"] == [0, 8] and r["samples"][6:10] == pytest.approx([1, 2 / 3, 1 / 3, 0])
+
+
+def test_models_are_whole(spark):
+    """All enrolled sequences are templates, training goes on until it settles, and every context has its next words."""
+    from phonolake.jobs import registry
+
+    sf = "/root/testdata/sf0.001"
+    far = [(k, "a", [[9.0 + k], [1.0]]) for k in range(4)] + [(4, "a", [[0.0], [0.0]]), (5, "b", [[1.0], [1.0]])]
+    t = models.build_templates(spark.createDataFrame(far, "rec_id long, label string, seq array<array<double>>"))
+    test = spark.createDataFrame([(9, "a", [[0.0], [0.0]])], "rec_id long, truth string, seq array<array<double>>")
+    assert models.dtw_recognize(test, t).first()["top1_label"] == "a"
+    last = {}
+    for r in registry.QUERIES["hmm_convergence"](spark, sf).orderBy("iteration").collect():
+        last[r["label"]] = r
+    assert last and all(r["converged"] or r["iteration"] == 79 for r in last.values())
+    contexts = registry.QUERIES["next_words_of_all"](spark, sf).groupBy("context").count()
+    assert contexts.count() > 20 and contexts.filter("count <> 6").count() == 0
