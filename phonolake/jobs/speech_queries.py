@@ -124,6 +124,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_brand").alias("unit"), "candidate", (0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).alias("rms"))
 
 
+def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As inventory, with every part of a brand as a candidate."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).alias("rms"))
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences are orders, positions their lines, each with two candidates."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
@@ -174,6 +179,13 @@ def unit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selected(spark, sf_dir).select("sent_id", (F.col("cost") + 1e-9).alias("cost"))
 
 
+@query()
+def unit_selection_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit_selection, whose SQL has two parts of each brand, over all parts."""
+    p = positions(spark, sf_dir).filter("candidate = 1")
+    return U.least_cost(p, all_parts(spark, sf_dir)).select("sent_id", F.col("cost") + 1e-9, F.array_join(F.col("path").cast("array<string>"), " ").alias("path")).toDF("sent_id", "cost", "path")
+
+
 @query(f"""WITH RECURSIVE {_DP}, f AS (SELECT sent_id, sum(target_cost) AS t FROM tc WHERE candidate = 1 GROUP BY sent_id), g AS (SELECT sent_id, sum(j) AS j FROM jc WHERE c1 = 1 AND c2 = 1 GROUP BY sent_id)
 SELECT sent_id, round(t + coalesce(j, 0) + 1e-9, 6) AS fixed_cost, round(cost + 1e-9, 6) AS cost, round(100 * (t + coalesce(j, 0) - cost) / (t + coalesce(j, 0)) + 1e-9, 2) + 0.0 AS reduction_pct FROM f LEFT JOIN g USING (sent_id) JOIN best USING (sent_id)""")
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:

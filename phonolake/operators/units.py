@@ -31,10 +31,13 @@ def oov_report(tokens: DataFrame, inventory: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(inventory.select("token")), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
 
 
+def target_price() -> Column:
+    return 2 * F.pow((F.col("duration_s") - 0.35) / 0.1, F.lit(2)) + 5 * F.pow((F.col("rms") - 0.08) / 0.02, F.lit(2))
+
+
 def target_cost(positions: DataFrame, inventory: DataFrame) -> DataFrame:
     """Adds target_cost to (…, unit, candidate) from the unit's duration_s and rms; 0 for units that the inventory lacks."""
-    cost = 2 * F.pow((F.col("duration_s") - 0.35) / 0.1, F.lit(2)) + 5 * F.pow((F.col("rms") - 0.08) / 0.02, F.lit(2))
-    d = inventory.select("unit", "candidate", cost.alias("target_cost"))
+    d = inventory.select("unit", "candidate", target_price().alias("target_cost"))
     return positions.join(d, ["unit", "candidate"], "left").fillna(0.0, ["target_cost"])
 
 
@@ -80,6 +83,57 @@ def unit_selection(positions: DataFrame, edges: DataFrame, weight: float = 1.0,
     return d.groupBy("bucket").applyInPandas(best, "sent_id long, cost double, path array<int>")
 
 
+def useful_units(inventory: DataFrame, *, level: float = 100.0) -> DataFrame:
+    """(unit, candidate, duration_s, rms) -> the rows (unit, candidate, rms, target_cost) that a least path can need.
+
+    Of each unit and rms the least target cost stays, the least candidate among equals. A row goes if another of its unit costs
+    less by 2 * level * |rms difference|, as either join can change by level times that: taking the other never costs more.
+    The windows read a unit's distinct rms, by differences to the least cost below and above.
+    """
+    d = inventory.select("unit", "candidate", "rms", target_price().alias("target_cost")).dropna()
+    d = d.groupBy("unit", "rms").agg(F.min(F.struct("target_cost", "candidate")).alias("m")).select("unit", "m.candidate", "rms", "m.target_cost")
+    w, slope = W.partitionBy("unit"), 2 * level
+    below = F.min(F.col("target_cost") - slope * F.col("rms")).over(w.orderBy("rms").rowsBetween(W.unboundedPreceding, -1)) + slope * F.col("rms")
+    above = F.min(F.col("target_cost") + slope * F.col("rms")).over(w.orderBy(F.desc("rms")).rowsBetween(W.unboundedPreceding, -1)) - slope * F.col("rms")
+    d = d.withColumns({"below": below, "above": above})
+    return d.filter((F.col("below").isNull() | (F.col("below") > F.col("target_cost"))) & (F.col("above").isNull() | (F.col("above") > F.col("target_cost")))).drop("below", "above")
+
+
+def least_cost(positions: DataFrame, inventory: DataFrame, *, level: float = 100.0, other: float = 0.5) -> DataFrame:
+    """(sent_id, pos, unit) and (unit, candidate, duration_s, rms) -> (sent_id, cost, path), the least sum over all candidates.
+
+    A join costs level * |rms difference|, and other more between different units. useful_units go to the workers. Units that the inventory
+    lacks cost nothing, and have -1 in the path.
+    """
+    rows = useful_units(inventory, level=level).orderBy("unit", "rms").toPandas()
+    units = {u: (g["candidate"].to_numpy(), g["rms"].to_numpy(), g["target_cost"].to_numpy()) for u, g in rows.groupby("unit")}
+    lacking = (np.array([-1]), np.array([np.nan]), np.zeros(1))
+
+    def best(batches):
+        joins = {}
+        for d in batches:
+            out = []
+            for sent, seq in zip(d["sent_id"], d["units"], strict=True):
+                have = [units.get(u, lacking) for u in seq]
+                cost, came = have[0][2], []
+                for (ua, a), (ub, b) in zip(zip(seq, have), zip(seq[1:], have[1:])):
+                    if (ua, ub) not in joins:
+                        joins[ua, ub] = np.nan_to_num(level * np.abs(a[1][:, None] - b[1][None]) + (other if ua != ub else 0.0))
+                    total = cost[:, None] + joins[ua, ub]
+                    came.append(total.argmin(axis=0))
+                    cost = total.min(axis=0) + b[2]
+                k = int(cost.argmin())
+                least, path = float(cost[k]), [int(have[-1][0][k])]
+                for left, step in zip(have[-2::-1], came[::-1]):
+                    k = int(step[k])
+                    path.append(int(left[0][k]))
+                out.append((sent, least, path[::-1]))
+            yield pd.DataFrame(out, columns=["sent_id", "cost", "path"])
+
+    d = positions.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "unit"))).alias("units")).select("sent_id", F.col("units.unit").alias("units"))
+    return d.mapInPandas(best, "sent_id long, cost double, path array<long>")
+
+
 def fixed_cost(positions: DataFrame, edges: DataFrame, candidate: int = 1, weight: float = 1.0) -> DataFrame:
     """The cost of taking one candidate all along."""
     p = positions.filter(F.col("candidate") == candidate)

@@ -184,3 +184,32 @@ def test_models_are_whole(spark):
     assert last and all(r["converged"] or r["iteration"] == 79 for r in last.values())
     contexts = registry.QUERIES["next_words_of_all"](spark, sf).groupBy("context").count()
     assert contexts.count() > 20 and contexts.filter("count <> 6").count() == 0
+
+
+def test_all_units_are_candidates(spark):
+    """The least cost over every candidate, as all combinations give it, and over all parts at most that of two of each brand."""
+    from itertools import product
+
+    from phonolake.jobs import registry
+
+    rng = np.random.default_rng(5)
+    inv = [(u, k, float(rng.uniform(0.2, 0.5)), float(rng.integers(40, 110)) / 1000) for u in "ab" for k in range(12)]
+    seqs = {1: "aba", 2: "b", 3: "aab", 4: "axb"}
+    i = spark.createDataFrame(inv, "unit string, candidate long, duration_s double, rms double")
+    p = spark.createDataFrame([(s, k, u) for s, us in seqs.items() for k, u in enumerate(us)], "sent_id long, pos int, unit string")
+    t = {(u, k): (2 * ((d - 0.35) / 0.1) ** 2 + 5 * ((r - 0.08) / 0.02) ** 2, r) for u, k, d, r in inv} | {("x", -1): (0.0, None)}
+
+    def cost(us, ks):
+        c = [t[x] for x in zip(us, ks, strict=True)]
+        return sum(x[0] for x in c) + sum(100 * abs(a[1] - b[1]) + 0.5 * (u != v) for a, b, u, v in zip(c, c[1:], us, us[1:]) if None not in (a[1], b[1]))
+
+    got = units.least_cost(p, i).collect()
+    assert len(got) == len(seqs)
+    for r in got:
+        us = seqs[r["sent_id"]]
+        assert r["cost"] == pytest.approx(min(cost(us, ks) for ks in product(*[[k for v, k in t if v == u] for u in us])))
+        assert r["cost"] == pytest.approx(cost(us, r["path"]))
+    sf = "/root/testdata/sf0.001"
+    q = registry.QUERIES
+    j = q["unit_selection"](spark, sf).withColumnRenamed("cost", "two").join(q["unit_selection_of_all"](spark, sf), "sent_id")
+    assert j.count() > 0 and j.filter("cost > two + 1e-6").count() == 0 and j.filter("cost < two").count() > 0
