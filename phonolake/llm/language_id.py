@@ -37,15 +37,18 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (b[:-2] ^ (b[1:-1] << 5) ^ (b[2:] << 10)) & (BINS - 1), at
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_docs: int = 4000, least_docs: int = 5) -> pd.DataFrame:
-    """A table of log probabilities, a row for each language with least_docs rows in the sample, a column for each bin.
+def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", label_docs: int = 1000, least_docs: int = 5) -> pd.DataFrame:
+    """A table of log probabilities, a row for each language with least_docs labelled rows in the whole table, a column for each bin.
 
-    The sample has about sample_docs of the labelled rows, chosen by a hash of the id; no more rows train the model,
-    however many there are. Rows without text, label or id train nothing. The driver gets one number for each language and bin.
+    Each language has about label_docs of its rows in the sample, or all if it has no more, chosen by a hash of the id; no more
+    rows train the model, however many there are. Rows without text, label or id train nothing. The driver gets one number
+    for each language and bin.
     """
     rows = labelled.select(F.col(text).alias("text"), F.lower(F.col(label)).alias("label"), F.col(doc_id).alias("id")).dropna()
-    n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_docs)
+    below = F.least(F.lit(1.0), F.lit(float(label_docs)) / F.col("rows")) * F.lit(float(1 << 30))
+    rates = sizes.select("label", below.alias("below"))
+    rows = rows.join(F.broadcast(rates), "label").filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 5000):
@@ -57,7 +60,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
 
     counts = rows.select("label", "text").mapInArrow(count, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
     table = counts.pivot(index="label", columns="bin", values="n").fillna(0.0).reindex(columns=range(-1, BINS), fill_value=0.0)
-    table = table[table[-1] >= least_docs].drop(columns=-1).sort_index()
+    table = table.drop(columns=-1).sort_index()
     return np.log(table.add(0.5)).sub(np.log(table.sum(axis=1) + 0.5 * BINS), axis=0)
 
 

@@ -299,6 +299,16 @@ def test_joins_of_unsplit_text():
 # 4
 
 
+def test_rare_languages_are_in_the_model(spark):
+    """A language of a few documents is learnt however many rows of others there are."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("the river of the town").alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(50_000 + k, "zvolna plyne reka mestom", "SK") for k in range(8)] + [(60_000, "x y", "zz")], "doc_id long, text string, lang string")
+    model = language_id.train(rows.unionByName(few))
+    assert model.index.tolist() == ["en", "sk"]
+    d = spark.createDataFrame([(1, "zvolna plyne reka mestom")], "doc_id long, text string")
+    assert language_id.identify(d, model, host=None, declared=None, least_prob=0.0).first()["text_language"] == "sk"
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(docs.filter("doc_id % 2 = 0"))
