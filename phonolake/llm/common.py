@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,33 +35,78 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder that spark.checkpoint.dir names, which outlives any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or _own_folder())
-    return df.checkpoint()
-
-
-def _own_folder() -> str:
-    """Only where the session names no folder, as in tests on one machine."""
+def _base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on one machine may do without: it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a copy in the shared folder that spark.checkpoint.dir names, which outlives any executor.
+
+    Spark removes a copy when nothing refers to it any longer, if spark.cleaner.referenceTracking.cleanCheckpoints says so.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(_base(df.sparkSession))
+    return df.checkpoint()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors and the driver see."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, after its session is told to send Python no more than so many rows at a time: texts are long, and a batch is held on both sides."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
-    return df
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes what shared_folder has named, when nothing reads it any longer."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, jobs send Python no more than so many rows at a time: texts are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: dict[str, str], by: list[str], how: str = "inner", ways: int = 32) -> DataFrame:
+    """big joined with small by on (names in big to names in small, nulls equal), each key of big dealt out to so many tasks by a hash of its columns by.
+
+    small has one row for a key and is repeated so many times; its names in on are dropped. A key that holds a third of
+    big thus fills no task, whatever the sizes, and nothing is broadcast that is not small enough by Spark's own threshold.
+    """
+    turn, other = fresh(big, "turn"), fresh(small, "_turn")
+    big = big.withColumn(turn[0], F.pmod(F.xxhash64(F.lit(ways), *by), F.lit(ways)).cast("int"))
+    small = small.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    same = F.col(turn[0]) == F.col(other[0])
+    for a, b in on.items():
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return big.join(small, same, how).drop(turn[0], other[0], *on.values())
+
+
+def uneven_join(big: DataFrame, small: DataFrame, on: dict[str, str], rows: str, share: float = 1e-3) -> DataFrame:
+    """big joined with small by on (names in big to names in small), where rows of small says how many rows of big have the key.
+
+    Keys with more than that share of big are fewer than 1 / share rows of small, and are broadcast; the others are shuffled, and
+    none of them can fill a task.
+    """
+    total = small.agg(F.sum(rows).alias("n")).first()["n"] or 0
+    hot = F.broadcast(checkpointed(small.filter(F.col(rows) > total * share)))
+    same = reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in on.items()])
+    cold = big.join(hot.select(*on.values()), same, "left_anti").join(small, same)
+    return cold.unionByName(big.join(hot, same)).drop(*on.values())

@@ -2,55 +2,95 @@
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 
-#: The vocabulary, in the form of each library.
-BYTE_BPE = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+BYTE_BPE = "byte_bpe_50k.json"
+#: Pieces whose ids a worker keeps, and the length beyond which a piece is not kept.
+KEEP, KEEP_CHARS = 300_000, 64
+# Fixed value: characters that are white space to the vocabulary's pattern.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The vocabulary's pattern never goes on over the end of one of these: what is not white space, with a space right before
+#: it; white space up to its last character, or all of it at the end; that last character, if it is no space.
+PIECE = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
 
 
-def vocabulary() -> tuple[str, str]:
-    return tuple(map(public_tokenizers.path, BYTE_BPE))
+def vocabulary() -> str:
+    return public_tokenizers.path(BYTE_BPE)
 
 
 class ByteEncoder:
     """The ids that the tokenizers library gives for its file, added tokens in the text included.
 
-    The same vocabulary as ranks gives the same ids in a fifth of the time; texts with an added token's string go to
-    the tokenizers library itself.
+    A text is cut where the vocabulary's pattern cuts it whatever stands around, so its ids are those of its pieces; the library
+    encodes each distinct piece once, and ids of short ones are kept from batch to batch. Texts with an added token's
+    string, which is found before all else, go to the library as a whole.
     """
 
-    def __init__(self, tokenizer_file: str, ranks_file: str) -> None:
-        import tiktoken
+    def __init__(self, file: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.whole = Tokenizer.from_file(file)
+        self.whole.no_truncation()
+        self.whole.no_padding()
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(t in text for t in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.quick.encode_to_numpy(text, disallowed_special=())
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its ids; none for no text."""
+        return [np.frombuffer(x, dtype="<u4") for x in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The same as bytes of little-endian 32-bit integers."""
+        out = []
+        for text in texts:
+            if text and any(t in text for t in self.added):
+                out.append(self._encoded([text])[0])
+                continue
+            pieces = PIECE.findall(text) if text else []
+            new = list(set(pieces) - self.known.keys())
+            short = [p for p in new if len(p) <= KEEP_CHARS]
+            if len(self.known) + len(short) > KEEP:
+                self.known = {}
+                new = list(set(pieces))
+                short = [p for p in new if len(p) <= KEEP_CHARS]
+            self.known.update(zip(short, self._encoded(short), strict=True))
+            if len(new) == len(short):
+                out.append(b"".join(map(self.known.__getitem__, pieces)))
+            else:
+                long = [p for p in new if len(p) > KEEP_CHARS]
+                own = dict(zip(long, self._encoded(long), strict=True))
+                out.append(b"".join([self.known[p] if len(p) <= KEEP_CHARS else own[p] for p in pieces]))
+        return out
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str, ranks_file: str) -> ByteEncoder:
+def encoder(file: str) -> ByteEncoder:
     """One in each worker."""
-    return ByteEncoder(tokenizer_file, ranks_file)
+    return ByteEncoder(file)
 
 
-def slices(batches: Iterator, rows: int = 1000) -> Iterator:
-    """Arrow batches of at most so many rows, so that what is made of them stays small; what they took is given back at the end."""
+def slices(batches: Iterator, rows: int = 1000, most_bytes: int = 8 << 20) -> Iterator:
+    """Arrow batches of at most so many rows and, unless one row alone has more, bytes, so that what is made of them stays small;
+    what they took is given back at the end."""
     import pyarrow as pa
 
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        todo = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most_bytes:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
     pa.default_memory_pool().release_unused()

@@ -87,7 +87,7 @@ def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text"
             both = [pa.array([x.tolist() if s else None for x, s in zip(v, some, strict=True)], pa.list_(pa.float64())) for v in (tl, probabilities(tl))]
             yield pa.record_batch([*batch.columns, *both], names=[*batch.schema.names, "tl", "p"])
 
-    return small_batches(docs).mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -170,7 +170,8 @@ def identify(
     part = lambda name: F.lit(None).cast("string") if name is None else F.nullif(F.lower(F.trim(F.col(name))), F.lit(""))
     code = F.regexp_extract(part(declared), "^([a-z]{2,3})(?:$|[-_])", 1)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"), part(host).alias("host"), part(suffix).alias("suffix"), F.nullif(code, F.lit("")).alias("declared"))
-    e = checkpointed(text_likelihoods(d, model).drop("text"))
+    with small_batches(docs.sparkSession):
+        e = checkpointed(text_likelihoods(d, model).drop("text"))
     return fuse(e, languages, least_prob=least_prob)
 
 

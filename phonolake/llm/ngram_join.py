@@ -5,10 +5,11 @@
    of a part of the hash space are enough to see that for most classes; they are counted in buckets of hashes.
 3. The other classes' sets are made once more. Of each, the shingles that it shares, rarest first, beyond what a partner may
    lack: two linked classes have one of these in common. Classes that hang together by them are candidates of each other.
-4. Candidates meet in tiles: a group's classes of a band of sizes, in blocks of a bounded number. Bitmaps of hashed shingles
-   bound overlaps from above by their bit counts; what is left is intersected. ngram_links compares all pairs of each band and
-   the next one; tiles give sums of links for each class, never pairs. ngram_join, which asks for components alone, does not
-   compare classes that hang together already, and has the edges of spanning trees from tiles.
+4. Candidates meet in tiles: a group's classes of a band of sizes, in blocks of a bounded number and size. Bitmaps of hashed
+   shingles bound overlaps from above by their bit counts; what is left is intersected. Each two blocks of a band, and of a
+   band and the next one, meet in one tile; tiles give sums of links for each class, never pairs.
+
+Words, shingles and sets are told apart by 64-bit hashes that are not linear in their bytes.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import checkpointed, fresh, read, small_batches
+from phonolake.llm.common import checkpointed, fresh, read, small_batches, spread_join, uneven_join
 from phonolake.llm.components import components
 from phonolake.llm.encoding import slices
 from phonolake.llm.shingles import shingle_sets
 
 #: Sets below WHOLE are counted with all their shingles, larger ones with those in the first PART of the hash space.
 WHOLE, PART = 64, 0.32
-#: Shingles in a bucket, classes in a tile, and hubs of a group that all its tiles have.
-BUCKET, TILE, HUBS = 250_000, 1024, 8
-#: Bits of a bitmap for each shingle of the largest set of a tile.
-BITS = 4
+#: Shingles in a bucket; classes in a block, and bytes of their sets.
+BUCKET, TILE, TILE_BYTES = 250_000, 1024, 8 << 20
+#: Bits of a bitmap for each shingle of the largest set of a tile, as far as a tile's bitmaps take no more bytes than MAPS.
+BITS, MAPS = 4, 16 << 20
 
 
 def class_of(s: np.ndarray) -> int:
@@ -66,7 +67,8 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 def shared_shingles(sets: Iterator[tuple[list[int], list[np.ndarray]]], buckets: int) -> Iterator[pa.RecordBatch]:
     """For batches of (classes, their shingles): rows of a bucket's shingles and classes.
 
-    What is in two classes of a batch already goes out at once under a bucket below 0, and for the count as one entry of class 0.
+    What is in two classes of a batch already goes out at once under a bucket below 0, of which there are as many, and for
+    the count as one entry of class 0: a shingle that all have comes once from a batch.
     """
     for names, parts in sets:
         own = dict(zip(names, parts, strict=True))  # copies in the batch count once
@@ -78,7 +80,7 @@ def shared_shingles(sets: Iterator[tuple[list[int], list[np.ndarray]]], buckets:
         new = np.concatenate([[True], t[1:] != t[:-1]])[: len(t)]
         group = np.cumsum(new) - 1
         many = (np.bincount(group) > 1)[group] if len(t) else np.zeros(0, dtype=bool)
-        rows = [(-1 - int(c[many][0] % 997), t[many], c[many])] if many.any() else []
+        rows = [(-1 - int(c[many][0] % buckets), t[many], c[many])] if many.any() else []
         once = ~many | new
         t, c = t[once], np.where(many, 0, c)[once]
         b = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in order, as t is
@@ -108,8 +110,12 @@ def found_twice(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_counts(docs: DataFrame, width: int, pct: int, buckets: int) -> DataFrame:
-    """(id, text) -> (class, shared): how many counted shingles of a class others have. Copies may make it too high."""
-    most = WHOLE * 100 / pct
+    """(id, text) -> (class, whole, part): how many counted shingles of a class others have, and of those in the first PART.
+
+    Copies may make it too high. Buckets give a row for each shared shingle of a class, so that their rows are in
+    proportion to the texts however many buckets these fill; Spark sums them before they are shuffled.
+    """
+    most, low = WHOLE * 100 / pct, np.uint64(int(PART * 2**64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets():
@@ -122,13 +128,10 @@ def shared_counts(docs: DataFrame, width: int, pct: int, buckets: int) -> DataFr
     def count(rows: pa.Table) -> pa.Table:
         t, c = found_twice(rows)
         # larger sets come with shingles that only smaller ones count: these do not count for them
-        names, n = np.unique(c, return_counts=True)
-        low, m = np.unique(c[t < np.uint64(int(PART * 2**64))], return_counts=True)
-        part = np.zeros(len(names), dtype=np.int64)
-        part[np.searchsorted(names, low)] = m
-        return pa.table({"class": names, "whole": n, "part": part})
+        return pa.table({"class": c, "low": (t < low).astype(np.int32)})
 
-    return docs.mapInArrow(scan, _BUCKETS).groupBy("bucket").applyInArrow(count, "class long, whole long, part long").groupBy("class").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
+    rows = docs.mapInArrow(scan, _BUCKETS).groupBy("bucket").applyInArrow(count, "class long, low int")
+    return rows.groupBy("class").agg(F.count("*").alias("whole"), F.sum("low").alias("part"))
 
 
 def shared_rows(sets: DataFrame, buckets: int) -> DataFrame:
@@ -162,6 +165,8 @@ class Forest:
 def bitmaps(sets: list[np.ndarray], largest: int) -> np.ndarray:
     """A row of bits for each set."""
     bits = 1 << int(BITS * max(largest, 16) - 1).bit_length()
+    while bits > 64 and bits * len(sets) > 8 * MAPS:  # fewer bits bound overlaps less, but rightly
+        bits >>= 1
     maps = np.zeros((len(sets), bits // 8), dtype=np.uint8)
     for k, s in enumerate(sets):
         at = (s >> np.uint64(20)) & np.uint64(bits - 1)
@@ -169,99 +174,6 @@ def bitmaps(sets: list[np.ndarray], largest: int) -> np.ndarray:
     return maps.view(np.uint64)
 
 
-def tile_edges(names: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, ask: np.ndarray, pct: int) -> list[tuple[int, int]]:
-    """Edges between linked classes of a tile that do not hang together yet, each with one that asks.
-
-    labels: classes with the same label hang together already.
-    """
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    names, size, ask, sets = names[order], size[order], ask[order], [sets[k] for k in order]
-    maps = bitmaps(sets, int(size[-1]))
-    ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-    forest = Forest(len(sets))
-    for group in pd.Series(np.arange(len(sets))).groupby(labels[order]).indices.values():
-        forest.up[group] = group[0]
-    out, step = [], max(1, (1 << 22) // maps.shape[1])
-    for k in range(len(sets)):
-        # sizes of k or above, as far as a partner's may go
-        end = int(np.searchsorted(size, size[k] * 100 // pct, "right"))
-        for a in range(k + 1, end, step):
-            at = np.arange(a, min(end, a + step))
-            at = at[(forest.roots()[at] != forest.root(k)) & (ask[at] | ask[k])]
-            if not len(at):
-                continue
-            need = -(-(size[at] + size[k]) * pct // (100 + pct))
-            both = np.bitwise_count(maps[at] & maps[k]).sum(axis=1, dtype=np.int64)
-            # each bit that the other lacks stands for a shingle or more that it lacks
-            bound = np.minimum(size[at] - (ones[at] - both), size[k] - (ones[k] - both))
-            for j, least in zip(at[bound >= need].tolist(), need[bound >= need].tolist(), strict=True):
-                if forest.root(j) != forest.root(k) and len(np.intersect1d(sets[j], sets[k], assume_unique=True)) >= least:
-                    forest.up[forest.root(j)] = forest.root(k)
-                    out.append((int(names[k]), int(names[j])))
-    return out
-
-
-_TILE = "tile long, part long, class long, label long, ask boolean, set binary"
-
-
-def edges_of(tiles: DataFrame, pct: int) -> DataFrame:
-    """Rows of tiles -> (a, b). A tile's parts are worked on one after the other: classes of different parts never meet."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        d = rows.to_pandas()
-        found = []
-        for _, g in d.groupby("part", sort=False):
-            g = g.sort_values("ask", ascending=False).drop_duplicates("class")
-            if len(g) > 1:
-                found += tile_edges(g["class"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in g["set"]], g["label"].to_numpy(), g["ask"].to_numpy(bool), pct)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return tiles.select("tile", "part", "class", "label", "ask", "set").groupBy("tile").applyInArrow(compare, "a long, b long")
-
-
-def links(sets: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
-    """(class, n, set) and (node, root) of candidates -> edges (a, b) that connect whatever is linked.
-
-    Groups of up to TILE classes are whole tiles. Larger ones are split by bands of sizes and, within these, by a hash, into
-    blocks of about TILE. First each block meets itself and a few hubs of its band and the next ones; then only classes
-    outside the largest part that hangs together by now meet all blocks of their bands, TILE of them at a time.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct)) - 1e-9)
-    d = sets.join(groups, F.col("class") == F.col("node")).select("class", "set", F.col("root").alias("grp"), band.alias("band"))
-    d = checkpointed(d)
-    sizes = d.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
-    total = sizes.filter(F.col("size") <= TILE).agg(F.sum("size").alias("n")).first()["n"] or 0
-    small = d.join(sizes.filter(F.col("size") <= TILE).select("grp"), "grp")
-    whole = small.select(F.pmod(F.xxhash64("grp"), F.lit(max(1, total // TILE))).alias("tile"), F.col("grp").alias("part"), "class", F.col("class").alias("label"), F.lit(True).alias("ask"), "set")
-    first = checkpointed(edges_of(whole, pct))
-    large = sizes.filter(F.col("size") > TILE).select("grp")
-    if large.isEmpty():
-        return first
-    d = d.join(large, "grp")
-    blocks = d.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).alias("blocks"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class"), F.col("class"))).alias(f"h{k}") for k in range(HUBS)])
-    d = checkpointed(d.join(blocks.select("grp", "band", "blocks"), ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks"))))
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    hubs = blocks.select("grp", F.explode(F.array(*[F.col(f"h{k}")["class"] for k in range(HUBS)])).alias("class")).distinct()
-    hubs = d.join(hubs, ["grp", "class"], "left_semi").withColumn("at", near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
-    hubs = hubs.select("grp", F.col("at").alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"), "class", "set")
-    tile = F.xxhash64("grp", "band", "block").alias("tile")
-    diagonal = d.select("grp", "band", "block", "class", "set").unionAll(hubs).select(tile, F.lit(0).cast("long").alias("part"), "class", F.col("class").alias("label"), F.lit(True).alias("ask"), "set")
-    second = checkpointed(edges_of(diagonal, pct))
-    labels = components(second)
-    d = checkpointed(d.join(labels.withColumnRenamed("node", "_node"), F.col("class") == F.col("_node"), "left").withColumn("label", F.coalesce("root", "class")).drop("_node", "root"))
-    most = d.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-    rest = d.join(most, "grp").filter("label <> main").drop("main")
-    askers = rest.groupBy("grp").agg(F.ceil(F.count("*") / TILE).alias("turns"))
-    rest = rest.join(askers, "grp").withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), "class"), F.col("turns")))
-    asking = rest.withColumn("at", near).join(blocks.select("grp", F.col("band").alias("at"), F.col("blocks").alias("_n")), ["grp", "at"])
-    asking = asking.select("grp", F.col("at").alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("block"), "turn", "class", "label", F.lit(True).alias("ask"), "set")
-    asked = d.join(askers, "grp").select("grp", "band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "class", "label", F.lit(False).alias("ask"), "set")
-    tile = F.xxhash64("grp", "band", "block", "turn").alias("tile")
-    third = edges_of(asking.unionAll(asked).select(tile, F.lit(0).cast("long").alias("part"), "class", "label", "ask", "set"), pct)
-    return first.unionAll(second).unionAll(checkpointed(third))
-
-
 def tile_links(names: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a tile's linked classes: the class, the first that it hangs together with in the tile, and how many rows it is linked with.
 
@@ -318,57 +230,71 @@ def links_of(tiles: DataFrame, pct: int) -> DataFrame:
     return tiles.select("tile", "part", "class", "copies", "side", "set").groupBy("tile").applyInArrow(compare, "a long, b long, links long")
 
 
-def all_links(sets: DataFrame, groups: DataFrame, copies: DataFrame, pct: int) -> DataFrame:
-    """(class, n, set), (node, root) of candidates and (class, copies) -> (a, b, links), in one row or more for each linked class.
+def tiles_of(members: DataFrame, pct: int) -> DataFrame:
+    """(class, n, grp) -> (class, tile, part, side): where each class meets others.
 
-    Groups of up to TILE classes are whole tiles. Larger ones are split by bands of sizes and, within these, by a hash, into blocks
-    of about TILE; each pair of blocks of one band or of neighbouring bands is a tile, so each pair of classes that may be linked meets once.
+    Groups of one block are parts of tiles, a tile holding about a block of them. Larger ones are split by bands of sizes and,
+    within these, by a hash, into blocks; each pair of blocks of one band or of neighbouring bands is a tile, so each pair of
+    classes that may be linked meets once. All this is worked out without the sets.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct)) - 1e-9)
-    d = sets.join(groups, F.col("class") == F.col("node")).join(copies.withColumnRenamed("class", "_class"), F.col("class") == F.col("_class"))
-    d = checkpointed(d.select("class", "copies", "set", F.col("root").alias("grp"), band.alias("band")))
-    sizes = d.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
-    total = sizes.filter(F.col("size") <= TILE).agg(F.sum("size").alias("n")).first()["n"] or 0
-    small = d.join(sizes.filter(F.col("size") <= TILE).select("grp"), "grp")
-    tiles = small.select(F.pmod(F.xxhash64("grp"), F.lit(max(1, total // TILE))).alias("tile"), F.col("grp").alias("part"), "class", "copies", F.lit(0).alias("side"), "set")
-    first = checkpointed(links_of(tiles, pct))
-    large = sizes.filter(F.col("size") > TILE).select("grp")
+    d = members.select("class", "grp", (F.col("n") * 8).alias("bytes"), band.alias("band"))
+    bands = checkpointed(d.groupBy("grp", "band").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes")))
+    blocks = lambda size, byte: F.ceil(F.greatest(F.col(size) / TILE, F.col(byte) / TILE_BYTES))
+    sizes = bands.groupBy("grp").agg(F.sum("size").alias("size"), F.sum("bytes").alias("bytes")).filter("size > 1").withColumn("whole", blocks("size", "bytes") <= 1)
+    total = sizes.filter("whole").agg(F.greatest(F.sum("size") / TILE, F.sum("bytes") / TILE_BYTES).alias("n")).first()["n"] or 0
+    large = checkpointed(sizes.filter(~F.col("whole")).select(F.col("grp").alias("_grp")))
+    tile = F.pmod(F.xxhash64("grp"), F.lit(max(1, int(total))))
     if large.isEmpty():
-        return first
-    d = d.join(large, "grp")
-    blocks = d.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    d = d.join(blocks, ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")))
-    one = checkpointed(blocks.select("grp", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
-    two = one.toDF("_grp", "_band", "_block")
-    meet = ((F.col("_band") == F.col("band")) & (F.col("_block") >= F.col("block"))) | (F.col("_band") == F.col("band") + 1)
-    same = (F.col("_band") == F.col("band")) & (F.col("_block") == F.col("block"))
-    pairs = one.join(two, F.col("grp") == F.col("_grp")).filter(meet).withColumn("tile", F.xxhash64("grp", "band", "block", "_band", "_block"))
-    sides = pairs.select("grp", "band", "block", "tile", F.when(same, 0).otherwise(1).alias("side")).unionAll(pairs.filter(~same).select("grp", F.col("_band").alias("band"), F.col("_block").alias("block"), "tile", F.lit(2).alias("side")))
-    tiles = d.join(sides, ["grp", "band", "block"]).select("tile", F.col("tile").alias("part"), "class", "copies", "side", "set")
-    return first.unionAll(checkpointed(links_of(tiles, pct)))
+        return d.join(sizes.select(F.col("grp").alias("_grp")), F.col("grp") == F.col("_grp")).select("class", tile.alias("tile"), F.col("grp").alias("part"), F.lit(0).alias("side"))
+    # of the groups within one block, each has no more rows than one
+    small = spread_join(d, large, {"grp": "_grp"}, ["class"], "left_anti")
+    small = small.join(sizes.filter("whole").select(F.col("grp").alias("_grp")), F.col("grp") == F.col("_grp"))
+    small = small.select("class", tile.alias("tile"), F.col("grp").alias("part"), F.lit(0).alias("side"))
+    split = checkpointed(bands.join(large, F.col("grp") == F.col("_grp")).select(F.col("grp").alias("_grp"), F.col("band").alias("_band"), blocks("size", "bytes").alias("blocks")))
+    d = spread_join(d, split, {"grp": "_grp", "band": "_band"}, ["class"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")))
+    one = split.select(F.col("_grp").alias("grp"), F.col("_band").alias("band"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    # the blocks that each block meets: itself and later ones of its band, all of the next band
+    after = split.select("_grp", F.col("_band").alias("next"), F.col("blocks").alias("more"))
+    one = one.join(after, (F.col("grp") == F.col("_grp")) & (F.col("next") == F.col("band") + 1), "left")
+    to = lambda band, a, n: F.when(n > a, F.transform(F.sequence(a, n - 1), lambda k: F.struct(band.alias("band"), k.alias("block")))).otherwise(F.array().cast("array<struct<band:bigint,block:bigint>>"))
+    others = F.concat(to(F.col("band"), F.col("block"), F.col("blocks")), to(F.col("band") + 1, F.lit(0).cast("long"), F.coalesce("more", F.lit(0).cast("long"))))
+    pairs = one.select("grp", "band", "block", F.explode(others).alias("other"))
+    same = (F.col("other.band") == F.col("band")) & (F.col("other.block") == F.col("block"))
+    pairs = pairs.withColumn("tile", F.xxhash64("grp", "band", "block", "other.band", "other.block")).withColumn("same", same)
+    sides = pairs.select("grp", "band", "block", "tile", F.when(F.col("same"), 0).otherwise(1).alias("side"))
+    sides = sides.unionAll(pairs.filter("not same").select("grp", F.col("other.band").alias("band"), F.col("other.block").alias("block"), "tile", F.lit(2).alias("side")))
+    # a block has a bounded number of classes, so none of these keys is hot
+    met = d.join(sides, ["grp", "band", "block"]).select("class", "tile", F.col("tile").alias("part"), "side")
+    return small.unionAll(met)
+
+
+def all_links(sets: DataFrame, groups: DataFrame, copies: DataFrame, pct: int) -> DataFrame:
+    """(class, n, set), (node, root) of candidates and (class, copies) -> (a, b, links), in one row or more for each linked class."""
+    members = sets.select("class", "n").join(groups, F.col("class") == F.col("node")).select("class", "n", F.col("root").alias("grp"))
+    met = tiles_of(checkpointed(members), pct).withColumnRenamed("class", "_class")
+    d = sets.select("class", "set").join(copies, "class")
+    return checkpointed(links_of(met.join(d, F.col("_class") == F.col("class")), pct))
 
 
 def ngram_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, pct: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, the least id among what links lead to.
+    """One row per row of docs: doc_id, n_shingles, component_id (the least id among what links lead to), class_id (the least
+    id of the rows with an equal set) and n_links (how many other rows the row is linked with, repeated rows included).
 
     Two rows are linked if 100 * intersection >= pct * union of their sets of width words in a row (of all words, if
-    fewer; A-Z in lower case). Null, empty and blank texts have empty sets and are linked with nothing: their component is their
-    own id. Rows with equal sets are linked whatever their ids; a null id comes before all others, as a component too. No
-    rows: none come back. Other columns of docs are not looked at.
+    fewer; A-Z in lower case). Null, empty and blank texts have empty sets and are linked with nothing: their component and
+    class are their own id. Rows with equal sets are linked whatever their ids, so repeated rows are linked with each
+    other; a null id comes before all others, as a component too. No rows: none come back. Texts of any length are
+    hashed whole, in pieces of bounded size; a very long one is a block of its own. Other columns of docs are not looked at.
     """
-    return joined(docs, text, doc_id, width, pct, False).select("doc_id", "n_shingles", "component_id")
-
-
-def ngram_links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, pct: int = 80) -> DataFrame:
-    """ngram_join with class_id, the least id of the rows with an equal set, and n_links, how many other rows the row is linked
-    with, those of its class and repeated rows included. Rows with empty sets are classes of their own, without links."""
-    return joined(docs, text, doc_id, width, pct, True)
+    null = -(1 << 63)
+    spark = docs.sparkSession
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("id"), F.col(text).alias("text"))
+    with small_batches(spark):
+        return _joined(d, null, width, pct)
 
 
-def joined(docs: DataFrame, text: str, doc_id: str, width: int, pct: int, all_pairs: bool) -> DataFrame:
-    """doc_id, n_shingles, component_id and, if all_pairs are verified, class_id and n_links."""
-    null = -(1 << 63)
-    d = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(null)).alias("id"), F.col(text).alias("text"))
+def _joined(d: DataFrame, null: int, width: int, pct: int) -> DataFrame:
     rows = checkpointed(classes(d, width))
     each = rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("u").alias("u"), F.count("*").alias("copies"))
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -390,24 +316,24 @@ def joined(docs: DataFrame, text: str, doc_id: str, width: int, pct: int, all_pa
     size = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     pairs = checkpointed(shared_rows(sets, max(1, size // BUCKET + 1)))
     often = pairs.groupBy("t").agg(F.count("*").alias("df")).withColumnRenamed("t", "_t")
-    own = pairs.join(often, F.col("t") == F.col("_t")).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("own"))
+    known = uneven_join(pairs, checkpointed(often), {"t": "_t"}, "df")
+    own = known.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("own"))
     own = own.join(sets.select(F.col("class").alias("_class"), "n"), F.col("class") == F.col("_class"))
     most = F.col("n") - F.ceil(F.col("n") * pct / 100) + 1 - (F.col("n") - F.size("own"))
     heads = own.filter(most > 0).select("class", F.explode(F.slice("own", F.lit(1), most.cast("int"))).alias("head"))
     heads = checkpointed(heads.select("class", F.col("head")["t"].alias("t")))
     hubs = heads.groupBy("t").agg(F.min("class").alias("b"), F.count("*").alias("k")).filter("k > 1").withColumnRenamed("t", "_t")
-    groups = components(heads.join(hubs, F.col("t") == F.col("_t")).select(F.col("class").alias("a"), "b"))
-    found = all_links(sets, groups, each.select("class", "copies"), pct) if all_pairs else links(sets, groups, pct).withColumn("links", F.lit(0))
+    groups = components(uneven_join(heads, checkpointed(hubs), {"t": "_t"}, "k").select(F.col("class").alias("a"), "b"))
+    found = all_links(sets, groups, each.select("class", "copies"), pct)
     together = components(found.select("a", "b"))
     sums = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))
     roots = each.join(together, F.col("class") == F.col("node"), "left").select("class", "id", "copies", F.coalesce("root", "class").alias("root"))
-    roots = roots.join(sums, F.col("class") == F.col("_a"), "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))) if all_pairs else roots.withColumn("links", F.lit(0))
+    roots = roots.join(sums, F.col("class") == F.col("_a"), "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "_root")
     by_class = roots.join(least, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), "component_id", F.col("id").alias("class_id"), "links")
     out = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     real = lambda c: F.nullif(c, F.lit(null))
-    out = out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    return out if all_pairs else out.drop("class_id", "n_links")
+    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "id")).alias("component_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -416,8 +342,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     An id that comes more than once keeps one row for each of its texts that is not linked to a lesser id.
     """
     key, times, rid = fresh(docs, "key", "times", "rid")
-    joined = ngram_join(docs, doc_id=doc_id, text=text, **options)
-    kept = joined.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).filter("kept").select(key, times)
+    kept = ngram_join(docs, doc_id=doc_id, text=text, **options).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).filter("kept").select(key, times)
     on = F.col(doc_id).eqNullSafe(F.col(key))
     once = docs.join(kept.filter(F.col(times) == 1), on, "left_semi")
     more = docs.join(kept.filter(F.col(times) > 1), on, "left_semi").withColumn(rid, F.xxhash64(F.lit(7), F.col(text)))
@@ -425,4 +350,28 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_links(read(spark, sf_dir, "documents"))
+    return ngram_join(read(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+in_both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, p.n = q.n AND k = p.n AS equal FROM in_both JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+own AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE equal) AS other FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id::BIGINT AS component_id,
+  least(d.doc_id, coalesce(own.other, d.doc_id))::BIGINT AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least ON least.a = d.doc_id LEFT JOIN own ON own.a = d.doc_id
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-#: Fixed values of the hash: an odd multiplier for places in a word, one for words in a shingle, and mixing constants.
-PLACE, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Fixed values of the hash: a multiplier for words in a shingle, and mixing constants.
+TURN = np.uint64(0xD6E8FEB86659FD93)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: White space of the contracts, as bytes.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -18,9 +20,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * PLACE)
-POWERS = np.cumprod(np.full(1 << 12, PLACE, dtype=np.uint64))
-BACK = np.cumprod(np.full(1 << 12, np.uint64(pow(int(PLACE), -1, 1 << 64)), dtype=np.uint64))
+#: Words of more bytes are hashed by blake2b.
+LONG = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 #: Bytes that are hashed at a time; a piece ends with the last white space in it.
@@ -44,23 +46,27 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(b: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of bytes that end with white space, and where they begin, counted from start."""
+    """Hashes of the words of bytes that end with white space, and where they begin, counted from start.
+
+    Eight bytes at a time are mixed in, each step one-to-one, so that words of one length and up to eight bytes never
+    share a hash; nothing of it is linear in the bytes.
+    """
     space = IS_SPACE[b]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    # bytes weigh by their place in blocks of the powers' size; a word across blocks is hashed by itself
-    n, size = len(b), len(POWERS)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(OF_BYTE[b] * np.resize(POWERS, n), out=sums[1:])
-    h = (sums[ends] - sums[begins]) * BACK[begins % size]
-    for k in np.flatnonzero(begins // size != (ends - 1) // size).tolist():
-        word = b[int(begins[k]) : int(ends[k])]
-        at = np.arange(len(word))
-        place = np.ones(len(word), dtype=np.uint64)
-        for bit in range(len(word).bit_length()):  # PLACE to the power of at
-            place[(at >> bit) & 1 == 1] *= np.uint64(pow(int(PLACE), 1 << bit, 1 << 64))
-        h[k] = np.sum(OF_BYTE[word] * place, dtype=np.uint64)
-    return mixed(h + (ends - begins).astype(np.uint64) * MIX2), begins + start
+    size = ends - begins
+    raw = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(b) + 1,), dtype="<u8", buffer=raw, strides=(1,))
+    h = mixed(size.astype(np.uint64) * MIX2 + TURN)
+    left = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        h[left] = mixed(h[left] ^ (eight[begins[left] + k] & MASKS[np.minimum(size[left] - k, 8)]))
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(b[begins[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h, begins + start
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:

@@ -16,20 +16,23 @@ from phonolake.llm.encoding import encoder, slices, vocabulary
 BLOCK = 1024
 
 
-def lengths(docs: DataFrame, *, text: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
-    """The encoded length of each text as n_tokens; a null text has 0."""
-    files = files or vocabulary()
+def lengths(docs: DataFrame, *, text: str = "text", file: str | None = None) -> DataFrame:
+    """The encoded length of each text as n_tokens, a row for each row of docs, repeated ones too; a null or empty text has 0.
+
+    Texts are encoded whole, however long. No rows: none come back. Other columns of docs are not looked at.
+    """
+    file = file or vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(*files).ids
+        own = encoder(file)
         for batch in slices(batches):
-            yield pa.record_batch([pa.array([len(to_ids(t)) if t else 0 for t in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            yield pa.record_batch([pa.array([len(x) >> 2 for x in own.packed(batch.column(0).to_pylist())], pa.int64())], names=["n_tokens"])
 
     return docs.select(text).mapInArrow(count, "n_tokens long")
 
 
 def length_histogram(docs: DataFrame, **options) -> DataFrame:
-    """(n_tokens, n_docs): how many documents have each length that occurs. No rows: none come back."""
+    """(n_tokens, n_docs): how many documents have each length that occurs, each repeated row counted. No rows: none come back."""
     return lengths(docs, **options).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
@@ -38,8 +41,9 @@ def limits(histogram: DataFrame) -> DataFrame:
 
     n_tokens, n_docs; docs_from, tokens_from: documents of that length or longer and their tokens; truncated_total: tokens
     left when each document is cut to the limit; docs_to: documents of that length or shorter; share_to: their share
-    of all, so the q-quantile is the least n_tokens with share_to >= q. Suffix sums run within blocks of lengths and
-    over the blocks' sums.
+    of all, so the q-quantile is the least n_tokens with share_to >= q. Documents of one length are one row. Suffix sums run
+    within blocks of lengths and over the blocks' sums: there are as many blocks as the longest text has thousands of
+    tokens at most, whatever the number of documents. No rows: none come back.
     """
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))

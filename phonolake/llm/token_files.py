@@ -18,38 +18,43 @@ from phonolake.llm.encoding import encoder, slices, vocabulary
 ORC_OPTIONS = {"orc.stripe.size": 16 << 20, "orc.row.index.stride": 10_000, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "compression": "zstd"}
 
 
-def token_ids(docs: DataFrame, *, end_id: int | None = 2, files: tuple[str, str] | None = None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, ids array<int>), order and partitions kept. A null text is an empty one."""
-    files = files or vocabulary()
+def token_ids(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, file: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of each row of docs, order and partitions kept, repeated rows and null ids too.
+
+    A null text is an empty one and has the end id alone; texts are encoded whole, however long. No rows: none come
+    back. Other columns of docs are not looked at.
+    """
+    file = file or vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(*files).ids
-        end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        own = encoder(file)
+        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches):
-            each = [part for text in batch.column("text").to_pylist() for part in (to_ids(text or ""), end)]
-            ends = np.cumsum([0, *map(len, each)])[::2]
-            ids = np.concatenate(each).astype(np.int32) if each else np.array([], dtype=np.int32)
+            each = own.packed(batch.column("text").to_pylist())
+            ends = np.cumsum([0, *(len(x) + len(end) >> 2 for x in each)])
+            ids = np.frombuffer(b"".join([p for x in each for p in (x, end)]), dtype="<i4")
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 2, files: tuple[str, str] | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, file: str | None = None) -> None:
     """Writes (doc_id, ids) of docs as ORC, ids ascending within and across files, null ids first.
 
     Texts are dealt out by ranges of doc_id (then of a hash of the text, so that one id can't fill a task) and sorted
-    before they are encoded: looking for the ranges reads no more than the ids and texts.
+    before they are encoded: looking for the ranges reads no more than the ids and texts. Repeated rows are written as often,
+    null texts as empty ones. No rows: a file without rows, or none.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.xxhash64(F.lit(7), "text"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64(F.lit(7), "text"))
     d = d.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
-    token_ids(d, end_id=end_id, files=files).write.format("orc").options(**ORC_OPTIONS).save(path)
+    token_ids(d, end_id=end_id, file=file).write.format("orc").options(**ORC_OPTIONS).save(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     Rows are summed within their files and files among each other, so no task sees more than a file's rows. Rows of one
-    id follow each other in the order of their files, equal rows in any.
+    id follow each other in the order of their files, equal rows in any. The window over files has a row for each file.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

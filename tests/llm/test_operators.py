@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phonolake.llm import language_id, line_dedup, media_columns, ngram_join, pareto_mix, quality_rules, queries, secret_scan, token_counts, token_files, tree_bpe
+from phonolake.llm import encoding, language_id, line_dedup, media_columns, ngram_join, pareto_mix, quality_rules, queries, secret_scan, token_counts, token_files, tree_bpe
 from phonolake.llm.shingles import shingle_sets
 
 SF = "/root/testdata/sf0.001"
@@ -92,11 +92,10 @@ def brute_join(docs):
 @pytest.mark.parametrize("tile", [ngram_join.TILE, 4])
 def test_ngram_join(spark, odd, empty, monkeypatch, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
-    monkeypatch.setattr(ngram_join, "HUBS", 8 if tile > 4 else 1)
     monkeypatch.setattr(ngram_join, "WHOLE", 64 if tile > 4 else 16)
     got = ngram_join.ngram_join(odd)
-    assert got.columns == ["doc_id", "n_shingles", "component_id"]
-    assert records(got, *got.columns) == brute_join([r[:2] for r in rows()])
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "class_id", "n_links"]
+    assert records(got, "doc_id", "n_shingles", "component_id") == brute_join([r[:2] for r in rows()])
     if tile > 4:
         assert ngram_join.ngram_join(empty).count() == 0
         kept = ngram_join.keep_one(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]))
@@ -106,7 +105,6 @@ def test_ngram_join(spark, odd, empty, monkeypatch, tile):
 def test_large_group(spark, monkeypatch):
     """Chains of texts that differ more and more, in tiles far smaller than their group."""
     monkeypatch.setattr(ngram_join, "TILE", 8)
-    monkeypatch.setattr(ngram_join, "HUBS", 1)
     r = random.Random(3)
     docs, w = [], [f"w{k}" for k in range(200)]
     for k in range(120):
@@ -115,7 +113,7 @@ def test_large_group(spark, monkeypatch):
         docs.append((k, " ".join(w[: r.randint(150, 200)])))
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = ngram_join.ngram_join(d)
-    assert records(got, *got.columns) == brute_join(docs)
+    assert records(got, "doc_id", "n_shingles", "component_id") == brute_join(docs)
 
 
 def brute_links(docs):
@@ -137,7 +135,7 @@ def brute_links(docs):
 def test_all_links(spark, odd, empty, monkeypatch, tile):
     """Every link of every row is counted, those within what hangs together already too."""
     monkeypatch.setattr(ngram_join, "TILE", tile)
-    got = ngram_join.ngram_links(odd)
+    got = ngram_join.ngram_join(odd)
     assert records(got, "doc_id", "class_id", "n_links") == brute_links([r[:2] for r in rows()])
     assert records(got, "doc_id", "n_shingles", "component_id") == brute_join([r[:2] for r in rows()])
     r, docs, w = random.Random(4), [], [f"w{k}" for k in range(200)]
@@ -145,12 +143,12 @@ def test_all_links(spark, odd, empty, monkeypatch, tile):
         if k % 3 == 0:
             w[r.randrange(len(w))] = f"n{k}"
         docs.append((k, " ".join(w[: r.randint(150, 200)])))
-    got = ngram_join.ngram_links(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"))
     want = brute_links(docs)
     assert records(got, "doc_id", "class_id", "n_links") == want
     assert sum(n for *_, n in want) > 2 * len(docs)
     if tile > 4:
-        assert ngram_join.ngram_links(empty).count() == 0
+        assert ngram_join.ngram_join(empty).count() == 0
 
 
 def test_shingles_are_sets():
@@ -160,6 +158,30 @@ def test_shingles_are_sets():
         assert len(s) == (len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) >= 5 else min(len(w), 1))
 
 
+def test_words_that_differ_have_different_hashes():
+    """Thue-Morse words and their complements defeat hashes that are linear in the letters."""
+    texts = []
+    for bits in range(1, 15):
+        w = [bin(k).count("1") & 1 for k in range(1 << bits)]
+        texts += ["".join("ab"[x] for x in w), "".join("ba"[x] for x in w)]
+    texts += [a + b for a in ("", "\0", "\0\0") for b in ("x", "x\0", "x\0\0")]
+    assert len({s.tobytes() for s in shingle_sets(texts)}) == len(texts)
+    same = shingle_sets(["a " * 3 + "W" * 70_000, "A a\na\t" + "w" * 70_000])
+    assert same[0].tolist() == same[1].tolist()
+
+
+def test_bitmaps_of_bounded_size(monkeypatch):
+    """Bits are fewer where a tile's bitmaps would take too much, and links are the same."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 3000 - 40 * k], r.integers(0, 1 << 63, 30 * k, dtype=np.uint64)])) for k in range(20)]
+    args = (np.arange(20), sets, np.ones(20, dtype=np.int64), np.zeros(20, dtype=np.int64), 80)
+    want = ngram_join.tile_links(*args)
+    monkeypatch.setattr(ngram_join, "MAPS", 2000)
+    got = ngram_join.tile_links(*args)
+    assert [a.tolist() for a in got] == [a.tolist() for a in want] and len(want[0]) > 2
+
+
 # 2, 6
 
 
@@ -274,6 +296,26 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_ids_of_any_text():
+    """Pieces give the ids of the whole text: random white space, marks, contractions, added tokens, and runs of a million characters."""
+    own, r = encoding.encoder(encoding.vocabulary()), random.Random(11)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [" ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "'s", "'LL", "'", "don't", "a", "Word", "é", "e\u0301", "\u0301", "12", "٣", "日本", "🇩🇪", "!?", "_", "\0", "<|endoftext|>", "<|endof"]
+    texts = ["".join(r.choice(signs[:-2] if k % 4 else signs) for _ in range(r.randint(0, 60))) for k in range(4000)]
+    texts += [c * 1_000_000 for c in (" ", "\n", "a", "\u0301", "\u3000", "'", " \n")] + ["x" + " " * 2_000_000 + "y", None, ""]
+    for text, got in zip(texts, own.ids(texts), strict=True):
+        assert got.tolist() == (t.encode(text, add_special_tokens=False).ids if text else []), repr(text)[:200]
+
+
+def test_long_runs_through_spark(spark, tmp_path):
+    d = spark.createDataFrame([(1, " " * 1_200_000), (2, "a\n" * 600_000), (3, "short")], "doc_id long, text string")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {k: len(t.encode(x, add_special_tokens=False).ids) for k, x in d.collect()}
+    assert sorted(r["n_tokens"] for r in token_counts.lengths(d).collect()) == sorted(want.values())
+    token_files.write_token_files(d, str(tmp_path / "long"))
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.read_token_files(spark, str(tmp_path / "long")).collect()} == want
+
+
 def test_bpe(spark, odd, empty):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = sorted(((r[0], ids := t.encode(r[1] or "", add_special_tokens=False).ids, t.decode(ids, skip_special_tokens=False)) for r in rows()), key=repr)
