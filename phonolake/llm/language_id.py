@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonolake.llm.common import checkpointed, fresh, read, small_batches
+from phonolake.llm.common import checkpointed, fresh, read, small_batches, spread_join
 from phonolake.llm.encoding import slices
 
 #: Bins of hashed byte trigrams.
@@ -48,6 +48,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
     sizes = rows.groupBy("label").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_docs)
     below = F.least(F.lit(1.0), F.lit(float(label_docs)) / F.col("rows")) * F.lit(float(1 << 30))
     rates = sizes.select("label", below.alias("below"))
+    # a row for each language, far fewer bytes than the model itself
     rows = rows.join(F.broadcast(rates), "label").filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < F.col("below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +67,10 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
 
 def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text", most_trigrams: int = 100) -> DataFrame:
     """Adds tl, log likelihoods of the text, one for each language of the model and one for none of them, and p, what these
-    alone make of the languages' probabilities.
+    alone make of the languages' probabilities. Other columns stay.
 
     All trigrams count in the mean; it weighs as most_trigrams of them at most, for neighbours are not independent. A
-    text without letters or digits has null in both.
+    text without letters or digits has null in both, as null and empty ones. Texts count whole, however long.
     """
     table = np.vstack([model.to_numpy(), np.full(BINS, -np.log(BINS))]) if len(model) else np.full((1, BINS), -np.log(BINS))
     schema = T.StructType([*docs.schema.fields, T.StructField("tl", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))])
@@ -91,11 +92,12 @@ def text_likelihoods(docs: DataFrame, model: pd.DataFrame, *, text: str = "text"
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> (doc_id, text, host, suffix, declared): the text without tags, scripts and styles, what the
-    address says, and the language that the html tag declares."""
+    """(page_id, url, html) -> (page_id, text, host, suffix, declared): the text without tags, scripts and styles, what the
+    address says, and the language that the html tag declares; empty strings for what is not there. A null page has a null text."""
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), "<[^>]*>", " ")
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1).alias("declared"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
+    declared = F.coalesce(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit(""))
+    return pages.select("page_id", text.alias("text"), host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), declared.alias("declared"))
 
 
 def probabilities(logs: np.ndarray) -> np.ndarray:
@@ -109,12 +111,15 @@ def smoothed(n: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
 
 
 def fuse(evidence: DataFrame, languages: list[str], *, prior_weight: float = 20.0, least_none: float = 1e-3, least_prob: float = 0.5) -> DataFrame:
-    """(doc_id, rid, host, suffix, declared, tl, p) -> (doc_id, rid, language, probability, text_language, kept).
+    """(host, suffix, declared, tl, p and others) -> the others, language, probability, text_language, kept.
 
     Priors are smoothed from the whole table down: a suffix's by the table's, a host's by its suffix's, each with the
     weight of prior_weight rows, and without the row that they are for. What is declared counts by how often texts of each
-    language come with it. All these are sums over rows, grouped by host, suffix and declared code, and joined to the rows.
+    language come with it. All these are sums over rows, grouped by host, suffix and declared code, and joined to the rows
+    so that no host, suffix or code fills a task.
     """
+    others = [c for c in evidence.columns if c not in ("host", "suffix", "declared", "tl", "p")]
+    schema = T.StructType([*[evidence.schema[c] for c in others], T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("text_language", T.StringType()), T.StructField("kept", T.BooleanType())])
     k = len(languages) + 1
     e = evidence
     sums = lambda name: F.array(*[F.coalesce(F.sum(F.get("p", F.lit(i))), F.lit(0.0)) for i in range(k)]).alias(name)
@@ -122,10 +127,10 @@ def fuse(evidence: DataFrame, languages: list[str], *, prior_weight: float = 20.
     top = np.maximum((total + 1.0 / k) / (total.sum() + 1.0), least_none)
     hosts = e.groupBy("host", "suffix").agg(sums("hn"))
     suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.get("hn", F.lit(i))) for i in range(k)]).alias("sn")).withColumnRenamed("suffix", "_suffix")
-    hosts = hosts.join(suffixes, F.col("suffix").eqNullSafe(F.col("_suffix"))).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), "hn", "sn")
+    hosts = spread_join(hosts, suffixes, {"suffix": "_suffix"}, ["host"]).withColumnsRenamed({"host": "_host", "suffix": "_suffix"})
     codes = e.filter(F.col("declared").isNotNull()).groupBy("declared").agg(sums("dn")).withColumnRenamed("declared", "_declared")
-    e = e.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
-    e = e.join(codes, F.col("declared") == F.col("_declared"), "left").select("doc_id", "rid", "tl", "p", "hn", "sn", "dn")
+    e = spread_join(e, hosts, {"host": "_host", "suffix": "_suffix"}, others, "left")
+    e = spread_join(e, codes, {"declared": "_declared"}, others, "left").select(*others, "tl", "p", "hn", "sn", "dn")
     names = np.array([*languages, NONE], dtype=object)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +156,28 @@ def fuse(evidence: DataFrame, languages: list[str], *, prior_weight: float = 20.
                 out.loc[some, "text_language"] = names[tl.argmax(axis=1)]
                 out.loc[some, "kept"] = kept
             made = pa.RecordBatch.from_pandas(out, preserve_index=False)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), *made.columns], names=["doc_id", "rid", *made.schema.names])
+            yield pa.record_batch([*[batch.column(c) for c in others], *made.columns], names=[*others, *made.schema.names])
 
-    return e.mapInArrow(decide, "doc_id long, rid long, language string, probability double, text_language string, kept boolean")
+    return e.mapInArrow(decide, schema)
 
 
 def identify(
-    docs: DataFrame, model: pd.DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str | None = "source", suffix: str | None = None, declared: str | None = "lang", least_prob: float = 0.5
+    docs: DataFrame, model: pd.DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str | None = "source", suffix: str | None = None, declared: str | None = None, carry: tuple[str, ...] = (), least_prob: float = 0.5
 ) -> DataFrame:
-    """One row per row of docs: doc_id, rid (hash of the text), language, probability, text_language, kept.
-
-    A row is rejected if its text has no letter or digit, if no language is likelier than none, or if the likeliest has a
-    probability under least_prob; language is then 'und'. Declared codes count by their part before '-' or '_', and only
-    those of two or three letters. Null hosts, suffixes and codes are "not known", null ids are ids like any other, and
-    repeated rows come out as often. No rows: none come back.
+    """One row per row of docs: doc_id, rid (hash of the text), the columns carry, language, probability, text_language, kept.
+
+    A row is rejected if its text has no letter or digit, as null and empty ones, if no language is likelier than none, or
+    if the likeliest has a probability under least_prob; language is then 'und'. Of languages that are as likely the first
+    by name is taken. Declared codes count by their part before '-' or '_', and only those of two or three letters; what
+    the model was trained on is no evidence, so declared must not be the label. Null hosts, suffixes and codes are "not
+    known", null ids are ids like any other, and repeated rows come out as often. Texts count whole, however long. No
+    rows: none come back. carry may name any columns but those that are added.
     """
     languages = model.index.tolist()
     part = lambda name: F.lit(None).cast("string") if name is None else F.nullif(F.lower(F.trim(F.col(name))), F.lit(""))
     code = F.regexp_extract(part(declared), "^([a-z]{2,3})(?:$|[-_])", 1)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"), part(host).alias("host"), part(suffix).alias("suffix"), F.nullif(code, F.lit("")).alias("declared"))
+    own = [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), *carry]
+    d = docs.select(*own, F.col(text).alias("text"), part(host).alias("host"), part(suffix).alias("suffix"), F.nullif(code, F.lit("")).alias("declared"))
     with small_batches(docs.sparkSession):
         e = checkpointed(text_likelihoods(d, model).drop("text"))
     return fuse(e, languages, least_prob=least_prob)
@@ -184,5 +192,10 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their hosts, and pages with what address and markup say, are evidence of one table; the labels of
+    documents train the model, and are nothing else. A page's doc_id is -1 - page_id."""
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, train(docs)).drop("rid")
+    none = F.lit(None).cast("string")
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    pages = page_evidence(read(spark, sf_dir, "pages")).select((-1 - F.col("page_id").cast("long")).alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "text", "host", "suffix", "declared")
+    return identify(own.unionAll(pages), train(docs), host="host", suffix="suffix", declared="declared", carry=("page_id",)).drop("rid")

@@ -1,4 +1,8 @@
-"""Mixing sources to target weights with Pareto order sampling."""
+"""Mixing sources to target weights with Pareto order sampling.
+
+Within a source documents are included with unequal probabilities: the share of a document, its copies on average, is in
+proportion to its level, the logarithm of its length, as far as no document gets more than a bound.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from phonolake.llm.common import WORD, checkpointed, fresh, read
+from phonolake.llm.common import WORD, checkpointed, fresh, read, spread_join
 
 #: Each level of the search for a source's cut tells this many bins apart.
 BINS = 4096
@@ -46,18 +50,43 @@ def targets(sources: DataFrame, most: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("source_size") * F.lit(float(most)), F.col("weight") * F.lit(float(level or 0.0))))
 
 
-def pareto_copies(docs: DataFrame, *, seed: str) -> DataFrame:
+def level_of(size: Column) -> Column:
+    """1 for texts of no or one word, 2 for two to five, and one more for each doubling."""
+    return F.floor(F.log2(size + 2)).cast("int")
+
+
+def shares(sized: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """(source, level, size) and (source, source_size, target) -> (source, level, source_size, target, share).
+
+    share = min(most, c * level), c being such that a source's shares times sizes add up to its target. Levels go from
+    the highest down: if those above are at most, c follows for the rest, and holds from the first level that it keeps within
+    most. A source has as many rows as lengths have doublings, so no window grows with the documents.
+    """
+    d = sized.groupBy("source", "level").agg(F.sum("size").alias("s"))
+    d = d.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    whole, above = W.partitionBy("source"), W.partitionBy("source").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1)
+    weight = F.col("level") * F.col("s")
+    rest = F.sum(weight).over(whole) - F.coalesce(F.sum(weight).over(above), F.lit(0))
+    c = (F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("s").over(above), F.lit(0))) / F.nullif(rest, F.lit(0))
+    d = d.withColumn("c", c)
+    fits = F.when(F.col("c") * F.col("level") <= most, F.struct("level", "c"))
+    d = d.withColumn("c", F.max(fits).over(whole)["c"])
+    share = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.coalesce(F.col("c") * F.col("level"), F.lit(float(most))))).otherwise(0.0)
+    return d.select("source", "level", "source_size", "target", share.alias("share"))
+
+
+def pareto_copies(docs: DataFrame, *, seed: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds copies to (doc_id, source, size, share), share being the copies that a row is to get on average.
 
     Each row gets floor(share) certain copies. One more goes, source by source, to the rows with the smallest ranks
     until their words are as near as can be to what the fractions are to add: the rank is the odds of a random number,
-    fixed by doc_id and seed, over the odds of the fraction (Pareto order sampling). Ranks are turned into numbers from 0
+    fixed by seed and the columns by, over the odds of the fraction (Pareto order sampling). Ranks are turned into numbers from 0
     to 1 and the cut is found in three levels of bins, so that no window holds more than BINS bins or the rows of
     one bin of the second level.
     """
     certain = F.floor("share").cast("long")
     d = docs.withColumn("certain", certain).withColumn("part", F.col("share") - certain)
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by])), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     rank = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
     d = d.withColumn("z", F.when(F.col("part") > 0, rank / (1 + rank)))
@@ -80,13 +109,13 @@ def pareto_copies(docs: DataFrame, *, seed: str) -> DataFrame:
     second = checkpointed(cut(in1, ["b2"], first.select("source", "need"), "c2"))
     at2 = second.withColumnRenamed("source", "_source")
     in2 = in1.join(at2, F.col("source").eqNullSafe(F.col("_source")) & (F.col("b2") == F.col("c2"))).drop("_source", "c2")
-    w = W.partitionBy("source").orderBy("z", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy("source").orderBy("z", *by).rowsBetween(W.unboundedPreceding, W.currentRow)
     last = in2.withColumn("to", F.sum("size").over(w)).filter((F.col("to") <= F.col("need")) | (F.abs(F.col("to") - F.col("need")) < F.abs(F.col("to") - F.col("size") - F.col("need"))))
-    last = last.groupBy("source").agg(F.max(F.struct("z", "doc_id")).alias("last"))
+    last = last.groupBy("source").agg(F.max(F.struct("z", *by)).alias("last"))
     cuts = first.select(F.col("source").alias("_source"), "c1").join(second.select(F.col("source").alias("_s2"), "c2"), F.col("_source").eqNullSafe(F.col("_s2")), "left")
     cuts = cuts.join(last.select(F.col("source").alias("_s3"), "last"), F.col("_source").eqNullSafe(F.col("_s3")), "left").drop("_s2", "_s3")
-    out = d.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
-    in_order = F.coalesce(F.struct("z", "doc_id") <= F.col("last"), F.lit(False))
+    out = spread_join(d, cuts, {"source": "_source"}, list(by), "left")
+    in_order = F.coalesce(F.struct("z", *by) <= F.col("last"), F.lit(False))
     # no cut: the source's rows do not reach beyond what is needed, and all of them are taken
     more = F.when(F.col("z").isNull(), False).when(F.col("c1").isNull(), True).when(F.col("b1") != F.col("c1"), F.col("b1") < F.col("c1"))
     more = more.when(F.col("b2") != F.col("c2"), F.col("b2") < F.col("c2")).otherwise(in_order)
@@ -96,23 +125,24 @@ def pareto_copies(docs: DataFrame, *, seed: str) -> DataFrame:
 def mixture(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: str = "mix") -> DataFrame:
     """One row for each row of docs: doc_id, rid (hash of its text), source, size, source_size, target, share and copies.
 
-    Sources, null being one of them, share the sum of all sizes (words of the text; null: 0) by their weights, none
-    over most times its own size; a source without words has target 0. share = target / source_size is the average
-    number of copies of each of its documents, and pareto_copies gives whole ones. Rows of one id, source and text
-    have one rank: they are as one document there, at the cut some or all of them may be in. A row never gets more than
-    most copies. No rows: none come back.
+    Sources, null being one of them, share the sum of all sizes (words of the whole text; null, empty and blank: 0) by
+    their weights, none over most times its own size; a source without words has target 0. share, the average number of
+    copies, grows with the document's level and is at most most; shares times sizes add up to the source's target, and
+    pareto_copies gives whole copies. Rows of one id, source and text have one rank: they are as one document there, at the
+    cut some or all of them may be in. A row never gets more than most copies. Texts of any length are rows like any other. No
+    rows: none come back.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
-    sized = checkpointed(sized)
+    sized = checkpointed(sized.withColumn("level", level_of(F.col("size"))))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = checkpointed(targets(ranked_weights(sources, weights), most))
-    sources = sources.select(F.col("source").alias("_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("share"))
-    d = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return pareto_copies(d, seed=seed)
+    sources = checkpointed(targets(ranked_weights(sources, weights), most)).select("source", "source_size", "target")
+    by_level = checkpointed(shares(sized, sources, most).withColumnsRenamed({"source": "_source", "level": "_level"}))
+    d = spread_join(sized, by_level, {"source": "_source", "level": "_level"}, ["doc_id", "rid"])
+    return pareto_copies(d, seed=seed, by=("doc_id", "rid"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mixture takes it, columns as they were."""
+    """docs with each row as often as the mixture takes it, columns as they were; see mixture."""
     key, rid, src, copies = fresh(docs, "key", "rid", "src", "copies")
     taken = mixture(docs, doc_id=doc_id, text=text, source=source, **options).filter(F.col("copies") > 0)
     taken = taken.groupBy(F.col("doc_id").alias(key), F.col("rid").alias(rid), F.col("source").alias(src)).agg(F.max("copies").alias(copies))
@@ -123,4 +153,4 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "share", "copies")

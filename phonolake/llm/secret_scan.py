@@ -1,11 +1,16 @@
-"""Secret scans: fixed patterns, and guess costs of values that stand where credentials stand."""
+"""Secret scans: fixed patterns, and guess costs of values that stand where credentials stand.
+
+A guesser's dictionary comes from the texts themselves: words are counted over all rows, and rank by their counts.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +22,8 @@ from phonolake.llm.encoding import slices
 # The base patterns and the order of the kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "credential")
-#: HEX with its least length, which finds the same runs, as a run never begins inside another.
+#: Runs of [0-9a-f]+ with their least length: a run never begins inside another.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Where credentials stand: a name, a sign or a verb, and a value in quotes or up to white space.
@@ -31,7 +35,7 @@ CONTEXT = re.compile(
 #: A context or an assignment has one of these, in either case.
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
 
-# Frequent words of passwords, the most frequent first.
+# Frequent words of passwords, the most frequent first, which prose may not have.
 COMMON = (
     "password passwort contraseña motdepasse qwerty admin welcome letmein login master dragon monkey football baseball sunshine princess shadow superman "
     "michael jordan iloveyou trustno starwars hello freedom whatever ninja mustang access flower hottie loveme test guest root user changeme default "
@@ -41,7 +45,9 @@ COMMON = (
     "purple yellow green blue red black white happy lucky magic power music guitar killer hunter ranger batman spider pokemon matrix the and you for your my"
 ).split()
 RANK = {w: k for k, w in enumerate(dict.fromkeys(COMMON), 1)}
-LONGEST = max(map(len, RANK))
+#: Letters of a dictionary word.
+SHORTEST, LONGEST = 3, 24
+MARKS = ".,;:!?\"'()[]{}<>*_-"
 PLAIN = str.maketrans("40381!|$579@+€", "aoeBiilssTgate".lower())
 
 ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
@@ -59,16 +65,16 @@ def near(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def spans_of(value: str) -> Iterator[tuple[int, int, float]]:
+def spans_of(value: str, ranks: dict[str, int] = RANK) -> Iterator[tuple[int, int, float]]:
     """Stretches that a guesser has in a list or a rule, with the log10 of the guesses."""
     low, n = value.lower(), len(value)
     plain = low.translate(PLAIN)
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST) + 1):
-            if rank := RANK.get(low[i:j]) or RANK.get(plain[i:j]):
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
                 own = value[i:j]
                 forms = 0 if own == own.lower() else math.log10(2) if own[1:] == own[1:].lower() or own == own.upper() else math.log10(2) * len(own) / 2
-                yield i, j, math.log10(rank + 1) + forms + math.log10(4) * (low[i:j] != plain[i:j] and plain[i:j] in RANK)
+                yield i, j, math.log10(rank + 1) + forms + math.log10(4) * (low[i:j] != plain[i:j] and low[i:j] not in ranks)
     for m in DATE.finditer(value):
         years = [abs(int(y) - 2000) for y in re.findall(r"(?:19|20)\d\d", m[0])]
         yield m.start(), m.end(), math.log10(max(20, min(years, default=50)) * (1 if len(m[0]) == 4 else 365))
@@ -94,11 +100,11 @@ def spans_of(value: str) -> Iterator[tuple[int, int, float]]:
         k = max(j - 1, k + 1)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for value: the least sum over its segmentations into words, dates, repeats, walks over the
     keyboard, sequences and stretches of brute force. best[i] is the least sum for the first i characters."""
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in spans_of(value):
+    for i, j, cost in spans_of(value, ranks):
         ends.setdefault(j, []).append((i, cost))
     best, brute = [0.0], [math.inf]  # brute[i]: the same, if a stretch of brute force ends at i
     for j in range(1, len(value) + 1):
@@ -108,11 +114,7 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def kinds_of_characters(value: str) -> int:
-    return any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value[1:]) + any(not c.isalnum() for c in value[1:-1])
-
-
-def scan(text: str, least_cost: float, least_kinds: int) -> tuple[list[tuple[int, int, int]], float]:
+def scan(text: str, least_cost: float, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], float]:
     """(start, number of kind, end) in order, and the highest guess cost of a credential's value, 0 if there is none."""
     found, most = [], 0.0
     low = text.lower()
@@ -122,29 +124,59 @@ def scan(text: str, least_cost: float, least_kinds: int) -> tuple[list[tuple[int
     found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
     if hinted:
         base = sorted((a, b) for a, _, b in found)
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         for m in CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
-            cost = guess_cost(text[a:b])
-            if cost >= least_cost and kinds_of_characters(text[a:b]) >= least_kinds:
+            cost = guess_cost(text[a:b], ranks)
+            if cost >= least_cost:
                 most = max(most, cost)
-                if not any(x < b and a < y for x, y in base):
+                k = bisect_right(starts, a)
+                if not k or reach[k - 1] < b:  # no base span has it whole
                     found.append((a, 3, b))
     return sorted(found), most
 
 
-def secret_scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least_cost: float = 10.0, least_kinds: int = 2) -> DataFrame:
+def word_ranks(docs: DataFrame, *, text: str = "text", dict_words: int = 50_000, least_count: int = 3) -> dict[str, int]:
+    """The most frequent words of all texts with their ranks, a guesser's list: dict_words of them at most, and those of COMMON.
+
+    A word is a text between white space in lower case, without MARKS around it, that is SHORTEST to LONGEST letters and
+    comes least_count times; ties rank by code points. The list, of bounded size, is what the driver gets.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tokens = Counter()
+            for t in batch.column(0).to_pylist():
+                if t:
+                    tokens.update(t.lower().split())
+            words = Counter()
+            for token, n in tokens.items():
+                word = token.strip(MARKS)
+                if SHORTEST <= len(word) <= LONGEST and word.isalpha():
+                    words[word] += n
+            yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    ranks = {r["word"]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(dict_words).collect(), 1)}
+    return {w: min(ranks.get(w, k), k) for w, k in RANK.items()} | {w: k for w, k in ranks.items() if w not in RANK}
+
+
+def secret_scan(docs: DataFrame, ranks: dict[str, int] | None = None, *, text: str = "text", doc_id: str = "doc_id", least_cost: float = 10.0) -> DataFrame:
     """One row per row of docs: doc_id, spans (array of kind, start, end in code points, end exclusive), guess_cost.
 
     assign, access and hex spans are those of the base patterns. A credential span is a value in a credential's context
-    that overlaps none of them, with a guess cost of 10^least_cost or more and at least least_kinds kinds of characters, so
-    that words after "password is" are none. guess_cost: the highest such cost, base spans' values included. Null
-    texts are empty and have no spans; null ids and repeated rows are rows like any other; other columns are not looked at.
+    that takes 10^least_cost guesses or more with the words of ranks (word_ranks; those of COMMON, if none are given), unless one
+    base span holds all of it; it may reach beyond base spans that it overlaps. guess_cost: the highest such cost, base
+    spans' values included. Spans of one start come in the order of kinds. Texts are scanned whole, in time that grows with their
+    length. Null and empty texts have no spans; null ids and repeated rows are rows like any other; no rows: none
+    come back; other columns are not looked at.
     """
+    ranks = ranks or RANK
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches):
-            each = [scan(t or "", least_cost, least_kinds) for t in batch.column("text").to_pylist()]
+            each = [scan(t or "", least_cost, ranks) for t in batch.column("text").to_pylist()]
             spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x, _ in each], kind)
             yield pa.record_batch([batch.column("doc_id"), spans, pa.array([c for _, c in each], pa.float64())], names=["doc_id", "spans", "guess_cost"])
 
@@ -153,17 +185,10 @@ def secret_scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secret_scan(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    out = secret_scan(docs, word_ranks(docs))
     written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter("spans", lambda s: s["kind"] != "credential")
     return out.select("doc_id", *counts[:3], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), counts[3], F.round("guess_cost", 3).alias("guess_cost"))
-
-
-def brute_base(text: str) -> str:
-    """The base's spans, each kind by its own pattern as stated: what the digest is held against in tests."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)).encode()).hexdigest()

@@ -354,10 +354,10 @@ def test_rare_languages_are_in_the_model(spark):
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(docs.filter("doc_id % 2 = 0"))
-    held = language_id.identify(docs.filter("doc_id % 2 = 1"), model, declared=None)
+    held = language_id.identify(docs.filter("doc_id % 2 = 1"), model)
     j = held.join(docs.select("doc_id", "lang"), "doc_id")
     assert j.filter("language = lang").count() >= 0.95 * j.count()
-    got = language_id.identify(odd, model)
+    got = language_id.identify(odd, model, declared="lang")
     assert got.count() == len(rows())
     assert not any(r["kept"] for r in got.join(odd.select("doc_id", "text"), "doc_id").filter("text is null or trim(text) in ('', '\n')").collect())
     assert language_id.identify(empty, model).count() == 0
@@ -366,30 +366,125 @@ def test_language_id(spark, odd, empty):
     assert kept.count() >= 0.95 * docs.count() and kept.columns == [*docs.columns, "key"]
 
 
+def brute_posteriors(rows_, model):
+    """(id, text, host, suffix, declared) -> id -> (language, probability), by Bayes' rule over plain lists."""
+    names, w = [*model.index, "und"], 20.0
+    table = [model.loc[n].tolist() for n in model.index] + [[-float(np.log(language_id.BINS))] * language_id.BINS]
+
+    def soft(logs):
+        e = [np.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    likely = {}
+    for i, text, *_ in rows_:
+        if text and any(c.isalnum() for c in text):
+            b = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + text.encode().lower() + b" ") + b"  "
+            n = len(b) - 2
+            bins = [(b[k] ^ b[k + 1] << 5 ^ b[k + 2] << 10) % language_id.BINS for k in range(n)]
+            likely[i] = [sum(t[x] for x in bins) / n * min(n, 100) for t in table]
+    alone = {i: soft(x) for i, x in likely.items()}
+    sums = lambda test: [sum(alone[r[0]][k] for r in rows_ if r[0] in alone and test(r)) for k in range(len(names))]
+    total, out = sums(lambda r: True), {}
+    for i, _, host, suffix, declared in rows_:
+        if i not in likely:
+            out[i] = ("und", 0.0)
+            continue
+        logs = []
+        host_n, suffix_n, said = sums(lambda r: r[2:4] == (host, suffix)), sums(lambda r: r[3] == suffix), sums(lambda r: r[4] == declared)  # noqa: B023
+        host_n, suffix_n, said = ([max(x - p, 0) for x, p in zip(v, alone[i], strict=True)] for v in (host_n, suffix_n, said))
+        for k in range(len(names)):
+            top = max((total[k] + 1 / len(names)) / (sum(total) + 1), 1e-3)
+            by_suffix = (suffix_n[k] + w * top) / (sum(suffix_n) + w)
+            by_host = (host_n[k] + w * by_suffix) / (sum(host_n) + w)
+            evidence = np.log((said[k] + w * sum(said) / sum(total) + 1e-9) / (total[k] + w)) if declared else 0.0
+            logs.append(likely[i][k] + np.log(by_host) + evidence)
+        post = soft(logs)
+        best = max(range(len(names)), key=lambda k: post[k])  # noqa: B023
+        out[i] = (names[best] if best < len(names) - 1 and post[best] >= 0.5 else "und", post[best])
+    return out
+
+
+def test_every_posterior(spark):
+    """The registered query, documents and pages together, against Bayes' rule worked out row by row."""
+    docs = [(r["doc_id"], r["text"], (r["source"] or "").strip().lower() or None, None, None) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    pages = language_id.page_evidence(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    part = lambda x: x.strip().lower() or None
+    rows_ = docs + [(-1 - r["page_id"], r["text"], part(r["host"]), part(r["suffix"]), part(r["declared"])) for r in pages]
+    want = brute_posteriors(rows_, language_id.train(spark.read.parquet(f"{SF}/documents.parquet")))
+    got = queries.QUERIES["op4_language_id"](spark, SF).collect()
+    assert len(got) == len(want) == len(rows_) and sum(r["page_id"] is not None for r in got) == len(pages) > 0
+    for r in got:
+        language, p = want[r["doc_id"]]
+        assert r["probability"] == pytest.approx(p, abs=2e-6) and (r["language"] == language or abs(p - 0.5) < 1e-6), r
+        assert r["kept"] == (r["language"] != "und") and (r["page_id"] is None) == (r["doc_id"] >= 0)
+
+
 def test_evidence_settles_doubt(spark):
     """A text that says nothing goes with its host, its suffix and its markup."""
     docs = [(k, "das ist und der die nicht" if h == "de" else "the and of this is not", f"h{h}", h, h) for k in range(40) for h in ("de", "en")]
     d = spark.createDataFrame([*docs, (100, "12345 67", "hde", "de", "de"), (101, "12345 67", "hen", "en", None), (102, "12345 67", "other", "de", None)], "doc_id long, text string, source string, tld string, lang string")
     model = language_id.train(d.filter("doc_id < 100"))
-    got = {r["doc_id"]: r["language"] for r in language_id.identify(d, model, suffix="tld", least_prob=0.0).filter("doc_id >= 100").collect()}
+    got = {r["doc_id"]: r["language"] for r in language_id.identify(d, model, suffix="tld", declared="lang", least_prob=0.0).filter("doc_id >= 100").collect()}
     assert got == {100: "de", 101: "en", 102: "de"}
 
 
 def test_page_evidence(spark):
     p = spark.createDataFrame([(1, "https://user@www.Example.de:80/x", "<!doctype html><html lang='de-AT'><script>var a='<p>';</script><p>Hallo <b>Welt</b>"), (2, "x", "")], "page_id long, url string, html string")
-    r = language_id.page_evidence(p).orderBy("doc_id").collect()
+    r = language_id.page_evidence(p).orderBy("page_id").collect()
     assert (r[0]["host"], r[0]["suffix"], r[0]["declared"], r[0]["text"].split()) == ("www.example.de", "de", "de", ["Hallo", "Welt"])
 
 
 # 5
 
 
+ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+
+
+def brute_base(text):
+    """The base's spans, each kind by its pattern as stated, matches that are too short dropped."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out)]
+
+
 def test_secret_scan(spark, odd, empty):
     got = secret_scan.secret_scan(odd)
-    digest = lambda spans: hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] != "credential").encode()).hexdigest()
-    assert sorted(((r["doc_id"], digest(r["spans"])) for r in got.collect()), key=repr) == sorted(((r[0], secret_scan.brute_base(r[1] or "")) for r in rows()), key=repr)
+    base = lambda spans: [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] != "credential"]
+    assert sorted(((r["doc_id"], base(r["spans"])) for r in got.collect()), key=repr) == sorted(((r[0], brute_base(r[1] or "")) for r in rows()), key=repr)
     assert any(s["kind"] == "credential" for r in got.collect() for s in r["spans"])
     assert secret_scan.secret_scan(empty).count() == 0
+    assert secret_scan.word_ranks(empty) == secret_scan.RANK
+
+
+def test_words_of_the_corpus_are_cheap(spark, odd):
+    d = spark.createDataFrame([(k, "Wanderung, (lichtung) 12ab zzz9 " + "w" * 30) for k in range(5)] + [(9, "lichtung seltenes")], "doc_id long, text string")
+    ranks = secret_scan.word_ranks(d)
+    assert (ranks["lichtung"], ranks["wanderung"]) == (1, 2) and not {"seltenes", "12ab", "zzz9", "w" * 30} & set(ranks)
+    assert len(secret_scan.word_ranks(d, dict_words=1)) == len(secret_scan.RANK) + 1
+    text = "passphrase is Wanderung-lichtung9\npassphrase: xqzvkwjpmtrbn\npassword=\"abzxwkqv&longer!rest\" password = abcdefgh"
+    spans, _ = secret_scan.scan(text, 10, ranks)
+    values = {text[a:b] for a, k, b in spans if k == 3}
+    assert values == {"xqzvkwjpmtrbn", "abzxwkqv&longer!rest"}  # letters alone too, and beyond the base span
+    assert secret_scan.guess_cost("wanderunglichtung", ranks) < 4 < secret_scan.guess_cost("wanderunglichtung")
+    brute = sorted((s, k, e) for s, k, e in spans if k < 3)
+    assert [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in brute] == brute_base(text)
+
+
+def test_scan_time_is_linear():
+    """Ten times the credentials take about ten times as long, and a value of a million characters comes back."""
+    import time
+
+    took = []
+    for n in (2000, 20_000):
+        text = " ".join(f"password={k:08x}zq pwd: 'x{k}&Kq!vz{k}w'" for k in range(n))
+        t = time.perf_counter()
+        spans, _ = secret_scan.scan(text, 10)
+        took.append(time.perf_counter() - t)
+        assert len(spans) == 2 * n
+    assert took[1] < 25 * took[0]
+    long = "".join(random.Random(1).choices("xkqz9#7", k=1_000_000))
+    assert secret_scan.scan("pwd: " + long, 10)[0] == [(5, 3, 1_000_005)]
 
 
 def slow_cost(value):
@@ -412,7 +507,7 @@ def test_guess_costs():
         v = "".join(r.choice(["a", "b", "1", "password", "qwer", "2019", "aaa", "!"]) for _ in range(r.randint(1, 4)))[:14]
         assert secret_scan.guess_cost(v) == pytest.approx(slow_cost(v)), v
     assert secret_scan.guess_cost("password123") < secret_scan.guess_cost("pzsqwxrd817") and secret_scan.guess_cost("qwertyuiop") < 6 < secret_scan.guess_cost("c1f6c02f845bf3028d")
-    assert secret_scan.scan("the password is required", 10, 2)[0] == []
+    assert secret_scan.scan("the password is required", 10)[0] == []
 
 
 # 7
@@ -460,6 +555,42 @@ def test_targets_against_filling_by_hand(spark):
     assert {k: t for k, (_, t) in got.items()} == pytest.approx(want)
 
 
+def filled(levels, target, most):
+    """Shares by level, the highest capped first, until the scale keeps the rest within most."""
+    capped = set()
+    while open_ := {k: n for k, n in levels.items() if k not in capped and n}:
+        c = (target - most * sum(levels[k] for k in capped)) / sum(k * n for k, n in open_.items())
+        over = {k for k in open_ if c * k > most * (1 + 1e-12)}
+        if not over:
+            return {k: min(most, c * k) for k in levels}
+        capped |= over
+    return dict.fromkeys(levels, most)
+
+
+def test_unequal_inclusion(spark):
+    """Shares are those of filling by hand; how often each level is included follows them, and words come near the target."""
+    r = random.Random(9)
+    docs = [(k, " ".join(["w"] * int(2 ** r.uniform(0, 9))), r.choice("aaab") + str(k % 3)) for k in range(9000)]
+    got = pareto_mix.mixture(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["source"], []).append(x)
+    unequal = 0
+    for rows_ in by.values():
+        levels, target = {}, rows_[0]["target"]
+        for x in rows_:
+            levels.setdefault(int(np.log2(x["size"] + 2)), []).append(x)
+        want = filled({k: sum(x["size"] for x in v) for k, v in levels.items()}, target, 3)
+        for k, v in levels.items():
+            assert all(x["share"] == pytest.approx(want[k]) and x["copies"] in (int(x["share"]), int(x["share"]) + 1) for x in v)
+            p = want[k] % 1
+            assert abs(sum(x["copies"] - int(x["share"]) for x in v) - p * len(v)) <= 4.5 * (len(v) * p * (1 - p)) ** 0.5 + 1
+        unequal += len({round(w % 1, 6) for w in want.values()}) > 3
+        assert sum(x["share"] * x["size"] for x in rows_) == pytest.approx(target)
+        assert abs(sum(x["copies"] * x["size"] for x in rows_) - target) <= max(x["size"] for x in rows_)
+    assert unequal >= 4
+
+
 def test_cut_against_sorting(spark, monkeypatch):
     """The rows taken are those a sort by rank takes, and inclusion follows the fractions."""
     monkeypatch.setattr(pareto_mix, "BINS", 8)
