@@ -1,43 +1,21 @@
-"""Media columns: payloads as lossless WebP in binary columns, and their pixel arrays and features read back."""
+"""Media columns: payloads as lossless WebP in binary columns of stored tables, and their pixel arrays and features read back."""
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import read
+from phonolake.llm.common import read, shared_folder
 from phonolake.llm.encoding import slices
-from phonolake.llm.webp import DISTANCES, LENGTHS, Writer, canonical, decode, wrapped
+from phonolake.llm.webp import decode
+from phonolake.llm.webp_writer import encode_images
 
 #: Bytes of a row of pixels, 4 to a pixel, and rows of an image: longer payloads are several images, read in step.
 ROW, ROWS = 576, 32
-#: The writer's code: letters, the space and padding take 5 bits, other bytes 10 or 11. One code keeps equal texts equal.
-SHORT = frozenset(b" abcdefghijklmnopqrstuvwxyz\xff")
-
-
-def byte_lengths() -> list[int]:
-    rest = [k for k in range(256) if k not in SHORT]
-    ten = 2 * 128 - len(rest)  # so that all codes are used: 28 / 32 + ten / 1024 + (228 - ten) / 2048 = 1
-    return [5 if k in SHORT else 10 if k in rest[:ten] else 11 for k in range(256)]
-
-
-@lru_cache(maxsize=1)
-def writer() -> tuple[int, int, np.ndarray, np.ndarray]:
-    """The bits between an image's size and its pixels, how many they are, and each byte's bits and their number."""
-    lengths, w = byte_lengths(), Writer()
-    w.put(0, 3)  # no transform, no colour cache, one prefix group
-    for n in (lengths + [0] * LENGTHS, lengths, lengths, lengths, [0] * DISTANCES):
-        w.code(n)
-    codes = canonical(lengths)
-    bits = np.array([int(f"{codes[k][0]:0{codes[k][1]}b}"[::-1], 2) for k in range(256)], dtype=np.uint64)
-    return w.value, w.n, bits, np.array(lengths, dtype=np.int64)
 
 
 def payload_of(text: str | None) -> bytes:
@@ -48,29 +26,11 @@ def payload_of(text: str | None) -> bytes:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload's images, one after the other. Bytes are blue, green, red and alpha of a pixel, in this order."""
-    head, n, code, size = writer()
-    first, off = n >> 3, n & 7
     chunks = [(k, p[a : a + ROW * ROWS]) for k, p in enumerate(payloads) for a in range(0, len(p), ROW * ROWS)]
-    b = np.frombuffer(b"".join(c for _, c in chunks), dtype=np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].ravel()  # the order of the stream
-    lens = size[b]
-    total = np.cumsum(lens)
-    ends = total[np.cumsum([len(c) for _, c in chunks]) - 1]
-    begins = np.concatenate([[0], ends[:-1]])
-    words = (off + ends - begins + 31 >> 5) + 1
-    word_at = np.cumsum(words) - words
-    # each chunk's bits begin off bits into 32-bit words of its own
-    at = total - lens + np.repeat(32 * word_at + off - begins, [len(c) for _, c in chunks])
-    bits = code[b] << (at & 31).astype(np.uint64)
-    packed = np.bincount(at >> 5, weights=(bits & np.uint64(0xFFFFFFFF)).astype(float), minlength=int(words.sum()))
-    packed += np.bincount((at >> 5) + 1, weights=(bits >> np.uint64(32)).astype(float), minlength=int(words.sum()))[: len(packed)]
-    raw = packed.astype("<u4").tobytes()
-    own = head.to_bytes(first + 1, "little")
-    out = [b""] * len(payloads)
-    for (k, c), w, used in zip(chunks, word_at.tolist(), (off + ends - begins).tolist(), strict=True):
-        body = raw[4 * w : 4 * w + (used + 7 >> 3)]
-        size_bits = 0x2F | ROW // 4 - 1 << 8 | len(c) // ROW - 1 << 22 | 1 << 36
-        out[k] += wrapped(size_bits.to_bytes(5, "little") + own[:first] + bytes([own[first] | body[0]]) + body[1:])
-    return out
+    out = [[] for _ in payloads]
+    for (k, _), image in zip(chunks, encode_images([np.frombuffer(c, dtype="<u4").reshape(-1, ROW // 4) for _, c in chunks], ROW * ROWS // 4), strict=True):
+        out[k].append(image)
+    return [b"".join(images) for images in out]
 
 
 def images_of(media: bytes) -> list[bytes]:
@@ -104,7 +64,8 @@ def store_media(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     """(doc_id, n_bytes, media) for each row of docs: the text's UTF-8 bytes, and the images that hold them, padded.
 
     Null texts are empty; an empty one still has a row of padding. Texts of any length are images of ROWS rows, so that
-    memory grows with a batch, not with a text's images. Null ids and repeated rows are rows like any other.
+    memory grows with a batch, and with a text's bytes where one text has more. Null ids and repeated rows are rows like
+    any other, and equal texts have equal media. No rows: none come back. Other columns are not looked at.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +81,8 @@ def store_media(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
 def load_media(media: DataFrame, *, rows: int = 4000, most_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_bytes, media) -> those, width, height, pixels (the pixel arrays' bytes) and feature.
 
-    Rows are decoded together, up to so many or so many bytes of images at a time.
+    Rows are decoded together, up to so many or so many bytes of images at a time. Repeated rows come out as often; no
+    rows: none come back.
     """
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +110,10 @@ def _offsets(a: pa.Array) -> np.ndarray:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = load_media(store_media(read(spark, sf_dir, "documents")))
+    """The media are written as a table in the shared folder, from which the result is read."""
+    path = shared_folder(spark, "media")
+    store_media(read(spark, sf_dir, "documents")).write.parquet(path)
+    out = load_media(spark.read.parquet(path))
     return out.select(
         "doc_id",
         "n_bytes",
@@ -159,9 +124,3 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
-
-
-def expected(text: str | None) -> tuple[int, int, str, int]:
-    """n_bytes, payload_bytes, payload_sha256 and tail_crc32 straight from the text, for tests."""
-    p = payload_of(text)
-    return len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])

@@ -121,65 +121,81 @@ def parts(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
+#: Groups of five codes by the bits that they were read from: writers use few of them.
+_known: dict[tuple, dict[int, dict[int, tuple]]] = {}
+
+
+def read_group(b: Bits, sizes: tuple[int, ...]) -> tuple[Code, ...]:
+    known, k, off = _known.setdefault(sizes, {}), b.at >> 3, b.at & 7
+    for n, seen in known.items():
+        if group := seen.get(int.from_bytes(b.data[k : k + (off + n + 7 >> 3)], "little") >> off & (1 << n) - 1):
+            b.at += n
+            return group
+    at = b.at
+    group = tuple(read_code(b, n) for n in sizes)
+    if sum(map(len, known.values())) < 64:
+        n = b.at - at
+        known.setdefault(n, {})[int.from_bytes(b.data[k : k + (off + n + 7 >> 3)], "little") >> off & (1 << n) - 1] = group
+    return group
+
+
 def read_plane(b: Bits, width: int, height: int, main: bool) -> Plane:
     cache = b.read(4) if b.read(1) else 0
     meta, bits, count = None, 0, 1
     if main and b.read(1):
         bits = b.read(3) + 2
-        meta = pixels_of(b, parts(width, bits), parts(height, bits)) >> 8 & 0xFFFF
+        plane = read_plane(b, parts(width, bits), parts(height, bits), False)
+        pixels, ends = read_pixels([plane])
+        b.at, meta = int(ends[0]), pixels[0] >> 8 & 0xFFFF
         count = int(meta.max()) + 1
     sizes = (256 + LENGTHS + (1 << cache if cache else 0), 256, 256, 256, DISTANCES)
-    groups = [tuple(read_code(b, n) for n in sizes) for _ in range(count)]
+    groups = [read_group(b, sizes) for _ in range(count)]
     return Plane(b.data, b.at, width, height, groups, cache, meta, bits)
 
 
-def pixels_of(b: Bits, width: int, height: int) -> np.ndarray:
-    """The pixels of an image within the image, which the rest of the stream follows."""
-    plane = read_plane(b, width, height, False)
-    pixels, ends = read_pixels([plane])
-    b.at = int(ends[0])
-    return pixels[0]
-
-
-#: Codes by the bytes that they were read from, for images without transforms: most writers use few of them.
-_known: dict[int, dict[bytes, tuple[list, int]]] = {}
-
-
-def read_header(data: bytes) -> Image:
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
-        raise ValueError("no lossless WebP image")
-    b = Bits(data, 21 * 8)
-    width, height = b.read(14) + 1, b.read(14) + 1
-    if b.read(1) not in (0, 1) or b.read(3):
-        raise ValueError("unknown version")
-    start = b.at >> 3
-    for n, seen in _known.items():
-        if hit := seen.get(_header(data, start, n)):
-            return Image(width, height, Plane(data, b.at + n, width, height, *hit))
-    image, coded = Image(width, height, None), width
-    while b.read(1):
-        kind = b.read(2)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            bits = b.read(3) + 2
-            image.transforms.append((kind, bits, coded, pixels_of(b, parts(coded, bits), parts(height, bits))))
-        elif kind == SUBTRACT_GREEN:
-            image.transforms.append((kind,))
-        else:
-            n = b.read(8) + 1
-            table = np.cumsum(pixels_of(b, n, 1).view(np.uint8).reshape(n, 4), axis=0, dtype=np.uint8)
-            bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            image.transforms.append((kind, bits, coded, np.ascontiguousarray(table).view(np.uint32).ravel()))
-            coded = parts(coded, bits)
-    image.plane = read_plane(b, coded, height, True)
-    if not image.transforms and image.plane.meta is None and sum(map(len, _known.values())) < 256:
-        n = image.plane.at - 8 * start
-        _known.setdefault(n, {})[_header(data, start, n)] = (image.plane.groups, image.plane.cache_bits)
-    return image
-
-
-def _header(data: bytes, start: int, bits: int) -> bytes:
-    whole = data[start : start + (bits + 7 >> 3)]
-    return whole[:-1] + bytes([whole[-1] & (0xFF >> (-bits & 7))]) if whole else whole
+def read_headers(images: list[bytes]) -> list[Image]:
+    """What comes before the pixels of each image; the images within images are read together, a transform at a time."""
+    out, todo = [], []
+    for data in images:
+        if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+            raise ValueError("no lossless WebP image")
+        b = Bits(data, 21 * 8)
+        width, height = b.read(14) + 1, b.read(14) + 1
+        if b.read(1) not in (0, 1) or b.read(3):
+            raise ValueError("unknown version")
+        out.append(Image(width, height, None))
+        todo.append((out[-1], b, width))
+    while todo:
+        inner, left = [], []
+        for image, b, coded in todo:
+            if not b.read(1):
+                image.plane = read_plane(b, coded, image.height, True)
+                continue
+            kind = b.read(2)
+            if kind == SUBTRACT_GREEN:
+                image.transforms.append((kind,))
+                left.append((image, b, coded))
+                continue
+            if kind == PALETTE:
+                bits, plane = 0, read_plane(b, b.read(8) + 1, 1, False)
+            else:
+                bits = b.read(3) + 2
+                plane = read_plane(b, parts(coded, bits), parts(image.height, bits), False)
+            inner.append((image, b, coded, kind, bits, plane))
+        pixels, ends = read_pixels([x[-1] for x in inner]) if inner else ([], [])
+        for (image, b, coded, kind, bits, plane), own, end in zip(inner, pixels, ends, strict=True):
+            b.at = int(end)
+            if kind == PALETTE:
+                n = plane.width
+                own = np.cumsum(own.view(np.uint8).reshape(n, 4), axis=0, dtype=np.uint8)
+                bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                image.transforms.append((kind, bits, coded, np.ascontiguousarray(own).view(np.uint32).ravel()))
+                coded = parts(coded, bits)
+            else:
+                image.transforms.append((kind, bits, coded, own))
+            left.append((image, b, coded))
+        todo = left
+    return out
 
 
 def values(prefix: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,48 +316,75 @@ def average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
 
-def predicted(mode: np.ndarray, l: np.ndarray, t: np.ndarray, tr: np.ndarray, tl: np.ndarray) -> np.ndarray:  # noqa: E741
-    """What the modes make of the pixels to the left, above, and above to the right and left: int arrays of four channels."""
-    out = np.zeros_like(l)
-    out[..., 3] = 255  # of mode 0 and of those that are not defined
-    p = l + t - tl
-    nearer = np.abs(p - l).sum(axis=-1, keepdims=True) < np.abs(p - t).sum(axis=-1, keepdims=True)
-    mid = average(l, t)
-    half = mid + np.trunc((mid - tl) / 2).astype(l.dtype)
-    forms = (l, t, tr, tl, average(average(l, tr), t), average(l, tl), mid, average(tl, t), average(t, tr), average(average(l, tl), average(t, tr)), np.where(nearer, l, t), np.clip(p, 0, 255), np.clip(half, 0, 255))
-    for k, form in enumerate(forms, 1):
-        out = np.where((mode == k)[..., None], form, out)
-    return out
-
-
-def unpredict(pixels: np.ndarray, width: int, bits: int, modes: np.ndarray) -> np.ndarray:
-    """Pixels with x + 2 * y alike need none of each other, and are made at once."""
-    height = len(pixels) // width
-    rest = pixels.view(np.uint8).reshape(height, width, 4).astype(np.int32)
-    out = np.zeros_like(rest)
-    mode = (modes.reshape(-1, parts(width, bits)) >> 8 & 0xF).astype(np.int32)
-    for step in range(width + 2 * (height - 1)):
-        y = np.arange(max(0, -(-(step - width + 1) // 2)), min(height - 1, step // 2) + 1)
-        x = step - 2 * y
-        up, left = np.maximum(y - 1, 0), np.maximum(x - 1, 0)
-        tr = np.where((x == width - 1)[:, None], out[y, 0], out[up, np.minimum(x + 1, width - 1)])
-        m = mode[y >> bits, x >> bits]
-        m = np.where(y == 0, np.where(x == 0, 0, 1), np.where(x == 0, 2, m))
-        out[y, x] = (rest[y, x] + predicted(m, out[y, left], out[up, x], tr, out[up, left])) & 255
-    return np.ascontiguousarray(out.astype(np.uint8)).view(np.uint32).ravel()
+def predicted(mode: int, near, width: int) -> np.ndarray:
+    """What a mode makes of the pixels that are so many places back: int arrays of four channels."""
+    left, up, right, corner = (lambda d=d: near(d) for d in (1, width, width - 1, width + 1))
+    if mode in (1, 2, 3, 4):
+        return (left, up, right, corner)[mode - 1]()
+    if mode == 5:
+        return average(average(left(), right()), up())
+    if mode in (6, 7, 8, 9):
+        a, b = ((left, corner), (left, up), (corner, up), (up, right))[mode - 6]
+        return average(a(), b())
+    if mode == 10:
+        return average(average(left(), corner()), average(up(), right()))
+    if mode in (11, 12):
+        l, t, c = left(), up(), corner()  # noqa: E741
+        p = l + t - c
+        if mode == 12:
+            return np.clip(p, 0, 255)
+        nearer = np.abs(p - l).sum(axis=-1, keepdims=True) < np.abs(p - t).sum(axis=-1, keepdims=True)
+        return np.where(nearer, l, t)
+    if mode == 13:
+        mid, c = average(left(), up()), corner()
+        return np.clip(mid + np.trunc((mid - c) / 2).astype(mid.dtype), 0, 255)
+    return np.array([[0, 0, 0, 255]], dtype=np.int16)  # of mode 0 and of those that are not defined
+
+
+def in_blocks(width: int, heights: list[int], bits: int, inner: list[np.ndarray]) -> np.ndarray:
+    """For each row of images below each other, and each block of a row, the pixel of the image within the image that is for it."""
+    wide = parts(width, bits)
+    return np.concatenate([np.repeat(v.reshape(-1, wide), 1 << bits, axis=0)[:h] for v, h in zip(inner, heights, strict=True)])
+
+
+def unpredict(pixels: list[np.ndarray], width: int, bits: int, modes: list[np.ndarray]) -> list[np.ndarray]:
+    """Images of one width: their pixels with x + 2 * y alike need none of each other, and are made at once."""
+    heights = [len(p) // width for p in pixels]
+    out = np.concatenate(pixels).view(np.uint8).reshape(-1, 4)
+    mode = (in_blocks(width, heights, bits, modes) >> 8 & 0xF).astype(np.uint8)
+    y = np.concatenate([np.arange(h) for h in heights])
+    order = np.argsort(y, kind="stable")  # rows by their place in their images
+    y, mode, at = y[order], mode[order], (width * np.arange(len(y)))[order]
+    ends = np.searchsorted(y, np.arange(max(heights) + 1), "left")
+    for step in range(width + 2 * (max(heights) - 1)):
+        some = slice(ends[max(0, -(-(step - width + 1) // 2))], ends[min(max(heights) - 1, step // 2) + 1])
+        x = step - 2 * y[some]
+        to = at[some] + x
+        m = mode[some, :][np.arange(len(x)), x >> bits]
+        m = np.where(y[some] == 0, np.where(x == 0, 0, 1), np.where(x == 0, 2, m))
+        for k in np.flatnonzero(np.bincount(m)).tolist():
+            t = to[m == k]
+            # a row's last pixel has the first of its own row above to the right
+            near = lambda back: out[t - back].astype(np.int16)  # noqa: B023, E731
+            out[t] += predicted(k, near, width).astype(np.uint8)
+    rows = np.ascontiguousarray(out).view(np.uint32).ravel()
+    return np.split(rows, np.cumsum([width * h for h in heights])[:-1])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
 
-def uncross(pixels: np.ndarray, width: int, bits: int, factors: np.ndarray) -> np.ndarray:
-    y, x = np.divmod(np.arange(len(pixels)), width)
-    f = factors[(y >> bits) * parts(width, bits) + (x >> bits)]
-    green = signed(pixels >> 8)
-    red = (pixels >> 16 & 255).astype(np.int32) + (signed(f) * green >> 5) & 255
-    blue = (pixels & 255).astype(np.int32) + (signed(f >> 8) * green >> 5) + (signed(f >> 16) * signed(red) >> 5) & 255
-    return pixels & np.uint32(0xFF00FF00) | red.astype(np.uint32) << 16 | blue.astype(np.uint32)
+def uncross(pixels: list[np.ndarray], width: int, bits: int, factors: list[np.ndarray]) -> list[np.ndarray]:
+    """Images of one width."""
+    heights = [len(p) // width for p in pixels]
+    p = np.concatenate(pixels)
+    f = np.repeat(in_blocks(width, heights, bits, factors), 1 << bits, axis=1)[:, :width].ravel()
+    green = signed(p >> 8)
+    red = (p >> 16 & 255).astype(np.int32) + (signed(f) * green >> 5) & 255
+    blue = (p & 255).astype(np.int32) + (signed(f >> 8) * green >> 5) + (signed(f >> 16) * signed(red) >> 5) & 255
+    p = p & np.uint32(0xFF00FF00) | red.astype(np.uint32) << 16 | blue.astype(np.uint32)
+    return np.split(p, np.cumsum([width * h for h in heights])[:-1])
 
 
 def unindex(pixels: np.ndarray, width: int, bits: int, table: np.ndarray) -> np.ndarray:
@@ -360,20 +403,24 @@ def ungreen(pixels: np.ndarray) -> np.ndarray:
 
 def decode(images: list[bytes]) -> list[np.ndarray]:
     """Arrays of 32-bit pixels (A, R, G and B from the high bits down), a row for each row of an image."""
-    headers = [read_header(d) for d in images]
-    out = []
-    for h, pixels in zip(headers, read_pixels([h.plane for h in headers])[0] if headers else [], strict=True):
-        for kind, *rest in reversed(h.transforms):
-            if kind == PREDICTOR:
-                pixels = unpredict(pixels, rest[1], rest[0], rest[2])
-            elif kind == CROSS_COLOUR:
-                pixels = uncross(pixels, rest[1], rest[0], rest[2])
-            elif kind == PALETTE:
-                pixels = unindex(pixels, rest[1], rest[0], rest[2])
-            else:
-                pixels = ungreen(pixels)
-        out.append(pixels.reshape(h.height, h.width))
-    return out
+    headers = read_headers(images)
+    pixels = read_pixels([h.plane for h in headers])[0] if headers else []
+    for depth in range(max((len(h.transforms) for h in headers), default=0) - 1, -1, -1):
+        alike: dict[tuple, list[int]] = {}  # images with the same transform at that depth
+        for k, h in enumerate(headers):
+            if depth < len(h.transforms):
+                kind, *rest = h.transforms[depth]
+                if kind in (PREDICTOR, CROSS_COLOUR):
+                    alike.setdefault((kind, rest[1], rest[0]), []).append(k)
+                elif kind == PALETTE:
+                    pixels[k] = unindex(pixels[k], rest[1], rest[0], rest[2])
+                else:
+                    pixels[k] = ungreen(pixels[k])
+        for (kind, width, bits), group in alike.items():
+            undo = unpredict if kind == PREDICTOR else uncross
+            for k, p in zip(group, undo([pixels[k] for k in group], width, bits, [headers[k].transforms[depth][3] for k in group]), strict=True):
+                pixels[k] = p
+    return [p.reshape(h.height, h.width) for h, p in zip(headers, pixels, strict=True)]
 
 
 class Writer:

@@ -1,10 +1,13 @@
 """Streams with each feature of the format, made here by the inverse of each transform."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from phonolake.llm import media_columns as M
 from phonolake.llm import webp as V
+from phonolake.llm import webp_writer as W
 
 
 def prefix(value):
@@ -203,11 +206,58 @@ def test_many_images_at_once(noise):
         assert (got.ravel() == noise[: 24 * k]).all()
 
 
+TEXTS = [None, "", "a", "é" * 500, "x" * 576, "y" * 577, "日本 " * 20_000, "".join(map(chr, range(1, 500))), "the same line\n" * 400, "ab" * 10_000]
+
+
 def test_payloads():
-    texts = [None, "", "a", "é" * 500, "x" * 576, "y" * 577, "日本 " * 20_000, "".join(map(chr, range(1, 500)))]
-    payloads = [M.payload_of(t) for t in texts]
+    payloads = [M.payload_of(t) for t in TEXTS]
     assert all(len(p) % M.ROW == 0 and p for p in payloads)
-    assert [a.tobytes() for a in M.pixel_arrays(M.encode(payloads))] == payloads
-    assert sum(2.0**-n for n in M.byte_lengths()) == 1
+    media = M.encode(payloads)
+    assert [a.tobytes() for a in M.pixel_arrays(media)] == payloads
+    assert [M.encode([p])[0] for p in payloads] == media  # equal texts, equal bytes, whatever else is in the batch
+    assert M.encode([]) == M.pixel_arrays([]) == []
+    assert all(sum(2.0**-n for n in lengths if n) == 1 for b in W.books().values() for lengths in b.lengths if sum(map(bool, lengths)) > 1)
     with pytest.raises(ValueError, match="WebP"):
-        V.read_header(b"RIFF0000WEBPVP8 " + bytes(20))
+        V.read_headers([b"RIFF0000WEBPVP8 " + bytes(20)])
+
+
+def used(data):
+    """Counts of what an image is made of, read token by token."""
+    h = V.read_headers([data])[0]
+    out = Counter({f"transform {kind}": 1 for kind, *_ in h.transforms})
+    for kind, *rest in h.transforms:
+        out.update(f"{kind}: {int(v)}" for v in rest[2].tolist() if kind != V.PALETTE)
+    p = h.plane
+    b, at = V.Bits(p.data, p.at), 0
+    while at < p.width * p.height:
+        (green, *others) = p.groups[0]
+        s = green.read(b)
+        if s < 256:
+            for code in others[:3]:
+                code.read(b)
+            at, kind = at + 1, "literal"
+        elif s < 256 + V.LENGTHS:
+            number = lambda s: s + 1 if s < 4 else (2 + (s & 1) << (s - 2 >> 1)) + b.read(s - 2 >> 1) + 1  # noqa: B023, E731
+            at, kind = at + number(s - 256), "copy"
+            number(others[3].read(b))
+        else:
+            at, kind = at + 1, "cache"
+        out[kind] += 1
+    return out
+
+
+def test_stored_images_use_the_whole_format(spark):
+    """Predictors, cross-colour, palettes, back-references and the colour cache all occur in what is stored of the documents."""
+    found, images = Counter(), 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(-1, "aaaa" * 40)], "doc_id long, text string"), allowMissingColumns=True)
+    for r in M.store_media(docs).collect():
+        for data in M.images_of(bytes(r["media"])):
+            own = used(data)
+            found.update(own)
+            images += 1
+            assert own["copy"] or own["literal"]
+    assert found[f"transform {V.PREDICTOR}"] == found[f"transform {V.CROSS_COLOUR}"] >= 0.9 * images
+    assert found[f"transform {V.PALETTE}"] and found["copy"] >= 0.5 * images and found["cache"] and found["literal"]
+    modes = {k for k in found if k.startswith(f"{V.PREDICTOR}: ")}
+    factors = {k for k in found if k.startswith(f"{V.CROSS_COLOUR}: ")}
+    assert len(modes) == len(W.MODES) and len(factors) > 8
