@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ class ByteEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.whole)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its ids; none for no text."""
@@ -48,29 +49,64 @@ class ByteEncoder:
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The same as bytes of little-endian 32-bit integers."""
-        out = []
-        for text in texts:
-            if text and any(t in text for t in self.added):
-                out.append(self._encoded([text])[0])
-                continue
-            pieces = PIECE.findall(text) if text else []
-            new = list(set(pieces) - self.known.keys())
-            short = [p for p in new if len(p) <= KEEP_CHARS]
-            if len(self.known) + len(short) > KEEP:
-                self.known = {}
-                new = list(set(pieces))
-                short = [p for p in new if len(p) <= KEEP_CHARS]
-            self.known.update(zip(short, self._encoded(short), strict=True))
-            if len(new) == len(short):
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            else:
-                long = [p for p in new if len(p) > KEEP_CHARS]
-                own = dict(zip(long, self._encoded(long), strict=True))
-                out.append(b"".join([self.known[p] if len(p) <= KEEP_CHARS else own[p] for p in pieces]))
+        whole = [bool(text) and any(t in text for t in self.added) for text in texts]
+        out = self.known.ids([PIECE.findall(text) if text and not w else [] for text, w in zip(texts, whole, strict=True)])
+        for k, w in enumerate(whole):
+            if w:
+                out[k] = encoded(self.whole, [texts[k]])[0]
+        return out
+
+
+class Known:
+    """Ids of pieces, kept from batch to batch: those of the first KEEP that come and are short, which frequent ones are among.
+
+    Once there are so many, and more than half of a batch's are others, for instance in another language, it begins anew.
+    """
+
+    def __init__(self, tokenizer, keep: int = KEEP) -> None:
+        self.tokenizer, self.keep, self.known = tokenizer, keep, {}
+
+    def ids(self, texts: list[list]) -> list[bytes]:
+        """For texts as lists of pieces (all str or all UTF-8 bytes) their ids as little-endian 32-bit integers."""
+        known, pieces = self.known, set().union(*texts)
+        new = [p for p in pieces if p not in known]
+        if len(known) >= self.keep and 2 * len(new) > len(pieces):
+            known.clear()
+            new = list(pieces)
+        new.sort(key=len)  # long ones last
+        room = min(self.keep - len(known), bisect_right(new, KEEP_CHARS, key=len))
+        known.update(zip(new, encoded(self.tokenizer, [p if isinstance(p, str) else p.decode() for p in new]), strict=True))
+        out = [b"".join(map(known.__getitem__, t)) for t in texts]
+        for p in new[max(room, 0) :]:
+            del known[p]
         return out
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+def encoded(tokenizer, pieces: list[str], most_chars: int = 1 << 20) -> list[bytes]:
+    """For each piece the ids that the tokenizer gives for it alone, as little-endian 32-bit integers.
+
+    An added token is found before all else, and what stands on its sides is encoded apart: many pieces go to the tokenizer
+    as one text with an added token between them, and its id tells where each one's ids end.
+    """
+    between = next(((k, t.content) for k, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+    ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if between is None:
+        return [x.tobytes() for x in ids_of(pieces)] if pieces else []
+    number, sign = between
+    out, start = [b""] * len(pieces), 0
+    alone = [k for k, p in enumerate(pieces) if sign in p]
+    for k, x in zip(alone, ids_of([pieces[k] for k in alone]) if alone else [], strict=True):
+        out[k] = x.tobytes()
+    rest = [k for k, p in enumerate(pieces) if sign not in p] if alone else range(len(pieces))
+    sizes = np.cumsum([len(pieces[k]) for k in rest])
+    while start < len(rest):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most_chars, "right")))
+        (ids,) = ids_of([sign.join(pieces[k] for k in rest[start:end])])
+        raw, cut = ids.tobytes(), np.flatnonzero(ids == number) * 4
+        for k, a, z in zip(rest[start:end], [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
+            out[k] = raw[a:z]
+        start = end
+    return out
 
 
 @lru_cache(maxsize=2)

@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm.common import read
-from phonolake.llm.encoding import slices
+from phonolake.llm.encoding import Known, slices
 
 WORD_BPE = "word_bpe_49k.json"
 #: Characters in a segment, and on each side of a join in the first window.
 SEGMENT, WINDOW = 1 << 15, 64
-#: Words whose ids a worker keeps.
-KEEP = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -43,27 +41,10 @@ def tokenizer(file: str):
     return t
 
 
-class Words:
-    """The ids of words, as bytes of 32-bit integers, kept from batch to batch."""
-
-    def __init__(self, file: str) -> None:
-        self.tokenizer, self.known = tokenizer(file), {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        words = set().union(*texts)
-        if len(self.known) + len(words) > KEEP:
-            self.known = {}
-        new = list(words - self.known.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, dtype="<i4").tobytes()
-
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
-
-
 @lru_cache(maxsize=2)
-def words_of(file: str) -> Words:
-    return Words(file)
+def words_of(file: str) -> Known:
+    """The ids of words, one table in each worker."""
+    return Known(tokenizer(file))
 
 
 @dataclass
@@ -143,14 +124,13 @@ class Segment:
 SPACE = re.compile("[\x20\x09-\x0d]")
 
 
-def segment(words: Words, text: str) -> Segment:
+def segment(words: Known, text: str) -> Segment:
     t, first = words.tokenizer, SPACE.search(text)
     if not first:
         return Segment(Piece.of(t, text), [], None)
     last = max(text.rfind(c) for c in " \t\n\x0b\x0c\r")
     mid = text[first.start() : last].encode().split()
-    words.learn([mid])
-    return Segment(Piece.of(t, text[: first.start()]), [words.ids(mid)], Piece.of(t, text[last + 1 :]))
+    return Segment(Piece.of(t, text[: first.start()]), words.ids([mid]), Piece.of(t, text[last + 1 :]))
 
 
 def concatenated(t, p: Segment, q: Segment) -> Segment:
@@ -187,9 +167,7 @@ def encode_bpe(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", f
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of(file)
         for batch in slices(batches, 500):
-            texts = [x.encode().split() for x in batch.column("text").to_pylist()]
-            known.learn(texts)
-            each = [known.ids(x) for x in texts]
+            each = known.ids([x.encode().split() for x in batch.column("text").to_pylist()])
             ends = np.cumsum([0, *(len(x) >> 2 for x in each)])
             ids = pa.array(np.frombuffer(b"".join(each), dtype="<i4"))
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=["doc_id", "ids"])

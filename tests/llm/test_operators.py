@@ -307,6 +307,19 @@ def test_ids_of_any_text():
         assert got.tolist() == (t.encode(text, add_special_tokens=False).ids if text else []), repr(text)[:200]
 
 
+def test_known_pieces():
+    """The table stays within its bound, begins anew among other pieces, and gives what each piece has by itself."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    known, r = encoding.Known(t, 50), random.Random(3)
+    for k in range(30):
+        texts = [[" " + "".join(r.choices("abcé" if k < 20 else "xyzß", k=r.randint(1, 3))) for _ in range(40)] + ["<|endoftext|>", "a<|endoftext|>b"] * (k % 2) + ["long" * 40] for _ in range(3)]
+        for text, got in zip(texts, known.ids(texts), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == [i for p in text for i in t.encode(p, add_special_tokens=False).ids]
+        assert len(known.known) <= 50 and "long" * 40 not in known.known
+    assert known.ids([]) == [] and known.ids([[]]) == [b""]
+    assert encoding.encoded(t, ["a", "", "b c"], most_chars=1) == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("a", "", "b c")]
+
+
 def test_long_runs_through_spark(spark, tmp_path):
     d = spark.createDataFrame([(1, " " * 1_200_000), (2, "a\n" * 600_000), (3, "short")], "doc_id long, text string")
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
