@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phonolake.functions import dsp
 from phonolake.functions.columns import make_window as window_column
+from phonolake.jobs import spectra_sql as Q
 from phonolake.jobs.frame_queries import SEQUENCES_SQL, sequences
 from phonolake.jobs.inputs import FS, SAMPLES_SQL, samples, table, vectors
 from phonolake.jobs.signal_queries import noise, rounded
@@ -61,7 +62,7 @@ def top_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.top_bins(P.fft_spectrum(clips(spark, sf_dir), FS)).select("rec_id", "k", "rank", "mag")
 
 
-@query()
+@query(Q.COMPARE_NFFT)
 def compare_nfft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compare_nfft(clips(spark, sf_dir), FS).drop("phase")
 
@@ -138,7 +139,7 @@ def apply_fir_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("rec_id", "n").join(d, ["rec_id", "n"], "left").join(s.groupBy("rec_id").agg(F.max("n").alias("most")), "rec_id").select("rec_id", "n", F.when(F.col("n") <= F.col("most") - 10, F.col("x")).otherwise(0.0).alias("x"))
 
 
-@query()
+@query(Q.filter_attenuation(FILTERED_SQL))
 def filter_attenuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filter_attenuation(recordings(spark, sf_dir), FS, dsp.design_fir(*_band()), 128)
 
@@ -167,22 +168,22 @@ def quantization_noise_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fft_spectrum(L.to_arrays(e), FS, 128).select("rec_id", "k", "f_hz", "mag_db")
 
 
-@query()
+@query(Q.RESAMPLE)
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_long(P.resample(recordings(spark, sf_dir), FS, 40))
 
 
-@query()
+@query(Q.RESAMPLE_SPECTRUM)
 def resample_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fft_spectrum(P.resample(recordings(spark, sf_dir), FS, 40), 40, 64).select("rec_id", "k", "f_hz", "mag_db")
 
 
-@query()
+@query(Q.LOG_SPECTROGRAM)
 def log_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.log_spectrogram(recordings(spark, sf_dir), 16, 8).select("rec_id", "frame_idx", F.posexplode("db").alias("k", "db"))
 
 
-@query()
+@query(Q.NOISE_PSD)
 def noise_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.noise_psd(recordings(spark, sf_dir), 32, 24, 8)
 
@@ -200,19 +201,19 @@ def _noisy(spark: SparkSession, sf_dir: str, snr: float) -> tuple[DataFrame, Dat
     return d, L.to_arrays(d.select("rec_id", "n", F.col("y").alias("x"))), [r["p"] for r in psd.collect()]
 
 
-@query()
+@query(Q.enhanced("subtract"))
 def spectral_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, y, p = _noisy(spark, sf_dir, 5.0)
     return L.to_long(P.enhance(y, p, "subtract", nfft=32, size=24, hop=8))
 
 
-@query()
+@query(Q.enhanced("wiener"))
 def wiener_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, y, p = _noisy(spark, sf_dir, 5.0)
     return L.to_long(P.enhance(y, p, "wiener", nfft=32, size=24, hop=8))
 
 
-@query()
+@query(Q.REPORT)
 def enhancement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNR before and after, by level and method."""
     out = None
@@ -227,7 +228,7 @@ def enhancement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(Q.TIME_STRETCH)
 def time_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.time_stretch(recordings(spark, sf_dir), 0.8).select("rec_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
@@ -253,27 +254,27 @@ def mel_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(t, "k").groupBy("rec_id", "m").agg(F.sum(F.col("w") * F.col("mag") * F.col("mag")).alias("energy"))
 
 
-@query()
+@query(Q.LOG_MEL)
 def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(C.log_mel(recordings(spark, sf_dir), FS, SIZE, HOP, 64, 8))
 
 
-@query()
+@query(Q.MFCC)
 def mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(C.mfcc(recordings(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8))
 
 
-@query()
+@query(Q.MEL_DB)
 def mel_spectrogram_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(C.mel_spectrogram_db(recordings(spark, sf_dir), FS, 8, 64, 32, 8))
 
 
-@query()
+@query(Q.MFCC_LIBRARY)
 def mfcc_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(C.mfcc_library(recordings(spark, sf_dir), FS, 8, 16, 64, 32, 8))
 
 
-@query()
+@query(Q.FEATURE_39)
 def feature_39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(C.feature_39(recordings(spark, sf_dir), FS, SIZE, HOP, 64))
 
@@ -294,7 +295,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.to_sequences(sequences(spark, sf_dir)).join(v, "rec_id")
 
 
-@query()
+@query(Q.DTW)
 def dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = labelled(spark, sf_dir)
     t = s.select((F.col("rec_id") - 1).alias("rec_id"), F.col("seq").alias("template"))
@@ -312,7 +313,7 @@ def build_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'"), 3).select("label", "tmpl_id", F.size("template").alias("n_frames"))
 
 
-@query()
+@query(Q.DTW_RECOGNIZE)
 def dtw_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.dtw_recognize(_test(spark, sf_dir), M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'")))
 
@@ -377,6 +378,27 @@ def hmm_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(trained(spark, sf_dir)[1], "label string, iteration int, log_likelihood double, converged boolean")
 
 
+def untrained(spark: SparkSession, sf_dir: str) -> dict:
+    """The models that training begins with, which SQL can work out as well."""
+    return M.first_models(labelled(spark, sf_dir).filter("role = 'enroll'"), 3, 0.7, 1e-4, False)
+
+
+@query(Q.EMISSION)
+def hmm_log_emission_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.hmm_log_emission(sequences(spark, sf_dir), M.models_table(spark, untrained(spark, sf_dir)))
+
+
+@query(Q.FORWARD)
+def hmm_forward_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.hmm_scores(labelled(spark, sf_dir), untrained(spark, sf_dir))
+
+
+@query(Q.VITERBI)
+def hmm_viterbi_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.hmm_viterbi(labelled(spark, sf_dir), untrained(spark, sf_dir))
+    return d.withColumn("path", F.array_join(F.col("path").cast("array<string>"), " "))
+
+
 @query()
 def hmm_log_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.hmm_log_emission(sequences(spark, sf_dir), M.models_table(spark, trained(spark, sf_dir)[0]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from phonolake.jobs import spectra_sql as Q
 from phonolake.jobs.frame_queries import SEQUENCES_SQL, sequences
 from phonolake.jobs.inputs import SAMPLES_SQL, SENTENCES_SQL, VECTORS_SQL, samples, sentences, table, vectors
 from phonolake.jobs.signal_queries import rounded
@@ -219,19 +220,19 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("left"), F.lead("vec_id").over(W.partitionBy("label").orderBy("vec_id")).cast("string").alias("right")).dropna()
 
 
-@query()
+@query(Q.JOIN_COST)
 def join_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.join_cost(neighbours(spark, sf_dir), U.edge_spectra(waves(spark, sf_dir), fs=1600))
 
 
-@query()
+@query(Q.BOUNDARY_LSD)
 def boundary_lsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = U.join_cost(neighbours(spark, sf_dir), U.edge_spectra(waves(spark, sf_dir), fs=1600))
     label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("left"), "label")
     return d.join(label, "left").groupBy("label").agg(F.avg("boundary_lsd").alias("mean_lsd"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {Q.CELLS} {Q.crossfade(8)}")
 def crossfade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ten vectors in a row are a sentence."""
     w = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).alias("sent_id"), (F.col("vec_id") % 10).cast("int").alias("pos"), "samples")
