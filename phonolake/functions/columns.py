@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def to_db(x: Column, ref: float = 1.0, floor: float = -120.0) -> Column:
@@ -54,3 +55,11 @@ def make_window(name: str, n: int) -> Column:
     }
     step = 2 * 3.141592653589793 / max(n - 1, 1)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: shapes[name](k.cast("double") * step)) if n > 1 else F.array(F.lit(1.0))
+
+
+def first_rows(rows: DataFrame, by: str, order: str, n: int, ways: int = 64) -> DataFrame:
+    """The n first rows of each by, in order: first in parts of each by, dealt out by a hash, then of what these leave, so that
+    no window gathers all rows of a by."""
+    d = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(ways)))
+    d = d.withColumn("_k", F.row_number().over(W.partitionBy(by, "_part").orderBy(order))).filter(F.col("_k") <= n)
+    return d.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(order))).filter(F.col("_k") <= n).drop("_part", "_k")

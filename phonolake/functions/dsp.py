@@ -198,18 +198,70 @@ def pitch_shift(x: np.ndarray, semitones: float) -> np.ndarray:
     return np.interp(np.linspace(0, len(y) - 1, len(x)), np.arange(len(y)), y) if len(y) else x
 
 
-def dtw(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
-    """Cost and length of the best path; ties go up, then left, then along the diagonal. Cells of an anti-diagonal are done together."""
-    n, m = len(x), len(y)
-    c = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0))
-    d = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1), dtype=np.int64)
-    d[0, 0] = 0.0
+def dtw_stack(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stacks of sequences (pairs x n x dims and pairs x m x dims) the cost and length of each best path, and where each cell came
+    from: 0 up, 1 left, 2 along the diagonal, in which order ties go. Cells of an anti-diagonal are done together, for all pairs."""
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    c = np.zeros((pairs, n, m))
+    for d in range(x.shape[2]):
+        c += (x[:, :, None, d] - y[:, None, :, d]) ** 2
+    c = np.sqrt(c)
+    d = np.full((pairs, n + 1, m + 1), np.inf)
+    steps = np.zeros((pairs, n + 1, m + 1), dtype=np.int32)
+    came = np.zeros((pairs, n, m), dtype=np.int8)
+    d[:, 0, 0] = 0.0
     for k in range(2, n + m + 1):
         i = np.arange(max(1, k - m), min(n, k - 1) + 1)
         j = k - i
-        came = np.stack([d[i - 1, j], d[i, j - 1], d[i - 1, j - 1]])
-        which = came.argmin(axis=0)
-        d[i, j] = c[i - 1, j - 1] + came.min(axis=0)
-        steps[i, j] = 1 + np.choose(which, [steps[i - 1, j], steps[i, j - 1], steps[i - 1, j - 1]])
-    return float(d[n, m]), int(steps[n, m])
+        before = np.stack([d[:, i - 1, j], d[:, i, j - 1], d[:, i - 1, j - 1]])
+        which = before.argmin(axis=0)
+        d[:, i, j] = c[:, i - 1, j - 1] + before.min(axis=0)
+        steps[:, i, j] = 1 + np.choose(which, [steps[:, i - 1, j], steps[:, i, j - 1], steps[:, i - 1, j - 1]])
+        came[:, i - 1, j - 1] = which
+    return d[:, n, m], steps[:, n, m].astype(np.int64), came
+
+
+def dtw_path(came: np.ndarray) -> list[tuple[int, int]]:
+    """The cells of one pair's best path, from the first to the last."""
+    i, j = came.shape[0] - 1, came.shape[1] - 1
+    path = [(i, j)]
+    while i or j:
+        which = came[i, j]
+        i, j = i - (which != 1), j - (which != 0)
+        path.append((i, j))
+    return path[::-1]
+
+
+def dtw(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
+    """Cost and length of the best path of two sequences."""
+    cost, steps, _ = dtw_stack(x[None], y[None])
+    return float(cost[0]), int(steps[0])
+
+
+def dtw_scores(xs: list[np.ndarray], ys: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
+    """Cost over path length of each of xs with each of ys; pairs of like lengths are done together, so many cells at a time."""
+    out = np.empty((len(xs), len(ys)))
+    by_length = lambda v: {n: np.array([k for k, s in enumerate(v) if len(s) == n]) for n in {len(s) for s in v}}
+    for n, a in by_length(xs).items():
+        for m, b in by_length(ys).items():
+            x, y = np.stack([xs[k] for k in a]), np.stack([ys[k] for k in b])
+            i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+            step = max(1, cells // (n * m))
+            for k in range(0, len(i), step):
+                p, q = i[k : k + step], j[k : k + step]
+                cost, steps, _ = dtw_stack(x[p], y[q])
+                out[a[p], b[q]] = cost / steps
+    return out
+
+
+def hann_pitch(frames: np.ndarray, fs: float, f0_min: float, f0_max: float) -> tuple[np.ndarray, np.ndarray]:
+    """f0 and lag of each row of frames: less its mean, under a Hann window, at the highest autocorrelation by FFT of lags from fs / f0_max
+    on and below fs / f0_min; 0 where there is no such lag."""
+    size = frames.shape[1]
+    x = (frames - frames.mean(axis=1, keepdims=True)) * np.hanning(size)
+    nfft = next_pow2(2 * size - 1)
+    r = np.fft.irfft(np.abs(np.fft.rfft(x, nfft)) ** 2, nfft)[:, :size]
+    r = r / (r[:, :1] + 1e-12)
+    lo, hi = int(fs / f0_max), min(int(fs / f0_min), size - 1)
+    lag = r[:, lo:hi].argmax(axis=1) + lo if hi > lo else np.zeros(len(x), dtype=np.int64)
+    return np.where(lag > 0, fs / np.maximum(lag, 1), 0.0), lag

@@ -85,6 +85,15 @@ def f0_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.f0_contour(frames(spark, sf_dir), FS, f0_min=10.0, f0_max=50.0)
 
 
+@query(f"""WITH {FRAMES_SQL}, raw AS (SELECT fi.rec_id, frame_idx, n - frame_idx * {HOP} AS i, x FROM fi JOIN sig ON sig.rec_id = fi.rec_id AND n BETWEEN frame_idx * {HOP} AND frame_idx * {HOP} + {SIZE - 1}),
+hn AS (SELECT rec_id, frame_idx, i, (x - avg(x) OVER (PARTITION BY rec_id, frame_idx)) * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE - 1})) AS y FROM raw),
+hr AS (SELECT a.rec_id, a.frame_idx, b.i - a.i AS lag, sum(a.y * b.y) AS r FROM hn a JOIN hn b ON b.rec_id = a.rec_id AND b.frame_idx = a.frame_idx AND b.i - a.i BETWEEN 2 AND 9 GROUP BY ALL),
+hk AS (SELECT *, row_number() OVER (PARTITION BY rec_id, frame_idx ORDER BY r DESC, lag) AS k FROM hr) SELECT rec_id, frame_idx, round({FS} / lag, 6) AS f0, lag::INTEGER AS lag FROM hk WHERE k = 1""")
+def hann_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = R.frame_signal(to_arrays(samples(spark, sf_dir)), FS, SIZE, HOP, None)
+    return R.hann_pitch(raw, FS, 10.0, 50.0).select("rec_id", "frame_idx", "f0", "lag")
+
+
 @query(f"""WITH {FRAMES_SQL}, k AS (SELECT rec_id, CASE WHEN log_energy < max(log_energy) OVER (PARTITION BY rec_id) - 6 THEN 's' WHEN zcr < 0.3 THEN 'v' ELSE 'u' END AS kind FROM fe)
 SELECT rec_id, count(*) AS n_frames, count(*) FILTER (WHERE kind = 's') AS n_silence, count(*) FILTER (WHERE kind = 'v') AS n_voiced, count(*) FILTER (WHERE kind = 'u') AS n_unvoiced,
   round(100 * (count(*) FILTER (WHERE kind = 's')) / count(*), 6) AS pct_silence, round(100 * (count(*) FILTER (WHERE kind = 'v')) / count(*), 6) AS pct_voiced,

@@ -91,8 +91,10 @@ def window_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_dft_sql(_HAMMING)}, {_dft_sql("1.0").replace("el AS", "el2 AS").replace("w AS (SELECT n,", "w2 AS (SELECT n,").replace("cg AS (SELECT avg(w) AS cg FROM w)", "cg2 AS (SELECT avg(w) AS cg FROM w2)").replace("ft AS", "ft2 AS").replace("FROM el JOIN w USING", "FROM el2 JOIN w2 USING").replace("sp AS", "sp2 AS").replace("FROM ft, cg)", "FROM ft2, cg2)")}
-SELECT sp.rec_id, sp.k, round(sp.k / 64 * {FS}, 6) AS f_hz, round(greatest(20 * log10(sp2.mag + 1e-15), -120), 6) AS rect_db, round(greatest(20 * log10(sp.mag + 1e-15), -120), 6) AS hamming_db,
-  round(greatest(20 * log10(sp2.mag + 1e-15), -120) - greatest(20 * log10(sp.mag + 1e-15), -120), 6) + 0.0 AS diff_db FROM sp JOIN sp2 ON sp.rec_id = sp2.rec_id AND sp.k = sp2.k""")
+, db AS (SELECT rec_id, k, greatest(20 * log10(sp2.mag + 1e-15), -120) AS r, greatest(20 * log10(sp.mag + 1e-15), -120) AS h FROM sp JOIN sp2 USING (rec_id, k)),
+pk AS (SELECT rec_id, arg_max(k, (r, -k)) AS kr, arg_max(k, (h, -k)) AS kh FROM db GROUP BY rec_id),
+sl AS (SELECT rec_id, coalesce(max(r) FILTER (WHERE k < kr - 10 OR k >= kr + 10), -200) AS rs, coalesce(max(h) FILTER (WHERE k < kh - 10 OR k >= kh + 10), -200) AS hs FROM db JOIN pk USING (rec_id) GROUP BY rec_id)
+SELECT rec_id, k, round(k / 64 * {FS}, 6) AS f_hz, round(r, 6) AS rect_db, round(h, 6) AS hamming_db, round(r - h, 6) + 0.0 AS diff_db, round(rs, 6) AS rect_side_db, round(hs, 6) AS hamming_side_db FROM db JOIN sl USING (rec_id)""")
 def leakage_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.leakage_compare(clips(spark, sf_dir), FS, 64)
 
@@ -145,8 +147,10 @@ def filter_attenuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SAMPLES_SQL}, taps AS (SELECT n AS i, x AS b FROM sig WHERE rec_id = (SELECT min(rec_id) FROM sig)), g AS (SELECT k * {FS} / 2 / 64 AS f_hz FROM range(64) AS r(k)),
-s AS (SELECT f_hz, sum(b * cos(2 * pi() * f_hz / {FS} * i)) AS re, sum(b * sin(2 * pi() * f_hz / {FS} * i)) AS im FROM taps, g GROUP BY f_hz)
-SELECT round(f_hz, 6) AS f_hz, round(greatest(20 * log10(sqrt(re * re + im * im) + 1e-15), -120), 6) AS mag_db FROM s""")
+s AS (SELECT f_hz, sum(b * cos(2 * pi() * f_hz / {FS} * i)) AS re, sum(b * sin(2 * pi() * f_hz / {FS} * i)) AS im, sum(b * i * cos(2 * pi() * f_hz / {FS} * i)) AS dre, sum(b * i * sin(2 * pi() * f_hz / {FS} * i)) AS dim FROM taps, g GROUP BY f_hz),
+p AS (SELECT *, atan2(0.0 - im, re) AS ph, lag(atan2(0.0 - im, re)) OVER (ORDER BY f_hz) AS ph0 FROM s), j AS (SELECT *, -2 * pi() * floor((ph - coalesce(ph0, ph) + pi()) / (2 * pi())) AS jump FROM p)
+SELECT round(f_hz, 6) AS f_hz, round(greatest(20 * log10(sqrt(re * re + im * im) + 1e-15), -120), 6) AS mag_db, round(degrees(ph + sum(jump) OVER (ORDER BY f_hz)), 6) + 0.0 AS phase_deg,
+  round(CASE WHEN re * re + im * im > 1e-20 THEN (dre * re + dim * im) / (re * re + im * im) ELSE 0 END, 6) + 0.0 AS delay FROM j""")
 def filter_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response of a smoother whose taps are the first recording's samples."""
     taps = noise(spark, sf_dir).select(F.col("n").cast("int").alias("i"), F.col("v").alias("b"))
@@ -299,7 +303,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = labelled(spark, sf_dir)
     t = s.select((F.col("rec_id") - 1).alias("rec_id"), F.col("seq").alias("template"))
-    return M.dtw_pairs(s.select("rec_id", "seq").join(t, "rec_id"))
+    d = M.dtw_pairs(s.select("rec_id", "seq").join(t, "rec_id"), with_path=True)
+    return d.withColumn("path", F.array_join(F.transform("path", lambda c: F.concat_ws(",", c["i"].cast("string"), c["j"].cast("string"))), " "))
 
 
 def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,14 +438,37 @@ def hmm_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec_id", F.posexplode("path").alias("frame_idx", "state"))
 
 
+def words(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Clips with their labels."""
+    v = vectors(spark, sf_dir).filter(F.col("role") == role).select("rec_id", F.concat(F.lit("w"), F.col("speaker").cast("string")).alias("label"))
+    return clips(spark, sf_dir).join(v, "rec_id")
+
+
 @query()
 def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy for several numbers of states, against templates."""
-    d = accuracy(M.dtw_recognize(_test(spark, sf_dir), M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'"))).select("truth", F.col("top1_label").alias("pred"))).withColumn("system", F.lit("dtw"))
-    for n in (2, 3):
-        r = M.hmm_recognize(_test(spark, sf_dir), trained(spark, sf_dir, n)[0]).select("truth", F.col("top1_label").alias("pred"))
-        d = d.unionAll(accuracy(r).withColumn("system", F.lit(f"hmm{n}")))
-    return d
+    """Accuracy over trimming, 13, 26 or 39 dimensions, 3, 5 or 7 states, and 40, 20 or 10 dB of noise in what is recognised."""
+    enroll, test = words(spark, sf_dir, "enroll"), words(spark, sf_dir, "test")
+
+    def features(clips_: DataFrame, trim: bool = True, dims: int = 39, snr: float | None = None) -> DataFrame:
+        f = C.clip_features(clips_.select("rec_id", "samples"), FS, SIZE, HOP, 64, trim=trim, dims=dims, snr_db=snr)
+        return M.to_sequences(f).join(clips_.select("rec_id", "label"), "rec_id")
+
+    def right(found: DataFrame, axis: str, value: str) -> DataFrame:
+        return accuracy(found.select("truth", F.col("top1_label").alias("pred"))).select(F.lit(axis).alias("axis"), F.lit(value).alias("value"), "n", "correct", "accuracy")
+
+    truth = lambda f: f.select("rec_id", F.col("label").alias("truth"), "seq")
+    rows = []
+    for axis, value, options in (("trim", "on", {"dims": 13}), ("trim", "off", {"dims": 13, "trim": False}), ("dims", "13", {"dims": 13}), ("dims", "26", {"dims": 26}), ("dims", "39", {})):
+        rows.append(right(M.dtw_recognize(truth(features(test, **options)), M.build_templates(features(enroll, **options))), axis, value))
+    for n in (3, 5, 7):
+        models = M.hmm_train(features(enroll), n)[0]
+        rows.append(right(M.hmm_recognize(truth(features(test)), models), "states", str(n)))
+        if n == 5:
+            rows += [right(M.hmm_recognize(truth(features(test, snr=float(snr))), models), "noise", f"{snr} dB") for snr in (40, 20, 10)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r)
+    return out
 
 
 @query(f"""WITH {SAMPLES_SQL}, t AS (SELECT n AS i, x AS b FROM sig WHERE rec_id = (SELECT min(rec_id) FROM sig)), c AS (SELECT max(i) + 1 AS n FROM t)
@@ -481,7 +509,7 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phonolake.operators import speakers as S
 
     v = vectors(spark, sf_dir).select("rec_id", "speaker", "role")
-    clean = L.to_long(clips(spark, sf_dir)).persist()
+    clean = L.to_long(clips(spark, sf_dir))
     n = noise(spark, sf_dir)
     noisy = L.add_noise_at_snr(clean, n, (5.0,)).select("rec_id", "n", F.col("y").alias("x"))
     psd = [r["p"] for r in P.noise_psd(L.to_arrays(n.select(F.lit(0).alias("rec_id"), "n", F.col("v").alias("x"))), 32, 24, 8).orderBy("k").collect()]
@@ -489,10 +517,77 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = {"clean": L.to_arrays(clean), "noisy": y, "subtract": P.enhance(y, psd, "subtract", nfft=32, size=24, hop=8), "wiener": P.enhance(y, psd, "wiener", nfft=32, size=24, hop=8)}
     embed = lambda r: S.speaker_embedding(C.mfcc(r, FS, SIZE, HOP, 64, 8, 8, cmn=False)).join(v, "rec_id")
     models = S.speaker_models(embed(versions["clean"]).filter("role = 'enroll'"))
-    out = None
+    # two voices at once: all clips one after the other, and the same with signs of the clip's own
+    from phonolake.operators import separation as I
+
+    at = (F.col("rec_id") * 64 + F.col("n")).alias("n")
+    a = clean.select(at, "x")
+    b = clean.select(at, F.when(F.pmod(F.xxhash64("rec_id"), F.lit(2)) == 0, F.abs("x")).otherwise(-F.abs("x")).alias("x"))
+    parts = I.source_correlation(I.resolve_ica(I.fast_ica(I.mix_sources(a, b)))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("separation_corr"))
+    empty = F.lit(None).cast("double")
+    out = parts.select(empty.alias("accuracy_pct"), empty.alias("mean_margin"), empty.alias("far"), empty.alias("frr"), F.lit(None).cast("long").alias("n"), F.lit("separated").alias("version"), "separation_corr")
     for name, r in versions.items():
         test = embed(r).filter("role = 'test'")
         who = S.speaker_identify(test, models).agg((100 * F.avg((F.col("pred") == F.col("actual")).cast("double"))).alias("accuracy_pct"), F.avg("margin").alias("mean_margin"))
-        d = who.crossJoin(S.verify_at_threshold(S.verification_trials(test, models), 0.9)).withColumn("version", F.lit(name))
-        out = d if out is None else out.unionAll(d)
+        d = who.crossJoin(S.verify_at_threshold(S.verification_trials(test, models), 0.9))
+        out = out.unionByName(d.withColumn("version", F.lit(name)).withColumn("separation_corr", empty))
     return out
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the session shares files: that of its checkpoints, or its warehouse."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {SAMPLES_SQL} SELECT rec_id, {FS} AS fs, 1 AS channels, 16 AS bit_depth, count(*) AS n_frames, round(count(*) / {FS}, 6) AS duration, (44 + 2 * count(*))::BIGINT AS file_size,
+  round(sqrt(avg(pow(trunc(x * 32767) / 32768, 2))), 6) AS rms FROM sig GROUP BY rec_id""")
+def read_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings as WAV bytes in a stored table, decoded from there as files are."""
+    from phonolake.sources.audio import decode_wav, write_wav
+
+    path = _folder(spark, "wav")
+    write_wav(recordings(spark, sf_dir).withColumn("fs", F.lit(FS))).write.parquet(path)
+    d = decode_wav(spark.read.parquet(path).select(F.concat("rec_id", F.lit(".wav")).alias("path"), "content"))
+    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) / F.size("samples"))
+    return d.select(F.col("rec_id").cast("long").alias("rec_id"), "fs", "channels", "bit_depth", F.col("n_frames").cast("long").alias("n_frames"), "duration", F.col("file_size").cast("long").alias("file_size"), rms.alias("rms"))
+
+
+@query("""SELECT p_brand || '_' || p_partkey AS unit_id, p_brand AS label, p_size::INTEGER AS candidate, round(0.2 + p_size / 100, 6) AS duration_s, p_retailprice AS rms FROM part""")
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory written as CSV and read again by its schema."""
+    from phonolake.sources.audio import read_csv_tables, write_csv_tables
+
+    path = _folder(spark, "csv")
+    p = table(spark, sf_dir, "part")
+    d = p.select(F.concat_ws("_", "p_brand", F.col("p_partkey").cast("string")).alias("unit_id"), F.col("p_brand").alias("label"), F.col("p_size").cast("int").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), F.col("p_retailprice").alias("rms"))
+    write_csv_tables({"inventory": d}, path)
+    return read_csv_tables(spark, path, {"inventory": "unit_id string, label string, candidate int, duration_s double, rms double"})["inventory"]
+
+
+@query("""WITH t AS (SELECT p_brand AS word, min(p_name) AS a, max(p_type) AS b FROM part GROUP BY p_brand)
+SELECT replace(word, ' ', '') AS word, replace(upper(a), ' ', '_') || ' ' || replace(upper(b), ' ', '_') AS phones FROM t""")
+def read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon file of the parts' brands, with comments, blank lines and words alone between its lines."""
+    from phonolake.sources.audio import read_lexicon
+
+    path = _folder(spark, "lexicon")
+    name = lambda c: F.replace(F.upper(c), F.lit(" "), F.lit("_"))
+    d = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_type").alias("b"))
+    word = F.replace(F.col("p_brand"), F.lit(" "), F.lit(""))
+    lines = F.array(F.concat(F.lit("# "), word), F.lit(""), word, F.concat_ws("  ", word, name(F.col("a")), name(F.col("b"))))
+    d.select(F.explode(lines).alias("value")).write.text(path)
+    return read_lexicon(spark, path).select("word", F.array_join("phones", " ").alias("phones"))
+
+
+@query(Q.FIRST_MODELS)
+def models_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models saved and loaded again: those that training begins with."""
+    from phonolake.sources.audio import load_models, save_models
+
+    path = _folder(spark, "models")
+    save_models(M.models_table(spark, untrained(spark, sf_dir)), path)
+    loaded = M.models_table(spark, M.models_from(load_models(spark, path)))
+    return loaded.select("label", "state", "pi", F.posexplode("mean").alias("dim", "mean"), F.get("var", F.lit(0)).alias("var"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.jobs.inputs import CHANNELS_SQL, FS, SAMPLES_SQL, channels, samples, table
@@ -16,6 +16,15 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def as_decimals(c: Column, places: int = 6) -> Column:
+    """Rounded as a decimal number: sums and quotients that lie on a tie but for their last bits round alike whatever adds them up."""
+    return F.round(c.cast("decimal(28,12)"), places).cast("double")
+
+
+def decimals_sql(x: str, places: int = 6) -> str:
+    return f"round(CAST({x} AS DECIMAL(28,12)), {places})::DOUBLE"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))

@@ -175,22 +175,24 @@ u AS (SELECT rec_id, k, mag, 64 AS nfft FROM aq UNION ALL SELECT rec_id, k, mag,
 SELECT rec_id, k, k * {FS} / nfft AS f_hz, round(mag, 6) AS mag, round({DB.format(m='mag')}, 6) AS mag_db, round(greatest(10 * log10(mag * mag + 1e-15), -120), 6) AS power_db, {FS} / nfft AS delta_f, {FS / 64}::DOUBLE AS true_res, nfft FROM u"""
 
 
-def dtw(pairs: str) -> str:
+def dtw(pairs: str, path: bool = False) -> str:
     """pairs (pid, a, b: lists of 8 vectors) -> done (pid, cost, path_length). Cells are worked out row by row; each step appends one."""
     c = "list_distance(a[(c - 1) // 8 + 1], b[(c - 1) % 8 + 1])"
     up, left, diag = "CASE WHEN c > 8 THEN d[c - 8] ELSE big END", "CASE WHEN (c - 1) % 8 > 0 THEN d[c - 1] ELSE big END", "CASE WHEN c = 1 THEN 0 WHEN c > 8 AND (c - 1) % 8 > 0 THEN d[c - 9] ELSE big END"
     least = f"least({up}, {left}, {diag})"
     steps = f"CASE WHEN c = 1 THEN 0 WHEN {up} <= {left} AND {up} <= {diag} THEN s[c - 8] WHEN {left} <= {diag} THEN s[c - 1] ELSE s[c - 9] END"
-    return f"""walk AS (SELECT pid, 1 AS c, []::DOUBLE[] AS d, []::INTEGER[] AS s, 1e300::DOUBLE AS big FROM {pairs}
-  UNION ALL SELECT w.pid, c + 1, list_append(d, {c} + {least}), list_append(s, (1 + {steps})::INTEGER), big FROM walk w JOIN {pairs} p USING (pid) WHERE c <= 64),
-done AS (SELECT pid, d[64] AS cost, s[64]::BIGINT AS path_length FROM walk WHERE c = 65)"""
+    came = steps.replace("THEN 0 WHEN", "THEN '' WHEN").replace("s[", "p[")
+    more = ("", "", "") if not path else (", []::VARCHAR[] AS p", f", list_append(p, {came} || ' ' || ((c - 1) // 8) || ',' || ((c - 1) % 8))", ", ltrim(p[64]) AS path")
+    return f"""walk AS (SELECT pid, 1 AS c, []::DOUBLE[] AS d, []::INTEGER[] AS s, 1e300::DOUBLE AS big{more[0]} FROM {pairs}
+  UNION ALL SELECT w.pid, c + 1, list_append(d, {c} + {least}), list_append(s, (1 + {steps})::INTEGER), big{more[1]} FROM walk w JOIN {pairs} x USING (pid) WHERE c <= 64),
+done AS (SELECT pid, d[64] AS cost, s[64]::BIGINT AS path_length{more[2]} FROM walk WHERE c = 65)"""
 
 
 _SEQ = f"""{SEQUENCES_SQL}, frame AS (SELECT rec_id, frame_idx, list(v ORDER BY dim) AS vec FROM seq GROUP BY rec_id, frame_idx), sq AS (SELECT rec_id, list(vec ORDER BY frame_idx) AS s FROM frame GROUP BY rec_id),
 numbered AS (SELECT vec_id AS rec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) % 7 AS m FROM embeddings),
 lab AS (SELECT rec_id, 'w' || label AS label, CASE WHEN m BETWEEN 1 AND 4 THEN 'enroll' WHEN m = 5 THEN 'dev' ELSE 'test' END AS role, s FROM numbered JOIN sq USING (rec_id))"""
-DTW = f"""WITH RECURSIVE {_SEQ}, pairs AS (SELECT x.rec_id AS pid, x.s AS a, y.s AS b FROM sq x JOIN sq y ON y.rec_id = x.rec_id + 1), {dtw('pairs')}
-SELECT pid AS rec_id, round(cost, 6) AS cost, path_length, round(cost / path_length, 6) AS score FROM done"""
+DTW = f"""WITH RECURSIVE {_SEQ}, pairs AS (SELECT x.rec_id AS pid, x.s AS a, y.s AS b FROM sq x JOIN sq y ON y.rec_id = x.rec_id + 1), {dtw('pairs', True)}
+SELECT pid AS rec_id, round(cost, 6) AS cost, path_length, round(cost / path_length, 6) AS score, path FROM done"""
 DTW_RECOGNIZE = f"""WITH RECURSIVE {_SEQ}, pairs AS (SELECT row_number() OVER () AS pid, x.rec_id, x.label AS truth, y.label, x.s AS a, y.s AS b FROM lab x, lab y WHERE x.role = 'test' AND y.role = 'enroll'), {dtw('pairs')},
 best AS (SELECT rec_id, truth, label, min(cost / path_length) AS score FROM done JOIN pairs USING (pid) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score, label) AS k FROM best)
 SELECT rec_id, truth, max(label) FILTER (WHERE k = 1) AS top1_label, round(max(score) FILTER (WHERE k = 1), 6) AS top1_score, max(label) FILTER (WHERE k = 2) AS top2_label, round(max(score) FILTER (WHERE k = 2), 6) AS top2_score FROM r GROUP BY rec_id, truth"""
@@ -201,6 +203,7 @@ mean AS (SELECT label, state::INTEGER AS state, vec FROM fr, range(3) AS r(state
 spread AS (SELECT label, avg(v) + 1e-4 AS var FROM (SELECT label, dim, var_pop(v) AS v FROM seq JOIN lab USING (rec_id) WHERE role = 'enroll' GROUP BY label, dim) GROUP BY label),
 em AS (SELECT f.rec_id, f.frame_idx, m.label, m.state, -0.5 * (8 * ln(2 * pi()) + list_sum(list_transform(list_zip(f.vec, m.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / var + ln(var)))) AS b FROM frame f, mean m JOIN spread USING (label)),
 e3 AS (SELECT rec_id, frame_idx, label, max(b) FILTER (WHERE state = 0) AS b0, max(b) FILTER (WHERE state = 1) AS b1, max(b) FILTER (WHERE state = 2) AS b2 FROM em GROUP BY ALL)"""
+FIRST_MODELS = f"WITH {_FIRST} SELECT label, state, CASE WHEN state = 0 THEN 1.0::DOUBLE ELSE 0 END AS pi, i::INTEGER AS dim, round(vec[i + 1], 6) + 0.0 AS mean, round(var, 6) AS var FROM mean JOIN spread USING (label), range(8) AS r(i)"
 _LN = lambda x: f"ln({x} + 1e-300)"
 _ADD = "greatest({a}, {b}) + ln(1 + exp(least({a}, {b}) - greatest({a}, {b})))"
 EMISSION = f"WITH {_FIRST} SELECT rec_id, frame_idx, label, state, round(b, 6) + 0.0 AS log_b FROM em"

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from phonolake.jobs import spectra_sql as Q
 from phonolake.jobs.frame_queries import SEQUENCES_SQL, sequences
 from phonolake.jobs.inputs import SAMPLES_SQL, SENTENCES_SQL, VECTORS_SQL, samples, sentences, table, vectors
-from phonolake.jobs.signal_queries import rounded
+from phonolake.jobs.signal_queries import as_decimals, decimals_sql, rounded
 from phonolake.operators import lexicon as X
 from phonolake.operators import separation as I
 from phonolake.operators import speakers as S
@@ -139,10 +139,12 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joining two units costs how far their levels lie apart, and a little for units of other brands."""
+    """Joining two units costs how far their levels lie apart, and a little for units of other brands: the pairs that orders have."""
+    p = positions(spark, sf_dir).select("sent_id", "pos", F.concat_ws("#", "unit", "candidate").alias("left"))
+    pairs = p.join(p.select("sent_id", (F.col("pos") - 1).alias("pos"), F.col("left").alias("right")), ["sent_id", "pos"]).select("left", "right").distinct()
     i = inventory(spark, sf_dir).select(F.concat_ws("#", "unit", "candidate").alias("key"), "unit", "rms")
-    a, b = i.toDF("left", "ul", "rl"), i.toDF("right", "ur", "rr")
-    return a.crossJoin(F.broadcast(b)).select("left", "right", (100 * F.abs(F.col("rl") - F.col("rr")) + F.when(F.col("ul") != F.col("ur"), 0.5).otherwise(0.0)).alias("join_cost"))
+    d = pairs.join(i.toDF("left", "ul", "rl"), "left").join(i.toDF("right", "ur", "rr"), "right")
+    return d.select("left", "right", (100 * F.abs(F.col("rl") - F.col("rr")) + F.when(F.col("ul") != F.col("ur"), 0.5).otherwise(0.0)).alias("join_cost"))
 
 
 UNITS_SQL = """
@@ -175,24 +177,24 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.unit_selection(U.target_cost(positions(spark, sf_dir), inventory(spark, sf_dir)), edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_DP} SELECT sent_id, round(cost + 1e-9, 6) AS cost FROM best")
+@query(f"WITH RECURSIVE {_DP} SELECT sent_id, {decimals_sql('cost')} AS cost FROM best")
 def unit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selected(spark, sf_dir).select("sent_id", (F.col("cost") + 1e-9).alias("cost"))
+    return selected(spark, sf_dir).select("sent_id", as_decimals(F.col("cost")).alias("cost"))
 
 
 @query()
 def unit_selection_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_selection, whose SQL has two parts of each brand, over all parts."""
     p = positions(spark, sf_dir).filter("candidate = 1")
-    return U.least_cost(p, all_parts(spark, sf_dir)).select("sent_id", F.col("cost") + 1e-9, F.array_join(F.col("path").cast("array<string>"), " ").alias("path")).toDF("sent_id", "cost", "path")
+    return U.least_cost(p, all_parts(spark, sf_dir)).select("sent_id", as_decimals(F.col("cost")), F.array_join(F.col("path").cast("array<string>"), " ").alias("path")).toDF("sent_id", "cost", "path")
 
 
 @query(f"""WITH RECURSIVE {_DP}, f AS (SELECT sent_id, sum(target_cost) AS t FROM tc WHERE candidate = 1 GROUP BY sent_id), g AS (SELECT sent_id, sum(j) AS j FROM jc WHERE c1 = 1 AND c2 = 1 GROUP BY sent_id)
-SELECT sent_id, round(t + coalesce(j, 0) + 1e-9, 6) AS fixed_cost, round(cost + 1e-9, 6) AS cost, round(100 * (t + coalesce(j, 0) - cost) / (t + coalesce(j, 0)) + 1e-9, 2) + 0.0 AS reduction_pct FROM f LEFT JOIN g USING (sent_id) JOIN best USING (sent_id)""")
+SELECT sent_id, {decimals_sql('t + coalesce(j, 0)')} AS fixed_cost, {decimals_sql('cost')} AS cost, {decimals_sql('100 * (t + coalesce(j, 0) - cost) / (t + coalesce(j, 0))', 2)} + 0.0 AS reduction_pct FROM f LEFT JOIN g USING (sent_id) JOIN best USING (sent_id)""")
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = U.target_cost(positions(spark, sf_dir), inventory(spark, sf_dir))
     d = U.cost_report(U.fixed_cost(p, edges(spark, sf_dir)), selected(spark, sf_dir))
-    return d.withColumns({c: F.col(c) + 1e-9 for c in ("fixed_cost", "cost")})
+    return d.withColumns({c: as_decimals(F.col(c)) for c in ("fixed_cost", "cost")})
 
 
 @query("""WITH i AS (SELECT 0.2 + p_size / 100 AS d, p_retailprice / 20000 AS r FROM part)
@@ -204,7 +206,21 @@ def inventory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILES = [("the", 165.0, 500.0, 1100.0, 2500.0, 200, True), ("of", 185.0, 700.0, 1500.0, 2600.0, 120, True), ("and", 155.0, 650.0, 1300.0, 2450.0, 180, True), ("<s>", 0.0, 300.0, 800.0, 2200.0, 120, False)]
 
 
-@query()
+_TRACKS_SQL = f"""WITH {TOKENS_SQL}, prof(token, f0_base, f1, f2, f3, dur_ms, voiced) AS (VALUES {", ".join(f"('{p[0]}', {', '.join(f'{v}::DOUBLE' for v in p[1:5])}, {p[5]}, {str(p[6]).lower()})" for p in PROFILES)}),
+len AS (SELECT sent_id, pos, token, prof.* EXCLUDE (token), greatest(3, round_even(dur_ms / 1000 * 100, 0))::INTEGER AS frames FROM tok JOIN prof USING (token)),
+ab AS (SELECT *, round_even(frames * 0.25, 0)::INTEGER AS la, round_even(frames * 0.5, 0)::INTEGER AS lb, coalesce(sum(frames) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM len),
+st AS (SELECT *, 0 AS state, la AS ln, 0 AS shift FROM ab UNION ALL SELECT *, 1, lb, la FROM ab UNION ALL SELECT *, 2, frames - la - lb, la + lb FROM ab),
+ex AS (SELECT *, unnest(range(0, ln))::INTEGER AS fr FROM st WHERE ln > 0),
+fr AS (SELECT sent_id, pos, token, (state + 1)::INTEGER AS state, start + shift + fr AS t, CASE WHEN voiced THEN f0_base + 15.0 * sin(pi() * (fr + state * ln) / frames) ELSE 0 END AS f0,
+  f1 * CASE state WHEN 0 THEN 0.85 WHEN 1 THEN 1.05 ELSE 0.9 END AS f1, f2 * CASE state WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.95 END AS f2, f3,
+  CASE WHEN voiced THEN 0.08 * pow(sin(pi() * ((start + shift + fr) % frames) / frames), 0.8) ELSE 0.0008 END AS energy FROM ex),
+cnt AS (SELECT sent_id, count(*) AS n FROM fr GROUP BY sent_id), ix AS (SELECT fr.*, n FROM fr JOIN cnt USING (sent_id)),
+nb AS (SELECT sent_id, t, o, CASE WHEN t + o < 0 THEN -(t + o) - 1 WHEN t + o >= n THEN 2 * n - 1 - t - o ELSE t + o END AS u, n FROM ix, range(-3, 4) AS q(o)),
+sm AS (SELECT nb.sent_id, nb.t, avg(h.f0) FILTER (WHERE abs(o) <= 2) AS f0, avg(h.f1) AS f1, avg(h.f2) AS f2, avg(h.f3) AS f3, avg(h.energy) FILTER (WHERE abs(o) <= 2) AS energy FROM nb JOIN fr h ON h.sent_id = nb.sent_id AND h.t = least(greatest(u, 0), n - 1) GROUP BY nb.sent_id, nb.t)
+SELECT ix.sent_id, ix.t, pos, token, state, round(sm.f0, 6) AS f0, round(sm.f1, 6) AS f1, round(sm.f2, 6) AS f2, round(sm.f3, 6) AS f3, round(sm.energy, 6) + 0.0 AS energy FROM ix JOIN sm ON sm.sent_id = ix.sent_id AND sm.t = ix.t"""
+
+
+@query(_TRACKS_SQL)
 def parametric_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.createDataFrame(PROFILES, "token string, f0_base double, f1 double, f2 double, f3 double, dur_ms int, voiced boolean")
     return U.parametric_tracks(tokens(spark, sf_dir), p)
@@ -232,11 +248,29 @@ def boundary_lsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(label, "left").groupBy("label").agg(F.avg("boundary_lsd").alias("mean_lsd"), F.count("*").alias("n"))
 
 
+#: Milliseconds of the ramps that are compared, at 800 samples a second.
+FADES = (0, 5, 15, 30)
+
+
+@query(f"WITH {Q.CELLS} " + " UNION ALL ".join(f"SELECT {ms} AS fade_ms, * FROM ({Q.crossfade(ms * 8 // 10)})" for ms in FADES))
+def crossfade_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of crossfade_concat with ramps of several lengths."""
+    out = None
+    for ms in FADES:
+        d = _crossfaded(spark, sf_dir, ms * 8 // 10).select(F.lit(ms).alias("fade_ms"), "*")
+        out = d if out is None else out.unionAll(d)
+    return out
+
+
 @query(f"WITH {Q.CELLS} {Q.crossfade(8)}")
 def crossfade_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crossfaded(spark, sf_dir, 8)
+
+
+def _crossfaded(spark: SparkSession, sf_dir: str, fade: int) -> DataFrame:
     """Each ten vectors in a row are a sentence."""
     w = waves(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).alias("sent_id"), (F.col("vec_id") % 10).cast("int").alias("pos"), "samples")
-    return U.crossfade_concat(w, 8).select("sent_id", F.size("samples").alias("n_samples"), F.array_join(F.col("boundaries").cast("array<string>"), " ").alias("boundaries"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+    return U.crossfade_concat(w, fade).select("sent_id", F.size("samples").alias("n_samples"), F.array_join(F.col("boundaries").cast("array<string>"), " ").alias("boundaries"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
 @query(f"""WITH {SEQUENCES_SQL}, s AS (SELECT rec_id, dim, avg(v) AS m, stddev_pop(v) AS d FROM seq GROUP BY rec_id, dim),
@@ -300,9 +334,9 @@ grid AS (SELECT DISTINCT theta FROM (SELECT -1 + 2 * k / 400 AS theta FROM range
 sweep AS (SELECT theta, avg((score >= theta)::INTEGER) FILTER (WHERE genuine = 0) AS far, avg((score < theta)::INTEGER) FILTER (WHERE genuine = 1) AS frr FROM grid, tri GROUP BY theta)"""
 
 
-@query(f"WITH {SWEEP_SQL} SELECT round(theta, 6) + 0.0 AS theta, round(far, 6) AS far, round(frr, 6) AS frr FROM sweep WHERE abs(theta) < 0.99")
+@query(f"WITH {SWEEP_SQL} SELECT round(theta, 6) + 0.0 AS theta, round(far, 6) AS far, round(frr, 6) AS frr FROM sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.threshold_sweep(trials(spark, sf_dir, "dev")).filter(F.abs("theta") < 0.99)
+    return S.threshold_sweep(trials(spark, sf_dir, "dev"))
 
 
 @query(f"WITH {SWEEP_SQL} SELECT round(theta, 6) AS theta, round(far, 6) AS far, round(frr, 6) AS frr FROM sweep ORDER BY round(abs(far - frr), 12), sweep.theta LIMIT 1")
@@ -316,13 +350,23 @@ def verify_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.verify_at_threshold(trials(spark, sf_dir, "test"), 0.1)
 
 
-_ENROLLED = "rec_id IN (SELECT rec_id FROM (SELECT rec_id, row_number() OVER (PARTITION BY speaker ORDER BY rec_id) AS j FROM vectors WHERE role = 'enroll') WHERE j <= {k})"
+_ABLATION_SQL = f"""WITH {VECTORS_SQL}, {SEQUENCES_SQL}, ft AS (SELECT rec_id, dim, frame_idx AS t, v FROM seq), {Q.delta("ft", "dl")},
+kinds AS (SELECT 'plain' AS kind, rec_id, dim, t, v FROM ft UNION ALL SELECT 'delta', rec_id, dim, t, v FROM ft UNION ALL SELECT 'delta', rec_id, dim + 8, t, v FROM dl
+  UNION ALL SELECT 'cmn', rec_id, dim, t, v - avg(v) OVER (PARTITION BY rec_id, dim) FROM ft UNION ALL SELECT 'cmn', rec_id, dim + 8, t, v FROM dl),
+st AS (SELECT kind, rec_id, dim, avg(v) AS m, stddev_pop(v) AS d FROM kinds GROUP BY ALL), parts AS (SELECT kind, rec_id, dim, m AS y FROM st UNION ALL SELECT kind, rec_id, dim + 100, d FROM st),
+emb AS (SELECT kind, rec_id, dim, y / (sqrt(sum(y * y) OVER (PARTITION BY kind, rec_id)) + 1e-12) AS y FROM parts),
+cfg(config, kind, first) AS (VALUES {", ".join(f"('{n}', '{'cmn' if c else 'delta' if d else 'plain'}', {k})" for n, d, c, k in S.ABLATION)}),
+enr AS (SELECT rec_id, speaker, row_number() OVER (PARTITION BY speaker ORDER BY rec_id) AS j FROM vectors WHERE role = 'enroll'),
+mean AS (SELECT config, speaker, dim, avg(y) AS y FROM cfg JOIN emb USING (kind) JOIN enr USING (rec_id) WHERE j <= first GROUP BY ALL),
+sc AS (SELECT c.config, t.rec_id, t.speaker AS actual, m.speaker AS claim, sum(e.y * m.y) / (sqrt(sum(e.y * e.y)) * sqrt(sum(m.y * m.y)) + 1e-12) AS score FROM cfg c JOIN emb e USING (kind) JOIN vectors t ON t.rec_id = e.rec_id AND t.role = 'test'
+  JOIN mean m ON m.config = c.config AND m.dim = e.dim GROUP BY ALL),
+b AS (SELECT config, actual, claim AS pred, score - lead(score) OVER w AS margin, row_number() OVER w AS k FROM sc WINDOW w AS (PARTITION BY config, rec_id ORDER BY score DESC, claim))
+SELECT config, round(100 * avg((pred = actual)::INTEGER), 6) AS accuracy_pct, round(avg(margin), 6) AS mean_margin FROM b WHERE k = 1 GROUP BY config"""
 
 
-@query(f"""WITH {VECTORS_SQL}{''.join(_models_sql(_ENROLLED.format(k=k), f'm{k}') + _trials_sql('test', f't{k}', f'm{k}') for k in (1, 2, 4))}
-{' UNION ALL '.join(f"SELECT {k} AS enrolled, round(100 * avg((pred = actual)::INTEGER), 6) AS accuracy_pct, round(avg(margin), 6) AS mean_margin FROM ({_BEST.format(t=f't{k}')}) WHERE k = 1" for k in (1, 2, 4))}""")
+@query(_ABLATION_SQL)
 def speaker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.speaker_ablation(vectors(spark, sf_dir))
+    return S.speaker_ablation(sequences(spark, sf_dir), vectors(spark, sf_dir).select("rec_id", "speaker", "role"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from phonolake.jobs.inputs import CONFUSIONS_SQL, HELD_OUT_SQL, SENTENCES_SQL, bigrams_sql, confusions, held_out, sentences, table
-from phonolake.jobs.signal_queries import rounded
+from phonolake.jobs.signal_queries import as_decimals, decimals_sql, rounded
 from phonolake.operators import evaluation as E
 from phonolake.operators import ngrams as N
 
@@ -60,18 +60,23 @@ def reject_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reject_threshold(confusions(spark, sf_dir))
 
 
-@query("""SELECT event_id, round(value / 1000, 6) AS latency_s, (1 + user_id % 7)::DOUBLE AS duration_s, round(value / 1000 / (1 + user_id % 7), 6) AS rtf FROM events""")
+@query(f"""SELECT event_id, {decimals_sql('value / 1000')} AS latency_s, (1 + user_id % 7)::DOUBLE AS duration_s, {decimals_sql('value / 1000 / (1 + user_id % 7)')} AS rtf FROM events""")
 def realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return E.realtime_factor(e.select("event_id", (F.col("value") / 1000).alias("latency_s"), (1 + F.col("user_id") % 7).cast("double").alias("duration_s")))
+    d = E.realtime_factor(e.select("event_id", (F.col("value") / 1000).alias("latency_s"), (1 + F.col("user_id") % 7).cast("double").alias("duration_s")))
+    return d.withColumns({c: as_decimals(F.col(c)) for c in ("latency_s", "rtf")})
 
 
-@query("""SELECT event_type AS method, count(*) AS n, round(avg(1 + value % 4), 6) AS naturalness, round(avg(value / 100), 6) AS continuity,
-  round(100 * avg((event_id % 2)::DOUBLE), 6) AS intelligibility_pct, round(avg((1 + value % 4 + value / 100) / 2), 6) AS overall FROM events GROUP BY event_type""")
+SPECS = [("view", 0.005, 0.002, "1.2 MB", 48.5), ("signup", 0.015, 0.005, "1.2 MB", 12.3), ("click", 0.045, 0.015, "150 KB", 3.8), ("error", 0.75, 0.25, "45 MB", 1.2)]
+
+
+@query(f"""WITH specs(method, latency_s, rtf, storage, boundary_lsd_db) AS (VALUES {", ".join(map(repr, SPECS))}), m AS (SELECT event_type AS method, count(*) AS n, round(avg(1 + value % 4), 6) AS naturalness, round(avg(value / 100), 6) AS continuity,
+  round(100 * avg((event_id % 2)::DOUBLE), 6) AS intelligibility_pct, round(avg((1 + value % 4 + value / 100) / 2), 6) AS overall FROM events GROUP BY event_type)
+SELECT m.*, latency_s::DOUBLE AS latency_s, rtf::DOUBLE AS rtf, storage, boundary_lsd_db::DOUBLE AS boundary_lsd_db FROM m LEFT JOIN specs USING (method)""")
 def mos_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), (1 + v % 4).alias("naturalness_mos"), (v / 100).alias("continuity_score"), (F.col("event_id") % 2).alias("intelligibility"), ((1 + v % 4 + v / 100) / 2).alias("overall_score"))
-    return E.mos_summary(e)
+    return E.mos_summary(e, spark.createDataFrame(SPECS, "method string, latency_s double, rtf double, storage string, boundary_lsd_db double"))
 
 
 @query(f"WITH {SENTENCES_SQL}{bigrams_sql('train')} SELECT context, word, count(*) AS c FROM train2 GROUP BY context, word")
@@ -122,7 +127,10 @@ def next_word_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.next_word_probs(train, N.vocabulary(train).orderBy(F.desc("c"), "word").limit(20).select(F.col("word").alias("context")))
 
 
-@query()
+@query(f"""{_MODEL}, ask AS (SELECT word AS context FROM u), fill AS (SELECT word FROM u WHERE word <> '<s>' ORDER BY word LIMIT 12),
+seen AS (SELECT context, word, c.c FROM c JOIN ask USING (context) WHERE word <> '<s>'), cand AS (SELECT * FROM seen UNION ALL SELECT context, word, 0 FROM ask CROSS JOIN fill WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.context = ask.context AND seen.word = fill.word)),
+g AS (SELECT context, word, (cand.c + 1) / (coalesce(ctx, 0) + v + 1e-10) AS p FROM cand LEFT JOIN x USING (context), one),
+r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY p DESC, word) AS rank FROM g) SELECT context, word, round(p, 6) AS p, rank::INTEGER AS rank FROM r WHERE rank <= 6""")
 def next_words_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """next_word_probs, whose SQL asks the 20 most frequent contexts, for every context of the vocabulary."""
     train = sentences(spark, sf_dir)

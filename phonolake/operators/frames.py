@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from phonolake.functions import dsp
 from phonolake.functions.columns import make_window, total
 
 
@@ -36,12 +43,35 @@ def frame_zcr(frames: DataFrame) -> DataFrame:
     return frames.withColumn("zcr", total(steps) / (2 * size))
 
 
+def by_frame(frames: DataFrame, f: Callable[[np.ndarray], list[np.ndarray]], added: str) -> DataFrame:
+    """Adds columns of numbers, or of arrays of them, that f makes of a stack of frames of one length (rows x samples)."""
+    schema = T.StructType([*frames.schema.fields, *T._parse_datatype_string(added).fields])
+    kinds = to_arrow_schema(T._parse_datatype_string(added))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.column("frame")
+            starts, sizes, x = frame.offsets.to_numpy()[:-1], np.diff(frame.offsets.to_numpy()), frame.values.to_numpy(zero_copy_only=False)
+            made: list[list] = [[None] * len(sizes) for _ in kinds]
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                for out, v in zip(made, f(x[starts[at][:, None] + np.arange(n)]), strict=True):
+                    for k, row in zip(at.tolist(), v, strict=True):
+                        out[k] = row
+            yield pa.record_batch([*batch.columns, *(pa.array(v, kind.type) for v, kind in zip(made, kinds, strict=True))], names=[*batch.schema.names, *kinds.names])
+
+    return frames.mapInArrow(add, schema)
+
+
 def frame_autocorr(frames: DataFrame, max_lag: int) -> DataFrame:
-    """Adds r: the autocorrelation up to max_lag over that at lag 0 (as it is if that is 0)."""
-    size = F.size("frame")
-    at = lambda k: total(F.zip_with(F.slice("frame", F.lit(1), size - k), F.slice("frame", k + 1, size - k), lambda a, b: a * b))
-    d = frames.withColumn("r", F.transform(F.sequence(F.lit(0), F.least(F.lit(max_lag), size - 1)), at))
-    return d.withColumn("r", F.when(F.get("r", F.lit(0)) > 0, F.transform("r", lambda x: x / F.get("r", F.lit(0)))).otherwise(F.col("r")))
+    """Adds r: the autocorrelation up to max_lag over that at lag 0 (as it is if that is 0); batches of frames are stacked."""
+
+    def r(x: np.ndarray) -> list[np.ndarray]:
+        n = x.shape[1]
+        out = np.stack([np.einsum("ij,ij->i", x[:, : n - k], x[:, k:]) for k in range(min(max_lag, n - 1) + 1)], axis=1)
+        return [out / np.where(out[:, :1] > 0, out[:, :1], 1.0)]
+
+    return by_frame(frames, r, "r array<double>")
 
 
 def estimate_pitch(frames: DataFrame, fs: int, f0_min: float = 60.0, f0_max: float = 400.0, least: float = 0.3) -> DataFrame:
@@ -54,9 +84,14 @@ def estimate_pitch(frames: DataFrame, fs: int, f0_min: float = 60.0, f0_max: flo
     return d.withColumn("f0", F.when(F.coalesce(best, F.lit(0.0)) >= least, fs / F.nullif(lag, F.lit(0))).otherwise(0.0)).drop("r")
 
 
-def f0_contour(frames: DataFrame, fs: int, **options) -> DataFrame:
-    """(rec_id, frame_idx, t_center, f0, mean_f0), the mean over voiced frames of the recording."""
-    d = estimate_pitch(frames, fs, **options).select("rec_id", "frame_idx", "t_center", "f0")
+def hann_pitch(frames: DataFrame, fs: int, f0_min: float = 70.0, f0_max: float = 400.0) -> DataFrame:
+    """Adds f0 and lag to frames without a window: the highest autocorrelation by FFT, under a Hann window, whatever it is."""
+    return by_frame(frames, lambda x: [*dsp.hann_pitch(x, fs, f0_min, f0_max)], "f0 double, lag int")
+
+
+def f0_contour(frames: DataFrame, fs: int, hann: bool = False, **options) -> DataFrame:
+    """(rec_id, frame_idx, t_center, f0, mean_f0), the mean over voiced frames of the recording; by hann_pitch, if hann."""
+    d = (hann_pitch if hann else estimate_pitch)(frames, fs, **options).select("rec_id", "frame_idx", "t_center", "f0")
     return d.withColumn("mean_f0", F.avg(F.when(F.col("f0") > 0, F.col("f0"))).over(W.partitionBy("rec_id")))
 
 

@@ -23,7 +23,7 @@ def g2p(word: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
 
 def lexicon_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word) -> (word, phones, source): from the lexicon, else by rule."""
-    d = words.join(F.broadcast(lexicon.select("word", F.col("phones").alias("_own"))), "word", "left")
+    d = words.join(lexicon.select("word", F.col("phones").alias("_own")), "word", "left")
     return d.withColumn("phones", F.coalesce("_own", g2p(F.col("word")))).withColumn("source", F.when(F.col("_own").isNotNull(), "lexicon").otherwise("rules")).drop("_own")
 
 

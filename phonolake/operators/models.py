@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from phonolake.functions import dsp
+from phonolake.functions.columns import first_rows
 
 TINY = 1e-300
 
@@ -25,23 +26,35 @@ def stacked(seq) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in seq])
 
 
-def dtw_pairs(pairs: DataFrame) -> DataFrame:
-    """(…, seq, template) -> those columns but the sequences, with cost, path_length and score = cost / path_length."""
+def dtw_pairs(pairs: DataFrame, with_path: bool = False) -> DataFrame:
+    """(…, seq, template) -> those columns but the sequences, with cost, path_length, score = cost / path_length and, if asked for, path:
+    the pairs of frames, from the first to the last. Pairs of like lengths are worked on together."""
     keep = [c for c in pairs.columns if c not in ("seq", "template")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            r = [dsp.dtw(stacked(x), stacked(y)) for x, y in zip(d["seq"], d["template"], strict=True)]
-            yield d[keep].assign(cost=[c for c, _ in r], path_length=[n for _, n in r], score=[c / n for c, n in r])
+            x, y = [stacked(v) for v in d["seq"]], [stacked(v) for v in d["template"]]
+            alike: dict[tuple[int, int], list[int]] = {}
+            for k, (a, b) in enumerate(zip(x, y, strict=True)):
+                alike.setdefault((len(a), len(b)), []).append(k)
+            cost, steps, paths = np.empty(len(d)), np.empty(len(d), dtype=np.int64), [None] * len(d)
+            for at in alike.values():
+                cost[at], steps[at], came = dsp.dtw_stack(np.stack([x[k] for k in at]), np.stack([y[k] for k in at]))
+                for k, c in zip(at, came, strict=True) if with_path else ():
+                    paths[k] = [{"i": i, "j": j} for i, j in dsp.dtw_path(c)]
+            out = d[keep].assign(cost=cost, path_length=steps, score=cost / steps)
+            yield out.assign(path=paths) if with_path else out
 
     kinds = dict(pairs.dtypes)
-    return pairs.mapInPandas(rows, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", cost double, path_length long, score double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", cost double, path_length long, score double"
+    return pairs.mapInPandas(rows, schema + (", path array<struct<i:int,j:int>>" if with_path else ""))
 
 
 def build_templates(sequences: DataFrame, per_label: int | None = None) -> DataFrame:
-    """(label, tmpl_id, template): all sequences, or each label's first per_label."""
+    """(label, tmpl_id, template): all sequences, or each label's first per_label, which are found by their ids alone."""
     if per_label is not None:
-        sequences = sequences.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("rec_id"))).filter(F.col("k") <= per_label)
+        first = first_rows(sequences.select("label", "rec_id"), "label", "rec_id", per_label)
+        sequences = sequences.join(first, ["label", "rec_id"], "left_semi")
     return sequences.select("label", F.col("rec_id").alias("tmpl_id"), F.col("seq").alias("template"))
 
 
@@ -53,11 +66,28 @@ def ranked(scores: DataFrame, best: Column, top: int = 2) -> DataFrame:
     return d.groupBy("rec_id", "truth").agg(*picks)
 
 
-def dtw_recognize(test: DataFrame, templates: DataFrame, top: int = 2) -> DataFrame:
-    """(rec_id, truth, seq) against all templates, partitions of the ones with partitions of the others: the least score of each label, ranked."""
-    pairs = test.select("rec_id", "truth", "seq").crossJoin(templates.select("label", "tmpl_id", "template"))
-    d = dtw_pairs(pairs).groupBy("rec_id", "truth", "label").agg(F.min("score").alias("score"))
-    return ranked(d, F.col("score").asc(), top)
+def dtw_recognize(test: DataFrame, templates: DataFrame, top: int = 2, block: int = 256) -> DataFrame:
+    """(rec_id, truth, seq) against all templates: the least score of each label, ranked.
+
+    Blocks of about so many sequences meet blocks of as many templates, each two in a task of their own: sequences are sent
+    once for each block, never once for each pair, and a task gives the least score for its sequences and labels.
+    """
+    size = lambda d: max(1, -(-d.count() // block))
+    n_test, n_tmpl = size(test), size(templates)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = test.select("rec_id", "truth", "seq", F.pmod(F.xxhash64("rec_id"), F.lit(n_test)).cast("int").alias("a"), every(n_tmpl).alias("b"))
+    y = templates.select("label", "template", every(n_test).alias("a"), F.pmod(F.xxhash64("label", "tmpl_id"), F.lit(n_tmpl)).cast("int").alias("b"))
+    kinds = dict(test.dtypes) | dict(templates.dtypes)
+
+    def scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"rec_id": left["rec_id"].iloc[:0], "truth": left["truth"].iloc[:0], "label": right["label"].iloc[:0], "score": np.zeros(0)})
+        s = pd.DataFrame(dsp.dtw_scores([stacked(v) for v in left["seq"]], [stacked(v) for v in right["template"]]).T)
+        least = s.groupby(right["label"].to_numpy()).min()
+        return pd.DataFrame({"rec_id": np.tile(left["rec_id"], len(least)), "truth": np.tile(left["truth"], len(least)), "label": np.repeat(least.index.to_numpy(), len(left)), "score": least.to_numpy().ravel()})
+
+    d = x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(scores, f"rec_id {kinds['rec_id']}, truth {kinds['truth']}, label {kinds['label']}, score double")
+    return ranked(d.groupBy("rec_id", "truth", "label").agg(F.min("score").alias("score")), F.col("score").asc(), top)
 
 
 def gaussian_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -190,11 +220,11 @@ def first_models(sequences: DataFrame, n_states: int, loop: float, floor: float,
     """
     d = sequences.withColumn("n", F.size("seq")).filter("n > 0")
     w = W.partitionBy("label").orderBy("rec_id")
-    d = d.withColumn("to", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy("label")))
-    k = F.explode(F.sequence(F.lit(0), F.lit(n_states - 1)))
-    d2 = d.select("label", "seq", "n", "to", "total", k.alias("state"))
+    # windows see lengths alone; sequences are joined for the few that hold a place
+    lengths = d.select("label", "rec_id", "n").withColumn("to", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy("label")))
     at = F.floor((F.col("total") - 1) * F.col("state") / max(n_states - 1, 1))
-    d2 = d2.withColumn("at", at - (F.col("to") - F.col("n"))).filter("at >= 0 AND at < n").select("label", "state", F.get("seq", F.col("at").cast("int")).alias("mean"))
+    places = lengths.withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1)))).withColumn("at", at - (F.col("to") - F.col("n"))).filter("at >= 0 AND at < n")
+    d2 = d.select("label", "rec_id", "seq").join(places.select("label", "rec_id", "state", "at"), ["label", "rec_id"]).select("label", "state", F.get("seq", F.col("at").cast("int")).alias("mean"))
     v = d.select("label", F.explode("seq").alias("x")).select("label", F.posexplode("x").alias("dim", "x")).groupBy("label", "dim").agg(F.var_pop("x").alias("v")).groupBy("label").agg(F.avg("v").alias("v"))
     out: dict[str, dict[int, np.ndarray]] = {}
     variance = {}
@@ -263,8 +293,8 @@ def models_from(table: DataFrame) -> dict[str, Hmm]:
 
 
 def hmm_log_emission(frames: DataFrame, models: DataFrame) -> DataFrame:
-    """(rec_id, frame_idx, vec) and a table of models, which is broadcast -> (rec_id, frame_idx, label, state, log_b)."""
-    d = frames.crossJoin(F.broadcast(models.select("label", "state", "mean", "var")))
+    """(rec_id, frame_idx, vec) and a table of models -> (rec_id, frame_idx, label, state, log_b)."""
+    d = frames.crossJoin(models.select("label", "state", "mean", "var"))
     terms = F.zip_with(F.zip_with("vec", "mean", lambda x, m: (x - m) * (x - m)), F.col("var"), lambda q, v: q / v + F.log(v))
     return d.select("rec_id", "frame_idx", "label", "state", (-0.5 * (F.size("vec") * float(np.log(2 * np.pi)) + F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))).alias("log_b"))
 

@@ -21,7 +21,7 @@ def mixing_condition(a: tuple[tuple[float, float], tuple[float, float]]) -> tupl
     return float(np.linalg.det(m)), float(np.linalg.cond(m))
 
 
-def fast_ica(mix: DataFrame, max_iter: int = 200, tol: float = 1e-6) -> DataFrame:
+def fast_ica(mix: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
     """Adds e1 and e2, the independent components of x1 and x2: centred, whitened, then parallel fixed-point steps of log cosh.
 
     Each step is one row of means over the samples; the driver has 2 x 2 matrices only.

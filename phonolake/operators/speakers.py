@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from phonolake.functions.columns import cosine_similarity, norm
-from phonolake.operators.frames import dims
+from phonolake.functions.columns import cosine_similarity, first_rows, norm
+from phonolake.operators.frames import cmvn, delta, dims
 
 
 def unit_length(vec: Column) -> Column:
@@ -28,15 +30,15 @@ def speaker_embedding(features: DataFrame) -> DataFrame:
 def speaker_models(enroll: DataFrame, first: int | None = None) -> DataFrame:
     """(rec_id, speaker, vec) -> (speaker, vec): the mean of each speaker's first recordings, to unit length."""
     if first:
-        enroll = enroll.withColumn("_k", F.row_number().over(W.partitionBy("speaker").orderBy("rec_id"))).filter(F.col("_k") <= first)
+        enroll = enroll.join(first_rows(enroll.select("speaker", "rec_id"), "speaker", "rec_id", first), ["speaker", "rec_id"], "left_semi")
     d = enroll.select("speaker", dims(F.col("vec"))).groupBy("speaker", "dim").agg(F.avg("v").alias("y"))
     return gathered(d, ["speaker"], ["dim"], "y").withColumn("vec", unit_length(F.col("vec")))
 
 
 def verification_trials(test: DataFrame, models: DataFrame) -> DataFrame:
-    """(claim, actual, rec_id, score, genuine) for each recording and speaker. The models, a row for each speaker, are broadcast."""
+    """(claim, actual, rec_id, score, genuine) for each recording and speaker."""
     m = models.select(F.col("speaker").alias("claim"), F.col("vec").alias("model"))
-    d = test.crossJoin(F.broadcast(m))
+    d = test.crossJoin(m)
     return d.select("claim", F.col("speaker").alias("actual"), "rec_id", cosine_similarity(F.col("vec"), F.col("model")).alias("score"), (F.col("claim") == F.col("speaker")).cast("int").alias("genuine"))
 
 
@@ -52,26 +54,29 @@ def speaker_identify(test: DataFrame, models: DataFrame) -> DataFrame:
 def threshold_sweep(trials: DataFrame, num: int = 401, fine: int = 1000, reach: float = 0.005) -> DataFrame:
     """(theta, far, frr) over num thresholds from -1 to 1 and fine ones over the scores' range and reach beyond.
 
-    Trials are counted per score, and scores find their interval in one array of thresholds: there is no join of trials and
-    thresholds. Counts are added up over the thresholds alone, of which there are num + fine at most.
+    Thresholds are evenly spaced, so a score's place among them follows from its value, corrected by the neighbouring
+    thresholds: there is no join of trials and thresholds, and counts are added up over the thresholds alone.
     """
-    spark = trials.sparkSession
     ends = trials.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    grid = spark.range(num).select((-1 + 2 * F.col("id") / (num - 1)).alias("theta"))
-    more = spark.range(fine).crossJoin(F.broadcast(ends)).select((F.col("lo") - reach + (F.col("hi") - F.col("lo") + 2 * reach) * F.col("id") / (fine - 1)).alias("theta"))
-    grid = grid.unionAll(more).distinct()
-    marks = grid.agg(F.array_sort(F.collect_list("theta")).alias("marks"))
-    # thresholds up to a score: as many as its place among the sorted ones
-    place = F.size(F.filter("marks", lambda m: m <= F.col("score")))
-    scores = trials.groupBy("score", "genuine").agg(F.count("*").alias("n")).crossJoin(F.broadcast(marks))
-    counts = scores.groupBy(place.alias("place")).agg(F.sum(F.when(F.col("genuine") == 1, F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("genuine") == 0, F.col("n")).otherwise(0)).alias("i"))
-    rows = marks.select(F.posexplode("marks").alias("at", "theta")).withColumn("place", F.col("at") + 1).drop("at")
-    all_rows = rows.join(counts, "place", "full_outer").fillna(0, ["g", "i"])
-    below = W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    d = all_rows.select("theta", F.coalesce(F.sum("g").over(below), F.lit(0)).alias("g_low"), F.coalesce(F.sum("i").over(below), F.lit(0)).alias("i_low"), F.sum("g").over(every).alias("gs"), F.sum("i").over(every).alias("is_"))
-    d = d.filter(F.col("theta").isNotNull())
-    return d.select("theta", (1 - F.col("i_low") / F.nullif(F.col("is_"), F.lit(0))).alias("far"), (F.col("g_low") / F.nullif(F.col("gs"), F.lit(0))).alias("frr"))
+    d = trials.crossJoin(F.broadcast(ends))  # one row
+    coarse = lambda k: -1 + 2 * k / (num - 1)
+    dense = lambda k: F.col("lo") - reach + (F.col("hi") - F.col("lo") + 2 * reach) * k / (fine - 1)
+    a = _error_rates(d, ends, num, coarse, (F.col("score") + 1) * (num - 1) / 2)
+    b = _error_rates(d, ends, fine, dense, (F.col("score") - F.col("lo") + reach) * (fine - 1) / (F.col("hi") - F.col("lo") + 2 * reach))
+    return a.unionAll(b).distinct()
+
+
+def _error_rates(trials: DataFrame, ends: DataFrame, num: int, theta: Callable[[Column], Column], guess: Column) -> DataFrame:
+    """Rates at theta(0) to theta(num - 1); guess: about which of these a score is at."""
+    k = F.least(F.greatest(F.floor(guess), F.lit(-1)), F.lit(num - 1))
+    # thresholds up to the score
+    place = F.when((k + 1 < num) & (theta(k + 1) <= F.col("score")), k + 2).when((k >= 0) & (theta(k) > F.col("score")), k).otherwise(k + 1)
+    counts = trials.groupBy(place.alias("place")).agg(F.count(F.when(F.col("genuine") == 1, 1)).alias("g"), F.count(F.when(F.col("genuine") == 0, 1)).alias("i"))
+    rows = trials.sparkSession.range(num + 1).join(counts, F.col("id") == F.col("place"), "left").fillna(0, ["g", "i"])
+    below, every = W.orderBy("id"), W.partitionBy()  # num + 1 rows
+    d = rows.select("id", F.sum("g").over(below).alias("g_low"), F.sum("i").over(below).alias("i_low"), F.sum("g").over(every).alias("gs"), F.sum("i").over(every).alias("is_")).filter(F.col("id") < num)
+    d = d.crossJoin(F.broadcast(ends))
+    return d.select(theta(F.col("id")).alias("theta"), (1 - F.col("i_low") / F.nullif(F.col("is_"), F.lit(0))).alias("far"), (F.col("g_low") / F.nullif(F.col("gs"), F.lit(0))).alias("frr"))
 
 
 def equal_error(sweep: DataFrame) -> DataFrame:
@@ -86,11 +91,19 @@ def verify_at_threshold(trials: DataFrame, theta: float) -> DataFrame:
     return trials.agg(F.avg(F.when(F.col("genuine") == 0, hit)).alias("far"), F.avg(F.when(F.col("genuine") == 1, 1 - hit)).alias("frr"), F.count("*").alias("n"))
 
 
-def speaker_ablation(vectors: DataFrame, firsts: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    """(rec_id, speaker, role, vec) -> accuracy in percent and mean margin for models from so many enrolment recordings."""
+#: Deltas beside the features, means subtracted first, and how many recordings enrol.
+ABLATION = (("baseline", True, False, 4), ("no delta", False, False, 4), ("cmn", True, True, 4), ("enroll 1", True, False, 1), ("enroll 2", True, False, 2))
+
+
+def speaker_ablation(features: DataFrame, roles: DataFrame, configs: tuple[tuple[str, bool, bool, int], ...] = ABLATION) -> DataFrame:
+    """(rec_id, frame_idx, vec) and (rec_id, speaker, role) -> (config, accuracy_pct, mean_margin) of identification."""
     union = None
-    for k in firsts:
-        d = speaker_identify(vectors.filter("role = 'test'"), speaker_models(vectors.filter("role = 'enroll'"), k))
-        d = d.agg((100 * F.avg((F.col("pred") == F.col("actual")).cast("double"))).alias("accuracy_pct"), F.avg("margin").alias("mean_margin")).withColumn("enrolled", F.lit(k))
+    for name, with_delta, cmn, first in configs:
+        f = cmvn(features, False) if cmn else features
+        if with_delta:
+            f = f.join(delta(f).select("rec_id", "frame_idx", F.col("vec").alias("_d")), ["rec_id", "frame_idx"]).select("rec_id", "frame_idx", F.concat("vec", "_d").alias("vec"))
+        e = speaker_embedding(f).join(roles, "rec_id")
+        d = speaker_identify(e.filter("role = 'test'"), speaker_models(e.filter("role = 'enroll'"), first))
+        d = d.agg((100 * F.avg((F.col("pred") == F.col("actual")).cast("double"))).alias("accuracy_pct"), F.avg("margin").alias("mean_margin")).select(F.lit(name).alias("config"), "accuracy_pct", "mean_margin")
         union = d if union is None else union.unionAll(d)
     return union

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from phonolake.functions import dsp
+from phonolake.functions.columns import power_to_db, to_db
 
 
 def per_recording(recordings: DataFrame, f: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
@@ -38,15 +39,19 @@ def _columns(schema: str) -> list[str]:
 
 
 def fft_spectrum(recordings: DataFrame, fs: float, nfft: int | None = None, window: str = "hamming") -> DataFrame:
-    """(rec_id, k, f_hz, mag, mag_db, power_db, phase, delta_f, true_res) of the one-sided spectrum."""
+    """(rec_id, k, f_hz, mag, mag_db, power_db, phase, delta_f, true_res) of the one-sided spectrum.
+
+    Tasks make two arrays for each recording; bins become rows, and levels are worked out, in Spark.
+    """
 
     def one(x: np.ndarray) -> list[tuple]:
         n = nfft or dsp.next_pow2(len(x))
         s = dsp.one_sided(x, dsp.window(window, len(x)), n)
-        m = np.abs(s)
-        return list(zip(range(len(m)), (np.arange(len(m)) * fs / n).tolist(), m.tolist(), dsp.to_db(m).tolist(), np.maximum(10 * np.log10(m * m + 1e-15), -120).tolist(), np.angle(s).tolist(), [fs / n] * len(m), [fs / len(x)] * len(m)))
+        return [(len(x), n, np.abs(s), np.angle(s))]
 
-    return per_recording(recordings, one, "k int, f_hz double, mag double, mag_db double, power_db double, phase double, delta_f double, true_res double")
+    d = per_recording(recordings, one, "len int, nfft int, mag array<double>, phase array<double>")
+    d = d.select("rec_id", "len", "nfft", F.posexplode(F.arrays_zip("mag", "phase")).alias("k", "z")).select("rec_id", "len", "nfft", "k", "z.mag", "z.phase")
+    return d.select("rec_id", "k", (F.col("k") * float(fs) / F.col("nfft")).alias("f_hz"), "mag", to_db(F.col("mag")).alias("mag_db"), power_to_db(F.col("mag") * F.col("mag")).alias("power_db"), "phase", (float(fs) / F.col("nfft")).alias("delta_f"), (float(fs) / F.col("len")).alias("true_res"))
 
 
 def compare_nfft(recordings: DataFrame, fs: float, sizes: tuple[int, ...] = (64, 256)) -> DataFrame:
@@ -104,11 +109,23 @@ def window_properties(windows: DataFrame, nfft: int = 8192) -> DataFrame:
     return windows.mapInPandas(rows, "name string, size int, coherent_gain double, mean_square double, enbw double, main_lobe_bins double, side_lobe_db double")
 
 
+def side_lobe(db: np.ndarray, around: int = 10) -> float:
+    """The highest level outside of the peak's surroundings."""
+    k = int(db.argmax())
+    return float(np.concatenate([db[: max(k - around, 0)], db[k + around :], [-200.0]]).max())
+
+
 def leakage_compare(recordings: DataFrame, fs: float, nfft: int) -> DataFrame:
-    """Levels of each bin under a rectangular and a Hamming window, and their difference."""
-    a = fft_spectrum(recordings, fs, nfft, "rectangular").select("rec_id", "k", "f_hz", F.col("mag_db").alias("rect_db"))
-    b = fft_spectrum(recordings, fs, nfft, "hamming").select("rec_id", "k", F.col("mag_db").alias("hamming_db"))
-    return a.join(b, ["rec_id", "k"]).withColumn("diff_db", F.col("rect_db") - F.col("hamming_db"))
+    """Levels of each bin under a rectangular and a Hamming window, their difference, and each spectrum's highest side lobe, beyond ten bins
+    around its peak. Both spectra come from one pass."""
+
+    def one(x: np.ndarray) -> list[tuple]:
+        a, b = (dsp.to_db(np.abs(dsp.one_sided(x, dsp.window(w, len(x)), nfft))) for w in ("rectangular", "hamming"))
+        return [(a, b, side_lobe(a), side_lobe(b))]
+
+    d = per_recording(recordings, one, "rect_db array<double>, hamming_db array<double>, rect_side_db double, hamming_side_db double")
+    d = d.select("rec_id", F.posexplode(F.arrays_zip("rect_db", "hamming_db")).alias("k", "z"), "rect_side_db", "hamming_side_db")
+    return d.select("rec_id", "k", (F.col("k") * float(fs) / nfft).alias("f_hz"), "z.rect_db", "z.hamming_db", (F.col("z.rect_db") - F.col("z.hamming_db")).alias("diff_db"), "rect_side_db", "hamming_side_db")
 
 
 def stft_spectrogram(recordings: DataFrame, fs: float, frame_ms: float = 25.0, hop_ms: float = 10.0, window: str = "hamming") -> DataFrame:
@@ -149,11 +166,19 @@ def fir_info(taps: DataFrame, fs: float) -> DataFrame:
 
 
 def filter_response(taps: DataFrame, fs: float, bins: int = 64) -> DataFrame:
-    """(f_hz, mag_db) of a table of taps, by sums of b cos and b sin."""
+    """(f_hz, mag_db, phase_deg, delay) of a table of taps, by sums of b cos and b sin: phases are unwrapped from bin to bin, and the group
+    delay, in samples, is the real part of the response to i b over that to b, 0 where there is no response."""
     grid = taps.sparkSession.range(bins).select((F.col("id") * fs / 2 / bins).alias("f_hz"))
     a = 2 * float(np.pi) * F.col("f_hz") / fs * F.col("i")
-    d = F.broadcast(taps).crossJoin(grid).groupBy("f_hz").agg(F.sum(F.col("b") * F.cos(a)).alias("re"), F.sum(F.col("b") * F.sin(a)).alias("im"))
-    return d.select("f_hz", F.greatest(20 * F.log10(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) + 1e-15), F.lit(-120.0)).alias("mag_db"))
+    sums = [F.sum(w * g(a)).alias(n) for w, g, n in ((F.col("b"), F.cos, "re"), (F.col("b"), F.sin, "im"), (F.col("b") * F.col("i"), F.cos, "dre"), (F.col("b") * F.col("i"), F.sin, "dim"))]
+    d = taps.crossJoin(grid).groupBy("f_hz").agg(*sums)
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    turn, w = 2 * float(np.pi), W.orderBy("f_hz")  # a row for each bin
+    d = d.withColumn("ph", F.atan2(0.0 - F.col("im"), F.col("re")))
+    d = d.withColumn("jump", -turn * F.floor((F.col("ph") - F.coalesce(F.lag("ph").over(w), F.col("ph")) + float(np.pi)) / turn))
+    phase = F.degrees(F.col("ph") + F.sum("jump").over(w))
+    delay = F.when(power > 1e-20, (F.col("dre") * F.col("re") + F.col("dim") * F.col("im")) / power).otherwise(0.0)
+    return d.select("f_hz", to_db(F.sqrt(power)).alias("mag_db"), phase.alias("phase_deg"), delay.alias("delay"))
 
 
 def cutoff_3db(response: DataFrame) -> DataFrame:
@@ -166,10 +191,13 @@ def apply_fir(recordings: DataFrame, b: np.ndarray) -> DataFrame:
 
 
 def filter_attenuation(recordings: DataFrame, fs: float, b: np.ndarray, nfft: int) -> DataFrame:
-    """Level of each bin before less that after."""
-    before = fft_spectrum(recordings, fs, nfft).select("rec_id", "k", "f_hz", F.col("mag_db").alias("before_db"))
-    after = fft_spectrum(apply_fir(recordings, b), fs, nfft).select("rec_id", "k", F.col("mag_db").alias("after_db"))
-    return before.join(after, ["rec_id", "k"]).withColumn("attenuation_db", F.col("before_db") - F.col("after_db"))
+    """Level of each bin before less that after, from one pass."""
+
+    def one(x: np.ndarray) -> list[tuple]:
+        return [tuple(dsp.to_db(np.abs(dsp.one_sided(v, dsp.window("hamming", len(v)), nfft))) for v in (x, dsp.apply_fir(x, b)))]
+
+    d = per_recording(recordings, one, "before_db array<double>, after_db array<double>").select("rec_id", F.posexplode(F.arrays_zip("before_db", "after_db")).alias("k", "z"))
+    return d.select("rec_id", "k", (F.col("k") * float(fs) / nfft).alias("f_hz"), "z.before_db", "z.after_db", (F.col("z.before_db") - F.col("z.after_db")).alias("attenuation_db"))
 
 
 def resample(recordings: DataFrame, src: int, dst: int) -> DataFrame:

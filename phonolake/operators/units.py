@@ -23,12 +23,12 @@ def normalize_text(text: Column) -> Column:
 
 def tokens_to_units(tokens: DataFrame, inventory: DataFrame) -> DataFrame:
     """(sent_id, pos, token) and (token, unit) -> the rows that have units, with them."""
-    return tokens.join(F.broadcast(inventory.select("token", "unit")), "token").select("sent_id", "pos", "token", "unit")
+    return tokens.join(inventory.select("token", "unit"), "token").select("sent_id", "pos", "token", "unit")
 
 
 def oov_report(tokens: DataFrame, inventory: DataFrame) -> DataFrame:
     """How often each token occurs that no unit has."""
-    return tokens.join(F.broadcast(inventory.select("token")), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.join(inventory.select("token"), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def target_price() -> Column:
@@ -49,11 +49,13 @@ def lattice_edges(positions: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, ["sent_id", "pos"]).join(edges, ["left", "right"], "left").fillna(0.0, ["join_cost"])
 
 
-def unit_selection(positions: DataFrame, edges: DataFrame, weight: float = 1.0, buckets: int = 64) -> DataFrame:
+def unit_selection(positions: DataFrame, edges: DataFrame, weight: float = 1.0, bucket_rows: int = 20_000) -> DataFrame:
     """(sent_id, pos, unit, candidate, target_cost) and (left, right, join_cost) -> (sent_id, cost, path), the least sum.
 
-    Sentences are dealt into buckets, and all sentences of a bucket take each step together. The first candidate wins ties.
+    Sentences are dealt into buckets of about so many rows, and all sentences of a bucket take each step together. The first
+    candidate wins ties.
     """
+    buckets = max(1, -(-positions.count() // bucket_rows))
     pairs = lattice_edges(positions, edges).select("sent_id", (F.col("pos") + 1).alias("pos"), F.col("c_right").alias("candidate"), "c_left", "join_cost")
     d = positions.select("sent_id", "pos", "candidate", "target_cost").join(pairs, ["sent_id", "pos", "candidate"], "left")
     d = d.withColumn("bucket", F.pmod(F.xxhash64("sent_id"), F.lit(buckets)))
@@ -201,7 +203,7 @@ def parametric_tracks(tokens: DataFrame, profiles: DataFrame, fps: float = 100.0
     Three states take a quarter, a half and a quarter of a token's frames. Tracks are moving averages of 5 (f0, energy) or 7
     frames, reflected at the sentence's ends.
     """
-    d = tokens.join(F.broadcast(profiles), "token")
+    d = tokens.join(profiles, "token")
     d = d.withColumn("frames", F.greatest(F.lit(3), F.rint(F.col("dur_ms") / 1000 * duration_scale * fps).cast("int")))
     a, b = F.rint(F.col("frames") * 0.25).cast("int"), F.rint(F.col("frames") * 0.5).cast("int")
     lens = F.array(a, b, F.col("frames") - a - b)

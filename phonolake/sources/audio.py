@@ -50,6 +50,12 @@ def read_wav(spark: SparkSession, path: str, *, target_fs: int | None = None, pe
 
     With target_fs the mono samples are resampled, with peak they are scaled to it.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+    return decode_wav(files, target_fs=target_fs, peak=peak)
+
+
+def decode_wav(files: DataFrame, *, target_fs: int | None = None, peak: float | None = None) -> DataFrame:
+    """read_wav for (path, content), wherever these are stored."""
     from phonolake.functions.dsp import resample
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +72,6 @@ def read_wav(spark: SparkSession, path: str, *, target_fs: int | None = None, pe
                 out.append((p.rsplit("/", 1)[-1][:-4], p, rate, channels, bits, len(mono), len(mono) / rate, bits // 8, len(data), mono.tolist(), x.T.tolist()))
             yield pd.DataFrame(out, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(rows, RECORDING)
 
 
@@ -114,6 +119,22 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with headers, that read_csv reads again; arrays become their numbers or words with spaces between them."""
+    flat = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes]
+    df.select(*flat).write.csv(path, header=True, mode="overwrite")
+
+
+def write_csv_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table under its name."""
+    for name, df in tables.items():
+        write_csv(df, f"{folder}/{name}.csv")
+
+
+def read_csv_tables(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    return {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in schemas.items()}
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(word, phones) from lines "word phone phone ..."; blank lines, lines that begin with # and words alone are left out, and the last line
     of a word holds. Lines are ordered by file and place."""

@@ -8,7 +8,6 @@ import pytest
 from phonolake.jobs import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"unit_selection", "cost_report"}
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +23,7 @@ def rows(df):
     return sorted((tuple(None if x != x else round(x, 5) if isinstance(x, float) else x for x in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(registry.ORACLE_SQL[name]).fetchdf()
