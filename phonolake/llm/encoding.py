@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +15,7 @@ import public_tokenizers
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps, and the length beyond which a piece is not kept.
-KEEP, KEEP_CHARS = 300_000, 64
+KEEP, KEEP_CHARS = 200_000, 64
 # Fixed value: characters that are white space to the vocabulary's pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's pattern never goes on over the end of one of these: what is not white space, with a space right before
@@ -130,3 +132,5 @@ def slices(batches: Iterator, rows: int = 1000, most_bytes: int = 8 << 20) -> It
             else:
                 yield part
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # elsewhere than with glibc
+        ctypes.CDLL(None).malloc_trim(0)

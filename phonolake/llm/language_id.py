@@ -59,7 +59,8 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_i
                 used = np.flatnonzero(c)
                 yield pa.record_batch([pa.array([name] * (len(used) + 1)), pa.array([*used, -1], pa.int32()), pa.array([*c[used], len(group)], pa.int64())], names=["label", "bin", "n"])
 
-    counts = rows.select("label", "text").mapInArrow(count, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(labelled.sparkSession):
+        counts = rows.select("label", "text").mapInArrow(count, "label string, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
     table = counts.pivot(index="label", columns="bin", values="n").fillna(0.0).reindex(columns=range(-1, BINS), fill_value=0.0)
     table = table.drop(columns=-1).sort_index()
     return np.log(table.add(0.5)).sub(np.log(table.sum(axis=1) + 0.5 * BINS), axis=0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import read
+from phonolake.llm.common import checkpointed, read, small_batches
 from phonolake.llm.encoding import Known, slices
 
 WORD_BPE = "word_bpe_49k.json"
@@ -220,6 +220,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, worked out at once with small batches, for two workers hold each."""
+    with small_batches(docs.sparkSession):
+        return checkpointed(_digests(docs))
+
+
+def _digests(docs: DataFrame) -> DataFrame:
     out = decode_bpe(encode_bpe(docs))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
