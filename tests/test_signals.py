@@ -100,6 +100,69 @@ def test_dtw(a, b):
     assert dsp.dtw(x, x)[0] == 0
 
 
+def test_blocks_of_sequences(spark):
+    """Sequences of unlike lengths in small blocks get the least score of each label, as all pairs one by one give it; paths add up."""
+    r = np.random.default_rng(3)
+    seq = lambda: r.integers(0, 4, (int(r.integers(1, 6)), 2)).astype(float)
+    test, tmpl = [(k, "t", seq()) for k in range(11)], [(f"l{k % 3}", k, seq()) for k in range(17)]
+    t = spark.createDataFrame([(k, x, v.tolist()) for k, x, v in test], "rec_id long, truth string, seq array<array<double>>")
+    m = spark.createDataFrame([(x, k, v.tolist()) for x, k, v in tmpl], "label string, tmpl_id long, template array<array<double>>")
+    score = lambda x, y: (w := slow_dtw(x, y))[0] / w[1]
+    for got in models.dtw_recognize(t, m, block=4).collect():
+        x = test[got["rec_id"]][2]
+        least = sorted((min(score(x, v) for n, _, v in tmpl if n == name), name) for name in ("l0", "l1", "l2"))
+        assert (got["top1_score"], got["top2_score"]) == (pytest.approx(least[0][0]), pytest.approx(least[1][0])) and got["truth"] == "t"
+        assert least[0][0] == pytest.approx(next(s for s, n in least if n == got["top1_label"]))
+    assert models.dtw_recognize(t.filter("1 = 0"), m).count() == 0 == models.dtw_recognize(t, m.filter("1 = 0")).count()
+    pairs = spark.createDataFrame([(k, test[k][2].tolist(), tmpl[k][2].tolist()) for k in range(11)], "k long, seq array<array<double>>, template array<array<double>>")
+    for got in models.dtw_pairs(pairs, with_path=True).collect():
+        x, y, path = test[got["k"]][2], tmpl[got["k"]][2], [(p["i"], p["j"]) for p in got["path"]]
+        assert path[0] == (0, 0) and path[-1] == (len(x) - 1, len(y) - 1) and len(path) == got["path_length"]
+        assert all((b[0] - a[0], b[1] - a[1]) in ((1, 0), (0, 1), (1, 1)) for a, b in zip(path, path[1:], strict=False))
+        assert sum(np.linalg.norm(x[i] - y[j]) for i, j in path) == pytest.approx(got["cost"])
+
+
+def test_first_rows_and_reject_threshold(spark):
+    from phonolake.functions.columns import first_rows
+    from phonolake.operators import evaluation
+
+    rows = [(f"l{k % 3}", (7 * k) % 101) for k in range(101)]
+    got = first_rows(spark.createDataFrame(rows, "label string, rec_id long"), "label", "rec_id", 4, ways=5).collect()
+    assert sorted((r["label"], r["rec_id"]) for r in got) == [x for n in ("l0", "l1", "l2") for x in sorted(v for v in rows if v[0] == n)[:4]]
+    r = np.random.default_rng(2)
+    for scores in (r.normal(size=500), np.round(r.normal(size=300)), np.full(20, 3.0), np.array([1.5])):
+        d = spark.createDataFrame([("a", "a", float(x)) for x in scores] + [("a", "b", -99.0)], "truth string, pred string, score double")
+        for share in (0.05, 0.5, 1.0):
+            one = evaluation.reject_threshold(d, share, bins=16).first()
+            assert one["n"] == len(scores) and one["threshold"] == pytest.approx(np.quantile(scores, share))
+
+
+def test_thresholds_against_counting(spark):
+    r = np.random.default_rng(8)
+    trials = [(float(np.round(x, 2)), int(g)) for x, g in zip(r.uniform(-1, 1, 300), r.integers(0, 2, 300), strict=True)] + [(-1.0, 0), (1.0, 1), (0.1, 0), (0.1, 1)]
+    got = speakers.threshold_sweep(spark.createDataFrame(trials, "score double, genuine int"), 21, 50).collect()
+    assert len(got) >= 70
+    for row in got:
+        t = row["theta"]
+        assert row["far"] == pytest.approx(np.mean([s >= t for s, g in trials if not g])) and row["frr"] == pytest.approx(np.mean([s < t for s, g in trials if g]))
+
+
+def test_pitch_under_a_hann_window(spark):
+    x = np.sin(2 * np.pi * 20 * np.arange(200) / 1000)
+    d = frames.hann_pitch(frames.frame_signal(recordings(spark, a=x), 1000, 150, 50, None), 1000, 10, 100).collect()
+    assert len(d) == 2 and all(abs(r["f0"] - 20) < 1.5 for r in d)
+
+
+def test_csv_and_phases(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, [1, 2]), ("b,c", 2, None)], "k string, n int, v array<int>")
+    audio.write_csv_tables({"t": d}, str(tmp_path))
+    back = audio.read_csv_tables(spark, str(tmp_path), {"t": "k string, n int, v string"})["t"]
+    assert sorted(tuple(r) for r in back.collect()) == [("a", 1, "1 2"), ("b,c", 2, None)]
+    taps = spectral.fir_taps(spark, "lowpass", 100, 1000, 21)
+    r = spectral.filter_response(taps, 1000, 32).orderBy("f_hz").toPandas()
+    assert np.allclose(r["delay"][:6], 10) and np.allclose(r["phase_deg"][:6], -360 * r["f_hz"][:6] / 1000 * 10)
+
+
 def test_dtw_of_a_stretched_sequence():
     assert dsp.dtw(np.array([[0.0], [1], [2]]), np.array([[0.0], [1], [1], [2]]))[0] == 0
 
@@ -157,7 +220,7 @@ def test_unit_selection_against_all_paths(spark):
     join = {(a, b): float(r.integers(0, 9)) for a in (1, 2, 3) for b in (1, 2, 3)}
     pos = spark.createDataFrame([(s, p, "u", c, t) for (s, p, c), t in target.items()], "sent_id long, pos int, unit string, candidate int, target_cost double")
     edges = spark.createDataFrame([(f"u#{a}", f"u#{b}", j) for (a, b), j in join.items()], "left string, right string, join_cost double")
-    for row in units.unit_selection(pos, edges, buckets=2).collect():
+    for row in units.unit_selection(pos, edges, bucket_rows=20).collect():
         places = range(row["sent_id"] + 1, 5)
         cost = lambda path: sum(target[row["sent_id"], p, c] for p, c in zip(places, path, strict=True)) + sum(join[x] for x in zip(path, path[1:], strict=False))  # noqa: B023, E731
         assert row["cost"] == min(map(cost, itertools.product((1, 2, 3), repeat=len(places)))) == cost(tuple(row["path"]))
