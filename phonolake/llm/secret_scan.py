@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import read
+from phonolake.llm.common import checkpointed, read
 from phonolake.llm.encoding import slices
 
 # The base patterns and the order of the kinds.
@@ -140,7 +140,8 @@ def word_ranks(docs: DataFrame, *, text: str = "text", dict_words: int = 50_000,
     """The most frequent words of all texts with their ranks, a guesser's list: dict_words of them at most, and those of COMMON.
 
     A word is a text between white space in lower case, without MARKS around it, that is SHORTEST to LONGEST letters and
-    comes least_count times; ties rank by code points. The list, of bounded size, is what the driver gets.
+    comes least_count times; ties rank by code points. Words are as many as fit by whole bands of counts (16 to a doubling): of a
+    band that does not fit whole none is taken. The driver gets the bands' sizes and the list, both of bounded size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,15 @@ def word_ranks(docs: DataFrame, *, text: str = "text", dict_words: int = 50_000,
             yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
-    ranks = {r["word"]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(dict_words).collect(), 1)}
+    counts = checkpointed(counts.withColumn("band", F.floor(16 * F.log2("n")).cast("int")))
+    least, words = 1 << 30, 0
+    for r in sorted(counts.groupBy("band").agg(F.count("*").alias("words")).collect(), reverse=True):
+        words += r["words"]
+        if words > dict_words:
+            break
+        least = r["band"]
+    found = sorted((-r["n"], r["word"]) for r in counts.filter(F.col("band") >= least).collect())
+    ranks = {w: k for k, (_, w) in enumerate(found, 1)}
     return {w: min(ranks.get(w, k), k) for w, k in RANK.items()} | {w: k for w, k in ranks.items() if w not in RANK}
 
 
