@@ -112,7 +112,8 @@ def _offsets(a: pa.Array) -> np.ndarray:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media are written as a table in the shared folder, from which the result is read."""
     path = shared_folder(spark, "media")
-    store_media(read(spark, sf_dir, "documents")).write.parquet(path)
+    # zstd takes up the prefix codes that all images begin with
+    store_media(read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
     out = load_media(spark.read.parquet(path))
     return out.select(
         "doc_id",

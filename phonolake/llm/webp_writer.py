@@ -1,13 +1,14 @@
 """A deterministic writer of lossless WebP images of one width, many at a time.
 
 Each image is written by itself: equal pixels give equal bytes, whatever else is in the batch. An image of few colours gets a
-palette. Any other gets a predictor for each block, that with the least sum of absolute residuals, then the cross-colour
-factors with the least sum for each block. What is left is written as back-references to the pixels' last occurrence,
+palette. Any other gets a predictor for each block, that whose residuals take the least bits, then the cross-colour
+factors with the least bits for each block. What is left is written as back-references to the pixels' last occurrence,
 colour cache hits and literals, with fixed prefix codes.
 """
 
 from __future__ import annotations
 
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -23,26 +24,44 @@ BLOCK_BITS, CACHE_BITS = 5, 6
 SHORTEST, LONGEST = 4, 4096
 
 
-def residual_lengths(symbols: int) -> list[int]:
-    """Code lengths of bytes that are differences of text bytes, mostly small or of a letter and a space; what is beyond 256 is rare."""
-    lengths = [0] * symbols
-    for k in range(256):
-        size = min(k, 256 - k)
-        if size < 16:
-            lengths[k] = 6
-        elif size < 28:
-            lengths[k] = 7
-        elif 64 <= size < 96:
-            lengths[k] = 8
-    lengths[240], lengths[228] = 6, 7  # 32 of 6 bits: 1/2, 24 of 7 bits: 3/16, 64 of 8 bits: 1/4
-    left = 15 / 16 - sum(2.0**-n for n in lengths if n)
-    rest = [k for k, n in enumerate(lengths) if not n]
-    for k, n in zip(rest, spread(len(rest)), strict=True):
-        lengths[k] = 4 + n
-    assert left == 0 and sum(2.0**-n for n in lengths) == 1
+# Letters of prose, the most frequent first.
+LETTERS = b"etaoinsrhldcumfpgwybvkxjqz"
+
+
+@lru_cache(maxsize=1)
+def residual_weights() -> np.ndarray:
+    """How often differences of two bytes of prose come: letters by rank, spaces, marks, capitals, digits, other scripts and padding."""
+    p = np.full(256, 1e-4)
+    p[list(LETTERS)] = 0.72 * np.array([1 / (k + 4) for k in range(26)]) / sum(1 / (k + 4) for k in range(26))
+    p[0x20], p[0x0A], p[[0x2E, 0x2C]] = 0.16, 0.008, 0.01
+    p[0x41:0x5B] += 0.02 / 26
+    p[0x30:0x3A] += 0.02 / 10
+    p[0x80:0xC6] += 0.03 / 70
+    p[0xFF] += 0.02
+    p /= p.sum()
+    return np.array([p @ np.roll(p, r) for r in range(256)])
+
+
+def huffman(weights: list[float]) -> list[int]:
+    """Code lengths; of equal weights the earlier ones are merged first."""
+    heap = [(w, k, [k]) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    lengths = [0] * len(weights)
+    while len(heap) > 1:
+        (a, _, x), (b, k, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in x + y:
+            lengths[symbol] += 1
+        heapq.heappush(heap, (a + b, len(weights) + k, x + y))
     return lengths
 
 
+def residual_lengths(symbols: int) -> list[int]:
+    """Code lengths of bytes that are differences of bytes of prose; symbols beyond 256 take 6 percent of the places."""
+    w = residual_weights() + 3e-5
+    rest = symbols - 256
+    return huffman([*(w / w.sum() * (0.94 if rest else 1)).tolist(), *([0.06 / rest] * rest if rest else [])])
+
+
 def reversed_bits(codes: dict[int, tuple[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each symbol in the order of the stream, and how many."""
     bits, size = np.zeros(symbols, dtype=np.uint64), np.zeros(symbols, dtype=np.int64)
@@ -141,13 +160,15 @@ def block_sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.add.reduceat(x, np.arange(0, x.shape[1], 1 << BLOCK_BITS), axis=1, dtype=np.int64), begins, axis=0)
 
 
-def magnitude(x: np.ndarray) -> np.ndarray:
-    return np.minimum(x, (0 - x).astype(np.uint8))
+@lru_cache(maxsize=1)
+def costs() -> np.ndarray:
+    """Bits that each byte of what is left takes."""
+    return np.array(residual_lengths(256), dtype=np.uint8)
 
 
 def least(candidates: list[np.ndarray], begins: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of arrays of bytes (rows x width, or x 4) that with the least sum of magnitudes for each block: its number, images x blocks, and the bytes."""
-    flat = lambda v: magnitude(v).astype(np.int32).sum(axis=2) if v.ndim == 3 else magnitude(v)
+    """Of arrays of bytes (rows x width, or x 4) that with the least bits for each block: its number, images x blocks, and the bytes."""
+    flat = lambda v: costs()[v].sum(axis=2, dtype=np.uint8) if v.ndim == 3 else costs()[v]
     best = np.stack([block_sums(flat(v), begins) for v in candidates]).argmin(axis=0)
     at = np.repeat(np.repeat(best, heights, axis=0), 1 << BLOCK_BITS, axis=1)[:, : candidates[0].shape[1]]
     out = candidates[0].copy()
