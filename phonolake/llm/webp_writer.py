@@ -17,7 +17,7 @@ from phonolake.llm.webp import CACHE_HASH, CROSS_COLOUR, DISTANCES, LENGTHS, NEA
 
 #: Colours of a palette at most; predictors and factors to choose from (the first wins ties); blocks of 32 x 32 pixels.
 COLOURS = 16
-MODES = (1, 2, 7, 11)
+MODES = (1, 2, 4, 11)
 GREEN_TO_RED, GREEN_TO_BLUE, RED_TO_BLUE = (0, 8, -8, 16), (0, 8, -8, 16), (0, 8)
 BLOCK_BITS, CACHE_BITS = 5, 6
 #: Pixels that a back-reference copies at least, and at most by the format.
@@ -147,7 +147,7 @@ def predictions(x: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     l, t, c = (v.astype(np.int16) for v in (left, up, corner))  # noqa: E741
     nearer = np.abs(t - c).sum(axis=-1, keepdims=True) < np.abs(l - c).sum(axis=-1, keepdims=True)  # of l + t - c to l than to t
     out = []
-    for p in (left, up, ((l + t) >> 1).astype(np.uint8), np.where(nearer, left, up)):
+    for p in (left, up, corner, np.where(nearer, left, up)):
         p = p.copy()
         p[:, 0] = up[:, 0]
         p[first] = left[first]
