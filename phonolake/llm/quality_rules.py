@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from phonolake.llm.common import SPACES, WORD, fresh, read
 from phonolake.llm.line_dedup import line_key, lines_of
@@ -107,23 +106,22 @@ def quality_rules(
     over line_pct percent of the host's documents; drop_hot_lines gives the texts that are left. A document is depleted, and not kept, if under min_left_pct percent of its
     words are left; base_failed documents are not kept either. Each row is a
     document, repeated rows too. Null texts have no words and fail; null hosts are
-    one host, and null ids are ids like any other. No rows: none come back. Other columns of docs are not looked at.
+    one host, and null ids are ids like any other; empty and very long texts are texts like any other. No rows: none come back. Other columns of docs are not looked at.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"))
     counts = text_counts(d, F.col("text"), "doc_id", "rid", "host")
     own = d.select("doc_id", "rid", "host", worded(F.col("text")).alias("lines"))
     hot = hot_lines(d, line_docs, line_pct)
-    rows = own.select("doc_id", "rid", "host", F.explode("lines").alias("line"))
-    rows = rows.select("doc_id", "rid", "host", F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), line_key(F.col("line")).alias("key"))
-    rows = rows.select("doc_id", "rid", "host", "words", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+    rows = own.select("doc_id", "rid", "host", F.posexplode("lines").alias("pos", "line"))
+    rows = rows.select("doc_id", "rid", "host", "pos", F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), line_key(F.col("line")).alias("key"))
+    rows = rows.select("doc_id", "rid", "host", "pos", "words", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     drop = rows.join(hot, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left_semi")
-    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("host").alias("_host")).agg(F.sum("words").alias("hot_words"), F.count("*").alias("hot_lines"))
-    # rows of one id, host and text have their lines counted together here
-    counts = counts.withColumn("times", F.count("*").over(W.partitionBy("doc_id", "rid", "host")))
+    # rows of one id, host and text have the same lines at the same places
+    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("host").alias("_host")).agg(F.collect_set(F.struct("pos", "words")).alias("hot"))
     out = counts.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")) & F.col("host").eqNullSafe(F.col("_host")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
-    left = F.col("n_words") - F.coalesce(F.col("hot_words") / F.col("times"), F.lit(0))
-    out = out.withColumn("base_failed", failed).withColumn("n_hot_lines", F.coalesce(F.col("hot_lines") / F.col("times"), F.lit(0)).cast("long")).withColumn("n_left_words", left.cast("long"))
+    left = F.col("n_words") - F.coalesce(F.aggregate("hot", F.lit(0), lambda a, x: a + x["words"]), F.lit(0))
+    out = out.withColumn("base_failed", failed).withColumn("n_hot_lines", F.when(F.col("hot").isNotNull(), F.size("hot")).otherwise(0).cast("long")).withColumn("n_left_words", left.cast("long"))
     kept = ~F.col("base_failed") & (F.col("n_left_words") * 100 >= F.col("n_words") * min_left_pct)
     return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_hot_lines", "n_left_words")
 
