@@ -1,85 +1,87 @@
-"""Token ids of whole texts, as the tokenizers library gives them for a byte-level BPE vocabulary."""
+"""Token ids of whole texts, as the tokenizers library gives them."""
 
 from __future__ import annotations
 
+import base64
 import ctypes
 import os
-import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 
-BYTE_BPE = "byte_bpe_50k.json"
+#: The byte-level vocabulary, in the form of each library.
+BYTE_BPE = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+#: Characters of a word, or of white space beyond one between words, from which on a text is left to the tokenizers library.
+RUN = 4096
 #: Pieces whose ids a worker keeps, and the length beyond which a piece is not kept.
 KEEP, KEEP_CHARS = 200_000, 64
-# Fixed value: characters that are white space to the vocabulary's pattern.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's pattern never goes on over the end of one of these: what is not white space, with a space right before
-#: it; white space up to its last character, or all of it at the end; that last character, if it is no space.
-PIECE = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
 
 
-def vocabulary() -> str:
-    return public_tokenizers.path(BYTE_BPE)
+def vocabulary() -> tuple[str, str]:
+    return tuple(map(public_tokenizers.path, BYTE_BPE))
 
 
 class ByteEncoder:
     """The ids that the tokenizers library gives for its file, added tokens in the text included.
 
-    A text is cut where the vocabulary's pattern cuts it whatever stands around, so its ids are those of its pieces; the library
-    encodes each distinct piece once, and ids of short ones are kept from batch to batch. Texts with an added token's
-    string, which is found before all else, go to the library as a whole.
+    The same vocabulary as ranks gives the same ids in a part of the time. The tokenizers library itself gets texts with an added
+    token's string, which is found before all else, and those with long runs: splitting these by the pattern with the other
+    library needs a stack that grows with the run, and ends in an error.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, tokenizer_file: str, ranks_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(file)
+        with open(ranks_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = Tokenizer.from_file(tokenizer_file)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known = Known(self.whole)
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text its ids; none for no text."""
-        return [np.frombuffer(x, dtype="<u4") for x in self.packed(texts)]
+    def plain(self, text: str) -> bool:
+        words = text.split()
+        sizes = list(map(len, words))
+        return max(sizes, default=0) < RUN and len(text) - sum(sizes) < len(words) + RUN and not any(t in text for t in self.added)
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        """The same as bytes of little-endian 32-bit integers."""
-        whole = [bool(text) and any(t in text for t in self.added) for text in texts]
-        out = self.known.ids([PIECE.findall(text) if text and not w else [] for text, w in zip(texts, whole, strict=True)])
-        for k, w in enumerate(whole):
-            if w:
-                out[k] = encoded(self.whole, [texts[k]])[0]
-        return out
+        """For each text its ids as little-endian 32-bit integers; none for no text."""
+        quick = self.quick.encode_to_numpy
+        return [b"" if not t else quick(t, disallowed_special=()).tobytes() if self.plain(t) else encoded(self.whole, [t])[0] for t in texts]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype="<u4") for x in self.packed(texts)]
 
 
 class Known:
-    """Ids of pieces, kept from batch to batch: those of the first KEEP that come and are short, which frequent ones are among.
+    """Ids of pieces, kept from batch to batch: those of the first keep that come and are short, which frequent ones are among.
 
-    Once there are so many, and more than half of a batch's are others, for instance in another language, it begins anew.
+    Once there are so many, and more than half of a batch's words are others, for instance in another language, it begins anew.
     """
 
-    def __init__(self, tokenizer, keep: int = KEEP) -> None:
-        self.tokenizer, self.keep, self.known = tokenizer, keep, {}
+    def __init__(self, tokenizer, text_of: Callable, keep: int = KEEP) -> None:
+        self.tokenizer, self.text_of, self.keep, self.known = tokenizer, text_of, keep, {}
 
     def ids(self, texts: list[list]) -> list[bytes]:
-        """For texts as lists of pieces (all str or all UTF-8 bytes) their ids as little-endian 32-bit integers."""
+        """For texts as lists of pieces, of which text_of gives the text, their ids as little-endian 32-bit integers."""
         known, pieces = self.known, set().union(*texts)
         new = [p for p in pieces if p not in known]
         if len(known) >= self.keep and 2 * len(new) > len(pieces):
             known.clear()
             new = list(pieces)
         new.sort(key=len)  # long ones last
-        room = min(self.keep - len(known), bisect_right(new, KEEP_CHARS, key=len))
-        known.update(zip(new, encoded(self.tokenizer, [p if isinstance(p, str) else p.decode() for p in new]), strict=True))
+        short = bisect_right(new, KEEP_CHARS, key=len)
+        room = max(min(self.keep - len(known), short), 0)
+        known.update(zip(new, encoded(self.tokenizer, list(map(self.text_of, new))), strict=True))
         out = [b"".join(map(known.__getitem__, t)) for t in texts]
-        for p in new[max(room, 0) :]:
+        for p in new[room:]:
             del known[p]
         return out
 
@@ -112,9 +114,9 @@ def encoded(tokenizer, pieces: list[str], most_chars: int = 1 << 20) -> list[byt
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str) -> ByteEncoder:
+def encoder(tokenizer_file: str, ranks_file: str) -> ByteEncoder:
     """One in each worker."""
-    return ByteEncoder(file)
+    return ByteEncoder(tokenizer_file, ranks_file)
 
 
 def slices(batches: Iterator, rows: int = 1000, most_bytes: int = 8 << 20) -> Iterator:

@@ -16,16 +16,16 @@ from phonolake.llm.encoding import encoder, slices, vocabulary
 BLOCK = 1024
 
 
-def lengths(docs: DataFrame, *, text: str = "text", file: str | None = None) -> DataFrame:
+def lengths(docs: DataFrame, *, text: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
     """The encoded length of each text as n_tokens, a row for each row of docs, repeated ones too; a null or empty text has 0.
 
     Texts are encoded whole, however long. No rows: none come back. Other columns of docs are not looked at.
     """
-    file = file or vocabulary()
+    files = files or vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file)
-        for batch in slices(batches):
+        own = encoder(*files)
+        for batch in slices(batches, 2500):
             yield pa.record_batch([pa.array([len(x) >> 2 for x in own.packed(batch.column(0).to_pylist())], pa.int64())], names=["n_tokens"])
 
     return docs.select(text).mapInArrow(count, "n_tokens long")

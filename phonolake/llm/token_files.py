@@ -11,25 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from phonolake.llm.common import read, shared_folder
+from phonolake.llm.common import checkpointed, read, shared_folder
 from phonolake.llm.encoding import encoder, slices, vocabulary
 
 #: Stripes of 16 MB let many tasks share a file; each 10,000 rows have an index entry and a Bloom filter.
 ORC_OPTIONS = {"orc.stripe.size": 16 << 20, "orc.row.index.stride": 10_000, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "compression": "zstd"}
 
 
-def token_ids(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, file: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, files: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of each row of docs, order and partitions kept, repeated rows and null ids too.
 
     A null text is an empty one and has the end id alone; texts are encoded whole, however long. No rows: none come
     back. Other columns of docs are not looked at.
     """
-    file = file or vocabulary()
+    files = files or vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file)
+        own = encoder(*files)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 2500):
             each = own.packed(batch.column("text").to_pylist())
             ends = np.cumsum([0, *(len(x) + len(end) >> 2 for x in each)])
             ids = np.frombuffer(b"".join([p for x in each for p in (x, end)]), dtype="<i4")
@@ -38,7 +38,7 @@ def token_ids(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", en
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, file: str | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int | None = 2, files: tuple[str, str] | None = None) -> None:
     """Writes (doc_id, ids) of docs as ORC, ids ascending within and across files, null ids first.
 
     Texts are dealt out by ranges of doc_id (then of a hash of the text, so that one id can't fill a task) and sorted
@@ -47,7 +47,7 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", doc_id:
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64(F.lit(7), "text"))
     d = d.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
-    token_ids(d, end_id=end_id, file=file).write.format("orc").options(**ORC_OPTIONS).save(path)
+    token_ids(d, end_id=end_id, files=files).write.format("orc").options(**ORC_OPTIONS).save(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +65,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([batch.column("file"), batch.column("place"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
 
     stored = spark.read.schema("doc_id long, ids array<int>").orc(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"), "doc_id", "ids")
-    rows = stored.mapInArrow(digest, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
+    # a few numbers for each document, read twice below
+    rows = checkpointed(stored.mapInArrow(digest, "file string, place long, doc_id long, n_tokens long, ids_crc32 long"))
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"), F.min(F.struct("doc_id", "file")).alias("first"))
     before = sums.withColumn("before", F.sum("in_file").over(W.orderBy("first")) - F.col("in_file")).select("file", "before")
     inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "place").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")

@@ -44,7 +44,7 @@ def tokenizer(file: str):
 @lru_cache(maxsize=2)
 def words_of(file: str) -> Known:
     """The ids of words, one table in each worker."""
-    return Known(tokenizer(file))
+    return Known(tokenizer(file), bytes.decode)
 
 
 @dataclass

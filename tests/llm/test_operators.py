@@ -297,8 +297,8 @@ def test_token_files(spark, odd, empty, tmp_path):
 
 
 def test_ids_of_any_text():
-    """Pieces give the ids of the whole text: random white space, marks, contractions, added tokens, and runs of a million characters."""
-    own, r = encoding.encoder(encoding.vocabulary()), random.Random(11)
+    """Ids are those of the library: random white space, marks, contractions, added tokens, and runs of a million characters."""
+    own, r = encoding.encoder(*encoding.vocabulary()), random.Random(11)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     signs = [" ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "'s", "'LL", "'", "don't", "a", "Word", "é", "e\u0301", "\u0301", "12", "٣", "日本", "🇩🇪", "!?", "_", "\0", "<|endoftext|>", "<|endof"]
     texts = ["".join(r.choice(signs[:-2] if k % 4 else signs) for _ in range(r.randint(0, 60))) for k in range(4000)]
@@ -310,12 +310,13 @@ def test_ids_of_any_text():
 def test_known_pieces():
     """The table stays within its bound, begins anew among other pieces, and gives what each piece has by itself."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known, r = encoding.Known(t, 50), random.Random(3)
+    known, r = encoding.Known(t, str, 50), random.Random(3)
     for k in range(30):
         texts = [[" " + "".join(r.choices("abcé" if k < 20 else "xyzß", k=r.randint(1, 3))) for _ in range(40)] + ["<|endoftext|>", "a<|endoftext|>b"] * (k % 2) + ["long" * 40] for _ in range(3)]
         for text, got in zip(texts, known.ids(texts), strict=True):
             assert np.frombuffer(got, dtype="<u4").tolist() == [i for p in text for i in t.encode(p, add_special_tokens=False).ids]
         assert len(known.known) <= 50 and "long" * 40 not in known.known
+    assert all(x.startswith(" ") and x[1] in "xyzß" for x in known.known)
     assert known.ids([]) == [] and known.ids([[]]) == [b""]
     assert encoding.encoded(t, ["a", "", "b c"], most_chars=1) == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("a", "", "b c")]
 
