@@ -523,7 +523,7 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("rec_id") * 64 + F.col("n")).alias("n")
     a = clean.select(at, "x")
     b = clean.select(at, F.when(F.pmod(F.xxhash64("rec_id"), F.lit(2)) == 0, F.abs("x")).otherwise(-F.abs("x")).alias("x"))
-    parts = I.source_correlation(I.resolve_ica(I.fast_ica(I.mix_sources(a, b)))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("separation_corr"))
+    parts = I.source_correlation(I.resolve_ica(I.fast_ica(I.mix_sources(a, b), max_iter=30))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("separation_corr"))
     empty = F.lit(None).cast("double")
     out = parts.select(empty.alias("accuracy_pct"), empty.alias("mean_margin"), empty.alias("far"), empty.alias("frr"), F.lit(None).cast("long").alias("n"), F.lit("separated").alias("version"), "separation_corr")
     for name, r in versions.items():
