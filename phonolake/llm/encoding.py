@@ -26,14 +26,14 @@ def vocabulary() -> tuple[str, str]:
 
 
 class ByteEncoder:
-    """The ids that the tokenizers library gives for its file, added tokens in the text included.
+    """The ids that the tokenizers library gives for its file, added tokens in the text included, unless their strings are plain_specials.
 
     The same vocabulary as ranks gives the same ids in a part of the time. The tokenizers library itself gets texts with an added
     token's string, which is found before all else, and those with long runs: splitting these by the pattern with the other
     library needs a stack that grows with the run, and ends in an error.
     """
 
-    def __init__(self, tokenizer_file: str, ranks_file: str) -> None:
+    def __init__(self, tokenizer_file: str, ranks_file: str, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import tiktoken
         from tokenizers import Tokenizer
@@ -44,7 +44,8 @@ class ByteEncoder:
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.whole.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
 
     def plain(self, text: str) -> bool:
         words = text.split()
