@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from phonolake.llm.common import SPACES, WORD, fresh, read
 from phonolake.llm.line_dedup import line_key, lines_of
@@ -68,17 +67,14 @@ def worded(text: Column) -> Column:
     return F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
-def hot_lines(d: DataFrame, line_docs: int, line_pct: int) -> DataFrame:
-    """(host, text) -> (_host, _h, _g): hashes of the lines that at least line_docs rows of a host have, over line_pct percent of its rows."""
+def hot_lines(d: DataFrame, line_docs: int) -> DataFrame:
+    """(host, text) -> (_host, _h, _g): hashes of the lines that at least line_docs rows of a host have, however many rows the host has."""
     keys = d.select("host", F.explode(F.array_distinct(F.transform(worded(F.col("text")), line_key))).alias("key")).select("host", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     found = keys.groupBy("host", "h", "g").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
-    if line_pct:
-        sizes = d.groupBy("host").agg(F.count("*").alias("host_docs"))
-        found = found.join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") * 100 > F.col("host_docs") * line_pct)
     return found.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.col("g").alias("_g"))
 
 
-def drop_hot_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", line_docs: int = 10, line_pct: int = 0) -> DataFrame:
+def drop_hot_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", line_docs: int = 10) -> DataFrame:
     """docs with text without its hot lines, which quality_rules counts; other columns and all rows stay.
 
     Lines without a word stay. A null text stays null, and one that loses all lines becomes empty.
@@ -88,7 +84,7 @@ def drop_hot_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(host).alias("host"), F.col(text).alias("text"))
     rows = d.select("doc_id", "rid", "host", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).filter(F.btrim("line", F.lit(SPACES)) != "")
     rows = rows.select("doc_id", "rid", "host", "pos", line_key(F.col("line")).alias("key")).select("doc_id", "rid", "host", "pos", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
-    drop = rows.join(hot_lines(d, line_docs, line_pct), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left_semi")
+    drop = rows.join(hot_lines(d, line_docs), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left_semi")
     # rows of one id, host and text have the same places
     drop = drop.groupBy(F.col("doc_id").alias(own_id), F.col("rid").alias(own_rid), F.col("host").alias(own_host)).agg(F.array_sort(F.collect_set("pos")).alias(at))
     out = docs.join(drop, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(rid) == F.col(own_rid)) & F.col(host).eqNullSafe(F.col(own_host)), "left").withColumn(all_lines, lines_of(F.col(text)))
@@ -99,56 +95,51 @@ def drop_hot_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
 
 def quality_rules(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, line_pct: int = 0, min_left_pct: int = 50
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, min_left_pct: int = 50
 ) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, n_hot_lines, n_left_words and kept.
 
-    A line with a word is removed if at least line_docs documents of its host have it and, where line_pct is given, these are
-    over line_pct percent of the host's documents; drop_hot_lines gives the texts that are left. A document is depleted, and not kept, if under min_left_pct percent of its
-    words are left; base_failed documents are not kept either. Each row is a
-    document, repeated rows too. Null texts have no words and fail; null hosts are
-    one host, and null ids are ids like any other. No rows: none come back. Other columns of docs are not looked at.
+    A line with a word is removed if at least line_docs documents of its host have it; drop_hot_lines gives the texts that are
+    left. A document is depleted, and not kept, if under min_left_pct percent of its words are left; base_failed documents are not
+    kept either. Each row is a document, repeated rows too. Null, empty and blank texts have no words and fail; null hosts are
+    one host, and null ids are ids like any other; very long texts count whole. No rows: none come back. Other columns of docs are not looked at.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"))
     counts = text_counts(d, F.col("text"), "doc_id", "rid", "host")
     own = d.select("doc_id", "rid", "host", worded(F.col("text")).alias("lines"))
-    hot = hot_lines(d, line_docs, line_pct)
-    rows = own.select("doc_id", "rid", "host", F.explode("lines").alias("line"))
-    rows = rows.select("doc_id", "rid", "host", F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), line_key(F.col("line")).alias("key"))
-    rows = rows.select("doc_id", "rid", "host", "words", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
+    hot = hot_lines(d, line_docs)
+    rows = own.select("doc_id", "rid", "host", F.posexplode("lines").alias("pos", "line"))
+    rows = rows.select("doc_id", "rid", "host", "pos", F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), line_key(F.col("line")).alias("key"))
+    rows = rows.select("doc_id", "rid", "host", "pos", "words", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
     drop = rows.join(hot, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left_semi")
-    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("host").alias("_host")).agg(F.sum("words").alias("hot_words"), F.count("*").alias("hot_lines"))
-    # rows of one id, host and text have their lines counted together here
-    counts = counts.withColumn("times", F.count("*").over(W.partitionBy("doc_id", "rid", "host")))
+    # rows of one id, host and text have the same lines at the same places
+    drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("host").alias("_host")).agg(F.collect_set(F.struct("pos", "words")).alias("hot"))
     out = counts.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")) & F.col("host").eqNullSafe(F.col("_host")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
-    left = F.col("n_words") - F.coalesce(F.col("hot_words") / F.col("times"), F.lit(0))
-    out = out.withColumn("base_failed", failed).withColumn("n_hot_lines", F.coalesce(F.col("hot_lines") / F.col("times"), F.lit(0)).cast("long")).withColumn("n_left_words", left.cast("long"))
+    left = F.col("n_words") - F.coalesce(F.aggregate("hot", F.lit(0), lambda a, x: a + x["words"]), F.lit(0))
+    out = out.withColumn("base_failed", failed).withColumn("n_hot_lines", F.when(F.col("hot").isNotNull(), F.size("hot")).otherwise(0).cast("long")).withColumn("n_left_words", left.cast("long"))
     kept = ~F.col("base_failed") & (F.col("n_left_words") * 100 >= F.col("n_words") * min_left_pct)
     return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_hot_lines", "n_left_words")
 
 
 def clean_documents(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, line_pct: int = 0, min_left_pct: int = 50
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", min_words: int = 50, max_repeat_pct: int = 50, line_docs: int = 10, min_left_pct: int = 50
 ) -> DataFrame:
     """quality_rules with the texts: doc_id, host, text without its hot lines, the whole text's counts, base_failed, and n_left_words and
-    kept, which follow from the text that is left."""
+    kept, which follow from the text that is left.
+
+    One row for each row of docs, repeated ones too. A null text stays null, fails and is not kept; one that loses all lines becomes empty. Null ids
+    and hosts, very long texts and empty tables are as quality_rules has them; columns that docs has besides do not come back, whatever their names.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    out = drop_hot_lines(text_counts(d, F.col("text"), "doc_id", "host", "text"), host="host", line_docs=line_docs, line_pct=line_pct)
+    out = drop_hot_lines(text_counts(d, F.col("text"), "doc_id", "host", "text"), host="host", line_docs=line_docs)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     out = out.withColumn("base_failed", failed).withColumn("n_left_words", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") * 100 >= F.col("n_words") * min_left_pct))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As OP2_SQL has it: lines are hot only above five percent of their host's documents too."""
-    return quality_rules(read(spark, sf_dir, "documents"), line_pct=5)
-
-
-def op2_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten documents of a host suffice for a hot line, however large the host: verdicts, and digests of the texts that are left."""
-    out = clean_documents(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_left_words", "base_failed", "kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("left_sha256"))
+    return quality_rules(read(spark, sf_dir, "documents"))
 
 
 OP2_SQL = r"""
@@ -166,10 +157,7 @@ full_lines AS (
     translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-hot AS (
-  SELECT f.source, k FROM full_lines f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-  GROUP BY f.source, k, h.n HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) * 100 > h.n * 5),
+hot AS (SELECT source, k FROM full_lines GROUP BY source, k HAVING count(DISTINCT doc_id) >= 10),
 gone AS (
   SELECT doc_id, sum(words) AS words, count(*) AS n FROM full_lines f
   JOIN hot ON f.source IS NOT DISTINCT FROM hot.source AND f.k = hot.k GROUP BY doc_id),

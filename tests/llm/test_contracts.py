@@ -51,7 +51,26 @@ def test_op1(spark, folder):
 def test_op2(spark, folder):
     want = sorted(((i, *(q := brute_quality(t)), q[0] < 50 or 100 * q[4] > 50 * q[0]) for i, t, *_ in documents()), key=repr)
     out = got(spark, folder, "op2_quality_rules", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    assert [x[:-1] for x in out] == want and not any(x[-1] for x in out if x[-2])
+    assert [x[:-1] for x in out] == want
+    # lines that ten rows of a host share go; under half of the words left, a document goes too
+    strip = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    count, verdicts = {}, []
+    for _, t, _, host, _ in documents():
+        for k in {strip(x) for x in (t or "").split("\n") if words(x)}:
+            count[host, k] = count.get((host, k), 0) + 1
+    for i, t, _, host, _ in documents():
+        n, *_, repeats = brute_quality(t)
+        left = sum(len(words(x)) for x in (t or "").split("\n") if words(x) and count[host, strip(x)] < 10)
+        verdicts.append((i, n, n >= 50 and 100 * repeats <= 50 * n and 2 * left >= n))
+    assert got(spark, folder, "op2_quality_rules", "doc_id", "n_words", "kept") == sorted(verdicts, key=repr)
+
+
+def test_op2_hosts_of_any_size(spark, tmp_path):
+    """A line of ten documents goes from hosts of 199, 201 and 3,000 rows alike, and so do the documents that it leaves with too little."""
+    docs = [(10_000 * n + k, (" ".join(f"s{n}y{j}" for j in range(90)) if k < 10 else "") + f"\n{k} " + " ".join(f"w{k}x{j}" for j in range(60)), "en", f"h{n}", 0) for n in (199, 201, 3000) for k in range(n)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = got(spark, tmp_path, "op2_quality_rules", "doc_id", "n_hot_lines", "n_left_words", "kept")
+    assert out == sorted(((i, int(i % 10_000 < 10), 61, i % 10_000 >= 10) for i, *_ in docs), key=repr)
 
 
 def test_op3(spark, folder):

@@ -208,7 +208,7 @@ def brute_quality(t):
 
 
 def test_quality_rules(spark, odd, empty):
-    got = quality_rules.quality_rules(odd, line_docs=3, line_pct=10)
+    got = quality_rules.quality_rules(odd, line_docs=3)
     want = sorted(((r[0], *(q := brute_quality(r[1])), q[0] < 50 or 100 * q[4] > 50 * q[0]) for r in rows()), key=repr)
     assert records(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
     assert all(not r["kept"] for r in got.filter("base_failed").collect())
@@ -221,7 +221,7 @@ def test_quality_rules(spark, odd, empty):
 
 def test_hot_lines_of_hosts_of_any_size(spark, odd, empty):
     """The same line in ten documents goes from a small host and from a large one, and what is left is given back."""
-    docs = [(1000 * n + k, f"{'Shared  line ' * 30 if k < 10 else f'own {n} {k}'}\nw{n}x{k} " + " ".join(f"a{n}b{k}c{j}" for j in range(30)), f"h{n}") for n in (20, 400) for k in range(n)]
+    docs = [(1000 * n + k, f"{'Shared  line ' * 30 if k < 10 else f'own {n} {k}'}\nw{n}x{k} " + " ".join(f"a{n}b{k}c{j}" for j in range(30)), f"h{n}") for n in (20, 199, 201, 3000) for k in range(n)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     hot = {r["doc_id"]: r for r in quality_rules.quality_rules(d, max_repeat_pct=1000).collect()}
     left = {r["doc_id"]: r for r in quality_rules.clean_documents(d, max_repeat_pct=1000).collect()}

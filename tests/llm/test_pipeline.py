@@ -57,4 +57,4 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
