@@ -136,37 +136,57 @@ def scan(text: str, least_cost: float, ranks: dict[str, int] = RANK) -> tuple[li
     return sorted(found), most
 
 
+def without_credentials(text: str) -> str:
+    """A text in lower case, with a space in place of the values that stand where credentials stand."""
+    low = text.lower()
+    if not any(h in low for h in HINTS):
+        return low
+    values = sorted([m.span(m.lastindex) for m in CONTEXT.finditer(text)] + [m.span(2) for m in ASSIGN.finditer(text)])
+    parts, at = [], 0
+    for a, b in values:
+        parts.append(text[at : max(a, at)])
+        at = max(at, b)
+    return " ".join([*parts, text[at:]]).lower()
+
+
 def word_ranks(docs: DataFrame, *, text: str = "text", dict_words: int = 50_000, least_count: int = 3) -> dict[str, int]:
-    """The most frequent words of all texts with their ranks, a guesser's list: dict_words of them at most, and those of COMMON.
+    """The dict_words words that the most different texts have, with their ranks, a guesser's list, and those of COMMON.
 
-    A word is a text between white space in lower case, without MARKS around it, that is SHORTEST to LONGEST letters and
-    comes least_count times; ties rank by code points. Words are as many as fit by whole bands of counts (16 to a doubling): of a
-    band that does not fit whole none is taken. The driver gets the bands' sizes and the list, both of bounded size.
+    A word is what stands between white space, in lower case and without MARKS around it, that is SHORTEST to LONGEST letters and
+    in least_count texts. Rows with equal texts are one text, so copies add nothing; values where credentials stand are left out, so that a
+    leaked one does not become a cheap word, however many texts leak it. Words that as many texts have come in the
+    order of a hash, and of their code points. Null and empty texts have no words; no rows: the words of COMMON alone. Other columns are not looked at.
+    The driver gets the list, and sizes of parts of the counts, both of bounded size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = Counter()
+            words, known = Counter(), {}
             for t in batch.column(0).to_pylist():
-                if t:
-                    tokens.update(t.lower().split())
-            words = Counter()
-            for token, n in tokens.items():
-                word = token.strip(MARKS)
-                if SHORTEST <= len(word) <= LONGEST and word.isalpha():
-                    words[word] += n
+                tokens = set(without_credentials(t or "").split())
+                for token in tokens.difference(known):
+                    word = token.strip(MARKS)
+                    known[token] = word if SHORTEST <= len(word) <= LONGEST and word.isalpha() else ""
+                words.update(set(map(known.__getitem__, tokens)))
+            words.pop("", None)
             yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
-    counts = checkpointed(counts.withColumn("band", F.floor(16 * F.log2("n")).cast("int")))
-    least, words = 1 << 30, 0
-    for r in sorted(counts.groupBy("band").agg(F.count("*").alias("words")).collect(), reverse=True):
-        words += r["words"]
-        if words > dict_words:
+    counts = docs.select(text).dropDuplicates([text]).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    counts = checkpointed(counts.select("word", "n", F.floor(16 * F.log2("n")).cast("int").alias("band"), F.xxhash64("word").alias("h")))
+    chosen, left, part = F.lit(False), dict_words, F.lit(True)
+    # the band of counts, then the count, then the part of the hash space that the last word is in
+    for level in (-F.col("band"), -F.col("n"), F.shiftrightunsigned("h", 52)):
+        for r in sorted(counts.filter(part).groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()):
+            if r["words"] > left:
+                chosen, part = chosen | (part & (level < r["level"])), part & (level == r["level"])
+                break
+            left -= r["words"]
+        else:
+            chosen, part = chosen | part, F.lit(False)
             break
-        least = r["band"]
-    found = sorted((-r["n"], r["word"]) for r in counts.filter(F.col("band") >= least).collect())
-    ranks = {w: k for k, (_, w) in enumerate(found, 1)}
+    found = counts.filter(chosen).select("word", "n").collect()
+    found += counts.filter(part).orderBy("h", "word").limit(left).select("word", "n").collect()
+    ranks = {w: k for k, (_, w) in enumerate(sorted((-r["n"], r["word"]) for r in found), 1)}
     return {w: min(ranks.get(w, k), k) for w, k in RANK.items()} | {w: k for w, k in ranks.items() if w not in RANK}
 
 

@@ -472,7 +472,7 @@ def test_secret_scan(spark, odd, empty):
 
 
 def test_words_of_the_corpus_are_cheap(spark, odd):
-    d = spark.createDataFrame([(k, "Wanderung, (lichtung) 12ab zzz9 " + "w" * 30) for k in range(5)] + [(9, "lichtung seltenes")], "doc_id long, text string")
+    d = spark.createDataFrame([(k, f"Wanderung, (lichtung) lichtung. 12ab zzz9 {k} " + "w" * 30) for k in range(5)] + [(9, "lichtung seltenes")], "doc_id long, text string")
     ranks = secret_scan.word_ranks(d)
     assert (ranks["lichtung"], ranks["wanderung"]) == (1, 2) and not {"seltenes", "12ab", "zzz9", "w" * 30} & set(ranks)
     assert len(secret_scan.word_ranks(d, dict_words=1)) == len(secret_scan.RANK) + 1
@@ -485,6 +485,30 @@ def test_words_of_the_corpus_are_cheap(spark, odd):
     assert [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in brute] == brute_base(text)
 
 
+@pytest.mark.parametrize("copies", [1, 3, 1000])
+def test_leaked_secrets_stay_dear(spark, copies):
+    """A value that many texts leak, or many copies of one, is a span in all of them; a word is cheap by different texts, not by copies."""
+    leaked = [(k, f"{'same' if k % 2 else f'text {k}'}\nOur deploy passphrase: xqzvkwjpmtrbn\ntoken=abcdefghij") for k in range(copies)]
+    others = [(5000 + k, f"haus {k} wald") for k in range(5)] + [(6000 + k, "zaunkoenig") for k in range(50)]
+    d = spark.createDataFrame(leaked + others, "doc_id long, text string")
+    ranks = secret_scan.word_ranks(d)
+    assert "xqzvkwjpmtrbn" not in ranks and "abcdefghij" not in ranks and "zaunkoenig" not in ranks and {"haus", "wald"} <= set(ranks)
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.secret_scan(d, ranks).collect()}
+    assert all("credential" in spans[k] for k, _ in leaked)
+
+
+def test_exactly_the_first_words(spark):
+    """By how many texts have a word, then by a hash: as many as asked for, those of sorting all of them."""
+    docs = [(k, " ".join(f"{'abcdefghij'[j % 10] * 2}{'klmnopqrst'[j // 10]}" for j in range(100) if k < 3 + j % 7)) for k in range(10)]
+    d = spark.createDataFrame([(k, f"{t} {k}") for k, t in docs], "doc_id long, text string")
+    every = secret_scan.word_ranks(d)
+    for n in (0, 1, 13, 50, 99, 100, 1000):
+        some = secret_scan.word_ranks(d, dict_words=n)
+        assert len(some) == len(secret_scan.RANK) + min(n, 100) and set(some) <= set(every)
+        count = {w: sum(w in t.split() for _, t in docs) for w in every if w not in secret_scan.RANK}
+        assert min((count[w] for w in some if w in count), default=99) >= max((count[w] for w in count if w not in some), default=0)
+
+
 def test_scan_time_is_linear():
     """Ten times the credentials take about ten times as long, and a value of a million characters comes back."""
     import time
