@@ -58,34 +58,42 @@ def frequency_response(b: np.ndarray, n: int, fs: float) -> tuple[np.ndarray, np
     return f, np.exp(-2j * np.pi * np.outer(f / fs, np.arange(len(b)))) @ b
 
 
+def resampling_filter(up: int, down: int, beta: float = 5.0) -> np.ndarray:
+    """A Kaiser low-pass of half length 10 max(up, down), with gain up."""
+    half = 10 * max(up, down)
+    h = np.sinc(np.arange(-half, half + 1) / max(up, down)) / max(up, down) * np.kaiser(2 * half + 1, beta)
+    return h * (up / h.sum())
+
+
 def resample(x: np.ndarray, src: int, dst: int, beta: float = 5.0) -> np.ndarray:
     """Polyphase: zeros between samples, a Kaiser low-pass of half length 10 max(up, down), every down-th sample, clipped to ±1."""
     g = np.gcd(src, dst)
     up, down = dst // g, src // g
     if up == down:
         return x
-    half = 10 * max(up, down)
-    n = np.arange(-half, half + 1)
-    h = np.sinc(n / max(up, down)) / max(up, down) * np.kaiser(2 * half + 1, beta)
-    h *= up / h.sum()
+    half, h = 10 * max(up, down), resampling_filter(up, down, beta)
     wide = np.zeros(len(x) * up)
     wide[::up] = x
     return np.clip(np.convolve(wide, h)[half : half + len(wide)][::down], -1.0, 1.0)
 
 
-def stft(x: np.ndarray, nfft: int = 512, size: int = 400, hop: int = 160) -> np.ndarray:
-    """Frames x bins, centred, with a periodic Hann window in the middle of each frame."""
+def centred_window(nfft: int, size: int) -> np.ndarray:
+    """A periodic Hann window in the middle of a frame."""
     w = np.zeros(nfft)
     a = (nfft - size) // 2
     w[a : a + size] = window("hann", size, periodic=True)
+    return w
+
+
+def stft(x: np.ndarray, nfft: int = 512, size: int = 400, hop: int = 160) -> np.ndarray:
+    """Frames x bins, centred, with a periodic Hann window in the middle of each frame."""
+    w = centred_window(nfft, size)
     padded = np.pad(x, nfft // 2)
     return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, nfft)[::hop] * w, axis=-1)
 
 
 def istft(s: np.ndarray, length: int, nfft: int = 512, size: int = 400, hop: int = 160) -> np.ndarray:
-    w = np.zeros(nfft)
-    a = (nfft - size) // 2
-    w[a : a + size] = window("hann", size, periodic=True)
+    w = centred_window(nfft, size)
     y, norm = np.zeros(nfft + hop * (len(s) - 1)), np.zeros(nfft + hop * (len(s) - 1))
     for k, f in enumerate(np.fft.irfft(s, nfft, axis=-1) * w):
         y[k * hop : k * hop + nfft] += f

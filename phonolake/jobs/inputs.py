@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from phonolake.operators.blocks import numbered
 from phonolake.operators.ngrams import tokenize
 
 #: Samples a second that the events of a user count as.
@@ -17,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's values in order of time, centred, with a peak of 1."""
-    user = W.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    e = e.withColumn("n", F.row_number().over(user.orderBy("ts", "event_id")).cast("long") - 1).withColumn("xc", F.col("value") - F.avg("value").over(user))
-    return e.select(F.col("user_id").alias("rec_id"), "n", (F.col("xc") / F.nullif(F.max(F.abs("xc")).over(user), F.lit(0.0))).alias("x"))
+    """Each user's values in order of time, centred, with a peak of 1, numbered by ranges: a user of any size is the work of many tasks."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").cast("double").alias("value"))
+    stats = {"total": (F.sum("value"), F.sum), "valued": (F.count("value"), F.sum), "least": (F.min("value"), F.min), "most": (F.max("value"), F.max)}
+    e = numbered(e, "user_id", ["ts", "event_id"], stats).withColumn("mean", F.col("total") / F.col("valued"))
+    peak = F.greatest(F.col("most") - F.col("mean"), F.col("mean") - F.col("least"))
+    return e.select(F.col("user_id").alias("rec_id"), "n", ((F.col("value") - F.col("mean")) / F.nullif(peak, F.lit(0.0))).alias("x"))
 
 
 SAMPLES_SQL = """

@@ -11,11 +11,13 @@ from phonolake.jobs import spectra_sql as Q
 from phonolake.jobs.frame_queries import SEQUENCES_SQL, sequences
 from phonolake.jobs.inputs import FS, SAMPLES_SQL, samples, table, vectors
 from phonolake.jobs.signal_queries import noise, rounded
+from phonolake.operators import blocks as B
 from phonolake.operators import cepstral as C
 from phonolake.operators import levels as L
 from phonolake.operators import models as M
 from phonolake.operators import spectral as P
 from phonolake.operators.evaluation import accuracy
+from phonolake.sources.folders import checkpointed, new_folder, remove_folder
 
 QUERIES, SQL = {}, {}
 #: Sizes for recordings of 45 samples and more.
@@ -106,7 +108,7 @@ ce AS (SELECT rec_id, frame_idx, i, (x - avg(x) OVER (PARTITION BY rec_id, frame
 ft AS (SELECT rec_id, frame_idx, k, sum(y * cos(2 * pi() * k * i / 32)) AS re, sum(y * sin(2 * pi() * k * i / 32)) AS im FROM ce, range(17) AS r(k) GROUP BY ALL)
 SELECT rec_id, frame_idx, round((frame_idx * 8 + 8) / {FS}, 6) AS t, k::INTEGER AS k, round(20 * log10(sqrt(re * re + im * im) / (16 * 0.54) + 1e-10), 6) AS db FROM ft""")
 def stft_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.stft_spectrogram(recordings(spark, sf_dir), FS, 160.0, 80.0).select("rec_id", "frame_idx", "t", F.posexplode("mag_db").alias("k", "db"))
+    return B.stft_spectrogram(samples(spark, sf_dir), FS, 160.0, 80.0).select("rec_id", "frame_idx", "t", F.posexplode("mag_db").alias("k", "db"))
 
 
 @query(f"""WITH {SAMPLES_SQL}, n AS (SELECT rec_id, count(*) AS n FROM sig GROUP BY rec_id), f(ms) AS (VALUES (100.0::DOUBLE), (250.0), (500.0))
@@ -129,7 +131,7 @@ _FILTERED = f"WITH {FILTERED_SQL} SELECT rec_id, n, round(x, 6) + 0.0 AS x FROM
 
 @query(_FILTERED)
 def apply_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.to_long(P.apply_fir(recordings(spark, sf_dir), dsp.design_fir(*_band())))
+    return B.apply_fir(samples(spark, sf_dir), dsp.design_fir(*_band()))
 
 
 @query(_FILTERED)
@@ -174,7 +176,7 @@ def quantization_noise_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.RESAMPLE)
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.to_long(P.resample(recordings(spark, sf_dir), FS, 40))
+    return B.resample(samples(spark, sf_dir), FS, 40)
 
 
 @query(Q.RESAMPLE_SPECTRUM)
@@ -184,12 +186,12 @@ def resample_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.LOG_SPECTROGRAM)
 def log_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.log_spectrogram(recordings(spark, sf_dir), 16, 8).select("rec_id", "frame_idx", F.posexplode("db").alias("k", "db"))
+    return B.log_spectrogram(samples(spark, sf_dir), 16, 8).select("rec_id", "frame_idx", F.posexplode("db").alias("k", "db"))
 
 
 @query(Q.NOISE_PSD)
 def noise_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.noise_psd(recordings(spark, sf_dir), 32, 24, 8)
+    return B.noise_psd(samples(spark, sf_dir), 32, 24, 8)
 
 
 @query(f"WITH {SAMPLES_SQL} SELECT rec_id, count(*)::INTEGER AS n, 0.0::DOUBLE AS error FROM sig GROUP BY rec_id")
@@ -197,38 +199,40 @@ def istft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.istft_error(recordings(spark, sf_dir), 32, 32, 8)
 
 
-def _noisy(spark: SparkSession, sf_dir: str, snr: float) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Samples with noise, as rows and as recordings, and the noise's power in each bin."""
+def _noisy(spark: SparkSession, sf_dir: str, snrs: tuple[float, ...]) -> tuple[DataFrame, list[float]]:
+    """Samples with noise at some levels, and the noise's power in each bin."""
     n = noise(spark, sf_dir)
-    d = L.add_noise_at_snr(samples(spark, sf_dir), n, (snr,))
-    psd = P.noise_psd(L.to_arrays(n.select(F.lit(0).alias("rec_id"), "n", F.col("v").alias("x"))), 32, 24, 8).orderBy("k")
-    return d, L.to_arrays(d.select("rec_id", "n", F.col("y").alias("x"))), [r["p"] for r in psd.collect()]
+    psd = B.noise_psd(n.select(F.lit(0).alias("rec_id"), "n", F.col("v").alias("x")), 32, 24, 8).orderBy("k")
+    return L.add_noise_at_snr(samples(spark, sf_dir), n, snrs), [r["p"] for r in psd.collect()]
+
+
+def _enhanced(d: DataFrame, p: list[float], method: str) -> DataFrame:
+    return B.enhance(d.select("rec_id", "n", F.col("y").alias("x")), p, method, nfft=32, size=24, hop=8)
 
 
 @query(Q.enhanced("subtract"))
 def spectral_subtraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, y, p = _noisy(spark, sf_dir, 5.0)
-    return L.to_long(P.enhance(y, p, "subtract", nfft=32, size=24, hop=8))
+    return _enhanced(*_noisy(spark, sf_dir, (5.0,)), "subtract")
 
 
 @query(Q.enhanced("wiener"))
 def wiener_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, y, p = _noisy(spark, sf_dir, 5.0)
-    return L.to_long(P.enhance(y, p, "wiener", nfft=32, size=24, hop=8))
+    return _enhanced(*_noisy(spark, sf_dir, (5.0,)), "wiener")
 
 
 @query(Q.REPORT)
 def enhancement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNR before and after, by level and method."""
+    """SNR before and after, by level and method. A recording at a level is a recording of its own, so that all go through one pass a method."""
+    d, p = _noisy(spark, sf_dir, (0.0, 5.0, 10.0))
+    d = checkpointed(d.select(F.struct("rec_id", "snr").alias("rec_id"), "n", "x", "y"))
+    before = L.snr_db(d, "rec_id").withColumnRenamed("snr_db", "snr_in")
     out = None
-    for snr in (0.0, 5.0, 10.0):
-        d, y, p = _noisy(spark, sf_dir, snr)
-        before = L.snr_db(d, "rec_id").withColumnRenamed("snr_db", "snr_in")
-        for method in ("subtract", "wiener"):
-            z = L.to_long(P.enhance(y, p, method, nfft=32, size=24, hop=8)).withColumnRenamed("x", "z")
-            after = L.snr_db(d.join(z, ["rec_id", "n"]), "rec_id", test="z").withColumnRenamed("snr_db", "snr_out")
-            r = before.join(after, "rec_id").agg(F.avg("snr_in").alias("snr_in"), F.avg("snr_out").alias("snr_out"), F.avg(F.col("snr_out") - F.col("snr_in")).alias("gain")).select(F.lit(snr).alias("snr"), F.lit(method).alias("method"), "snr_in", "snr_out", "gain")
-            out = r if out is None else out.unionAll(r)
+    for method in ("subtract", "wiener"):
+        z = _enhanced(d, p, method).withColumnRenamed("x", "z")
+        after = L.snr_db(d.join(z, ["rec_id", "n"]), "rec_id", test="z").withColumnRenamed("snr_db", "snr_out").join(before, "rec_id")
+        r = after.groupBy(F.col("rec_id.snr").alias("snr")).agg(F.avg("snr_in").alias("snr_in"), F.avg("snr_out").alias("snr_out"), F.avg(F.col("snr_out") - F.col("snr_in")).alias("gain"))
+        r = r.select("snr", F.lit(method).alias("method"), "snr_in", "snr_out", "gain")
+        out = r if out is None else out.unionAll(r)
     return out
 
 
@@ -260,12 +264,12 @@ def mel_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.LOG_MEL)
 def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(C.log_mel(recordings(spark, sf_dir), FS, SIZE, HOP, 64, 8))
+    return _long(B.log_mel(samples(spark, sf_dir), FS, SIZE, HOP, 64, 8))
 
 
 @query(Q.MFCC)
 def mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(C.mfcc(recordings(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8))
+    return _long(B.mfcc(samples(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8))
 
 
 @query(Q.MEL_DB)
@@ -433,7 +437,7 @@ def hmm_state_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hmm_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model of three states with all transitions, for all recordings' cepstra, and the states along each."""
-    s = M.to_sequences(C.mfcc(recordings(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8)).withColumn("label", F.lit("all"))
+    s = M.to_sequences(B.mfcc(samples(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8)).withColumn("label", F.lit("all"))
     d = M.hmm_viterbi(s, M.hmm_train(s, 3, 8, full=True)[0])
     return d.select("rec_id", F.posexplode("path").alias("frame_idx", "state"))
 
@@ -534,21 +538,13 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the session shares files: that of its checkpoints, or its warehouse."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {SAMPLES_SQL} SELECT rec_id, {FS} AS fs, 1 AS channels, 16 AS bit_depth, count(*) AS n_frames, round(count(*) / {FS}, 6) AS duration, (44 + 2 * count(*))::BIGINT AS file_size,
   round(sqrt(avg(pow(trunc(x * 32767) / 32768, 2))), 6) AS rms FROM sig GROUP BY rec_id""")
 def read_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings as WAV bytes in a stored table, decoded from there as files are."""
     from phonolake.sources.audio import decode_wav, write_wav
 
-    path = _folder(spark, "wav")
+    path = new_folder(spark, "wav")
     write_wav(recordings(spark, sf_dir).withColumn("fs", F.lit(FS))).write.parquet(path)
     d = decode_wav(spark.read.parquet(path).select(F.concat("rec_id", F.lit(".wav")).alias("path"), "content"))
     rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) / F.size("samples"))
@@ -560,7 +556,7 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory written as CSV and read again by its schema."""
     from phonolake.sources.audio import read_csv_tables, write_csv_tables
 
-    path = _folder(spark, "csv")
+    path = new_folder(spark, "csv")
     p = table(spark, sf_dir, "part")
     d = p.select(F.concat_ws("_", "p_brand", F.col("p_partkey").cast("string")).alias("unit_id"), F.col("p_brand").alias("label"), F.col("p_size").cast("int").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), F.col("p_retailprice").alias("rms"))
     write_csv_tables({"inventory": d}, path)
@@ -573,7 +569,7 @@ def read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lexicon file of the parts' brands, with comments, blank lines and words alone between its lines."""
     from phonolake.sources.audio import read_lexicon
 
-    path = _folder(spark, "lexicon")
+    path = new_folder(spark, "lexicon")
     name = lambda c: F.replace(F.upper(c), F.lit(" "), F.lit("_"))
     d = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_type").alias("b"))
     word = F.replace(F.col("p_brand"), F.lit(" "), F.lit(""))
@@ -587,7 +583,7 @@ def models_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models saved and loaded again: those that training begins with."""
     from phonolake.sources.audio import load_models, save_models
 
-    path = _folder(spark, "models")
+    path = new_folder(spark, "models")
     save_models(M.models_table(spark, untrained(spark, sf_dir)), path)
     loaded = M.models_table(spark, M.models_from(load_models(spark, path)))
     return loaded.select("label", "state", "pi", F.posexplode("mean").alias("dim", "mean"), F.get("var", F.lit(0)).alias("var"))
