@@ -541,14 +541,17 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SAMPLES_SQL} SELECT rec_id, {FS} AS fs, 1 AS channels, 16 AS bit_depth, count(*) AS n_frames, round(count(*) / {FS}, 6) AS duration, (44 + 2 * count(*))::BIGINT AS file_size,
   round(sqrt(avg(pow(trunc(x * 32767) / 32768, 2))), 6) AS rms FROM sig GROUP BY rec_id""")
 def read_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings as WAV bytes in a stored table, decoded from there as files are."""
-    from phonolake.sources.audio import decode_wav, write_wav
+    """Recordings written as WAV files, listed and read again by byte ranges; ranges are short, so that files are cut."""
+    from phonolake.sources.wav import read_wav_blocks, write_wav_files
 
     path = new_folder(spark, "wav")
-    write_wav(recordings(spark, sf_dir).withColumn("fs", F.lit(FS))).write.parquet(path)
-    d = decode_wav(spark.read.parquet(path).select(F.concat("rec_id", F.lit(".wav")).alias("path"), "content"))
-    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) / F.size("samples"))
-    return d.select(F.col("rec_id").cast("long").alias("rec_id"), "fs", "channels", "bit_depth", F.col("n_frames").cast("long").alias("n_frames"), "duration", F.col("file_size").cast("long").alias("file_size"), rms.alias("rms"))
+    write_wav_files(B.to_blocks(samples(spark, sf_dir), 64).withColumn("fs", F.lit(FS)), path)
+    d = read_wav_blocks(spark, path, 1000, 32)
+    power = F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x))
+    d = d.groupBy(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("rec_id"), "fs", "channels", "bit_depth", "n_frames", "file_size").agg(power.alias("power"), F.sum(F.size("samples")).alias("read"))
+    d = checkpointed(d.filter(F.col("read") == F.col("n_frames")).select("rec_id", "fs", "channels", "bit_depth", "n_frames", (F.col("n_frames") / F.col("fs")).alias("duration"), "file_size", F.sqrt(F.col("power") / F.col("n_frames")).alias("rms")))
+    remove_folder(spark, path)
+    return d
 
 
 @query("""SELECT p_brand || '_' || p_partkey AS unit_id, p_brand AS label, p_size::INTEGER AS candidate, round(0.2 + p_size / 100, 6) AS duration_s, p_retailprice AS rms FROM part""")
@@ -560,7 +563,9 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     d = p.select(F.concat_ws("_", "p_brand", F.col("p_partkey").cast("string")).alias("unit_id"), F.col("p_brand").alias("label"), F.col("p_size").cast("int").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), F.col("p_retailprice").alias("rms"))
     write_csv_tables({"inventory": d}, path)
-    return read_csv_tables(spark, path, {"inventory": "unit_id string, label string, candidate int, duration_s double, rms double"})["inventory"]
+    d = checkpointed(read_csv_tables(spark, path, {"inventory": "unit_id string, label string, candidate int, duration_s double, rms double"})["inventory"])
+    remove_folder(spark, path)
+    return d
 
 
 @query("""WITH t AS (SELECT p_brand AS word, min(p_name) AS a, max(p_type) AS b FROM part GROUP BY p_brand)
@@ -575,7 +580,9 @@ def read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.replace(F.col("p_brand"), F.lit(" "), F.lit(""))
     lines = F.array(F.concat(F.lit("# "), word), F.lit(""), word, F.concat_ws("  ", word, name(F.col("a")), name(F.col("b"))))
     d.select(F.explode(lines).alias("value")).write.text(path)
-    return read_lexicon(spark, path).select("word", F.array_join("phones", " ").alias("phones"))
+    d = checkpointed(read_lexicon(spark, path).select("word", F.array_join("phones", " ").alias("phones")))
+    remove_folder(spark, path)
+    return d
 
 
 @query(Q.FIRST_MODELS)
@@ -586,4 +593,5 @@ def models_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "models")
     save_models(M.models_table(spark, untrained(spark, sf_dir)), path)
     loaded = M.models_table(spark, M.models_from(load_models(spark, path)))
+    remove_folder(spark, path)
     return loaded.select("label", "state", "pi", F.posexplode("mean").alias("dim", "mean"), F.get("var", F.lit(0)).alias("var"))

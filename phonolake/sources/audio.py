@@ -30,6 +30,11 @@ def parse_wav(data: bytes) -> tuple[int, int, int, np.ndarray]:
     if form is None or body is None:
         raise ValueError("no format or no data")
     channels, fs, bits = form[1], form[2], form[5]
+    return fs, channels, bits, decode_pcm(body, channels, bits)
+
+
+def decode_pcm(body: bytes, channels: int, bits: int) -> np.ndarray:
+    """Samples in [-1, 1], a row for each whole frame."""
     width = bits // 8
     body = body[: len(body) // (width * channels) * width * channels]
     if bits == 8:
@@ -42,7 +47,7 @@ def parse_wav(data: bytes) -> tuple[int, int, int, np.ndarray]:
         x = np.frombuffer(body, dtype=f"<i{width}") / 2.0 ** (bits - 1)
     else:
         raise ValueError(f"{bits} bits")
-    return fs, channels, bits, np.clip(x, -1, 1).reshape(-1, channels)
+    return np.clip(x, -1, 1).reshape(-1, channels)
 
 
 def read_wav(spark: SparkSession, path: str, *, target_fs: int | None = None, peak: float | None = None) -> DataFrame:
