@@ -128,7 +128,7 @@ def trim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FRAMES_SQL}, s AS (SELECT rec_id, frame_idx, sum(energy) OVER (PARTITION BY rec_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM fe),
 c AS (SELECT rec_id, frame_idx, coalesce(abs(s - lag(s) OVER (PARTITION BY rec_id ORDER BY frame_idx)), 0) AS change FROM s),
 l AS (SELECT rec_id, quantile_cont(change, 0.92) AS lim FROM c GROUP BY rec_id)
-SELECT rec_id, frame_idx, round(change, 6) AS change, round(lim, 6) AS "limit" FROM c JOIN l USING (rec_id) WHERE change > lim + 1e-12""")
+SELECT rec_id, frame_idx, round(change, 6) AS change, round(lim, 6) AS "limit" FROM c JOIN l USING (rec_id) WHERE change::DECIMAL(28,12) > lim::DECIMAL(28,12)""")
 def transient_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.transient_detect(R.frame_energy_features(frames(spark, sf_dir)))
 

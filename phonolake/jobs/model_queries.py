@@ -69,9 +69,17 @@ def compare_nfft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compare_nfft(clips(spark, sf_dir), FS).drop("phase")
 
 
-@query()
+@query(f"""WITH {_dft_sql(_HAMMING, 256)}, v AS (SELECT rec_id, k, k * 1000 / 256 AS f_hz, greatest(20 * log10(mag + 1e-15), -120) AS v FROM sp),
+n AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM v WINDOW w AS (PARTITION BY rec_id ORDER BY k)), c AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY v DESC, k) AS r FROM n WHERE v > b AND v >= a AND v >= -60),
+l AS (SELECT rec_id, list(k ORDER BY r) AS ks FROM c GROUP BY rec_id),
+g AS (SELECT rec_id, list_reduce(list_transform(ks, lambda k: [k]), lambda x, y: CASE WHEN len(list_filter(x, lambda z: abs(z - y[1]) < 5)) = 0 THEN list_concat(x, y) ELSE x END) AS ks FROM l),
+ch AS (SELECT rec_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM g), cv AS (SELECT ch.rec_id, ch.k, i, f_hz, v.v FROM ch JOIN v USING (rec_id, k)),
+e AS (SELECT cv.rec_id, cv.k, i, cv.f_hz, cv.v, coalesce(max(o.k) FILTER (WHERE o.v > cv.v AND o.k < cv.k), -1) AS lo, coalesce(min(o.k) FILTER (WHERE o.v > cv.v AND o.k > cv.k), 129) AS hi FROM cv JOIN v o USING (rec_id) GROUP BY ALL),
+p AS (SELECT e.rec_id, e.k, i, e.f_hz, e.v, e.v - greatest(min(o.v) FILTER (WHERE o.k > lo AND o.k <= e.k), min(o.v) FILTER (WHERE o.k >= e.k AND o.k < hi)) AS up FROM e JOIN v o USING (rec_id) GROUP BY e.rec_id, e.k, i, e.f_hz, e.v),
+q AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY i) AS rank FROM p WHERE up >= 3 AND f_hz > 20)
+SELECT rec_id, rank::INTEGER AS rank, k::INTEGER AS k, round(f_hz, 6) AS f_hz, round(v, 6) AS mag_db FROM q WHERE rank <= 6""")
 def spectral_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.spectral_peaks(P.fft_spectrum(clips(spark, sf_dir), 1000, 256))
+    return P.spectral_peaks(P.spectra_rows(clips(spark, sf_dir), 1000, 256))
 
 
 @query("""SELECT vec_id, i::INTEGER AS i, round(0.54 - 0.46 * cos(2 * pi() * i / 63), 6) AS hamming, round(0.5 - 0.5 * cos(2 * pi() * i / 63), 6) + 0.0 AS hann,
@@ -527,7 +535,7 @@ def meeting_case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("rec_id") * 64 + F.col("n")).alias("n")
     a = clean.select(at, "x")
     b = clean.select(at, F.when(F.pmod(F.xxhash64("rec_id"), F.lit(2)) == 0, F.abs("x")).otherwise(-F.abs("x")).alias("x"))
-    parts = I.source_correlation(I.resolve_ica(I.fast_ica(I.mix_sources(a, b), max_iter=30))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("separation_corr"))
+    parts = I.source_correlation(I.resolve_ica(I.fast_ica(I.mix_sources(a, b)))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("separation_corr"))
     empty = F.lit(None).cast("double")
     out = parts.select(empty.alias("accuracy_pct"), empty.alias("mean_margin"), empty.alias("far"), empty.alias("frr"), F.lit(None).cast("long").alias("n"), F.lit("separated").alias("version"), "separation_corr")
     for name, r in versions.items():

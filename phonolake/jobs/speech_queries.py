@@ -14,6 +14,7 @@ from phonolake.operators import lexicon as X
 from phonolake.operators import separation as I
 from phonolake.operators import speakers as S
 from phonolake.operators import units as U
+from phonolake.sources.folders import checkpointed
 
 QUERIES, SQL = {}, {}
 
@@ -119,82 +120,87 @@ def oov_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units are brands, candidates their first two parts."""
-    p = table(spark, sf_dir, "part")
-    p = p.withColumn("candidate", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))).filter("candidate <= 2")
-    return p.select(F.col("p_brand").alias("unit"), "candidate", (0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).alias("rms"))
+    """Units are brands, candidates all their parts."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).cast("double").alias("rms"))
 
 
-def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As inventory, with every part of a brand as a candidate."""
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit"), F.col("p_partkey").alias("candidate"), (0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).alias("rms"))
+def useful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that a least path can need, with their prices."""
+    return checkpointed(U.useful_units(inventory(spark, sf_dir)))
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences are orders, positions their lines, each with two candidates."""
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_id, pos, unit): sentences are orders, positions their lines."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order).withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
     li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.select(F.col("l_orderkey").alias("sent_id"), "pos", F.col("p_brand").alias("unit"), F.explode(F.array(F.lit(1), F.lit(2))).alias("candidate"))
+    return li.select(F.col("l_orderkey").alias("sent_id"), "pos", F.col("p_brand").alias("unit"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joining two units costs how far their levels lie apart, and a little for units of other brands: the pairs that orders have."""
-    p = positions(spark, sf_dir).select("sent_id", "pos", F.concat_ws("#", "unit", "candidate").alias("left"))
-    pairs = p.join(p.select("sent_id", (F.col("pos") - 1).alias("pos"), F.col("left").alias("right")), ["sent_id", "pos"]).select("left", "right").distinct()
-    i = inventory(spark, sf_dir).select(F.concat_ws("#", "unit", "candidate").alias("key"), "unit", "rms")
-    d = pairs.join(i.toDF("left", "ul", "rl"), "left").join(i.toDF("right", "ur", "rr"), "right")
+def edges(units: DataFrame) -> DataFrame:
+    """Joining two units costs how far their levels lie apart, and a little for units of other brands: all pairs of useful parts, of which each brand has few."""
+    i = units.select(F.concat_ws("#", "unit", "candidate").alias("key"), "unit", "rms")
+    d = i.toDF("left", "ul", "rl").crossJoin(i.toDF("right", "ur", "rr"))
     return d.select("left", "right", (100 * F.abs(F.col("rl") - F.col("rr")) + F.when(F.col("ul") != F.col("ur"), 0.5).otherwise(0.0)).alias("join_cost"))
 
 
 UNITS_SQL = """
-inv AS (SELECT p_brand AS unit, k::INTEGER AS candidate, 0.2 + p_size / 100 AS duration_s, p_retailprice / 20000 AS rms FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k <= 2),
-pos AS (SELECT l_orderkey AS sent_id, (k - 1)::INTEGER AS pos, p_brand AS unit, c::INTEGER AS candidate FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS k FROM lineitem) JOIN part ON p_partkey = l_partkey, (VALUES (1), (2)) AS v(c)),
-tc AS (SELECT pos.*, coalesce(2 * pow((duration_s - 0.35) / 0.1, 2) + 5 * pow((rms - 0.08) / 0.02, 2), 0) AS target_cost, rms FROM pos LEFT JOIN inv USING (unit, candidate)),
-jc AS (SELECT a.sent_id, b.pos, a.candidate AS c1, b.candidate AS c2, coalesce(100 * abs(a.rms - b.rms) + CASE WHEN a.unit <> b.unit THEN 0.5 ELSE 0 END, 0) AS j
-  FROM tc a JOIN tc b ON b.sent_id = a.sent_id AND b.pos = a.pos + 1)"""
+inv AS (SELECT p_brand AS unit, p_partkey AS candidate, 0.2 + p_size / 100 AS duration_s, (p_retailprice / 20000)::DOUBLE AS rms FROM part),
+price AS (SELECT unit, candidate, rms, 2 * pow((duration_s - 0.35) / 0.1, 2) + 5 * pow((rms - 0.08) / 0.02, 2) AS t FROM inv),
+one AS (SELECT * FROM price QUALIFY row_number() OVER (PARTITION BY unit, rms ORDER BY t, candidate) = 1),
+use AS (SELECT * FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.unit = a.unit AND b.rms <> a.rms AND b.t + 200 * abs(a.rms - b.rms) <= a.t)),
+pos AS (SELECT l_orderkey AS sent_id, (k - 1)::INTEGER AS pos, p_brand AS unit FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS k FROM lineitem) JOIN part ON p_partkey = l_partkey),
+tc AS (SELECT pos.*, candidate, t AS target_cost, rms FROM pos JOIN use USING (unit))"""
 _DP = UNITS_SQL + """,
-wide AS (SELECT sent_id, pos, max(target_cost) FILTER (WHERE candidate = 1) AS t1, max(target_cost) FILTER (WHERE candidate = 2) AS t2 FROM tc GROUP BY sent_id, pos),
-jw AS (SELECT sent_id, pos, max(j) FILTER (WHERE c1 = 1 AND c2 = 1) AS j11, max(j) FILTER (WHERE c1 = 1 AND c2 = 2) AS j12, max(j) FILTER (WHERE c1 = 2 AND c2 = 1) AS j21, max(j) FILTER (WHERE c1 = 2 AND c2 = 2) AS j22 FROM jc GROUP BY sent_id, pos),
-dp AS (SELECT sent_id, pos, t1 AS v1, t2 AS v2 FROM wide WHERE pos = 0
-  UNION ALL SELECT w.sent_id, w.pos, w.t1 + least(dp.v1 + j11, dp.v2 + j21), w.t2 + least(dp.v1 + j12, dp.v2 + j22) FROM dp JOIN wide w ON w.sent_id = dp.sent_id AND w.pos = dp.pos + 1 JOIN jw ON jw.sent_id = w.sent_id AND jw.pos = w.pos),
-best AS (SELECT sent_id, least(v1, v2) AS cost FROM dp QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY pos DESC) = 1)"""
+uj AS (SELECT a.unit AS u1, a.candidate AS c1, b.unit AS u2, b.candidate AS c2, 100 * abs(a.rms - b.rms) + CASE WHEN a.unit <> b.unit THEN 0.5 ELSE 0 END AS j FROM use a, use b),
+dp AS (SELECT sent_id, pos, unit, candidate, target_cost AS v FROM tc WHERE pos = 0
+  UNION ALL SELECT w.sent_id, w.pos, w.unit, w.candidate, min(dp.v + j) + w.target_cost FROM dp JOIN tc w ON w.sent_id = dp.sent_id AND w.pos = dp.pos + 1
+    JOIN uj ON u1 = dp.unit AND c1 = dp.candidate AND u2 = w.unit AND c2 = w.candidate GROUP BY w.sent_id, w.pos, w.unit, w.candidate, w.target_cost),
+ends AS (SELECT sent_id, max(pos) AS pos FROM pos GROUP BY sent_id),
+best AS (SELECT sent_id, min(v) AS cost FROM dp JOIN ends USING (sent_id, pos) GROUP BY sent_id)"""
 
 
 @query(f"WITH {UNITS_SQL} SELECT sent_id, pos, unit, candidate, round(target_cost, 6) AS target_cost FROM tc")
 def target_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.target_cost(positions(spark, sf_dir), inventory(spark, sf_dir))
+    """The price of each useful part at each position."""
+    i = inventory(spark, sf_dir).join(useful(spark, sf_dir).select("unit", "candidate"), ["unit", "candidate"], "left_semi")
+    return U.target_cost(places(spark, sf_dir).join(i.select("unit", "candidate"), "unit"), i)
 
 
-@query(f"WITH {UNITS_SQL} SELECT sent_id, (pos - 1)::INTEGER AS pos, c1 AS c_left, c2 AS c_right, round(j, 6) AS join_cost FROM jc")
-def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.lattice_edges(positions(spark, sf_dir), edges(spark, sf_dir)).select("sent_id", "pos", "c_left", "c_right", "join_cost")
+def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Positions with their useful parts and prices, and the joins' costs."""
+    u = useful(spark, sf_dir)
+    return places(spark, sf_dir).join(u.select("unit", "candidate", "target_cost"), "unit"), edges(u)
 
 
-def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.unit_selection(U.target_cost(positions(spark, sf_dir), inventory(spark, sf_dir)), edges(spark, sf_dir))
+@query(f"WITH {UNITS_SQL} SELECT a.sent_id, a.pos, a.candidate AS c_left, b.candidate AS c_right, round(100 * abs(a.rms - b.rms) + CASE WHEN a.unit <> b.unit THEN 0.5 ELSE 0 END, 6) AS join_cost FROM tc a JOIN tc b ON b.sent_id = a.sent_id AND b.pos = a.pos + 1")
+def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.lattice_edges(*lattice(spark, sf_dir)).select("sent_id", "pos", "c_left", "c_right", "join_cost")
 
 
 @query(f"WITH RECURSIVE {_DP} SELECT sent_id, {decimals_sql('cost')} AS cost FROM best")
 def unit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selected(spark, sf_dir).select("sent_id", as_decimals(F.col("cost")).alias("cost"))
+    """The least cost over the lattice of all useful parts."""
+    return U.unit_selection(*lattice(spark, sf_dir)).select("sent_id", as_decimals(F.col("cost")).alias("cost"))
 
 
 @query()
 def unit_selection_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unit_selection, whose SQL has two parts of each brand, over all parts."""
-    p = positions(spark, sf_dir).filter("candidate = 1")
-    return U.least_cost(p, all_parts(spark, sf_dir)).select("sent_id", as_decimals(F.col("cost")), F.array_join(F.col("path").cast("array<string>"), " ").alias("path")).toDF("sent_id", "cost", "path")
+    """The same with the parts chosen, and joins priced where positions meet instead of by a table of them."""
+    d = U.least_cost(places(spark, sf_dir), inventory(spark, sf_dir))
+    return d.select("sent_id", as_decimals(F.col("cost")).alias("cost"), F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {_DP}, f AS (SELECT sent_id, sum(target_cost) AS t FROM tc WHERE candidate = 1 GROUP BY sent_id), g AS (SELECT sent_id, sum(j) AS j FROM jc WHERE c1 = 1 AND c2 = 1 GROUP BY sent_id)
-SELECT sent_id, {decimals_sql('t + coalesce(j, 0)')} AS fixed_cost, {decimals_sql('cost')} AS cost, {decimals_sql('100 * (t + coalesce(j, 0) - cost) / (t + coalesce(j, 0))', 2)} + 0.0 AS reduction_pct FROM f LEFT JOIN g USING (sent_id) JOIN best USING (sent_id)""")
+@query(f"""WITH RECURSIVE {_DP}, first AS (SELECT unit, arg_min(t, candidate) AS t, arg_min(rms, candidate) AS rms FROM price GROUP BY unit),
+fx AS (SELECT sent_id, pos, unit, t, rms, lag(rms) OVER w AS rms0, lag(unit) OVER w AS unit0 FROM pos JOIN first USING (unit) WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+f AS (SELECT sent_id, sum(t + coalesce(100 * abs(rms - rms0) + CASE WHEN unit <> unit0 THEN 0.5 ELSE 0 END, 0)) AS fixed FROM fx GROUP BY sent_id)
+SELECT sent_id, {decimals_sql('fixed')} AS fixed_cost, {decimals_sql('cost')} AS cost, {decimals_sql('100 * (fixed - cost) / fixed', 2)} + 0.0 AS reduction_pct FROM f JOIN best USING (sent_id)""")
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = U.target_cost(positions(spark, sf_dir), inventory(spark, sf_dir))
-    d = U.cost_report(U.fixed_cost(p, edges(spark, sf_dir)), selected(spark, sf_dir))
-    return d.withColumns({c: as_decimals(F.col(c)) for c in ("fixed_cost", "cost")})
+    """Each brand's first part all along against the best choice of all."""
+    p, i = places(spark, sf_dir), inventory(spark, sf_dir)
+    d = U.cost_report(U.first_cost(p, i), U.least_cost(p, i))
+    return d.withColumns({"reduction_pct": as_decimals(F.col("reduction_pct"), 2)} | {c: as_decimals(F.col(c)) for c in ("fixed_cost", "cost")})
 
 
 @query("""WITH i AS (SELECT 0.2 + p_size / 100 AS d, p_retailprice / 20000 AS r FROM part)
@@ -203,10 +209,16 @@ def inventory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.inventory_stats(table(spark, sf_dir, "part").select((0.2 + F.col("p_size") / 100).alias("duration_s"), (F.col("p_retailprice") / 20000).alias("rms")))
 
 
-PROFILES = [("the", 165.0, 500.0, 1100.0, 2500.0, 200, True), ("of", 185.0, 700.0, 1500.0, 2600.0, 120, True), ("and", 155.0, 650.0, 1300.0, 2450.0, 180, True), ("<s>", 0.0, 300.0, 800.0, 2200.0, 120, False)]
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, f0_base, f1, f2, f3, dur_ms, voiced) of every token: from the part whose number its count leads to."""
+    t = tokens(spark, sf_dir).groupBy("token").agg((1 + F.count("*") % 100).alias("p_partkey"))
+    d = t.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("s"), F.floor("p_retailprice").cast("int").alias("r")), "p_partkey")
+    number = lambda c: c.cast("double")
+    return d.select("token", number(100 + 2 * F.col("s")).alias("f0_base"), number(300 + F.col("r") % 500).alias("f1"), number(900 + F.col("r") * 7 % 800).alias("f2"), number(2200 + 8 * F.col("s")).alias("f3"), (80 + 4 * F.col("s")).alias("dur_ms"), (F.col("s") % 4 != 0).alias("voiced"))
 
 
-_TRACKS_SQL = f"""WITH {TOKENS_SQL}, prof(token, f0_base, f1, f2, f3, dur_ms, voiced) AS (VALUES {", ".join(f"('{p[0]}', {', '.join(f'{v}::DOUBLE' for v in p[1:5])}, {p[5]}, {str(p[6]).lower()})" for p in PROFILES)}),
+_TRACKS_SQL = f"""WITH {TOKENS_SQL}, prof AS (SELECT token, (100 + 2 * p_size)::DOUBLE AS f0_base, (300 + floor(p_retailprice)::INTEGER % 500)::DOUBLE AS f1, (900 + floor(p_retailprice)::INTEGER * 7 % 800)::DOUBLE AS f2, (2200 + 8 * p_size)::DOUBLE AS f3,
+  80 + 4 * p_size AS dur_ms, p_size % 4 <> 0 AS voiced FROM (SELECT token, 1 + count(*) % 100 AS k FROM tok GROUP BY token) JOIN part ON p_partkey = k),
 len AS (SELECT sent_id, pos, token, prof.* EXCLUDE (token), greatest(3, round_even(dur_ms / 1000 * 100, 0))::INTEGER AS frames FROM tok JOIN prof USING (token)),
 ab AS (SELECT *, round_even(frames * 0.25, 0)::INTEGER AS la, round_even(frames * 0.5, 0)::INTEGER AS lb, coalesce(sum(frames) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM len),
 st AS (SELECT *, 0 AS state, la AS ln, 0 AS shift FROM ab UNION ALL SELECT *, 1, lb, la FROM ab UNION ALL SELECT *, 2, frames - la - lb, la + lb FROM ab),
@@ -222,8 +234,7 @@ SELECT ix.sent_id, ix.t, pos, token, state, round(sm.f0, 6) AS f0, round(sm.f1,
 
 @query(_TRACKS_SQL)
 def parametric_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(PROFILES, "token string, f0_base double, f1 double, f2 double, f3 double, dur_ms int, voiced boolean")
-    return U.parametric_tracks(tokens(spark, sf_dir), p)
+    return U.parametric_tracks(tokens(spark, sf_dir), profiles(spark, sf_dir))
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +242,11 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "vec_id", F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def cut_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of 0 to 64 samples: embeddings, cut by their numbers, a third of them whole."""
+    return waves(spark, sf_dir).withColumn("samples", F.slice("samples", F.lit(1), F.when(F.col("vec_id") % 3 == 0, 64).otherwise((F.col("vec_id") * 7 % 65).cast("int"))))
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("left"), F.lead("vec_id").over(W.partitionBy("label").orderBy("vec_id")).cast("string").alias("right")).dropna()
@@ -238,12 +254,13 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.JOIN_COST)
 def join_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.join_cost(neighbours(spark, sf_dir), U.edge_spectra(waves(spark, sf_dir), fs=1600))
+    """Neighbours of a label at 1,600 samples a second, where 25 ms are 40 samples: longer, shorter and empty units."""
+    return U.join_cost(neighbours(spark, sf_dir), cut_waves(spark, sf_dir), fs=1600)
 
 
 @query(Q.BOUNDARY_LSD)
 def boundary_lsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = U.join_cost(neighbours(spark, sf_dir), U.edge_spectra(waves(spark, sf_dir), fs=1600))
+    d = U.join_cost(neighbours(spark, sf_dir), cut_waves(spark, sf_dir), fs=1600)
     label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("left"), "label")
     return d.join(label, "left").groupBy("label").agg(F.avg("boundary_lsd").alias("mean_lsd"), F.count("*").alias("n"))
 
@@ -390,6 +407,13 @@ def fast_ica(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fast_ica(I.mix_sources(*sources(spark, sf_dir)))
 
 
+@query()
+def ica_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the separation ended: steps, the last change, and whether it settled."""
+    w = I.unmixing(I.mix_sources(*sources(spark, sf_dir)))
+    return spark.createDataFrame([(w.steps, w.change, w.settled)], "steps int, change double, settled boolean")
+
+
 @query(f"""WITH {MIX_SQL} SELECT 1 AS source, 1 AS estimate, round(corr(s1, x1), 6) AS corr FROM mix UNION ALL SELECT 1, 2, round(corr(s1, x2), 6) FROM mix
 UNION ALL SELECT 2, 1, round(corr(s2, x1), 6) FROM mix UNION ALL SELECT 2, 2, round(corr(s2, x2), 6) FROM mix""")
 def source_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:

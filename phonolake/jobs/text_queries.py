@@ -67,16 +67,18 @@ def realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({c: as_decimals(F.col(c)) for c in ("latency_s", "rtf")})
 
 
-SPECS = [("view", 0.005, 0.002, "1.2 MB", 48.5), ("signup", 0.015, 0.005, "1.2 MB", 12.3), ("click", 0.045, 0.015, "150 KB", 3.8), ("error", 0.75, 0.25, "45 MB", 1.2)]
-
-
-@query(f"""WITH specs(method, latency_s, rtf, storage, boundary_lsd_db) AS (VALUES {", ".join(map(repr, SPECS))}), m AS (SELECT event_type AS method, count(*) AS n, round(avg(1 + value % 4), 6) AS naturalness, round(avg(value / 100), 6) AS continuity,
+@query("""WITH specs AS (SELECT event_type AS method, avg(value / 1000) AS latency_s, avg(value / 1000 / (1 + user_id % 7)) AS rtf, sum(strlen(coalesce(props, '')))::BIGINT AS storage, avg(abs(value - 50)) AS boundary_lsd_db FROM events GROUP BY event_type),
+m AS (SELECT event_type AS method, count(*) AS n, round(avg(1 + value % 4), 6) AS naturalness, round(avg(value / 100), 6) AS continuity,
   round(100 * avg((event_id % 2)::DOUBLE), 6) AS intelligibility_pct, round(avg((1 + value % 4 + value / 100) / 2), 6) AS overall FROM events GROUP BY event_type)
-SELECT m.*, latency_s::DOUBLE AS latency_s, rtf::DOUBLE AS rtf, storage, boundary_lsd_db::DOUBLE AS boundary_lsd_db FROM m LEFT JOIN specs USING (method)""")
+SELECT m.*, round(latency_s, 6) AS latency_s, round(rtf, 6) AS rtf, storage || ' B' AS storage, round(boundary_lsd_db, 6) AS boundary_lsd_db FROM m LEFT JOIN specs USING (method)""")
 def mos_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), (1 + v % 4).alias("naturalness_mos"), (v / 100).alias("continuity_score"), (F.col("event_id") % 2).alias("intelligibility"), ((1 + v % 4 + v / 100) / 2).alias("overall_score"))
-    return E.mos_summary(e, spark.createDataFrame(SPECS, "method string, latency_s double, rtf double, storage string, boundary_lsd_db double"))
+    """Ratings of each type of event, beside what the events say of its latency, real-time factor and size."""
+    v, events = F.col("value"), table(spark, sf_dir, "events").withColumnRenamed("event_type", "method")
+    e = events.select("method", (1 + v % 4).alias("naturalness_mos"), (v / 100).alias("continuity_score"), (F.col("event_id") % 2).alias("intelligibility"), ((1 + v % 4 + v / 100) / 2).alias("overall_score"))
+    seconds = v / 1000
+    size = F.sum(F.octet_length(F.coalesce("props", F.lit("")))).cast("string")
+    specs = events.groupBy("method").agg(F.avg(seconds).alias("latency_s"), F.avg(seconds / (1 + F.col("user_id") % 7)).alias("rtf"), F.concat(size, F.lit(" B")).alias("storage"), F.avg(F.abs(v - 50)).alias("boundary_lsd_db"))
+    return E.mos_summary(e, specs)
 
 
 @query(f"WITH {SENTENCES_SQL}{bigrams_sql('train')} SELECT context, word, count(*) AS c FROM train2 GROUP BY context, word")

@@ -86,17 +86,17 @@ def long_samples(d: DataFrame) -> DataFrame:
     return d.select("rec_id", F.posexplode("samples").alias("k", "x"), "at").select("rec_id", (F.col("at") + F.col("k")).alias("n"), "x")
 
 
-def with_recording(big: DataFrame, small: DataFrame, rows: str, share: float = 1e-3) -> DataFrame:
-    """big with the columns of small (one row for each rec_id), whose column rows says how many rows of big a recording has.
+def with_recording(big: DataFrame, small: DataFrame, rows: str, share: float = 1e-3, key: str = "rec_id", how: str = "inner") -> DataFrame:
+    """big with the columns of small (one row for each key), whose column rows says how many rows of big a key has.
 
-    Recordings with more than that share of big are fewer than 1 / share; they go to all tasks, and the others by a shuffle.
+    Keys with more than that share of big are fewer than 1 / share; they go to all tasks, and the others by a shuffle. how: inner or left.
     """
     total = small.agg(F.sum(rows).alias("n")).first()["n"] or 0
-    small = small.withColumnRenamed("rec_id", "_rec_id")
-    same = F.col("rec_id").eqNullSafe(F.col("_rec_id"))
+    small = small.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
     hot = F.broadcast(checkpointed(small.filter(F.col(rows) > total * share)))
-    cold = big.join(hot.select("_rec_id"), same, "left_anti").join(small, same)
-    return cold.unionByName(big.join(hot, same)).drop("_rec_id", rows)
+    cold = big.join(hot.select("_key"), same, "left_anti").join(small, same, how)
+    return cold.unionByName(big.join(hot, same)).drop("_key", rows)
 
 
 def apply_fir(samples: DataFrame, b: np.ndarray, size: int = BLOCK) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
+from phonolake.operators.blocks import with_recording
+from phonolake.operators.evaluation import exact_quantiles
+from phonolake.sources.folders import checkpointed
+
 from phonolake.functions import dsp
 from phonolake.functions.columns import make_window, total
 
@@ -139,8 +143,12 @@ def transient_detect(energies: DataFrame, share: float = 0.92) -> DataFrame:
     near = W.partitionBy("rec_id").orderBy("frame_idx")
     d = energies.withColumn("smooth", F.sum("energy").over(near.rowsBetween(-2, 2)) / 5)
     d = d.withColumn("change", F.coalesce(F.abs(F.col("smooth") - F.lag("smooth").over(near)), F.lit(0.0)))
-    limit = d.groupBy("rec_id").agg(F.percentile("change", F.lit(share)).alias("limit"))
-    return d.join(limit, "rec_id").filter(F.col("change") > F.col("limit") + 1e-12).select("rec_id", "frame_idx", "change", "limit")
+    d = checkpointed(d.select("rec_id", "frame_idx", "change"))
+    limit = exact_quantiles(d.select("rec_id", F.col("change").alias("v")), share).withColumnRenamed("quantile", "limit")
+    d = with_recording(d, d.groupBy("rec_id").agg(F.count("*").alias("frames")).join(limit, "rec_id"), "frames")
+    # as decimals, so that the frame which is the limit itself is not beyond it by its last bits
+    number = lambda c: F.col(c).cast("decimal(28,12)")
+    return d.filter(number("change") > number("limit")).select("rec_id", "frame_idx", "change", "limit")
 
 
 def dataset_qa(recordings: DataFrame, fs: int) -> DataFrame:

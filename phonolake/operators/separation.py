@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,29 +23,47 @@ def mixing_condition(a: tuple[tuple[float, float], tuple[float, float]]) -> tupl
     return float(np.linalg.det(m)), float(np.linalg.cond(m))
 
 
-def fast_ica(mix: DataFrame, max_iter: int = 200, tol: float = 1e-6) -> DataFrame:
-    """Adds e1 and e2, the independent components of x1 and x2: centred, whitened, then parallel fixed-point steps of log cosh.
+@dataclass
+class Unmixing:
+    """Means of the channels, what makes them white, the rotation found, and how the search ended: steps, the last change, and whether that was below the tolerance."""
+
+    mean: np.ndarray
+    white: np.ndarray
+    w: np.ndarray
+    steps: int
+    change: float
+    settled: bool
+
+    def component(self, k: int) -> Column:
+        row = self.w[k] @ self.white
+        return float(row[0]) * (F.col("x1") - float(self.mean[0])) + float(row[1]) * (F.col("x2") - float(self.mean[1]))
+
 
-    Each step is one row of means over the samples; the driver has 2 x 2 matrices only.
+def unmixing(mix: DataFrame, max_iter: int = 1000, tol: float = 1e-4) -> Unmixing:
+    """The independent components of x1 and x2: centred, whitened, then parallel fixed-point steps of log cosh until no row of the rotation changes
+    its direction by tol, or max_iter steps are done.
+
+    Each step is one row of means over the samples, in their two columns alone; the driver has 2 x 2 matrices only.
     """
     m = mix.agg(F.avg("x1"), F.avg("x2"), F.covar_pop("x1", "x1"), F.covar_pop("x1", "x2"), F.covar_pop("x2", "x2")).first()
     values, vectors = np.linalg.eigh(np.array([[m[2], m[3]], [m[3], m[4]]]))
     white = (vectors / np.sqrt(np.maximum(values, 1e-15))).T
     z = [float(white[k, 0]) * (F.col("x1") - m[0]) + float(white[k, 1]) * (F.col("x2") - m[1]) for k in (0, 1)]
-    d = mix.withColumns({"z1": z[0], "z2": z[1]}).persist()
-    w = np.linalg.qr(np.array([[0.8, 0.6], [-0.6, 0.8]]))[0]
-    for _ in range(max_iter):
+    d = mix.select(z[0].alias("z1"), z[1].alias("z2")).persist()
+    w, change, steps = np.linalg.qr(np.array([[0.8, 0.6], [-0.6, 0.8]]))[0], np.inf, 0
+    while steps < max_iter and change >= tol:
         t = [F.tanh(float(r[0]) * F.col("z1") + float(r[1]) * F.col("z2")) for r in w]
         s = d.agg(*[F.avg(F.col(c) * x) for x in t for c in ("z1", "z2")], *[F.avg(1 - x * x) for x in t]).first()
-        new = np.array([[s[0], s[1]], [s[2], s[3]]]) - np.array([[s[4]], [s[5]]]) * w
-        u, _, v = np.linalg.svd(new)
-        new = u @ v
-        done = np.max(np.abs(np.abs(np.sum(new * w, axis=1)) - 1)) < tol
-        w = new
-        if done:
-            break
+        u, _, v = np.linalg.svd(np.array([[s[0], s[1]], [s[2], s[3]]]) - np.array([[s[4]], [s[5]]]) * w)
+        change, w, steps = float(np.max(np.abs(np.abs(np.sum(u @ v * w, axis=1)) - 1))), u @ v, steps + 1
     d.unpersist()
-    return d.withColumns({f"e{k + 1}": float(w[k, 0]) * F.col("z1") + float(w[k, 1]) * F.col("z2") for k in (0, 1)}).drop("z1", "z2")
+    return Unmixing(np.array([m[0], m[1]]), white, w, steps, change, change < tol)
+
+
+def fast_ica(mix: DataFrame, max_iter: int = 1000, tol: float = 1e-4) -> DataFrame:
+    """Adds e1 and e2, the independent components of x1 and x2 that unmixing finds."""
+    found = unmixing(mix, max_iter, tol)
+    return mix.withColumns({f"e{k + 1}": found.component(k) for k in (0, 1)})
 
 
 def source_correlation(separated: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from phonolake.functions.columns import cosine_similarity, first_rows, norm
+from phonolake.functions.columns import first_rows, norm
 from phonolake.operators.frames import cmvn, delta, dims
 
 
@@ -35,20 +37,55 @@ def speaker_models(enroll: DataFrame, first: int | None = None) -> DataFrame:
     return gathered(d, ["speaker"], ["dim"], "y").withColumn("vec", unit_length(F.col("vec")))
 
 
-def verification_trials(test: DataFrame, models: DataFrame) -> DataFrame:
+def met_blocks(test: DataFrame, models: DataFrame, found: Callable, schema: str, block: int = 4096) -> DataFrame:
+    """found(recordings, speakers, scores) for blocks of about so many recordings (rec_id, speaker, vec) and blocks of as many models, each two in a task
+    of their own: scores are the cosines of all their pairs, by one product of matrices. Vectors are sent once for each block they meet.
+    """
+    size = lambda d: max(1, -(-d.count() // block))
+    n_test, n_models = size(test), size(models)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda *names: [F.col(n).alias(n) for n in names]  # noqa: E731  new columns, for both may come from one table
+    x = test.select(*own("rec_id", "speaker", "vec"), F.pmod(F.xxhash64("rec_id"), F.lit(n_test)).cast("int").alias("a"), every(n_models).alias("b"))
+    y = models.select(*own("speaker", "vec"), every(n_test).alias("a"), F.pmod(F.xxhash64("speaker"), F.lit(n_models)).cast("int").alias("b"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return found(left.iloc[:0], right.iloc[:0], np.zeros((0, 0)))
+        u, v = np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float)
+        return found(left, right, u @ v.T / (np.sqrt((u * u).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1)) + 1e-12))
+
+    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(meet, schema)
+
+
+def verification_trials(test: DataFrame, models: DataFrame, block: int = 4096) -> DataFrame:
     """(claim, actual, rec_id, score, genuine) for each recording and speaker."""
-    m = models.select(F.col("speaker").alias("claim"), F.col("vec").alias("model"))
-    d = test.crossJoin(m)
-    return d.select("claim", F.col("speaker").alias("actual"), "rec_id", cosine_similarity(F.col("vec"), F.col("model")).alias("score"), (F.col("claim") == F.col("speaker")).cast("int").alias("genuine"))
-
-
-def speaker_identify(test: DataFrame, models: DataFrame) -> DataFrame:
-    """(rec_id, actual, pred, score, margin): the speaker with the highest score, and how far it is ahead of the next."""
-    t = verification_trials(test, models)
-    top = F.sort_array(F.collect_list(F.struct("score", (-F.col("claim")).alias("minus"))), asc=False)
-    d = t.groupBy("rec_id", "actual").agg(F.slice(top, 1, 2).alias("top"))
-    first = F.get("top", F.lit(0))
-    return d.select("rec_id", "actual", (-first["minus"]).alias("pred"), first["score"].alias("score"), (first["score"] - F.get("top", F.lit(1))["score"]).alias("margin"))
+    kinds = dict(test.dtypes)
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        claim, actual = np.tile(right["speaker"], len(left)), np.repeat(left["speaker"].to_numpy(), len(right))
+        return pd.DataFrame({"claim": claim, "actual": actual, "rec_id": np.repeat(left["rec_id"].to_numpy(), len(right)), "score": scores.ravel(), "genuine": (claim == actual).astype(np.int32)})
+
+    return met_blocks(test, models, pairs, f"claim {kinds['speaker']}, actual {kinds['speaker']}, rec_id {kinds['rec_id']}, score double, genuine int", block)
+
+
+def speaker_identify(test: DataFrame, models: DataFrame, block: int = 4096) -> DataFrame:
+    """(rec_id, actual, pred, score, margin): the speaker with the highest score, ties to the least, and how far it is ahead of the next.
+
+    A task keeps a recording's two best of its models; of these the two best of all are taken, the windows of which keep two rows themselves before the shuffle.
+    """
+    kinds = dict(test.dtypes)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(right["speaker"].to_numpy(), kind="stable")
+        names, scores = right["speaker"].to_numpy()[order], scores[:, order]
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+        n = top.shape[1]
+        return pd.DataFrame({"rec_id": np.repeat(left["rec_id"].to_numpy(), n), "actual": np.repeat(left["speaker"].to_numpy(), n), "pred": names[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
+
+    d = met_blocks(test, models, best, f"rec_id {kinds['rec_id']}, actual {kinds['speaker']}, pred {kinds['speaker']}, score double", block)
+    d = d.withColumn("k", F.row_number().over(W.partitionBy("rec_id", "actual").orderBy(F.desc("score"), "pred"))).filter("k <= 2")
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return d.groupBy("rec_id", "actual").agg(pick(1, "pred").alias("pred"), pick(1, "score").alias("score"), (pick(1, "score") - pick(2, "score")).alias("margin"))
 
 
 def threshold_sweep(trials: DataFrame, num: int = 401, fine: int = 1000, reach: float = 0.005) -> DataFrame:

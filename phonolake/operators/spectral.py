@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,16 @@ def _columns(schema: str) -> list[str]:
     return out
 
 
+def spectra_rows(recordings: DataFrame, fs: float, nfft: int | None = None, window: str = "hamming") -> DataFrame:
+    """(rec_id, f_hz array, mag_db array, delta_f) of the one-sided spectrum, a row for each recording."""
+
+    def one(x: np.ndarray) -> list[tuple]:
+        n = nfft or dsp.next_pow2(len(x))
+        return [((np.arange(n // 2 + 1) * fs / n).tolist(), dsp.to_db(np.abs(dsp.one_sided(x, dsp.window(window, len(x)), n))).tolist(), fs / n)]
+
+    return per_recording(recordings, one, "f_hz array<double>, mag_db array<double>, delta_f double")
+
+
 def fft_spectrum(recordings: DataFrame, fs: float, nfft: int | None = None, window: str = "hamming") -> DataFrame:
     """(rec_id, k, f_hz, mag, mag_db, power_db, phase, delta_f, true_res) of the one-sided spectrum.
 
@@ -63,32 +74,49 @@ def compare_nfft(recordings: DataFrame, fs: float, sizes: tuple[int, ...] = (64,
     return out
 
 
-def spectral_peaks(spectra: DataFrame, n_peaks: int = 6, min_db: float = -60.0, min_freq: float = 20.0, prominence: float = 3.0) -> DataFrame:
-    """(rec_id, k, f_hz, mag_db, delta_f) -> each spectrum's strongest peaks, at least max(3, 20 Hz) bins apart and prominence above the
-    higher of the lowest levels on their sides before a higher one."""
-
-    def peaks(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("k")
-        v, f = d["mag_db"].to_numpy(), d["f_hz"].to_numpy()
-        gap = max(3, int(20 / d["delta_f"].iloc[0]))
-        at = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:])) + 1
-        at = at[v[at] >= min_db]
-        chosen: list[int] = []
-        for k in at[np.argsort(-v[at], kind="stable")]:
-            if all(abs(k - c) >= gap for c in chosen):
-                chosen.append(int(k))
-        out = []
-        for k in chosen:
-            higher = np.flatnonzero(v > v[k])
-            a = higher[higher < k].max(initial=-1) + 1
-            b = higher[higher > k].min(initial=len(v))
-            if v[k] - max(v[a : k + 1].min(), v[k:b].min()) >= prominence and f[k] > min_freq:
-                out.append((k, f[k], v[k]))
-        out = out[:n_peaks]
-        return pd.DataFrame({"rec_id": [d["rec_id"].iloc[0]] * len(out), "rank": range(1, len(out) + 1), "k": [x[0] for x in out], "f_hz": [x[1] for x in out], "mag_db": [x[2] for x in out]})
+def bases(v: np.ndarray) -> np.ndarray:
+    """For each place the lowest value between it and the next higher one before it, or the beginning: a stack of falling values keeps the lowest
+    one between its neighbours, so each place goes on it and off it once."""
+    out, stack = np.empty(len(v)), []
+    for k, x in enumerate(v.tolist()):
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        out[k] = low
+        stack.append((x, low))
+    return out
 
+
+def apart(at: np.ndarray, gap: int) -> list[int]:
+    """Of places, the best first, those that no earlier chosen one is within gap of: an ordered list tells the neighbours."""
+    chosen, found = [], []
+    for k in at.tolist():
+        i = bisect_left(found, k)
+        if (i == 0 or k - found[i - 1] >= gap) and (i == len(found) or found[i] - k >= gap):
+            found.insert(i, k)
+            chosen.append(k)
+    return chosen
+
+
+def spectral_peaks(spectra: DataFrame, n_peaks: int = 6, min_db: float = -60.0, min_freq: float = 20.0, prominence: float = 3.0) -> DataFrame:
+    """(rec_id, f_hz array, mag_db array, delta_f) -> each spectrum's strongest peaks, at least max(3, 20 Hz) bins apart and prominence above the
+    higher of the lowest levels on their sides before a higher one. Spectra come as rows; each takes one sort and two passes."""
     kind = dict(spectra.dtypes)["rec_id"]
-    return spectra.select("rec_id", "k", "f_hz", "mag_db", "delta_f").groupBy("rec_id").applyInPandas(peaks, f"rec_id {kind}, rank int, k int, f_hz double, mag_db double")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for rec, f, v, step in zip(d["rec_id"], d["f_hz"], d["mag_db"], d["delta_f"], strict=True):
+                v = np.asarray(v, dtype=float)
+                at = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:])) + 1
+                at = at[v[at] >= min_db]
+                chosen = np.array(apart(at[np.argsort(-v[at], kind="stable")], max(3, int(20 / step))), dtype=int)
+                above = v - np.maximum(bases(v), bases(v[::-1])[::-1])
+                chosen = chosen[(above[chosen] >= prominence) & (np.asarray(f)[chosen] > min_freq)][:n_peaks]
+                out += [(rec, i, int(k), float(f[k]), float(v[k])) for i, k in enumerate(chosen, 1)]
+            yield pd.DataFrame(out, columns=["rec_id", "rank", "k", "f_hz", "mag_db"])
+
+    return spectra.select("rec_id", "f_hz", "mag_db", "delta_f").mapInPandas(rows, f"rec_id {kind}, rank int, k int, f_hz double, mag_db double")
 
 
 def window_properties(windows: DataFrame, nfft: int = 8192) -> DataFrame:

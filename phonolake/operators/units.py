@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from phonolake.operators.blocks import with_recording
+from phonolake.sources.folders import checkpointed
+
 # Punctuation that separates words, and the words of the digits from 0 on.
 PUNCTUATION = ".,!?:;()\"'-"
 DIGITS = ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
@@ -49,40 +52,42 @@ def lattice_edges(positions: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, ["sent_id", "pos"]).join(edges, ["left", "right"], "left").fillna(0.0, ["join_cost"])
 
 
-def unit_selection(positions: DataFrame, edges: DataFrame, weight: float = 1.0, bucket_rows: int = 20_000) -> DataFrame:
+def field(part: str, name: str) -> Column:
+    """Of each element of s a field of its part, as a column of that name."""
+    return F.transform("s", lambda x: x[part][name]).alias(name)
+
+
+def unit_selection(positions: DataFrame, edges: DataFrame, weight: float = 1.0) -> DataFrame:
     """(sent_id, pos, unit, candidate, target_cost) and (left, right, join_cost) -> (sent_id, cost, path), the least sum.
 
-    Sentences are dealt into buckets of about so many rows, and all sentences of a bucket take each step together. The first
-    candidate wins ties.
+    A sentence's candidates and the joins between neighbours come as arrays, and steps are sums over matrices. The first candidate wins ties.
     """
-    buckets = max(1, -(-positions.count() // bucket_rows))
-    pairs = lattice_edges(positions, edges).select("sent_id", (F.col("pos") + 1).alias("pos"), F.col("c_right").alias("candidate"), "c_left", "join_cost")
-    d = positions.select("sent_id", "pos", "candidate", "target_cost").join(pairs, ["sent_id", "pos", "candidate"], "left")
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("sent_id"), F.lit(buckets)))
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        cost, steps, done = None, [], []
-        for _, at in rows.groupby("pos", sort=True):
-            if cost is None:
-                now = at.assign(cost=at["target_cost"], c_left=-1)
-            else:
-                now = at.merge(cost.rename(columns={"candidate": "c_left", "cost": "before"}), on=["sent_id", "c_left"])
-                now["cost"] = now["before"] + weight * now["join_cost"]
-                now = now.sort_values(["sent_id", "candidate", "cost", "c_left"], kind="stable").drop_duplicates(["sent_id", "candidate"])
-                now["cost"] += now["target_cost"]
-                done.append(cost[~cost["sent_id"].isin(now["sent_id"])])
-            steps.append(now[["sent_id", "candidate", "c_left"]])
-            cost = now[["sent_id", "candidate", "cost"]]
-        ends = pd.concat([*done, cost]).sort_values(["sent_id", "cost", "candidate"], kind="stable").drop_duplicates("sent_id")
-        here, paths = dict(zip(ends["sent_id"], ends["candidate"], strict=True)), {s: [] for s in ends["sent_id"]}
-        for step in reversed(steps):
-            came = {(s, c): left for s, c, left in step.itertuples(index=False)}
-            for s in step["sent_id"].unique():
-                paths[s].append(int(here[s]))
-                here[s] = came[s, here[s]]
-        return pd.DataFrame({"sent_id": ends["sent_id"], "cost": ends["cost"], "path": [paths[s][::-1] for s in ends["sent_id"]]})
-
-    return d.groupBy("bucket").applyInPandas(best, "sent_id long, cost double, path array<int>")
+    d = positions.groupBy("sent_id", "pos").agg(F.sort_array(F.collect_list(F.struct("candidate", "target_cost"))).alias("c"))
+    j = lattice_edges(positions, edges).groupBy("sent_id", (F.col("pos") + 1).alias("pos")).agg(F.collect_list(F.struct("c_left", "c_right", "join_cost")).alias("j"))
+    d = d.join(j, ["sent_id", "pos"], "left").groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "c", "j"))).alias("s"))
+    d = d.select("sent_id", *[field(*p) for p in (("c", "candidate"), ("c", "target_cost"), ("j", "c_left"), ("j", "c_right"), ("j", "join_cost"))])
+
+    def best(batches):
+        for rows in batches:
+            out = []
+            for sent, names, costs, lefts, rights, joins in rows.itertuples(index=False):
+                total, came = np.asarray(costs[0], dtype=float), []
+                for k in range(1, len(names)):
+                    step = np.zeros((len(names[k - 1]), len(names[k])))
+                    if lefts[k] is not None:
+                        step[np.searchsorted(names[k - 1], lefts[k]), np.searchsorted(names[k], rights[k])] = joins[k]
+                    step = total[:, None] + weight * step
+                    came.append(step.argmin(axis=0))
+                    total = step.min(axis=0) + np.asarray(costs[k], dtype=float)
+                k = int(total.argmin())
+                least, path = float(total[k]), [int(names[-1][k])]
+                for left, step in zip(names[-2::-1], came[::-1], strict=True):
+                    k = int(step[k])
+                    path.append(int(left[k]))
+                out.append((sent, least, path[::-1]))
+            yield pd.DataFrame(out, columns=["sent_id", "cost", "path"])
+
+    return d.mapInPandas(best, "sent_id long, cost double, path array<int>")
 
 
 def useful_units(inventory: DataFrame, *, level: float = 100.0) -> DataFrame:
@@ -104,26 +109,26 @@ def useful_units(inventory: DataFrame, *, level: float = 100.0) -> DataFrame:
 def least_cost(positions: DataFrame, inventory: DataFrame, *, level: float = 100.0, other: float = 0.5) -> DataFrame:
     """(sent_id, pos, unit) and (unit, candidate, duration_s, rms) -> (sent_id, cost, path), the least sum over all candidates.
 
-    A join costs level * |rms difference|, and other more between different units. useful_units go to the workers. Units that the inventory
-    lacks cost nothing, and have -1 in the path.
+    A join costs level * |rms difference|, and other more between different units. useful_units are joined to the positions, a row with
+    arrays for each unit, frequent units apart from the others. Units that the inventory lacks cost nothing, and have -1 in the path.
     """
-    rows = useful_units(inventory, level=level).orderBy("unit", "rms").toPandas()
-    units = {u: (g["candidate"].to_numpy(), g["rms"].to_numpy(), g["target_cost"].to_numpy()) for u, g in rows.groupby("unit")}
+    own = useful_units(inventory, level=level).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("rms", "candidate", "target_cost"))).alias("c"))
+    counts = positions.groupBy("unit").agg(F.count("*").alias("times"))
+    d = with_recording(positions.select("sent_id", "pos", "unit"), counts.join(own, "unit", "left"), "times", key="unit")
+    d = d.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", "c"))).alias("s"))
+    d = d.select("sent_id", F.col("s.unit").alias("units"), *[field("c", n) for n in ("candidate", "rms", "target_cost")])
     lacking = (np.array([-1]), np.array([np.nan]), np.zeros(1))
 
     def best(batches):
-        joins = {}
-        for d in batches:
+        for rows in batches:
             out = []
-            for sent, seq in zip(d["sent_id"], d["units"], strict=True):
-                have = [units.get(u, lacking) for u in seq]
+            for sent, units, *arrays in rows.itertuples(index=False):
+                have = [lacking if x[0] is None else tuple(map(np.asarray, x)) for x in zip(*arrays, strict=True)]
                 cost, came = have[0][2], []
-                for (ua, a), (ub, b) in zip(zip(seq, have), zip(seq[1:], have[1:])):
-                    if (ua, ub) not in joins:
-                        joins[ua, ub] = np.nan_to_num(level * np.abs(a[1][:, None] - b[1][None]) + (other if ua != ub else 0.0))
-                    total = cost[:, None] + joins[ua, ub]
-                    came.append(total.argmin(axis=0))
-                    cost = total.min(axis=0) + b[2]
+                for ua, ub, a, b in zip(units, units[1:], have, have[1:]):
+                    step = cost[:, None] + np.nan_to_num(level * np.abs(a[1][:, None] - b[1][None]) + (other if ua != ub else 0.0))
+                    came.append(step.argmin(axis=0))
+                    cost = step.min(axis=0) + b[2]
                 k = int(cost.argmin())
                 least, path = float(cost[k]), [int(have[-1][0][k])]
                 for left, step in zip(have[-2::-1], came[::-1]):
@@ -132,7 +137,6 @@ def least_cost(positions: DataFrame, inventory: DataFrame, *, level: float = 100
                 out.append((sent, least, path[::-1]))
             yield pd.DataFrame(out, columns=["sent_id", "cost", "path"])
 
-    d = positions.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "unit"))).alias("units")).select("sent_id", F.col("units.unit").alias("units"))
     return d.mapInPandas(best, "sent_id long, cost double, path array<long>")
 
 
@@ -144,35 +148,58 @@ def fixed_cost(positions: DataFrame, edges: DataFrame, candidate: int = 1, weigh
     return d.select("sent_id", (F.col("targets") + weight * F.coalesce("joins", F.lit(0.0))).alias("fixed_cost"))
 
 
+def first_cost(positions: DataFrame, inventory: DataFrame, *, level: float = 100.0, other: float = 0.5) -> DataFrame:
+    """(sent_id, pos, unit) and (unit, candidate, duration_s, rms) -> (sent_id, fixed_cost) of each unit's first candidate all along, priced as least_cost does."""
+    own = inventory.groupBy("unit").agg(F.min(F.struct("candidate", "rms", target_price().alias("target_cost"))).alias("c"))
+    counts = positions.groupBy("unit").agg(F.count("*").alias("times"))
+    d = with_recording(positions.select("sent_id", "pos", "unit"), counts.join(own, "unit", "left"), "times", key="unit")
+    d = d.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "unit", F.col("c.rms").alias("rms"), F.col("c.target_cost").alias("t")))).alias("s"))
+    join = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s")), lambda a, b: F.coalesce(level * F.abs(a["rms"] - b["rms"]) + F.when(a["unit"] != b["unit"], other).otherwise(0.0), F.lit(0.0)))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    return d.select("sent_id", (add(F.transform("s", lambda x: F.coalesce(x["t"], F.lit(0.0)))) + add(join)).alias("fixed_cost"))
+
+
 def cost_report(fixed: DataFrame, best: DataFrame) -> DataFrame:
+    """(sent_id, fixed_cost) and (sent_id, cost) -> both with reduction_pct, how many percent the least cost is below the other."""
     d = fixed.join(best.select("sent_id", "cost"), "sent_id")
-    return d.withColumn("reduction_pct", F.round(100 * (F.col("fixed_cost") - F.col("cost")) / F.nullif(F.col("fixed_cost"), F.lit(0.0)) + 1e-9, 2))
+    return d.withColumn("reduction_pct", 100 * (F.col("fixed_cost") - F.col("cost")) / F.nullif(F.col("fixed_cost"), F.lit(0.0)))
 
 
-def edge_spectra(units: DataFrame, fs: int = 16_000, ms: int = 25, nfft: int = 512) -> DataFrame:
-    """(key, samples) -> (key, head, tail, head_rms, tail_rms): dB spectra of both ends under a Hann window, once per unit."""
-    size = int(fs * ms / 1000)
+def edge_spectra(edges: DataFrame, nfft: int = 512) -> DataFrame:
+    """(key, side, n, part), part being n samples -> (key, side, n, db, rms): the dB spectrum under a Hann window."""
 
-    def ends(batches):
+    def spectra(batches):
         for d in batches:
             out = []
-            for key, x in zip(d["key"], d["samples"], strict=True):
+            for x in d["part"]:
                 x = np.asarray(x, dtype=float)
-                n = min(size, len(x))
-                parts = (x[:n], x[len(x) - n :])
-                db = [20 * np.log10(np.maximum(np.abs(np.fft.rfft(p * np.hanning(n), nfft)), 1e-8)) if n else np.zeros(nfft // 2 + 1) for p in parts]
-                rms = [float(np.sqrt(np.mean(p * p) + 1e-12)) if n else 1e-6 for p in parts]
-                out.append((key, db[0].tolist(), db[1].tolist(), *rms))
-            yield pd.DataFrame(out, columns=["key", "head", "tail", "head_rms", "tail_rms"])
+                db = 20 * np.log10(np.maximum(np.abs(np.fft.rfft(x * np.hanning(len(x)), nfft)), 1e-8))
+                out.append((db.tolist(), float(np.sqrt(np.mean(x * x) + 1e-12))))
+            yield d[["key", "side", "n"]].assign(db=[x for x, _ in out], rms=[r for _, r in out])
+
+    return edges.mapInPandas(spectra, "key string, side string, n int, db array<double>, rms double")
 
-    return units.select("key", "samples").mapInPandas(ends, "key string, head array<double>, tail array<double>, head_rms double, tail_rms double")
 
+def join_cost(pairs: DataFrame, units: DataFrame, fs: int = 16_000, ms: int = 25, nfft: int = 512) -> DataFrame:
+    """(left, right) and (key, samples) -> boundary_lsd and join_cost.
 
-def join_cost(pairs: DataFrame, spectra: DataFrame) -> DataFrame:
-    """(left, right) -> boundary_lsd, the mean squared dB difference of left's end and right's start, and join_cost with 100 |RMS difference|."""
-    d = pairs.join(spectra.select(F.col("key").alias("left"), "tail", "tail_rms"), "left").join(spectra.select(F.col("key").alias("right"), "head", "head_rms"), "right")
-    lsd = F.aggregate(F.zip_with("tail", "head", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("tail")
-    return d.select("left", "right", lsd.alias("boundary_lsd"), (lsd + 100 * F.abs(F.col("tail_rms") - F.col("head_rms"))).alias("join_cost"))
+    Left's end and right's start, both as long as the shorter unit allows and ms at most, have spectra under a Hann window; join_cost is their mean
+    squared dB difference and 100 |RMS difference|, 0 if either unit is empty. boundary_lsd is that difference for units of ms or more, and
+    0 if either is shorter. Spectra are made once for each unit, side and length that pairs ask for, at most ms of lengths for each.
+    """
+    size = int(fs * ms / 1000)
+    lens = units.select("key", F.size("samples").alias("len"))
+    p = pairs.select("left", "right").distinct().join(lens.toDF("left", "la"), "left").join(lens.toDF("right", "lb"), "right")
+    p = checkpointed(p.withColumn("n", F.least(F.lit(size), "la", "lb")))
+    asked = p.select(F.col("left").alias("key"), F.lit("tail").alias("side"), "n").unionAll(p.select(F.col("right").alias("key"), F.lit("head").alias("side"), "n")).filter("n > 0").distinct()
+    part = F.when(F.col("side") == "tail", F.slice("samples", F.size("samples") - F.col("n") + 1, F.col("n"))).otherwise(F.slice("samples", F.lit(1), F.col("n")))
+    s = checkpointed(edge_spectra(asked.join(units.select("key", "samples"), "key").select("key", "side", "n", part.alias("part")), nfft))
+    end = lambda side, name, k: s.filter(F.col("side") == side).select(F.col("key").alias(name), "n", F.col("db").alias(f"db_{k}"), F.col("rms").alias(f"rms_{k}"))
+    d = p.join(end("tail", "left", "a"), ["left", "n"], "left").join(end("head", "right", "b"), ["right", "n"], "left")
+    lsd = F.aggregate(F.zip_with("db_a", "db_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y) / F.size("db_a")
+    d = d.withColumn("lsd", F.when(F.col("n") > 0, lsd).otherwise(0.0))
+    cost = F.when(F.col("n") > 0, F.col("lsd") + 100 * F.abs(F.col("rms_a") - F.col("rms_b"))).otherwise(0.0)
+    return d.select("left", "right", F.when(F.col("n") == size, F.col("lsd")).otherwise(0.0).alias("boundary_lsd"), cost.alias("join_cost"))
 
 
 def crossfade_concat(units: DataFrame, n_fade: int) -> DataFrame:
