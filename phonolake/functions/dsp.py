@@ -273,3 +273,60 @@ def hann_pitch(frames: np.ndarray, fs: float, f0_min: float, f0_max: float) -> t
     lo, hi = int(fs / f0_max), min(int(fs / f0_min), size - 1)
     lag = r[:, lo:hi].argmax(axis=1) + lo if hi > lo else np.zeros(len(x), dtype=np.int64)
     return np.where(lag > 0, fs / np.maximum(lag, 1), 0.0), lag
+
+
+def dtw_bounds(tests: list[np.ndarray], templates: list[np.ndarray]) -> np.ndarray:
+    """For each test and template a bound from below on their score: each frame of one costs at least its distance to the box of all frames of
+    the other, the first and the last pair cost what they do, and no path is longer than both sequences less one frame."""
+    out = np.zeros((len(tests), len(templates)))
+    where, ends = np.concatenate(tests), np.cumsum([0, *map(len, tests)])
+    lows, highs = (np.stack([f(x, axis=0) for x in tests]) for f in (np.min, np.max))
+    first, last = np.stack([x[0] for x in tests]), np.stack([x[-1] for x in tests])
+    lens = np.diff(ends)
+    for k, y in enumerate(templates):
+        beyond = np.sqrt((np.maximum(np.maximum(y.min(axis=0) - where, where - y.max(axis=0)), 0) ** 2).sum(axis=1))
+        rows = np.add.reduceat(beyond, ends[:-1])
+        cols = np.sqrt((np.maximum(np.maximum(lows[:, None] - y, y - highs[:, None]), 0) ** 2).sum(axis=2)).sum(axis=1)
+        corners = np.sqrt(((first - y[0]) ** 2).sum(axis=1)) + np.where(lens + len(y) > 2, np.sqrt(((last - y[-1]) ** 2).sum(axis=1)), 0.0)
+        # a last bit less, so that rounding never makes it too high
+        out[:, k] = np.maximum(np.maximum(rows, cols), corners) * (1 - 1e-12) / (lens + len(y) - 1)
+    return out
+
+
+def dtw_limited(x: list[np.ndarray], y: list[np.ndarray], limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of pairs of sequences, infinite for those that are ended because all their paths' scores are beyond limit, and how many cells
+    each pair filled. Pairs of like lengths are worked on together, cells of an anti-diagonal at once; three diagonals are kept."""
+    score, filled = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(x, y, strict=True)):
+        alike.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), at in alike.items():
+        step = max(1, (1 << 22) // (n * m))
+        for z in range(0, len(at), step):
+            own = np.array(at[z : z + step])
+            a, b = np.stack([x[k] for k in own]), np.stack([y[k] for k in own])
+            most = limit[own] * (n + m - 1) * (1 + 1e-12)
+            # costs and lengths of the last two diagonals, by rows of the grid with a border
+            d1, d2 = (np.full((len(own), n + 1), np.inf) for _ in range(2))
+            s1, s2 = (np.zeros((len(own), n + 1), dtype=np.int64) for _ in range(2))
+            d2[:, 0] = 0.0
+            for k in range(2, n + m + 1):
+                i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+                cost = np.sqrt(((a[:, i - 1] - b[:, k - i - 1]) ** 2).sum(axis=2))
+                before = np.stack([d1[:, i - 1], d1[:, i], d2[:, i - 1]])
+                which = before.argmin(axis=0)
+                now, length = np.full_like(d1, np.inf), np.zeros_like(s1)
+                now[:, i] = cost + before.min(axis=0)
+                length[:, i] = 1 + np.choose(which, [s1[:, i - 1], s1[:, i], s2[:, i - 1]])
+                filled[own] += len(i)
+                d2, d1, s2, s1 = d1, now, s1, length
+                # a path goes through one of two neighbouring diagonals
+                if k % 4 == 0 and k < n + m:
+                    keep = np.minimum(d1.min(axis=1), d2.min(axis=1)) <= most
+                    if not keep.all():
+                        own, a, b, most, d1, d2, s1, s2 = (v[keep] for v in (own, a, b, most, d1, d2, s1, s2))
+                        if not len(own):
+                            break
+            if len(own):
+                score[own] = d1[:, n] / s1[:, n]
+    return score, filled

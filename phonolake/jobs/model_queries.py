@@ -444,9 +444,10 @@ def hmm_state_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model of three states with all transitions, for all recordings' cepstra, and the states along each."""
-    s = M.to_sequences(B.mfcc(samples(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8)).withColumn("label", F.lit("all"))
-    d = M.hmm_viterbi(s, M.hmm_train(s, 3, 8, full=True)[0])
+    """One model of three states with all transitions, for all recordings' cepstra, and the states along each. Training begins with clusters of the frames and
+    goes on for 100 steps, or until the log likelihood changes by less than 0.01."""
+    s = checkpointed(M.to_sequences(B.mfcc(samples(spark, sf_dir), FS, SIZE, HOP, 64, 8, 8)).withColumn("label", F.lit("all")))
+    d = M.hmm_viterbi(s, M.hmm_train(s, 3, 100, 1e-2, start=M.clustered_start(s, 3, "all"), prior=1e-2)[0])
     return d.select("rec_id", F.posexplode("path").alias("frame_idx", "state"))
 
 

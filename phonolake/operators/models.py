@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from phonolake.functions import dsp
 from phonolake.functions.columns import first_rows
+from phonolake.sources.folders import checkpointed
 
 TINY = 1e-300
 
@@ -66,28 +67,61 @@ def ranked(scores: DataFrame, best: Column, top: int = 2) -> DataFrame:
     return d.groupBy("rec_id", "truth").agg(*picks)
 
 
-def dtw_recognize(test: DataFrame, templates: DataFrame, top: int = 2, block: int = 256) -> DataFrame:
-    """(rec_id, truth, seq) against all templates: the least score of each label, ranked.
+def least_by_label(tests: list[np.ndarray], templates: list[np.ndarray], labels: np.ndarray, top: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """For each label the least score of each test, where it can be among the top labels' (infinite elsewhere), and for each test how many cells were filled.
+
+    A test meets templates in the order of a bound from below on their scores, in rounds that double, until the bounds of all others are beyond its top-th best label; a pair ends
+    as soon as all paths cost more than that.
+    """
+    bound = dsp.dtw_bounds(tests, templates)
+    order = np.argsort(bound, axis=1, kind="stable")
+    names, which = np.unique(labels, return_inverse=True)
+    best, cells = np.full((len(tests), len(names)), np.inf), np.zeros(len(tests), dtype=np.int64)
+    done, step, top = 0, 1, min(top, len(names))
+    while done < len(templates):
+        limit = np.partition(best, top - 1, axis=1)[:, top - 1]
+        rows, cols = np.repeat(np.arange(len(tests)), min(step, len(templates) - done)), order[:, done : done + step].ravel()
+        near = bound[rows, cols] <= limit[rows]
+        if not near.any():
+            break
+        rows, cols = rows[near], cols[near]
+        score, filled = dsp.dtw_limited([tests[k] for k in rows], [templates[k] for k in cols], limit[rows])
+        np.minimum.at(best, (rows, which[cols]), score)
+        np.add.at(cells, rows, filled)
+        done, step = done + step, 2 * step
+    return {n: best[:, k] for k, n in enumerate(names)}, cells
+
+
+def dtw_recognize(test: DataFrame, templates: DataFrame, top: int = 2, block: int = 256, share: bool = False) -> DataFrame:
+    """(rec_id, truth, seq) against all templates: the least score of each label, ranked; with share also the share of cells that were filled.
 
     Blocks of about so many sequences meet blocks of as many templates, each two in a task of their own: sequences are sent
-    once for each block, never once for each pair, and a task gives the least score for its sequences and labels.
+    once for each block, never once for each pair, and a task gives the least score for its sequences and labels. Pairs whose score
+    cannot be among the top labels' are left out, or ended early, by bounds from below: scores are as if all were worked out.
     """
+    test, templates = checkpointed(test.select("rec_id", "truth", "seq")), checkpointed(templates.select("label", "tmpl_id", "template"))
     size = lambda d: max(1, -(-d.count() // block))
     n_test, n_tmpl = size(test), size(templates)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = test.select("rec_id", "truth", "seq", F.pmod(F.xxhash64("rec_id"), F.lit(n_test)).cast("int").alias("a"), every(n_tmpl).alias("b"))
     y = templates.select("label", "template", every(n_test).alias("a"), F.pmod(F.xxhash64("label", "tmpl_id"), F.lit(n_tmpl)).cast("int").alias("b"))
     kinds = dict(test.dtypes) | dict(templates.dtypes)
+    columns = ["rec_id", "truth", "label", "score", "filled", "cells"]
 
     def scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rec_id": left["rec_id"].iloc[:0], "truth": left["truth"].iloc[:0], "label": right["label"].iloc[:0], "score": np.zeros(0)})
-        s = pd.DataFrame(dsp.dtw_scores([stacked(v) for v in left["seq"]], [stacked(v) for v in right["template"]]).T)
-        least = s.groupby(right["label"].to_numpy()).min()
-        return pd.DataFrame({"rec_id": np.tile(left["rec_id"], len(least)), "truth": np.tile(left["truth"], len(least)), "label": np.repeat(least.index.to_numpy(), len(left)), "score": least.to_numpy().ravel()})
+            return pd.DataFrame({c: left[c].iloc[:0] if c in left else right[c].iloc[:0] if c in right else np.zeros(0) for c in columns})
+        a, b = [stacked(v) for v in left["seq"]], [stacked(v) for v in right["template"]]
+        least, filled = least_by_label(a, b, right["label"].to_numpy(), top)
+        n, every_cell = len(least), np.array([len(v) for v in a]) * sum(len(v) for v in b)
+        first = np.arange(n * len(left)) < len(left)  # cells count once for each recording
+        d = pd.DataFrame({"rec_id": np.tile(left["rec_id"], n), "truth": np.tile(left["truth"], n), "label": np.repeat(np.array(list(least), dtype=object), len(left)), "score": np.concatenate(list(least.values()))})
+        return d.assign(filled=np.where(first, np.tile(filled, n), 0), cells=np.where(first, np.tile(every_cell, n), 0))[columns]
 
-    d = x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(scores, f"rec_id {kinds['rec_id']}, truth {kinds['truth']}, label {kinds['label']}, score double")
-    return ranked(d.groupBy("rec_id", "truth", "label").agg(F.min("score").alias("score")), F.col("score").asc(), top)
+    d = x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(scores, f"rec_id {kinds['rec_id']}, truth {kinds['truth']}, label {kinds['label']}, score double, filled long, cells long")
+    d = checkpointed(d) if share else d
+    out = ranked(d.groupBy("rec_id", "truth", "label").agg(F.min("score").alias("score")), F.col("score").asc(), top)
+    return out.join(d.groupBy("rec_id").agg((F.sum("filled") / F.sum("cells")).alias("share")), "rec_id") if share else out
 
 
 def gaussian_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -160,52 +194,83 @@ class Hmm:
     var: np.ndarray
 
     def log_emission(self, x: np.ndarray) -> np.ndarray:
-        d = x[:, None, :] - self.mean
-        return -0.5 * (x.shape[1] * np.log(2 * np.pi) + (d * d / self.var + np.log(self.var)).sum(axis=2))
+        """For frames x, or stacks of sequences, the log density of each state."""
+        d = x[..., None, :] - self.mean
+        return -0.5 * (x.shape[-1] * np.log(2 * np.pi) + (d * d / self.var + np.log(self.var)).sum(axis=-1))
 
-    def forward(self, b: np.ndarray) -> tuple[float, np.ndarray]:
-        """Log likelihood and log forward variables, for log emissions b."""
+    def forward(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods and log forward variables, for log emissions b of a sequence or of a stack of sequences of one length."""
         a = np.log(self.a + TINY)
         out = np.empty_like(b)
-        out[0] = np.log(self.pi + TINY) + b[0]
-        for t in range(1, len(b)):
-            out[t] = np.logaddexp.reduce(out[t - 1][:, None] + a, axis=0) + b[t]
-        return float(np.logaddexp.reduce(out[-1])), out
+        out[..., 0, :] = np.log(self.pi + TINY) + b[..., 0, :]
+        for t in range(1, b.shape[-2]):
+            out[..., t, :] = np.logaddexp.reduce(out[..., t - 1, :, None] + a, axis=-2) + b[..., t, :]
+        return np.logaddexp.reduce(out[..., -1, :], axis=-1), out
 
     def backward(self, b: np.ndarray) -> np.ndarray:
         a = np.log(self.a + TINY)
         out = np.zeros_like(b)
-        for t in range(len(b) - 2, -1, -1):
-            out[t] = np.logaddexp.reduce(a + b[t + 1] + out[t + 1], axis=1)
+        for t in range(b.shape[-2] - 2, -1, -1):
+            out[..., t, :] = np.logaddexp.reduce(a + (b[..., t + 1, :] + out[..., t + 1, :])[..., None, :], axis=-1)
         return out
 
-    def viterbi(self, x: np.ndarray) -> tuple[float, list[int]]:
+    def viterbi(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score and path of each sequence of a stack."""
         b, a = self.log_emission(x), np.log(self.a + TINY)
-        d, back = np.log(self.pi + TINY) + b[0], []
-        for t in range(1, len(b)):
-            s = d[:, None] + a
-            back.append(s.argmax(axis=0))
-            d = s.max(axis=0) + b[t]
-        path = [int(d.argmax())]
+        d, back = np.log(self.pi + TINY) + b[:, 0], []
+        for t in range(1, b.shape[1]):
+            s = d[:, :, None] + a
+            back.append(s.argmax(axis=1))
+            d = s.max(axis=1) + b[:, t]
+        path = [d.argmax(axis=1)]
         for k in reversed(back):
-            path.append(int(k[path[-1]]))
-        return float(d.max()), path[::-1]
+            path.append(np.take_along_axis(k, path[-1][:, None], axis=1)[:, 0])
+        return d.max(axis=1), np.stack(path[::-1], axis=1)
 
     def sums(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        """What a sequence adds to the sums of a step; variances are about the means so far."""
+        """What a stack of sequences of one length adds to the sums of a step; variances are about the means so far."""
         b = self.log_emission(x)
         ll, f = self.forward(b)
         r = self.backward(b)
-        g = np.exp(f + r - ll)
-        g /= np.maximum(g.sum(axis=1, keepdims=True), TINY)
-        xi = np.exp(f[:-1, :, None] + np.log(self.a + TINY) + (b[1:] + r[1:])[:, None, :] - ll)
-        d = x[:, None, :] - self.mean
-        return {"ll": np.array([[ll]]), "pi": g[:1], "a": xi.sum(axis=0), "den": g[:-1].sum(axis=0)[None], "g": g.sum(axis=0)[None], "mean": g.T @ x, "var": np.einsum("ts,tsd->sd", g, d * d)}
+        g = np.exp(f + r - ll[:, None, None])
+        g /= np.maximum(g.sum(axis=-1, keepdims=True), TINY)
+        xi = np.exp(f[:, :-1, :, None] + np.log(self.a + TINY) + (b[:, 1:] + r[:, 1:])[:, :, None, :] - ll[:, None, None, None])
+        d = x[..., None, :] - self.mean
+        return {"ll": np.array([[ll.sum()]]), "pi": g[:, 0].sum(axis=0)[None], "a": xi.sum(axis=(0, 1)), "den": g[:, :-1].sum(axis=(0, 1))[None], "g": g.sum(axis=(0, 1))[None], "mean": np.einsum("nts,ntd->sd", g, x), "var": np.einsum("nts,ntsd->sd", g, d * d)}
 
-    def updated(self, s: dict[str, np.ndarray], floor: float) -> Hmm:
+    def updated(self, s: dict[str, np.ndarray], floor: float, prior: float = 0.0) -> Hmm:
         a = s["a"] / (s["den"].T + TINY) * (self.a > 0)
         g = s["g"].T + TINY
-        return Hmm(s["pi"][0] / (s["pi"].sum() + TINY), a / (a.sum(axis=1, keepdims=True) + TINY), s["mean"] / g, np.maximum(s["var"] / g, floor))
+        return Hmm(s["pi"][0] / (s["pi"].sum() + TINY), a / (a.sum(axis=1, keepdims=True) + TINY), s["mean"] / g, np.maximum((s["var"] + prior) / g, floor))
+
+
+#: Frames of a stack at most, and numbers of a label's sequences that are trained in one task.
+STACK_FRAMES, TASK_NUMBERS = 1 << 16, 1 << 23
+
+
+def stacks(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Sequences of one length together: their places and the stack, of about STACK_FRAMES frames at most. Empty ones are left out."""
+    alike: dict[int, list[int]] = {}
+    for k, x in enumerate(sequences):
+        if len(x):
+            alike.setdefault(len(x), []).append(k)
+    for n, at in alike.items():
+        step = max(1, STACK_FRAMES // n)
+        for k in range(0, len(at), step):
+            yield at[k : k + step], np.stack([sequences[j] for j in at[k : k + step]])
+
+
+def added(model: Hmm, parts: list[np.ndarray], total: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The sums of a step over stacks."""
+    for x in parts:
+        s = model.sums(x)
+        total = s if total is None else {name: total[name] + v for name, v in s.items()}
+    return total
+
+
+def settled(it: int, ll: float, last: float | None, tol: float) -> bool:
+    """Whether training ends with a step: from the fourth on, when the log likelihood changes by less than tol."""
+    return it > 2 and abs(ll - last) < tol
 
 
 def left_right(n: int, loop: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
@@ -237,50 +302,107 @@ def first_models(sequences: DataFrame, n_states: int, loop: float, floor: float,
     return {label: Hmm(pi, a, m := np.stack([means[k] for k in range(n_states)]), np.full_like(m, variance[label])) for label, means in out.items()}
 
 
-def hmm_train(sequences: DataFrame, n_states: int = 5, n_iter: int = 80, tol: float = 1e-3, loop: float = 0.7, floor: float = 1e-4, full: bool = False) -> tuple[dict[str, Hmm], list[tuple[str, int, float, bool]]]:
+def hmm_train(
+    sequences: DataFrame, n_states: int = 5, n_iter: int = 80, tol: float = 1e-3, loop: float = 0.7, floor: float = 1e-4, full: bool = False, start: dict[str, Hmm] | None = None, prior: float = 0.0
+) -> tuple[dict[str, Hmm], list[tuple[str, int, float, bool]]]:
     """Baum-Welch for all labels of (rec_id, label, seq) at once: the models, and each iteration's log likelihood and whether it was the last.
 
-    Tasks sum up what their sequences add, sums are added by label, and the driver has the few numbers of the models. A label is
-    done when its log likelihood changes by less than tol, from the fourth iteration on.
+    Labels with up to TASK_NUMBERS numbers are trained in a task each, all their steps in one job. Of the others tasks sum up, step by step, what their
+    sequences add; sums are added by label, and the driver has the few numbers of the models. A label is
+    done when its log likelihood changes by less than tol, from the fourth iteration on. It begins with start, or else as first_models has it.
     """
-    models = first_models(sequences, n_states, loop, floor, full)
-    sequences = sequences.filter(F.size("seq") > 0).persist()
-    log, last, open_ = [], {}, set(models)
-    try:
-        for it in range(n_iter):
-            now = {k: models[k] for k in open_}
-
-            def step(batches: Iterator[pd.DataFrame], now: dict[str, Hmm] = now) -> Iterator[pd.DataFrame]:
-                total: dict[str, dict[str, np.ndarray]] = {}
-                for d in batches:
-                    for label, seq in zip(d["label"], d["seq"], strict=True):
-                        if label in now:
-                            for name, v in now[label].sums(stacked(seq)).items():
-                                own = total.setdefault(label, {})
-                                own[name] = own[name] + v if name in own else v
-                rows = [(label, name, i, j, float(v[i, j])) for label, own in total.items() for name, v in own.items() for i in range(v.shape[0]) for j in range(v.shape[1])]
-                yield pd.DataFrame(rows, columns=["label", "name", "i", "j", "v"])
-
-            d = sequences.select("label", "seq").mapInPandas(step, "label string, name string, i int, j int, v double").groupBy("label", "name", "i", "j").agg(F.sum("v").alias("v")).toPandas()
-            for label, own in d.groupby("label"):
-                sums = {}
-                for name, v in own.groupby("name"):
-                    sums[name] = np.zeros((v["i"].max() + 1, v["j"].max() + 1))
-                    sums[name][v["i"], v["j"]] = v["v"]
-                models[label] = models[label].updated(sums, floor)
-                ll = float(sums["ll"][0, 0])
-                done = it > 2 and abs(ll - last[label]) < tol
-                log.append((label, it, ll, done))
-                last[label] = ll
-                if done:
-                    open_.discard(label)
-            if not open_:
-                break
-    finally:
-        sequences.unpersist()
+    sequences = checkpointed(sequences.select("rec_id", "label", "seq").filter(F.size("seq") > 0))
+    models = dict(start) if start else first_models(sequences, n_states, loop, floor, full)
+    sizes = sequences.groupBy("label").agg(F.sum(F.size("seq") * F.size(F.get("seq", F.lit(0)))).alias("n"))
+    small = {r["label"] for r in sizes.filter(F.col("n") <= TASK_NUMBERS).collect() if r["label"] in models}
+    log, last, open_ = [], {}, set(models) - small
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        label = rows["label"].iloc[0]
+        m, parts, lls, done = models[label], [x for _, x in stacks([stacked(v) for v in rows.sort_values("rec_id")["seq"]])], [], False
+        while len(lls) < n_iter and not done:
+            s = added(m, parts)
+            m, ll = m.updated(s, floor, prior), float(s["ll"][0, 0])
+            done = settled(len(lls), ll, lls[-1] if lls else None, tol)
+            lls.append(ll)
+        return pd.DataFrame([(label, m.pi.tolist(), m.a.tolist(), m.mean.tolist(), m.var.tolist(), lls, done)], columns=["label", "pi", "a", "mean", "var", "lls", "done"])
+
+    if small:
+        d = sequences.filter(F.col("label").isin(sorted(small))).groupBy("label").applyInPandas(whole, "label string, pi array<double>, a array<array<double>>, mean array<array<double>>, var array<array<double>>, lls array<double>, done boolean")
+        for r in d.collect():
+            models[r["label"]] = Hmm(np.array(r["pi"]), np.array(r["a"]), np.array(r["mean"]), np.array(r["var"]))
+            log += [(r["label"], k, ll, r["done"] and k == len(r["lls"]) - 1) for k, ll in enumerate(r["lls"])]
+    for it in range(n_iter if open_ else 0):
+        now = {k: models[k] for k in open_}
+
+        def step(batches: Iterator[pd.DataFrame], now: dict[str, Hmm] = now) -> Iterator[pd.DataFrame]:
+            total: dict[str, dict[str, np.ndarray]] = {}
+            for d in batches:
+                for label, g in d.groupby("label"):
+                    if label in now:
+                        total[label] = added(now[label], [x for _, x in stacks([stacked(v) for v in g["seq"]])], total.get(label))
+            rows = [(label, name, i, j, float(v[i, j])) for label, own in total.items() for name, v in own.items() for i in range(v.shape[0]) for j in range(v.shape[1])]
+            yield pd.DataFrame(rows, columns=["label", "name", "i", "j", "v"])
+
+        d = sequences.select("label", "seq").mapInPandas(step, "label string, name string, i int, j int, v double").groupBy("label", "name", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+        for label, own in d.groupby("label"):
+            sums = {}
+            for name, v in own.groupby("name"):
+                sums[name] = np.zeros((v["i"].max() + 1, v["j"].max() + 1))
+                sums[name][v["i"], v["j"]] = v["v"]
+            models[label] = models[label].updated(sums, floor, prior)
+            ll = float(sums["ll"][0, 0])
+            done = settled(it, ll, last.get(label), tol)
+            log.append((label, it, ll, done))
+            last[label] = ll
+            if done:
+                open_.discard(label)
+        if not open_:
+            break
     return models, log
 
 
+def k_means(vectors: DataFrame, k: int, n_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> np.ndarray:
+    """(vec) -> k centres, in order of their numbers, by seeding in proportion to squared distances and Lloyd's steps until no centre moves by tol of the
+    vectors' mean variance.
+
+    Each seed and each step is one pass: of the vectors the one with the greatest u^(1/d^2) is the next seed, u being a hash of the vector between 0 and 1 and
+    d^2 its squared distance to the seeds so far; steps are sums and counts by the nearest centre, added up before the shuffle. Equal vectors are likely the same seed. Fewer
+    vectors than k that differ: fewer centres.
+    """
+    size = len(vectors.select("vec").first()["vec"])
+    each = [F.get("vec", F.lit(j)) for j in range(size)]
+    far = lambda c: sum(((x - float(v)) * (x - float(v)) for x, v in zip(each, c, strict=True)), F.lit(0.0))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    centres: list[list[float]] = []
+    while len(centres) < k:
+        d2 = F.lit(1.0) if not centres else F.array_min(F.array(*[far(c) for c in centres]))
+        best = vectors.select(F.when(d2 > 0, F.log(u) / d2).alias("key"), "vec").dropna().agg(F.max(F.struct("key", "vec")).alias("b")).first()["b"]
+        if best is None:
+            break
+        centres.append(list(best["vec"]))
+    spread = vectors.agg(sum((F.var_pop(x) for x in each), F.lit(0.0)).alias("v")).first()["v"] / size
+    for _ in range(n_iter):
+        nearest = F.expr("array_position(d, array_min(d)) - 1")
+        d = vectors.select("vec", F.array(*[far(c) for c in centres]).alias("d")).withColumn("c", nearest)
+        found = {r["c"]: [r[f"m{j}"] for j in range(size)] for r in d.groupBy("c").agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(each)]).collect()}
+        new = [found.get(i, c) for i, c in enumerate(centres)]
+        moved = sum((a - b) ** 2 for p, q in zip(centres, new, strict=True) for a, b in zip(p, q, strict=True))
+        centres = new
+        if moved <= tol * spread:
+            break
+    return np.array(sorted(centres))
+
+
+def clustered_start(sequences: DataFrame, n_states: int, label: str, floor: float = 1e-3, seed: int = 42) -> dict[str, Hmm]:
+    """One model with all transitions for all sequences (label, seq): means are the centres of the frames, variances those of all frames, start and transitions even."""
+    frames = checkpointed(sequences.select(F.explode("seq").alias("vec")))
+    centres = k_means(frames, n_states, seed=seed)
+    var = frames.agg(*[F.var_pop(F.get("vec", F.lit(j))) for j in range(centres.shape[1])]).first()
+    n = len(centres)
+    return {label: Hmm(np.full(n, 1 / n), np.full((n, n), 1 / n), centres, np.tile(np.array(var, dtype=float) + floor, (n, 1)))}
+
+
 def models_table(spark, models: dict[str, Hmm]) -> DataFrame:
     """(label, state, pi, trans, mean, var), to be saved as Parquet."""
     rows = [(label, k, float(m.pi[k]), m.a[k].tolist(), m.mean[k].tolist(), m.var[k].tolist()) for label, m in models.items() for k in range(len(m.pi))]
@@ -300,13 +422,15 @@ def hmm_log_emission(frames: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def hmm_scores(sequences: DataFrame, models: dict[str, Hmm]) -> DataFrame:
-    """(rec_id, seq) -> (rec_id, label, score): log likelihoods under each model."""
+    """(rec_id, seq) -> (rec_id, label, score): log likelihoods under each model, of all sequences of one length in a batch at once."""
     kind = dict(sequences.dtypes)["rec_id"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            out = [(r, label, m.forward(m.log_emission(x))[0]) for r, s in zip(d["rec_id"], d["seq"], strict=True) if len(x := stacked(s)) for label, m in models.items()]
-            yield pd.DataFrame(out, columns=["rec_id", "label", "score"])
+            ids = d["rec_id"].to_numpy()
+            for at, x in stacks([stacked(s) for s in d["seq"]]):
+                for label, m in models.items():
+                    yield pd.DataFrame({"rec_id": ids[at], "label": label, "score": m.forward(m.log_emission(x))[0]})
 
     return sequences.select("rec_id", "seq").mapInPandas(rows, f"rec_id {kind}, label string, score double")
 
@@ -322,12 +446,20 @@ def hmm_viterbi(sequences: DataFrame, models: dict[str, Hmm]) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            out = [(r, label, *models[label].viterbi(x)) for r, label, s in zip(d["rec_id"], d["label"], d["seq"], strict=True) if label in models and len(x := stacked(s))]
-            yield pd.DataFrame(out, columns=["rec_id", "label", "score", "path"])
+            for label, g in d.groupby("label"):
+                ids = g["rec_id"].to_numpy()
+                for at, x in stacks([stacked(s) for s in g["seq"]]) if label in models else ():
+                    score, path = models[label].viterbi(x)
+                    yield pd.DataFrame({"rec_id": ids[at], "label": label, "score": score, "path": path.tolist()})
 
     return sequences.select("rec_id", "label", "seq").mapInPandas(rows, f"rec_id {kind}, label string, score double, path array<int>")
 
 
+def score_table(scores: DataFrame, labels: list[str]) -> DataFrame:
+    """(rec_id, label, score) -> a row for each recording and a column for each label."""
+    return scores.groupBy("rec_id").pivot("label", labels).agg(F.max("score"))
+
+
 def hmm_state_durations(paths: DataFrame, hop_ms: float = 10.0) -> DataFrame:
     d = paths.select("rec_id", "label", F.explode("path").alias("state")).groupBy("rec_id", "label", "state").agg(F.count("*").alias("n_frames"))
     return d.withColumn("ms", F.col("n_frames") * hop_ms)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from phonolake.functions.columns import first_rows, norm
 from phonolake.operators.frames import cmvn, delta, dims
+from phonolake.sources.folders import checkpointed
 
 
 def unit_length(vec: Column) -> Column:
@@ -44,6 +45,7 @@ def met_blocks(test: DataFrame, models: DataFrame, found: Callable, schema: str,
     size = lambda d: max(1, -(-d.count() // block))
     n_test, n_models = size(test), size(models)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    test, models = checkpointed(test.select("rec_id", "speaker", "vec")), checkpointed(models.select("speaker", "vec"))
     own = lambda *names: [F.col(n).alias(n) for n in names]  # noqa: E731  new columns, for both may come from one table
     x = test.select(*own("rec_id", "speaker", "vec"), F.pmod(F.xxhash64("rec_id"), F.lit(n_test)).cast("int").alias("a"), every(n_models).alias("b"))
     y = models.select(*own("speaker", "vec"), every(n_test).alias("a"), F.pmod(F.xxhash64("speaker"), F.lit(n_models)).cast("int").alias("b"))
