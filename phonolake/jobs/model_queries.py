@@ -16,6 +16,7 @@ from phonolake.operators import cepstral as C
 from phonolake.operators import levels as L
 from phonolake.operators import models as M
 from phonolake.operators import spectral as P
+from phonolake.operators import timeline as T
 from phonolake.operators.evaluation import accuracy
 from phonolake.sources.folders import checkpointed, new_folder, remove_folder
 
@@ -416,6 +417,25 @@ def hmm_viterbi_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("path", F.array_join(F.col("path").cast("array<string>"), " "))
 
 
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's clips one after the other, as one sequence: (rec_id, label, frame_idx, vec), a clip having 8 frames."""
+    v = vectors(spark, sf_dir).select("rec_id", F.concat(F.lit("w"), F.col("speaker").cast("string")).alias("label"), "k")
+    return sequences(spark, sf_dir).join(v, "rec_id").select(F.col("label").alias("rec_id"), "label", ((F.col("k") - 1) * 8 + F.col("frame_idx")).alias("frame_idx"), "vec")
+
+
+@query(Q.FORWARD_LONG)
+def hmm_forward_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log likelihood of each label's chain of clips under the label's untrained model, block by block."""
+    return T.forward_long(chains(spark, sf_dir), untrained(spark, sf_dir), 64, 4).drop("rec_id")
+
+
+@query(Q.VITERBI_LONG)
+def hmm_viterbi_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best path along each label's chain of clips, block by block."""
+    d = T.viterbi_long(chains(spark, sf_dir), untrained(spark, sf_dir), 64, 4)
+    return d.select("label", "score", F.posexplode("path").alias("k", "state"), "at").select("label", (F.col("at") + F.col("k")).alias("frame_idx"), "state", "score")
+
+
 @query()
 def hmm_log_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.hmm_log_emission(sequences(spark, sf_dir), M.models_table(spark, trained(spark, sf_dir)[0]))

@@ -215,6 +215,18 @@ VITERBI = f"""WITH RECURSIVE {_FIRST}, v AS (SELECT rec_id, label, 0 AS t, {_LN(
   CASE WHEN v1 + ln(0.3) >= v2 THEN p1 ELSE p2 END || ' 2' FROM v JOIN e3 e ON e.rec_id = v.rec_id AND e.label = v.label AND e.frame_idx = t + 1)
 SELECT rec_id, label, round(greatest(v0, v1, v2), 6) AS score, CASE WHEN v0 >= v1 AND v0 >= v2 THEN p0 WHEN v1 >= v2 THEN p1 ELSE p2 END AS path FROM v WHERE t = 7"""
 
+_CHAIN = f"""{_FIRST}, num AS (SELECT vec_id AS rec_id, 'w' || label AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings),
+ch AS (SELECT label, k * 8 + frame_idx AS t, b0, b1, b2 FROM e3 JOIN num USING (rec_id, label)), most AS (SELECT label, max(t) AS last FROM ch GROUP BY label)"""
+FORWARD_LONG = f"""WITH RECURSIVE {_CHAIN}, f AS (SELECT label, t, {_LN('1.0')} + b0 AS f0, {_LN('0.0')} + b1 AS f1, {_LN('0.0')} + b2 AS f2 FROM ch WHERE t = 0
+  UNION ALL SELECT f.label, e.t, f0 + ln(0.7) + b0, {_ADD.format(a='(f1 + ln(0.7))', b='(f0 + ln(0.3))')} + b1, {_ADD.format(a='(f2 + ln(1.0))', b='(f1 + ln(0.3))')} + b2 FROM f JOIN ch e ON e.label = f.label AND e.t = f.t + 1),
+g AS (SELECT label, {_ADD.format(a='f1', b='f2')} AS h, f0 FROM f JOIN most USING (label) WHERE t = last) SELECT label, round({_ADD.format(a='h', b='f0')}, 6) AS score FROM g"""
+VITERBI_LONG = f"""WITH RECURSIVE {_CHAIN}, v AS (SELECT label, t, {_LN('1.0')} + b0 AS v0, {_LN('0.0')} + b1 AS v1, {_LN('0.0')} + b2 AS v2, 0 AS c1, 0 AS c2 FROM ch WHERE t = 0
+  UNION ALL SELECT v.label, e.t, v0 + ln(0.7) + b0, greatest(v0 + ln(0.3), v1 + ln(0.7)) + b1, greatest(v1 + ln(0.3), v2) + b2, CASE WHEN v0 + ln(0.3) >= v1 + ln(0.7) THEN 0 ELSE 1 END, CASE WHEN v1 + ln(0.3) >= v2 THEN 1 ELSE 2 END
+  FROM v JOIN ch e ON e.label = v.label AND e.t = v.t + 1),
+p AS (SELECT label, t, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS state, round(greatest(v0, v1, v2), 6) AS score FROM v JOIN most USING (label) WHERE t = last
+  UNION ALL SELECT p.label, p.t - 1, CASE p.state WHEN 0 THEN 0 WHEN 1 THEN c1 ELSE c2 END, score FROM p JOIN v ON v.label = p.label AND v.t = p.t WHERE p.t > 0)
+SELECT label, t::BIGINT AS frame_idx, state::INTEGER AS state, score FROM p"""
+
 _EDGES = """un AS (SELECT vec_id, label, embedding[1:CASE WHEN vec_id % 3 = 0 THEN 64 ELSE vec_id * 7 % 65 END] AS e FROM embeddings),
 nb AS (SELECT vec_id AS l, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
 pr AS (SELECT l, r, nb.label, a.e AS ea, b.e AS eb, least(40, len(a.e), len(b.e)) AS n FROM nb JOIN un a ON a.vec_id = l JOIN un b ON b.vec_id = r),
