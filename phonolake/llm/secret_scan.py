@@ -153,25 +153,35 @@ def word_ranks(docs: DataFrame, *, text: str = "text", dict_words: int = 50_000,
     """The dict_words words that the most different texts have, with their ranks, a guesser's list, and those of COMMON.
 
     A word is what stands between white space, in lower case and without MARKS around it, that is SHORTEST to LONGEST letters and
-    in least_count texts. Rows with equal texts are one text, so copies add nothing; values where credentials stand are left out, so that a
+    in least_count texts. Rows with equal texts (by a hash, and the same words) are one text, so copies add nothing; values where credentials stand are left out, so that a
     leaked one does not become a cheap word, however many texts leak it. Words that as many texts have come in the
     order of a hash, and of their code points. Null and empty texts have no words; no rows: the words of COMMON alone. Other columns are not looked at.
     The driver gets the list, and sizes of parts of the counts, both of bounded size.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, known = Counter(), {}
-            for t in batch.column(0).to_pylist():
-                tokens = set(without_credentials(t or "").split())
+            out, known, codec = [], {}, pa.Codec("zstd")
+            for t in batch.column("t").to_pylist():
+                tokens = set(without_credentials(t).split())
                 for token in tokens.difference(known):
                     word = token.strip(MARKS)
                     known[token] = word if SHORTEST <= len(word) <= LONGEST and word.isalpha() else ""
-                words.update(set(map(known.__getitem__, tokens)))
+                own = " ".join(sorted(set(map(known.__getitem__, tokens)))).encode()
+                out.append(len(own).to_bytes(4, "little") + codec.compress(own, asbytes=True))
+            yield pa.record_batch([batch.column("h"), pa.array(out, pa.binary())], names=["h", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, codec = Counter(), pa.Codec("zstd")
+            for packed in batch.column("words").to_pylist():
+                words.update(codec.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True).decode().split(" "))
             words.pop("", None)
             yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text).dropDuplicates([text]).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    # a text's words, packed, go to where its copies' do, not the text
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t <> ''").mapInArrow(words_of, "h long, words binary").distinct()
+    counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
     counts = checkpointed(counts.select("word", "n", F.floor(16 * F.log2("n")).cast("int").alias("band"), F.xxhash64("word").alias("h")))
     chosen, left, part = F.lit(False), dict_words, F.lit(True)
     # the band of counts, then the count, then the part of the hash space that the last word is in
