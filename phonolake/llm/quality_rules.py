@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import SPACES, WORD, fresh, read
+from phonolake.llm.common import SPACES, WORD, checkpointed, fresh, read
 from phonolake.llm.line_dedup import line_key, lines_of
 
 #: Bits of a window's hash and of its place in a text, packed in one long for sorting.
@@ -105,7 +105,8 @@ def quality_rules(
     one host, and null ids are ids like any other; very long texts count whole. No rows: none come back. Other columns of docs are not looked at.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(F.lit(7), F.col(text)).alias("rid"), F.col(text).alias("text"))
-    counts = text_counts(d, F.col("text"), "doc_id", "rid", "host")
+    # written: a filter on what comes out would else be moved below the counts, and work them out for each word anew
+    counts = checkpointed(text_counts(d, F.col("text"), "doc_id", "rid", "host"))
     own = d.select("doc_id", "rid", "host", worded(F.col("text")).alias("lines"))
     hot = hot_lines(d, line_docs)
     rows = own.select("doc_id", "rid", "host", F.posexplode("lines").alias("pos", "line"))

@@ -221,12 +221,12 @@ def test_quality_rules(spark, odd, empty):
 
 def test_hot_lines_of_hosts_of_any_size(spark, odd, empty):
     """The same line in ten documents goes from a small host and from a large one, and what is left is given back."""
-    docs = [(1000 * n + k, f"{'Shared  line ' * 30 if k < 10 else f'own {n} {k}'}\nw{n}x{k} " + " ".join(f"a{n}b{k}c{j}" for j in range(30)), f"h{n}") for n in (20, 199, 201, 3000) for k in range(n)]
+    docs = [(10_000 * n + k, f"{'Shared  line ' * 30 if k < 10 else f'own {n} {k}'}\nw{n}x{k} " + " ".join(f"a{n}b{k}c{j}" for j in range(30)), f"h{n}") for n in (20, 199, 201, 3000) for k in range(n)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     hot = {r["doc_id"]: r for r in quality_rules.quality_rules(d, max_repeat_pct=1000).collect()}
     left = {r["doc_id"]: r for r in quality_rules.clean_documents(d, max_repeat_pct=1000).collect()}
     for k, t, _ in docs:
-        want = t.split("\n")[1] if k % 1000 < 10 else t
+        want = t.split("\n")[1] if k % 10_000 < 10 else t
         assert left[k]["text"] == want
         assert left[k]["n_left_words"] == hot[k]["n_left_words"] == len(words(want))
         assert left[k]["kept"] == hot[k]["kept"]
