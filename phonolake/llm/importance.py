@@ -30,9 +30,9 @@ def _gram_sql(max_n: int) -> str:
     ahead = ["word"]
     for n in range(1, max_n):
         ahead.append(f"{ahead[-1]} || ' ' || lead(word, {n}) OVER o")
-    return f"""SELECT k, feature FROM (
-        SELECT k, unnest([{", ".join(ahead)}]) AS feature FROM (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words)
-        WINDOW o AS (PARTITION BY k ORDER BY at)) WHERE feature IS NOT NULL"""
+    return f"""SELECT k, feature FROM (SELECT k, unnest(runs) AS feature FROM (
+        SELECT k, [{", ".join(ahead)}] AS runs FROM (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words) WINDOW o AS (PARTITION BY k ORDER BY place)))
+        WHERE feature IS NOT NULL"""
 
 
 class BucketCounts:
