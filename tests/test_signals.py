@@ -20,7 +20,7 @@ def test_sine_has_one_peak(spark):
     d = spectral.fft_spectrum(recordings(spark, a=x), 64, 64, "rectangular").toPandas()
     assert d.loc[d["mag"].idxmax(), "k"] == 8
     assert d["mag"].max() == pytest.approx(1)
-    p = spectral.spectral_peaks(spectral.fft_spectrum(recordings(spark, a=x), 1024, 64), min_freq=20).toPandas()
+    p = spectral.spectral_peaks(spectral.spectra_rows(recordings(spark, a=x), 1024, 64), min_freq=20).toPandas()
     assert p["k"].tolist() == [8]
 
 
@@ -220,7 +220,7 @@ def test_unit_selection_against_all_paths(spark):
     join = {(a, b): float(r.integers(0, 9)) for a in (1, 2, 3) for b in (1, 2, 3)}
     pos = spark.createDataFrame([(s, p, "u", c, t) for (s, p, c), t in target.items()], "sent_id long, pos int, unit string, candidate int, target_cost double")
     edges = spark.createDataFrame([(f"u#{a}", f"u#{b}", j) for (a, b), j in join.items()], "left string, right string, join_cost double")
-    for row in units.unit_selection(pos, edges, bucket_rows=20).collect():
+    for row in units.unit_selection(pos, edges).collect():
         places = range(row["sent_id"] + 1, 5)
         cost = lambda path: sum(target[row["sent_id"], p, c] for p, c in zip(places, path, strict=True)) + sum(join[x] for x in zip(path, path[1:], strict=False))  # noqa: B023, E731
         assert row["cost"] == min(map(cost, itertools.product((1, 2, 3), repeat=len(places)))) == cost(tuple(row["path"]))
@@ -274,5 +274,25 @@ def test_all_units_are_candidates(spark):
         assert r["cost"] == pytest.approx(cost(us, r["path"]))
     sf = "/root/testdata/sf0.001"
     q = registry.QUERIES
-    j = q["unit_selection"](spark, sf).withColumnRenamed("cost", "two").join(q["unit_selection_of_all"](spark, sf), "sent_id")
-    assert j.count() > 0 and j.filter("cost > two + 1e-6").count() == 0 and j.filter("cost < two").count() > 0
+    j = q["unit_selection"](spark, sf).withColumnRenamed("cost", "lattice").join(q["unit_selection_of_all"](spark, sf), "sent_id")
+    assert j.count() > 0 and j.filter("abs(cost - lattice) > 1e-6").count() == 0
+
+
+def test_joins_of_short_and_unequal_units(spark):
+    """Edges are as long as the shorter unit allows, by the formulas of the specification; 25 ms are 400 samples."""
+    r = np.random.default_rng(6)
+    units_ = {str(n): r.uniform(-1, 1, n) for n in (0, 1, 10, 200, 399, 400, 800)}
+    pairs = [(a, b) for a in units_ for b in units_]
+    got = units.join_cost(spark.createDataFrame(pairs, "left string, right string"), spark.createDataFrame([(k, x.tolist()) for k, x in units_.items()], "key string, samples array<double>")).collect()
+    assert len(got) == len(pairs)
+    for row in got:
+        a, b = units_[row["left"]], units_[row["right"]]
+        n = min(400, len(a), len(b))
+        if not n:
+            assert (row["join_cost"], row["boundary_lsd"]) == (0, 0)
+            continue
+        x, y = a[len(a) - n :], b[:n]
+        db = [20 * np.log10(np.maximum(np.abs(np.fft.rfft(v * np.hanning(n), 512)), 1e-8)) for v in (x, y)]
+        lsd, rms = np.mean((db[0] - db[1]) ** 2), [np.sqrt(np.mean(v**2) + 1e-12) for v in (x, y)]
+        assert row["join_cost"] == pytest.approx(lsd + 100 * abs(rms[0] - rms[1]))
+        assert row["boundary_lsd"] == pytest.approx(lsd if n == 400 else 0)
