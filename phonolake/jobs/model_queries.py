@@ -131,8 +131,7 @@ def _band() -> tuple:
     return "lowpass", 15.0, FS, 21
 
 
-_TAPS = "taps(i, b) AS (VALUES " + ", ".join(f"({k}, {float(b)!r}::DOUBLE)" for k, b in enumerate(dsp.design_fir(*_band()))) + ")"
-FILTERED_SQL = f"""{SAMPLES_SQL}, {_TAPS}, most AS (SELECT rec_id, max(n) AS most FROM sig GROUP BY rec_id),
+FILTERED_SQL = f"""{SAMPLES_SQL}, {Q.taps("taps", 21, 0.3)}, most AS (SELECT rec_id, max(n) AS most FROM sig GROUP BY rec_id),
 conv AS (SELECT rec_id, n + i - 10 AS n, sum(b * x) AS y FROM sig, taps GROUP BY ALL),
 flt AS (SELECT sig.rec_id, sig.n, CASE WHEN sig.n <= most - 10 THEN y ELSE 0 END AS x FROM sig JOIN most USING (rec_id) LEFT JOIN conv ON conv.rec_id = sig.rec_id AND conv.n = sig.n)"""
 _FILTERED = f"WITH {FILTERED_SQL} SELECT rec_id, n, round(x, 6) + 0.0 AS x FROM flt"
@@ -203,7 +202,8 @@ def noise_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.noise_psd(samples(spark, sf_dir), 32, 24, 8)
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT rec_id, count(*)::INTEGER AS n, 0.0::DOUBLE AS error FROM sig GROUP BY rec_id")
+@query(f"""WITH {SAMPLES_SQL}, {Q.stft('sig', 'z', 32, 32, 8)}, {Q.istft('zs', 'zlen', 'y', 32, 32, 8)}
+SELECT s.rec_id, count(*)::INTEGER AS n, round(max(abs(y.x - s.x)), 6) + 0.0 AS error FROM sig s JOIN yy y USING (rec_id, n) GROUP BY s.rec_id""")
 def istft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.istft_error(recordings(spark, sf_dir), 32, 32, 8)
 
@@ -259,11 +259,8 @@ def _long(d: DataFrame) -> DataFrame:
     return d.select("rec_id", "frame_idx", F.posexplode("vec").alias("dim", "v"))
 
 
-_MELS = dsp.mel_filterbank(64, 8, 16_000)
-
-
-@query(f"""WITH {_dft_sql(_HAMMING)}, m(m, k, w) AS (VALUES {", ".join(f"({m}, {k}, {float(_MELS[m, k])!r}::DOUBLE)" for m in range(8) for k in range(33) if _MELS[m, k])})
-SELECT rec_id, m, round(sum(w * mag * mag), 6) + 0.0 AS energy FROM sp JOIN m USING (k) GROUP BY rec_id, m""")
+@query(f"""WITH {_dft_sql(_HAMMING)}, {Q.mel_bank("m", 64, 8, 16_000)}
+SELECT rec_id, m::INTEGER AS m, round(sum(w * mag * mag), 6) + 0.0 AS energy FROM sp JOIN m USING (k) GROUP BY rec_id, m""")
 def mel_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band energies of each clip: the filters' table joined to spectra on the bin."""
     s = P.fft_spectrum(clips(spark, sf_dir), 16_000, 64).select("rec_id", "k", "mag")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from phonolake.functions import dsp
 from phonolake.jobs.frame_queries import SEQUENCES_SQL
 from phonolake.jobs.inputs import FS, SAMPLES_SQL
 
@@ -18,8 +17,29 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)})"
 
 
-def bank(name: str, weights: np.ndarray) -> str:
-    return values(name, "m, k, w", [(int(m), int(k), float(weights[m, k])) for m, k in zip(*np.nonzero(weights), strict=True)])
+def taps(name: str, count: int, edge: float) -> str:
+    """A Hamming-windowed low-pass (i, b) with its edge as a share of half the rate, its sum being 1."""
+    half = (count - 1) // 2
+    return f"""{name} AS (SELECT i, h / sum(h) OVER () AS b FROM (
+  SELECT i, CASE WHEN i = {half} THEN {edge}::DOUBLE ELSE sin(pi() * {edge} * (i - {half})) / (pi() * (i - {half})) END * (0.54 - 0.46 * cos(2 * pi() * i / {count - 1})) AS h FROM range({count}) AS r(i)))"""
+
+
+def mel_bank(name: str, nfft: int, n_mels: int, fs: int, fmin: float = 0.0) -> str:
+    """Triangles (m, k, w) with their corners at bins of evenly spaced mels; only what is not zero."""
+    lo, hi = f"1125 * ln(1 + {fmin}::DOUBLE / 700)", f"1125 * ln(1 + {fs / 2}::DOUBLE / 700)"
+    return f"""{name}_f AS (SELECT j, 700 * (exp(({lo} + j * (({hi} - {lo}) / {n_mels + 1})) / 1125) - 1) AS f FROM range({n_mels + 2}) AS r(j)),
+{name}_c AS (SELECT j, floor(round({nfft + 1} * f / {fs}, 9)) AS b FROM {name}_f),
+{name}_t AS (SELECT x.j AS m, k, x.b AS lo, y.b AS mid, z.b AS hi FROM {name}_c x JOIN {name}_c y ON y.j = x.j + 1 JOIN {name}_c z ON z.j = x.j + 2, range({nfft // 2 + 1}) AS r(k)),
+{name} AS (SELECT m, k, w FROM (SELECT m, k, CASE WHEN k >= lo AND k < mid THEN (k - lo) / (mid - lo + 1e-10) WHEN k >= mid AND k < hi THEN (hi - k) / (hi - mid + 1e-10) ELSE 0 END AS w FROM {name}_t) WHERE w <> 0)"""
+
+
+def slaney_bank(name: str, nfft: int, n_mels: int, fs: int) -> str:
+    """Triangles (m, k, w) of equal area on a scale that is linear up to 1 kHz and logarithmic above."""
+    top = f"CASE WHEN {fs / 2} < 1000 THEN {fs / 2}::DOUBLE * 3 / 200 ELSE 15 + ln({fs / 2}::DOUBLE / 1000) / (ln(6.4) / 27) END"
+    return f"""{name}_m AS (SELECT j, j * ({top}) / {n_mels + 1} AS mel FROM range({n_mels + 2}) AS r(j)),
+{name}_f AS (SELECT j, CASE WHEN mel < 15 THEN mel * 200 / 3 ELSE 1000 * exp((mel - 15) * ln(6.4) / 27) END AS f FROM {name}_m),
+{name}_t AS (SELECT x.j AS m, k, k * {fs}::DOUBLE / {nfft} AS v, x.f AS lo, y.f AS mid, z.f AS hi FROM {name}_f x JOIN {name}_f y ON y.j = x.j + 1 JOIN {name}_f z ON z.j = x.j + 2, range({nfft // 2 + 1}) AS r(k)),
+{name} AS (SELECT m, k, w FROM (SELECT m, k, greatest(0, least((v - lo) / (mid - lo), (hi - v) / (hi - mid))) * 2 / (hi - lo) AS w FROM {name}_t) WHERE w <> 0)"""
 
 
 def stft(src: str, p: str, nfft: int, size: int, hop: int, x: str = "x") -> str:
@@ -52,15 +72,15 @@ def spectrum(src: str, p: str, nfft: int) -> str:
 {p}q AS (SELECT rec_id, k::INTEGER AS k, sqrt(re * re + im * im) / (len * cg) * CASE WHEN k IN (0, {nfft // 2}) THEN 1 ELSE 2 END AS mag FROM {p}fq JOIN {p}cg USING (rec_id))"""
 
 
-def log_mel(src: str, p: str, size: int, hop: int, nfft: int, weights: np.ndarray) -> str:
+def log_mel(src: str, p: str, size: int, hop: int, nfft: int, n_mels: int, fmin: float = 0.0) -> str:
     """src (rec_id, n, x) -> {p}lm (rec_id, t, m, v): pre-emphasis, Hamming frames, power, triangles, logarithm. Recordings have size samples or more."""
-    return f"""{bank(p + "bank", weights)}, {p}pe AS (SELECT rec_id, n, x - 0.97 * coalesce(lag(x) OVER (PARTITION BY rec_id ORDER BY n), 0) AS x FROM {src}),
+    return f"""{mel_bank(p + "bank", nfft, n_mels, FS, fmin)}, {p}pe AS (SELECT rec_id, n, x - 0.97 * coalesce(lag(x) OVER (PARTITION BY rec_id ORDER BY n), 0) AS x FROM {src}),
 {p}fi AS (SELECT rec_id, unnest(range(0, greatest(1, 1 + (count(*) - {size}) // {hop})))::INTEGER AS t FROM {src} GROUP BY rec_id),
 {p}fr AS (SELECT f.rec_id, t, n - t * {hop} AS i, x * (0.54 - 0.46 * cos(2 * pi() * (n - t * {hop}) / {size - 1})) AS y FROM {p}fi f JOIN {p}pe s ON s.rec_id = f.rec_id AND n BETWEEN t * {hop} AND t * {hop} + {size - 1}),
 {p}ft AS (SELECT rec_id, t, k, sum(y * cos(2 * pi() * k * i / {nfft})) AS re, sum(y * sin(2 * pi() * k * i / {nfft})) AS im FROM {p}fr, range({nfft // 2 + 1}) AS r(k) GROUP BY ALL),
 {p}pw AS (SELECT rec_id, t, k, (re * re + im * im) / {nfft} AS p FROM {p}ft),
 {p}bd AS (SELECT rec_id, t, m, sum(w * p) AS e FROM {p}pw JOIN {p}bank USING (k) GROUP BY ALL),
-{p}lm AS (SELECT f.rec_id, f.t, r.m::INTEGER AS m, ln(coalesce(e, 0) + 1e-10) AS v FROM {p}fi f CROSS JOIN range({len(weights)}) AS r(m) LEFT JOIN {p}bd b ON b.rec_id = f.rec_id AND b.t = f.t AND b.m = r.m)"""
+{p}lm AS (SELECT f.rec_id, f.t, r.m::INTEGER AS m, ln(coalesce(e, 0) + 1e-10) AS v FROM {p}fi f CROSS JOIN range({n_mels}) AS r(m) LEFT JOIN {p}bd b ON b.rec_id = f.rec_id AND b.t = f.t AND b.m = r.m)"""
 
 
 def dct(src: str, p: str, n: int, size: int, ortho: bool = False) -> str:
@@ -77,8 +97,8 @@ def delta(src: str, name: str) -> str:
 
 _LONG = "rec_id, t AS frame_idx, {dim} AS dim, round(v, 6) + 0.0 AS v"
 
-LOG_MEL = f"WITH {SAMPLES_SQL}, {log_mel('sig', 'a', 16, 8, 64, dsp.mel_filterbank(64, 8, FS))} SELECT {_LONG.format(dim='m')} FROM alm"
-MFCC = f"""WITH {SAMPLES_SQL}, {log_mel('sig', 'a', 16, 8, 64, dsp.mel_filterbank(64, 8, FS))}, {dct('alm', 'b', 8, 8)},
+LOG_MEL = f"WITH {SAMPLES_SQL}, {log_mel('sig', 'a', 16, 8, 64, 8)} SELECT {_LONG.format(dim='m')} FROM alm"
+MFCC = f"""WITH {SAMPLES_SQL}, {log_mel('sig', 'a', 16, 8, 64, 8)}, {dct('alm', 'b', 8, 8)},
 c AS (SELECT rec_id, t, dim, CASE WHEN count(*) OVER s > 1 THEN v - avg(v) OVER s ELSE v END AS v FROM bc WINDOW s AS (PARTITION BY rec_id, dim)) SELECT {_LONG.format(dim='dim')} FROM c"""
 
 FEATURE_39 = f"""WITH {SAMPLES_SQL}, efi AS (SELECT rec_id, count(*) AS len, unnest(range(0, greatest(1, 1 + (count(*) - 16) // 8)))::INTEGER AS t FROM sig GROUP BY rec_id),
@@ -86,13 +106,13 @@ ee AS (SELECT f.rec_id, t, len, 10 * log10(sum(pow(x * (0.54 - 0.46 * cos(2 * pi
 el AS (SELECT *, e >= max(e) OVER (PARTITION BY rec_id) - 30 AS loud FROM ee),
 eb AS (SELECT rec_id, greatest(min(t) FILTER (WHERE loud) - 4, 0) * 8 AS a, least((least(max(t) FILTER (WHERE loud) + 4, max(t)) + 1) * 8 + 16, max(len)) AS z FROM el GROUP BY rec_id),
 cut AS (SELECT rec_id, n - a AS n, x FROM sig JOIN eb USING (rec_id) WHERE n >= a AND n < z),
-{log_mel('cut', 'a', 16, 8, 64, dsp.mel_filterbank(64, 26, FS, 20.0))}, {dct('alm', 'b', 13, 26)}, {delta('bc', 'd1')}, {delta('d1', 'd2')},
+{log_mel('cut', 'a', 16, 8, 64, 26, 20.0)}, {dct('alm', 'b', 13, 26)}, {delta('bc', 'd1')}, {delta('d1', 'd2')},
 f AS (SELECT rec_id, t, dim, v FROM bc UNION ALL SELECT rec_id, t, dim + 13, v FROM d1 UNION ALL SELECT rec_id, t, dim + 26, v FROM d2),
 c AS (SELECT rec_id, t, dim, (v - avg(v) OVER s) / (stddev_pop(v) OVER s + 1e-8) AS v FROM f WINDOW s AS (PARTITION BY rec_id, dim)) SELECT {_LONG.format(dim='dim')} FROM c"""
 
 
 def _bands(n_mels: int) -> str:
-    return f"""{SAMPLES_SQL}, {stft('sig', 'z', 64, 32, 8)}, {bank('bank', dsp.slaney_bank(64, n_mels, FS))},
+    return f"""{SAMPLES_SQL}, {stft('sig', 'z', 64, 32, 8)}, {slaney_bank('bank', 64, n_mels, FS)},
 e AS (SELECT rec_id, t, m, sum(w * (re * re + im * im)) AS e FROM zs JOIN bank USING (k) GROUP BY ALL),
 g AS (SELECT f.rec_id, f.t, r.m::INTEGER AS m, 10 * log10(greatest(coalesce(e, 0), 1e-10)) AS v FROM zfi f CROSS JOIN range({n_mels}) AS r(m) LEFT JOIN e ON e.rec_id = f.rec_id AND e.t = f.t AND e.m = r.m)"""
 
