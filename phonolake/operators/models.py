@@ -215,7 +215,10 @@ class Hmm:
         return out
 
     def viterbi(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The score and path of each sequence of a stack."""
+        """The score and path of each sequence of a stack, or of one sequence."""
+        if x.ndim == 2:
+            score, path = self.viterbi(x[None])
+            return score[0], path[0].tolist()
         b, a = self.log_emission(x), np.log(self.a + TINY)
         d, back = np.log(self.pi + TINY) + b[:, 0], []
         for t in range(1, b.shape[1]):
