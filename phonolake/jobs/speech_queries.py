@@ -402,12 +402,40 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.mix_sources(*sources(spark, sf_dir))
 
 
-@query()
+def _ica_sql(mix: str, p: str) -> str:
+    """mix (n, s1, s2, x1, x2) -> {p}end (it, w11, w12, w21, w22, change) and {p}sep (n, s1, s2, x1, x2, e1, e2): axes and polar factors of 2 x 2 matrices in closed form,
+    the steps by recursion."""
+    return f"""{p}c AS (SELECT avg(x1) AS m1, avg(x2) AS m2, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x2, x2) AS c FROM {mix}),
+{p}l AS (SELECT *, (a + c) / 2 + sg * sqrt((a - c) * (a - c) / 4 + b * b) AS l, sg FROM {p}c, (VALUES (-1), (1)) AS q(sg)),
+{p}v AS (SELECT *, abs(b) / sqrt(b * b + (l - a) * (l - a)) AS v1, sign(b) * (l - a) / sqrt(b * b + (l - a) * (l - a)) AS v2 FROM {p}l),
+{p}w AS (SELECT m1, m2, v1 / sqrt(l) AS u1, v2 / sqrt(l) AS u2, sg FROM {p}v),
+{p}z AS (SELECT n, s1, s2, x1, x2, lo.u1 * (x1 - lo.m1) + lo.u2 * (x2 - lo.m2) AS z1, hi.u1 * (x1 - hi.m1) + hi.u2 * (x2 - hi.m2) AS z2 FROM {mix}, {p}w lo, {p}w hi WHERE lo.sg = -1 AND hi.sg = 1),
+{p}steps AS (SELECT 0 AS it, 0.8::DOUBLE AS w11, 0.6::DOUBLE AS w12, -0.6::DOUBLE AS w21, 0.8::DOUBLE AS w22, 1e300::DOUBLE AS change UNION ALL
+  SELECT it + 1, u11, u12, u21, u22, greatest(abs(abs(u11 * w11 + u12 * w12) - 1), abs(abs(u21 * w21 + u22 * w22) - 1)) FROM (
+  SELECT it, w11, w12, w21, w22, p11 / len AS u11, p12 / len AS u12, p21 / len AS u21, p22 / len AS u22 FROM (
+  SELECT *, a + d * s AS p11, b - c * s AS p12, c - b * s AS p21, d + a * s AS p22, sqrt((a + d * s) * (a + d * s) + (b - c * s) * (b - c * s)) AS len FROM (
+  SELECT *, CASE WHEN a * d >= b * c THEN 1 ELSE -1 END AS s FROM (
+  SELECT it, w11, w12, w21, w22, avg(z1 * t1) - w11 * avg(1 - t1 * t1) AS a, avg(z2 * t1) - w12 * avg(1 - t1 * t1) AS b, avg(z1 * t2) - w21 * avg(1 - t2 * t2) AS c, avg(z2 * t2) - w22 * avg(1 - t2 * t2) AS d FROM (
+  SELECT it, w11, w12, w21, w22, z1, z2, tanh(w11 * z1 + w12 * z2) AS t1, tanh(w21 * z1 + w22 * z2) AS t2 FROM {p}steps, {p}z WHERE change >= 1e-4 AND it < 1000) GROUP BY it, w11, w12, w21, w22))))),
+{p}end AS (SELECT * FROM {p}steps ORDER BY it DESC LIMIT 1),
+{p}sep AS (SELECT n, s1, s2, x1, x2, w11 * z1 + w12 * z2 AS e1, w21 * z1 + w22 * z2 AS e2 FROM {p}z, {p}end)"""
+
+
+def _resolved_sql(p: str) -> str:
+    """{p}sep -> {p}r (source, estimate, corr): estimates in the order and with the signs that fit the sources best."""
+    return f"""{p}k AS (SELECT corr(s1, e1) AS c11, corr(s1, e2) AS c12, corr(s2, e1) AS c21, corr(s2, e2) AS c22 FROM {p}sep), {p}o AS (SELECT *, abs(c12) + abs(c21) > abs(c11) + abs(c22) AS swap FROM {p}k),
+{p}f AS (SELECT CASE WHEN swap THEN c12 ELSE c11 END AS a, CASE WHEN swap THEN c11 ELSE c12 END AS b, CASE WHEN swap THEN c22 ELSE c21 END AS c, CASE WHEN swap THEN c21 ELSE c22 END AS d FROM {p}o),
+{p}g AS (SELECT *, CASE WHEN a >= 0 THEN 1 ELSE -1 END AS i, CASE WHEN d >= 0 THEN 1 ELSE -1 END AS j FROM {p}f),
+{p}r AS (SELECT 1 AS source, 1 AS estimate, a * i AS corr FROM {p}g UNION ALL SELECT 1, 2, b * j FROM {p}g UNION ALL SELECT 2, 1, c * i FROM {p}g UNION ALL SELECT 2, 2, d * j FROM {p}g)"""
+
+
+@query(f"""WITH RECURSIVE {MIX_SQL}, {_ica_sql('mix', 'i')} SELECT n, round(s1, 6) + 0.0 AS s1, round(s2, 6) + 0.0 AS s2, round(x1, 6) + 0.0 AS x1, round(x2, 6) + 0.0 AS x2,
+  round(e1, 6) + 0.0 AS e1, round(e2, 6) + 0.0 AS e2 FROM isep""")
 def fast_ica(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fast_ica(I.mix_sources(*sources(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {MIX_SQL}, {_ica_sql('mix', 'i')} SELECT it::INTEGER AS steps, round(change, 6) AS change, change < 1e-4 AS settled FROM iend")
 def ica_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the separation ended: steps, the last change, and whether it settled."""
     w = I.unmixing(I.mix_sources(*sources(spark, sf_dir)))
@@ -421,20 +449,37 @@ def source_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.source_correlation(m.withColumns({"e1": F.col("x1"), "e2": F.col("x2")}))
 
 
-@query()
+@query(f"WITH RECURSIVE {MIX_SQL}, {_ica_sql('mix', 'i')}, {_resolved_sql('i')} SELECT source, estimate, round(corr, 6) + 0.0 AS corr FROM ir")
 def resolve_ica(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = I.resolve_ica(I.fast_ica(I.mix_sources(*sources(spark, sf_dir))))
     return I.source_correlation(d)
 
 
-@query()
+#: Name, mixing matrix and level of noise in dB.
+ICA_CASES = [("clean", ((1.0, 0.6), (0.4, 1.0)), None), ("20 dB", ((1.0, 0.6), (0.4, 1.0)), 20), ("10 dB", ((1.0, 0.6), (0.4, 1.0)), 10), ("ill", ((1.0, 0.98), (0.97, 1.0)), None)]
+
+
+def _noise_study_sql() -> str:
+    tables, out = [MIX_SQL.rsplit(",\nmix AS", 1)[0]], []
+    for i, (name, a, snr) in enumerate(ICA_CASES):
+        noise = lambda k: f" + {10 ** (-snr / 20)!r} * ((('0x' || md5('{k} ' || n)[1:8])::BIGINT + 0.5) / 4294967296 - 0.5) * sqrt(12)" if snr else ""  # noqa: E731, B023
+        tables.append(f"mix{i} AS (SELECT n, s1, s2, {a[0][0]} * s1 + {a[0][1]} * s2{noise('x1')} AS x1, {a[1][0]} * s1 + {a[1][1]} * s2{noise('x2')} AS x2 FROM s)")
+        tables += [_ica_sql(f"mix{i}", f"i{i}"), _resolved_sql(f"i{i}")]
+        flat, det = [v for row in a for v in row], f"({a[0][0]}::DOUBLE * {a[1][1]} - {a[0][1]}::DOUBLE * {a[1][0]})"
+        power = f"({' + '.join(f'{v}::DOUBLE * {v}' for v in flat)})"
+        cond = f"({power} + sqrt({power} * {power} - 4 * {det} * {det})) / (2 * abs({det}))"
+        out.append(f"SELECT '{name}' AS \"case\", round(avg(abs(corr)), 6) AS mean_corr, round({det}, 6) AS det, round({cond}, 6) AS cond FROM i{i}r WHERE source = estimate")
+    return f"WITH RECURSIVE {', '.join(tables)} {' UNION ALL '.join(out)}"
+
+
+@query(_noise_study_sql())
 def ica_noise_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations after separation at several noise levels, and for a mixing matrix that is close to singular."""
     out = None
-    for name, a, snr in (("clean", ((1.0, 0.6), (0.4, 1.0)), None), ("20 dB", ((1.0, 0.6), (0.4, 1.0)), 20), ("10 dB", ((1.0, 0.6), (0.4, 1.0)), 10), ("ill", ((1.0, 0.98), (0.97, 1.0)), None)):
+    for name, a, snr in ICA_CASES:
         m = I.mix_sources(*sources(spark, sf_dir), a)
         if snr:  # uniform noise of unit variance, fixed by n
-            u = lambda k: (F.pmod(F.xxhash64(F.lit(k), "n"), F.lit(1 << 20)) / float(1 << 20) - 0.5) * (12**0.5)
+            u = lambda x: ((F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(x), F.col("n").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 - 0.5) * (12**0.5)
             m = m.withColumns({x: F.col(x) + 10 ** (-snr / 20) * u(x) for x in ("x1", "x2")})
         c = I.source_correlation(I.resolve_ica(I.fast_ica(m))).filter("source = estimate").agg(F.avg(F.abs("corr")).alias("mean_corr"))
         det, cond = I.mixing_condition(a)

@@ -43,14 +43,15 @@ def unmixing(mix: DataFrame, max_iter: int = 1000, tol: float = 1e-4) -> Unmixin
     """The independent components of x1 and x2: centred, whitened, then parallel fixed-point steps of log cosh until no row of the rotation changes
     its direction by tol, or max_iter steps are done.
 
-    Each step is one row of means over the samples, in their two columns alone; the driver has 2 x 2 matrices only.
+    Axes of the whitening come in order of their variances and point to where x1 grows (or x2, if x1 stays), so that signs are no matter of the linear algebra at hand. Each step is one row of means over the samples, in their two columns alone; the driver has 2 x 2 matrices only.
     """
     m = mix.agg(F.avg("x1"), F.avg("x2"), F.covar_pop("x1", "x1"), F.covar_pop("x1", "x2"), F.covar_pop("x2", "x2")).first()
     values, vectors = np.linalg.eigh(np.array([[m[2], m[3]], [m[3], m[4]]]))
-    white = (vectors / np.sqrt(np.maximum(values, 1e-15))).T
+    ahead = np.where(vectors[0] != 0, vectors[0], vectors[1])
+    white = (vectors * np.where(ahead < 0, -1, 1) / np.sqrt(np.maximum(values, 1e-15))).T
     z = [float(white[k, 0]) * (F.col("x1") - m[0]) + float(white[k, 1]) * (F.col("x2") - m[1]) for k in (0, 1)]
     d = mix.select(z[0].alias("z1"), z[1].alias("z2")).persist()
-    w, change, steps = np.linalg.qr(np.array([[0.8, 0.6], [-0.6, 0.8]]))[0], np.inf, 0
+    w, change, steps = np.array([[0.8, 0.6], [-0.6, 0.8]]), np.inf, 0
     while steps < max_iter and change >= tol:
         t = [F.tanh(float(r[0]) * F.col("z1") + float(r[1]) * F.col("z2")) for r in w]
         s = d.agg(*[F.avg(F.col(c) * x) for x in t for c in ("z1", "z2")], *[F.avg(1 - x * x) for x in t]).first()
