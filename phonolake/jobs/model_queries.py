@@ -93,7 +93,7 @@ def make_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "i", "z.*")
 
 
-@query()
+@query(Q.WINDOW_PROPERTIES)
 def window_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows as long as each recording."""
     sizes = samples(spark, sf_dir).groupBy("rec_id").agg(F.count("*").cast("int").alias("size")).select("size").distinct()
@@ -250,7 +250,7 @@ def time_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.time_stretch(recordings(spark, sf_dir), 0.8).select("rec_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
-@query()
+@query(Q.PITCH_SHIFT)
 def pitch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pitch_shift(recordings(spark, sf_dir), 2.0).select("rec_id", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
@@ -321,11 +321,10 @@ def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).filter("role = 'test'").select("rec_id", F.col("label").alias("truth"), "seq")
 
 
-@query("""SELECT label, rec_id AS tmpl_id, 8 AS n_frames FROM (SELECT 'w' || label AS label, vec_id AS rec_id, k, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS j FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k % 7 BETWEEN 1 AND 4) WHERE j <= 3""")
+@query("""SELECT 'w' || label AS label, vec_id AS tmpl_id, 8 AS n_frames FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k % 7 BETWEEN 1 AND 4""")
 def build_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's first three, as the SQL has it; recognition takes all."""
-    return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'"), 3).select("label", "tmpl_id", F.size("template").alias("n_frames"))
+    """All of each label's enrolled sequences, as recognition takes them."""
+    return M.build_templates(labelled(spark, sf_dir).filter("role = 'enroll'")).select("label", "tmpl_id", F.size("template").alias("n_frames"))
 
 
 @query(Q.DTW_RECOGNIZE)
@@ -388,6 +387,31 @@ def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("label", "state", "pi", F.posexplode("mean").alias("dim", "mean"), "var").withColumn("var", F.get("var", F.col("dim")))
 
 
+def _step(spark: SparkSession, sf_dir: str, loop: float, floor: float) -> DataFrame:
+    models, log = M.hmm_train(labelled(spark, sf_dir).filter("role = 'enroll'"), 3, 1, loop=loop, floor=floor)
+    t = M.models_table(spark, models).join(spark.createDataFrame([(label, ll) for label, _, ll, _ in log], "label string, log_likelihood double"), "label")
+    d = t.select("label", "state", "pi", F.get("trans", F.col("state")).alias("stay"), "var", "log_likelihood", F.posexplode("mean").alias("dim", "mean"))
+    return d.withColumn("var", F.get("var", F.col("dim")))
+
+
+@query(Q.em_step(0.7, 1e-4))
+def hmm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models after one step of training, and the log likelihood before it."""
+    return _step(spark, sf_dir, 0.7, 1e-4)
+
+
+@query(Q.em_step(M.WORD_SETTINGS["loop"], M.WORD_SETTINGS["floor"]))
+def hmm_step_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the settings of isolated words."""
+    return _step(spark, sf_dir, M.WORD_SETTINGS["loop"], M.WORD_SETTINGS["floor"])
+
+
+@query()
+def hmm_recognize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognition by models of three states trained with the settings of isolated words."""
+    return M.hmm_recognize(_test(spark, sf_dir), M.hmm_train(labelled(spark, sf_dir).filter("role = 'enroll'"), 3, **M.WORD_SETTINGS)[0])
+
+
 @query()
 def hmm_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(trained(spark, sf_dir)[1], "label string, iteration int, log_likelihood double, converged boolean")
@@ -408,6 +432,24 @@ def hmm_forward_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.hmm_scores(labelled(spark, sf_dir), untrained(spark, sf_dir))
 
 
+@query(Q.RECOGNIZE)
+def hmm_recognize_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.hmm_recognize(_test(spark, sf_dir), untrained(spark, sf_dir))
+
+
+@query(Q.SCORE_TABLE)
+def hmm_score_table_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = untrained(spark, sf_dir)
+    return M.score_table(M.hmm_scores(_test(spark, sf_dir), models), sorted(models))
+
+
+@query()
+def hmm_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each recording and a column for each label's model: log likelihoods."""
+    models = trained(spark, sf_dir)[0]
+    return M.score_table(M.hmm_scores(_test(spark, sf_dir), models), sorted(models))
+
+
 @query(Q.VITERBI)
 def hmm_viterbi_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.hmm_viterbi(labelled(spark, sf_dir), untrained(spark, sf_dir))
@@ -477,11 +519,17 @@ def words(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 @query()
 def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy over trimming, 13, 26 or 39 dimensions, 3, 5 or 7 states, and 40, 20 or 10 dB of noise in what is recognised."""
-    enroll, test = words(spark, sf_dir, "enroll"), words(spark, sf_dir, "test")
-
-    def features(clips_: DataFrame, trim: bool = True, dims: int = 39, snr: float | None = None) -> DataFrame:
-        f = C.clip_features(clips_.select("rec_id", "samples"), FS, SIZE, HOP, 64, trim=trim, dims=dims, snr_db=snr)
-        return M.to_sequences(f).join(clips_.select("rec_id", "label"), "rec_id")
+    enroll, test = "enroll", "test"
+    spoken, made = {role: checkpointed(words(spark, sf_dir, role)) for role in (enroll, test)}, {}
+
+    def features(role: str, trim: bool = True, dims: int = 39, snr: float | None = None) -> DataFrame:
+        """Worked out once for each setting: the first of all dimensions, as normalising goes by dimension."""
+        if (role, trim, snr) not in made:
+            clips_ = spoken[role]
+            f = C.clip_features(clips_.select("rec_id", "samples"), FS, SIZE, HOP, 64, trim=trim, snr_db=snr)
+            made[role, trim, snr] = checkpointed(M.to_sequences(f).join(clips_.select("rec_id", "label"), "rec_id"))
+        d = made[role, trim, snr]
+        return d if dims == 39 else d.withColumn("seq", F.transform("seq", lambda v: F.slice(v, 1, dims)))
 
     def right(found: DataFrame, axis: str, value: str) -> DataFrame:
         return accuracy(found.select("truth", F.col("top1_label").alias("pred"))).select(F.lit(axis).alias("axis"), F.lit(value).alias("value"), "n", "correct", "accuracy")

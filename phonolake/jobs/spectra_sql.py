@@ -168,6 +168,22 @@ new AS (SELECT rec_id, j AS t, k, mag * cos(ph) AS re, mag * sin(ph) AS im FROM
 TIME_STRETCH = f"WITH {stretched(0.8, 64, 16)} SELECT rec_id, count(*)::INTEGER AS n, round(sum(x * x), 6) AS energy FROM uy GROUP BY rec_id"
 
 
+PITCH_SHIFT = f"""WITH {stretched(2.0 ** (-2.0 / 12), 512, 128)}, pos AS (SELECT rec_id, len AS n, out, unnest(range(0, len)) * (out - 1)::DOUBLE / greatest(len - 1, 1) AS p FROM n_fr),
+lo AS (SELECT a.rec_id, a.n, p, x AS a, least(floor(p)::BIGINT + 1, out - 1) AS next FROM pos a JOIN uy ON uy.rec_id = a.rec_id AND uy.n = floor(p)::BIGINT)
+SELECT lo.rec_id, lo.n::INTEGER AS n, round(sum(pow(a + (p - floor(p)) * (uy.x - a), 2)), 6) AS energy FROM lo JOIN uy ON uy.rec_id = lo.rec_id AND uy.n = next GROUP BY lo.rec_id, lo.n"""
+
+# windows are symmetric, so that bins from the middle on tell all
+WINDOW_PROPERTIES = f"""WITH {SAMPLES_SQL}, sizes AS (SELECT DISTINCT size FROM (SELECT count(*)::INTEGER AS size FROM sig GROUP BY rec_id)), pos AS (SELECT size, unnest(range(0, size)) AS i FROM sizes),
+w AS (SELECT name, size, i, CASE name WHEN 'rectangular' THEN 1.0::DOUBLE WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * i / (size - 1)) WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * i / (size - 1))
+  WHEN 'blackman' THEN 0.42 - 0.5 * cos(2 * pi() * i / (size - 1)) + 0.08 * cos(4 * pi() * i / (size - 1)) ELSE 1 - abs(2 * i::DOUBLE / (size - 1) - 1) END AS w FROM pos, (VALUES ('rectangular'), ('hamming'), ('hann'), ('blackman'), ('bartlett')) AS n(name)),
+p AS (SELECT name, size, avg(w) AS cg, avg(w * w) AS ms, sum(w) AS top FROM w GROUP BY name, size),
+turn AS (SELECT k, cos(2 * pi() * k / 8192) AS c, sin(2 * pi() * k / 8192) AS s FROM range(8192) AS r(k)),
+s AS (SELECT name, size, r.k, sqrt(pow(sum(w * c), 2) + pow(sum(w * s), 2)) AS m FROM w, range(4097) AS r(k) JOIN turn ON turn.k = (r.k * i) % 8192 GROUP BY name, size, r.k),
+db AS (SELECT name, size, k, 20 * log10(m / top + 1e-12) AS db FROM s JOIN p USING (name, size)), h AS (SELECT name, size, max(k) AS h FROM db WHERE db >= -3 GROUP BY name, size),
+side AS (SELECT name, size, max(db) AS side FROM db JOIN h USING (name, size) WHERE k >= h + 5 GROUP BY name, size)
+SELECT name, size, round(cg, 6) AS coherent_gain, round(ms, 6) AS mean_square, round(ms / (cg * cg), 6) AS enbw, round(2 * h * size / 8192, 6) AS main_lobe_bins, round(side, 6) AS side_lobe_db FROM p JOIN h USING (name, size) JOIN side USING (name, size)"""
+
+
 def _resampled(src: int, dst: int) -> str:
     g = int(np.gcd(src, dst))
     up, down = dst // g, src // g
@@ -217,19 +233,50 @@ DTW_RECOGNIZE = f"""WITH RECURSIVE {_SEQ}, pairs AS (SELECT row_number() OVER ()
 best AS (SELECT rec_id, truth, label, min(cost / path_length) AS score FROM done JOIN pairs USING (pid) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score, label) AS k FROM best)
 SELECT rec_id, truth, max(label) FILTER (WHERE k = 1) AS top1_label, round(max(score) FILTER (WHERE k = 1), 6) AS top1_score, max(label) FILTER (WHERE k = 2) AS top2_label, round(max(score) FILTER (WHERE k = 2), 6) AS top2_score FROM r GROUP BY rec_id, truth"""
 
-# three states, loops of 0.7, means from evenly spaced frames of the enrolled sequences, one variance
-_FIRST = f"""{_SEQ}, fr AS (SELECT label, l.rec_id, frame_idx, vec, row_number() OVER (PARTITION BY label ORDER BY l.rec_id, frame_idx) - 1 AS place, count(*) OVER (PARTITION BY label) AS total FROM lab l JOIN frame f ON f.rec_id = l.rec_id WHERE role = 'enroll'),
+
+def first_models(floor: float = 1e-4) -> str:
+    """Tables up to e3 (rec_id, frame_idx, label, b0, b1, b2): three states, means from evenly spaced frames of the enrolled sequences, one variance."""
+    return f"""{_SEQ}, fr AS (SELECT label, l.rec_id, frame_idx, vec, row_number() OVER (PARTITION BY label ORDER BY l.rec_id, frame_idx) - 1 AS place, count(*) OVER (PARTITION BY label) AS total FROM lab l JOIN frame f ON f.rec_id = l.rec_id WHERE role = 'enroll'),
 mean AS (SELECT label, state::INTEGER AS state, vec FROM fr, range(3) AS r(state) WHERE place = floor((total - 1) * state / 2)),
-spread AS (SELECT label, avg(v) + 1e-4 AS var FROM (SELECT label, dim, var_pop(v) AS v FROM seq JOIN lab USING (rec_id) WHERE role = 'enroll' GROUP BY label, dim) GROUP BY label),
+spread AS (SELECT label, avg(v) + {floor!r}::DOUBLE AS var FROM (SELECT label, dim, var_pop(v) AS v FROM seq JOIN lab USING (rec_id) WHERE role = 'enroll' GROUP BY label, dim) GROUP BY label),
 em AS (SELECT f.rec_id, f.frame_idx, m.label, m.state, -0.5 * (8 * ln(2 * pi()) + list_sum(list_transform(list_zip(f.vec, m.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / var + ln(var)))) AS b FROM frame f, mean m JOIN spread USING (label)),
 e3 AS (SELECT rec_id, frame_idx, label, max(b) FILTER (WHERE state = 0) AS b0, max(b) FILTER (WHERE state = 1) AS b1, max(b) FILTER (WHERE state = 2) AS b2 FROM em GROUP BY ALL)"""
+
+
+_FIRST = first_models()
 FIRST_MODELS = f"WITH {_FIRST} SELECT label, state, CASE WHEN state = 0 THEN 1.0::DOUBLE ELSE 0 END AS pi, i::INTEGER AS dim, round(vec[i + 1], 6) + 0.0 AS mean, round(var, 6) AS var FROM mean JOIN spread USING (label), range(8) AS r(i)"
 _LN = lambda x: f"ln({x} + 1e-300)"
 _ADD = "greatest({a}, {b}) + ln(1 + exp(least({a}, {b}) - greatest({a}, {b})))"
 EMISSION = f"WITH {_FIRST} SELECT rec_id, frame_idx, label, state, round(b, 6) + 0.0 AS log_b FROM em"
-FORWARD = f"""WITH RECURSIVE {_FIRST}, f AS (SELECT rec_id, label, 0 AS t, {_LN('1.0')} + b0 AS f0, {_LN('0.0')} + b1 AS f1, {_LN('0.0')} + b2 AS f2 FROM e3 WHERE frame_idx = 0
+_FORWARD = f"""{_FIRST}, f AS (SELECT rec_id, label, 0 AS t, {_LN('1.0')} + b0 AS f0, {_LN('0.0')} + b1 AS f1, {_LN('0.0')} + b2 AS f2 FROM e3 WHERE frame_idx = 0
   UNION ALL SELECT f.rec_id, f.label, t + 1, f0 + ln(0.7) + b0, {_ADD.format(a='(f1 + ln(0.7))', b='(f0 + ln(0.3))')} + b1, {_ADD.format(a='(f2 + ln(1.0))', b='(f1 + ln(0.3))')} + b2 FROM f JOIN e3 e ON e.rec_id = f.rec_id AND e.label = f.label AND e.frame_idx = t + 1),
-g AS (SELECT rec_id, label, {_ADD.format(a='f1', b='f2')} AS h, f0 FROM f WHERE t = 7) SELECT rec_id, label, round({_ADD.format(a='h', b='f0')}, 6) AS score FROM g"""
+g AS (SELECT rec_id, label, {_ADD.format(a='f1', b='f2')} AS h, f0 FROM f WHERE t = 7), sc AS (SELECT rec_id, label, {_ADD.format(a='h', b='f0')} AS score FROM g)"""
+FORWARD = f"WITH RECURSIVE {_FORWARD} SELECT rec_id, label, round(score, 6) AS score FROM sc"
+SCORE_TABLE = f"WITH RECURSIVE {_FORWARD} SELECT sc.rec_id, {', '.join(f"round(max(score) FILTER (WHERE sc.label = 'w{k}'), 6) AS w{k}" for k in range(10))} FROM sc JOIN lab USING (rec_id) WHERE role = 'test' GROUP BY sc.rec_id"
+RECOGNIZE = f"""WITH RECURSIVE {_FORWARD}, r AS (SELECT sc.rec_id, lab.label AS truth, sc.label, score, row_number() OVER (PARTITION BY sc.rec_id ORDER BY score DESC, sc.label) AS k FROM sc JOIN lab USING (rec_id) WHERE role = 'test')
+SELECT rec_id, truth, max(label) FILTER (WHERE k = 1) AS top1_label, round(max(score) FILTER (WHERE k = 1), 6) AS top1_score, max(label) FILTER (WHERE k = 2) AS top2_label, round(max(score) FILTER (WHERE k = 2), 6) AS top2_score FROM r GROUP BY rec_id, truth"""
+
+
+def em_step(loop: float, floor: float) -> str:
+    """One step of Baum-Welch from the first models: forward and backward along the eight frames, and what they add up to for each label."""
+    stay, go = f"ln({loop}::DOUBLE)", f"ln({1 - loop!r}::DOUBLE)"
+    g = [f"exp(f{s} + r{s} - ll)" for s in range(3)]
+    return f"""WITH RECURSIVE {first_models(floor)}, o AS (SELECT e.rec_id, e.label, frame_idx AS t, b0, b1, b2 FROM e3 e JOIN lab ON lab.rec_id = e.rec_id AND lab.label = e.label WHERE role = 'enroll'),
+f AS (SELECT rec_id, t, {_LN('1.0')} + b0 AS f0, {_LN('0.0')} + b1 AS f1, {_LN('0.0')} + b2 AS f2 FROM o WHERE t = 0 UNION ALL
+  SELECT f.rec_id, o.t, f0 + {stay} + b0, {_ADD.format(a=f'(f1 + {stay})', b=f'(f0 + {go})')} + b1, {_ADD.format(a='f2', b=f'(f1 + {go})')} + b2 FROM f JOIN o ON o.rec_id = f.rec_id AND o.t = f.t + 1),
+r AS (SELECT rec_id, t, 0::DOUBLE AS r0, 0::DOUBLE AS r1, 0::DOUBLE AS r2 FROM o WHERE t = 7 UNION ALL
+  SELECT r.rec_id, r.t - 1, {_ADD.format(a=f'({stay} + b0 + r0)', b=f'({go} + b1 + r1)')}, {_ADD.format(a=f'({stay} + b1 + r1)', b=f'({go} + b2 + r2)')}, b2 + r2 FROM r JOIN o ON o.rec_id = r.rec_id AND o.t = r.t WHERE r.t > 0),
+en AS (SELECT rec_id, {_ADD.format(a='f1', b='f2')} AS h, f0 FROM f WHERE t = 7), lls AS (SELECT rec_id, {_ADD.format(a='h', b='f0')} AS ll FROM en),
+al AS (SELECT o.*, f0, f1, f2, r0, r1, r2, ll FROM o JOIN f ON f.rec_id = o.rec_id AND f.t = o.t JOIN r ON r.rec_id = o.rec_id AND r.t = o.t JOIN lls ON lls.rec_id = o.rec_id),
+gm AS (SELECT rec_id, label, t, {g[0]} / ({' + '.join(g)}) AS g0, {g[1]} / ({' + '.join(g)}) AS g1, {g[2]} / ({' + '.join(g)}) AS g2 FROM al),
+xi AS (SELECT a.label, sum(exp(a.f0 + {stay} + b.b0 + b.r0 - a.ll)) AS x00, sum(exp(a.f0 + {go} + b.b1 + b.r1 - a.ll)) AS x01, sum(exp(a.f1 + {stay} + b.b1 + b.r1 - a.ll)) AS x11, sum(exp(a.f1 + {go} + b.b2 + b.r2 - a.ll)) AS x12
+  FROM al a JOIN al b ON b.rec_id = a.rec_id AND b.t = a.t + 1 GROUP BY a.label),
+gs AS (SELECT rec_id, label, t, s, CASE s WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE g2 END AS g FROM gm, range(3) AS q(s)),
+pi AS (SELECT label, s, sum(g) / sum(sum(g)) OVER (PARTITION BY label) AS pi FROM gs WHERE t = 0 GROUP BY label, s),
+mv AS (SELECT gs.label, s, dim, sum(g * v) / sum(g) AS mean, greatest(sum(g * (v - vec[dim + 1]) * (v - vec[dim + 1])) / sum(g), {floor!r}) AS var FROM gs JOIN seq ON seq.rec_id = gs.rec_id AND seq.frame_idx = gs.t JOIN mean m ON m.label = gs.label AND m.state = s GROUP BY gs.label, s, dim),
+l AS (SELECT label, sum(ll) AS ll FROM lls JOIN lab USING (rec_id) GROUP BY label)
+SELECT label, s::INTEGER AS state, dim, round(pi, 6) + 0.0 AS pi, round(CASE s WHEN 0 THEN x00 / (x00 + x01) WHEN 1 THEN x11 / (x11 + x12) ELSE 1 END, 6) AS stay, round(mean, 6) + 0.0 AS mean, round(var, 6) AS var, round(ll, 6) AS log_likelihood
+  FROM mv JOIN pi USING (label, s) JOIN xi USING (label) JOIN l USING (label)"""
 VITERBI = f"""WITH RECURSIVE {_FIRST}, v AS (SELECT rec_id, label, 0 AS t, {_LN('1.0')} + b0 AS v0, {_LN('0.0')} + b1 AS v1, {_LN('0.0')} + b2 AS v2, '0' AS p0, '1' AS p1, '2' AS p2 FROM e3 JOIN lab USING (rec_id, label) WHERE frame_idx = 0
   UNION ALL SELECT v.rec_id, v.label, t + 1, v0 + ln(0.7) + b0, greatest(v0 + ln(0.3), v1 + ln(0.7)) + b1, greatest(v1 + ln(0.3), v2) + b2, p0 || ' 0', CASE WHEN v0 + ln(0.3) >= v1 + ln(0.7) THEN p0 ELSE p1 END || ' 1',
   CASE WHEN v1 + ln(0.3) >= v2 THEN p1 ELSE p2 END || ' 2' FROM v JOIN e3 e ON e.rec_id = v.rec_id AND e.label = v.label AND e.frame_idx = t + 1)

@@ -247,6 +247,9 @@ class Hmm:
         return Hmm(s["pi"][0] / (s["pi"].sum() + TINY), a / (a.sum(axis=1, keepdims=True) + TINY), s["mean"] / g, np.maximum((s["var"] + prior) / g, floor))
 
 
+#: How models of isolated words are trained, where loops leave sooner and variances may be small.
+WORD_SETTINGS = {"loop": 0.6, "floor": 1e-6, "tol": 1e-4}
+
 #: Frames of a stack at most, and numbers of a label's sequences that are trained in one task.
 STACK_FRAMES, TASK_NUMBERS = 1 << 16, 1 << 23
 
