@@ -84,19 +84,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: dict[str, str], by: list[str], how: str = "inner", ways: int = 32) -> DataFrame:
-    """big joined with small by on (names in big to names in small, nulls equal), each key of big dealt out to so many tasks by a hash of its columns by.
+def spread_join(big: DataFrame, small: DataFrame, on: dict[str, str], by: list[str], how: str = "inner", tasks: int = 256) -> DataFrame:
+    """big joined with small by on (names in big to names in small, nulls equal), hot keys dealt out to many tasks by a hash of their rows' columns by.
 
-    small has one row for a key and is repeated so many times; its names in on are dropped. A key that holds a third of
-    big thus fills no task, whatever the sizes, and nothing is broadcast that is not small enough by Spark's own threshold.
+    small has one row for a key; its names in on are dropped. Rows of big are counted by key first, with sums before the shuffle. A key with more
+    than 1 / tasks of them (of the session's shuffle partitions, if these are more) goes to as many tasks as it has such shares, and
+    its row of small is repeated as often; all other keys meet once. Hot keys are fewer than tasks, and only these are broadcast. A null key of big,
+    with or without a row of small, is a key like any other.
     """
-    turn, other = fresh(big, "turn"), fresh(small, "_turn")
-    big = big.withColumn(turn[0], F.pmod(F.xxhash64(F.lit(ways), *by), F.lit(ways)).cast("int"))
-    small = small.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    same = F.col(turn[0]) == F.col(other[0])
-    for a, b in on.items():
-        same = same & F.col(a).eqNullSafe(F.col(b))
-    return big.join(small, same, how).drop(turn[0], other[0], *on.values())
+    names = fresh(big, "_ways", "_turn", "_at", *[f"_key{k}" for k in range(len(on))])
+    ways, turn, at, keys = names[0], names[1], names[2], names[3:]
+    tasks = max(tasks, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = big.count()
+    counts = big.groupBy(*[F.col(a).alias(k) for a, k in zip(on, keys, strict=True)]).agg(F.count("*").alias(ways))
+    hot = checkpointed(counts.filter(F.col(ways) * tasks > total).withColumn(ways, F.ceil(F.col(ways) * tasks / total).cast("int")))
+    equal = lambda left, right: reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+    same = equal(on, on.values())
+    if hot.isEmpty():
+        return big.join(small, same, how).drop(*on.values())
+    share = F.coalesce(F.col(ways), F.lit(1))
+    big = big.join(F.broadcast(hot), equal(on, keys), "left").withColumn(turn, F.pmod(F.xxhash64(F.lit(tasks), *by), share).cast("int")).drop(ways, *keys)
+    small = small.join(F.broadcast(hot), equal(on.values(), keys), "left").withColumn(at, F.explode(F.sequence(F.lit(0), share - 1))).drop(ways, *keys)
+    return big.join(small, same & (F.col(turn) == F.col(at)), how).drop(turn, at, *on.values())
 
 
 def uneven_join(big: DataFrame, small: DataFrame, on: dict[str, str], rows: str, share: float = 1e-3) -> DataFrame:
