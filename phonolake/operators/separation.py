@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +42,44 @@ class Unmixing:
         return float(row[0]) * (F.col("x1") - float(self.mean[0])) + float(row[1]) * (F.col("x2") - float(self.mean[1]))
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(z1, z2) -> a row of bytes for each batch."""
+    for b in batches:
+        z = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+        yield pa.RecordBatch.from_pydict({"z": pa.array([z.tobytes()], pa.binary())})
+
+
+def contrast(w: np.ndarray) -> Callable[[Iterator[np.ndarray]], Iterator[np.ndarray]]:
+    """What a step adds up over the samples z of a partition: products of tanh of w's rows and z, 1 - tanh^2, and the number of samples."""
+
+    def sums(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        total = np.zeros(7)
+        for z in blocks:
+            t = np.tanh(w @ z)
+            total += np.concatenate([(t @ z.T).ravel(), (1 - t * t).sum(axis=1), [z.shape[1]]])
+        yield total
+
+    return sums
+
+
 def unmixing(mix: DataFrame, max_iter: int = 1000, tol: float = 1e-4) -> Unmixing:
     """The independent components of x1 and x2: centred, whitened, then parallel fixed-point steps of log cosh until no row of the rotation changes
     its direction by tol, or max_iter steps are done.
 
-    Axes of the whitening come in order of their variances and point to where x1 grows (or x2, if x1 stays), so that signs are no matter of the linear algebra at hand. Each step is one row of means over the samples, in their two columns alone; the driver has 2 x 2 matrices only.
+    Axes of the whitening come in order of their variances and point to where x1 grows (or x2, if x1 stays), so that signs are no matter of the linear algebra at hand. Each step sums over the samples, in their two columns alone; the driver has a row of sums for each core, and 2 x 2 matrices.
     """
     m = mix.agg(F.avg("x1"), F.avg("x2"), F.covar_pop("x1", "x1"), F.covar_pop("x1", "x2"), F.covar_pop("x2", "x2")).first()
     values, vectors = np.linalg.eigh(np.array([[m[2], m[3]], [m[3], m[4]]]))
     ahead = np.where(vectors[0] != 0, vectors[0], vectors[1])
     white = (vectors * np.where(ahead < 0, -1, 1) / np.sqrt(np.maximum(values, 1e-15))).T
     z = [float(white[k, 0]) * (F.col("x1") - m[0]) + float(white[k, 1]) * (F.col("x2") - m[1]) for k in (0, 1)]
-    d = mix.select(z[0].alias("z1"), z[1].alias("z2")).persist()
+    # as many partitions as cores: what a step sends to the driver is a row for each of them, however many samples there are
+    d = mix.select(z[0].alias("z1"), z[1].alias("z2")).dropna().coalesce(mix.sparkSession.sparkContext.defaultParallelism)
+    d = d.mapInArrow(packed, "z binary").rdd.map(lambda r: np.frombuffer(r["z"]).reshape(2, -1)).persist(StorageLevel.MEMORY_AND_DISK)
     w, change, steps = np.array([[0.8, 0.6], [-0.6, 0.8]]), np.inf, 0
     while steps < max_iter and change >= tol:
-        t = [F.tanh(float(r[0]) * F.col("z1") + float(r[1]) * F.col("z2")) for r in w]
-        s = d.agg(*[F.avg(F.col(c) * x) for x in t for c in ("z1", "z2")], *[F.avg(1 - x * x) for x in t]).first()
+        s = np.sum(d.mapPartitions(contrast(w)).collect(), axis=0)
+        s = s[:6] / s[6]
         u, _, v = np.linalg.svd(np.array([[s[0], s[1]], [s[2], s[3]]]) - np.array([[s[4]], [s[5]]]) * w)
         change, w, steps = float(np.max(np.abs(np.abs(np.sum(u @ v * w, axis=1)) - 1))), u @ v, steps + 1
     d.unpersist()
