@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from phonolake.operators.blocks import with_recording
+from phonolake.sources.folders import checkpointed
+
 
 def tokenize(text: Column) -> Column:
     """Lower case, split where there are no letters, in <s> and </s>."""
@@ -118,10 +121,14 @@ def map_rerank(scores: DataFrame, sentences: DataFrame, weights: tuple[float, ..
     counts = ngram_counts(sentences, 2)
     v = F.lit(vocabulary_size) if vocabulary_size else F.col("v")
     one = totals(sentences, 2).select("v")
-    d = scores.join(counts.select(F.col("context").alias("prev"), F.col("word").alias("label"), "c"), ["prev", "label"], "left")
-    d = d.join(context_counts(counts).withColumnRenamed("context", "prev"), "prev", "left").crossJoin(F.broadcast(one))
+    # probabilities are looked up once for each pair that scores ask for; frequent pairs go to all tasks, so that no pair's rows meet in one
+    d = scores.withColumn("pair", F.struct("prev", "label"))
+    asked = d.groupBy("pair").agg(F.count("*").alias("times")).select("pair", "pair.*", "times")
+    asked = asked.join(counts.select(F.col("context").alias("prev"), F.col("word").alias("label"), "c"), ["prev", "label"], "left")
+    asked = asked.join(context_counts(counts).withColumnRenamed("context", "prev"), "prev", "left").crossJoin(F.broadcast(one))
     p = (F.coalesce("c", F.lit(0)) + k) / (F.coalesce("context_c", F.lit(0)) + k * v)
+    d = with_recording(d, checkpointed(asked.select("pair", "times", p.alias("p"))), "times", key="pair")
     d = d.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    d = d.withColumn("total", F.col("score") / F.col("n_frames") + F.col("weight") * F.log(p + 1e-10))
+    d = d.withColumn("total", F.col("score") / F.col("n_frames") + F.col("weight") * F.log(F.col("p") + 1e-10))
     best = F.row_number().over(W.partitionBy("rec_id", "weight").orderBy(F.desc("total"), "label"))
     return d.withColumn("k", best).filter("k = 1").select("rec_id", "weight", "label", "total")
