@@ -136,12 +136,14 @@ ABLATION = (("baseline", True, False, 4), ("no delta", False, False, 4), ("cmn",
 
 def speaker_ablation(features: DataFrame, roles: DataFrame, configs: tuple[tuple[str, bool, bool, int], ...] = ABLATION) -> DataFrame:
     """(rec_id, frame_idx, vec) and (rec_id, speaker, role) -> (config, accuracy_pct, mean_margin) of identification."""
-    union = None
+    union, made = None, {}
     for name, with_delta, cmn, first in configs:
-        f = cmvn(features, False) if cmn else features
-        if with_delta:
-            f = f.join(delta(f).select("rec_id", "frame_idx", F.col("vec").alias("_d")), ["rec_id", "frame_idx"]).select("rec_id", "frame_idx", F.concat("vec", "_d").alias("vec"))
-        e = speaker_embedding(f).join(roles, "rec_id")
+        if (with_delta, cmn) not in made:  # embeddings once for each kind of features
+            f = cmvn(features, False) if cmn else features
+            if with_delta:
+                f = delta(f.withColumn("_own", F.col("vec"))).select("rec_id", "frame_idx", F.concat("_own", "vec").alias("vec"))
+            made[with_delta, cmn] = checkpointed(speaker_embedding(f).join(roles, "rec_id"))
+        e = made[with_delta, cmn]
         d = speaker_identify(e.filter("role = 'test'"), speaker_models(e.filter("role = 'enroll'"), first))
         d = d.agg((100 * F.avg((F.col("pred") == F.col("actual")).cast("double"))).alias("accuracy_pct"), F.avg("margin").alias("mean_margin")).select(F.lit(name).alias("config"), "accuracy_pct", "mean_margin")
         union = d if union is None else union.unionAll(d)
