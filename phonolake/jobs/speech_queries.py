@@ -132,9 +132,11 @@ def useful(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sent_id, pos, unit): sentences are orders, positions their lines."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order).withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
-    li = li.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.select(F.col("l_orderkey").alias("sent_id"), "pos", F.col("p_brand").alias("unit"))
+    # brands first, so that lines numbered within their orders lie as sentences need them; lines without a part are numbered too
+    brands = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.collect_list(F.struct("p_brand")).alias("brands"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order).join(brands, F.col("l_partkey") == F.col("p_partkey"), "left")
+    li = li.withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
+    return li.select(F.col("l_orderkey").alias("sent_id"), "pos", F.explode("brands.p_brand").alias("unit"))
 
 
 def edges(units: DataFrame) -> DataFrame:
@@ -182,7 +184,8 @@ def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_DP} SELECT sent_id, {decimals_sql('cost')} AS cost FROM best")
 def unit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least cost over the lattice of all useful parts."""
-    return U.unit_selection(*lattice(spark, sf_dir)).select("sent_id", as_decimals(F.col("cost")).alias("cost"))
+    u = useful(spark, sf_dir)
+    return U.table_selection(places(spark, sf_dir), u, edges(u)).select("sent_id", as_decimals(F.col("cost")).alias("cost"))
 
 
 @query()
@@ -199,7 +202,7 @@ SELECT sent_id, {decimals_sql('fixed')} AS fixed_cost, {decimals_sql('cost')} AS
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand's first part all along against the best choice of all."""
     p, i = places(spark, sf_dir), inventory(spark, sf_dir)
-    d = U.cost_report(U.first_cost(p, i), U.least_cost(p, i))
+    d = U.first_and_least(p, i)
     return d.withColumns({"reduction_pct": as_decimals(F.col("reduction_pct"), 2)} | {c: as_decimals(F.col(c)) for c in ("fixed_cost", "cost")})
 
 
