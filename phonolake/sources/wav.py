@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,9 +83,11 @@ class WavReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.split, self.frames = int(options.get("splitBytes", SPLIT)), int(options.get("blockFrames", FRAMES))
+        self.least = int(options.get("partitions", 0))
 
     def partitions(self) -> list[InputPartition]:
-        """Files are listed by size, not opened; long ones are cut, short ones share a partition."""
+        """Files are listed by size, not opened; long ones are cut, short ones share a partition. Where ranges are shorter than SPLIT and more than the
+        partitions asked for, neighbours share one, so that short ranges do not make a task each."""
         from pyarrow import fs
 
         system, root = file_system(self.path)
@@ -98,8 +101,18 @@ class WavReader(DataSourceReader):
                 out[-1].append((f.path, f.size, at, at + n))
                 at, left = at + n, left - n
                 if not left:
-                    out, left = [*out, []], self.split
-        return [Ranges(r) for r in out if r] or [Ranges([])]
+                    out.append([])
+                    left = self.split
+        length = lambda r: sum(hi - lo for _, _, lo, hi in r)
+        most = min(SPLIT, sum(map(length, out)) // self.least) if self.least else 0
+        shared, held = [], 0
+        for r in filter(None, out):
+            if not shared or held + length(r) > max(self.split, most):
+                shared.append([])
+                held = 0
+            shared[-1] += r
+            held += length(r)
+        return [Ranges(r) for r in shared] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
         """The frames whose first byte lies in the partition's ranges."""
@@ -167,9 +180,12 @@ class WavWriter(DataSourceWriter):
             for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if f.base_name != "_temporary":
                     (system.delete_file if f.is_file else system.delete_dir)(f.path)
-        for own, place in [x for m in messages if m is not None for x in m.files]:
-            system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-            system.move(own, place)
+        files = [x for m in messages if m is not None for x in m.files]
+        for folder in sorted({place.rsplit("/", 1)[0] for _, place in files}):
+            system.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            for _ in pool.map(lambda x: system.move(*x), files):
+                pass
         system.create_dir(root, recursive=True)
         self._clear(system, root)
         with system.open_output_stream(f"{root}/_SUCCESS"):
@@ -213,6 +229,7 @@ def write_wav_files(blocks: DataFrame, path: str, bits: int = 16, file_frames: i
 
 
 def read_wav_blocks(spark, path: str, split_bytes: int = SPLIT, block_frames: int = FRAMES) -> DataFrame:
-    """A row for each block of frames of each *.wav file under path, with what its header says; empty files have one row without samples."""
+    """A row for each block of frames of each *.wav file under path, with what its header says; empty files have one row without samples.
+    Ranges have so many bytes at most; short ones share tasks, of which there are four for each core, or more."""
     spark.dataSource.register(WavDataSource)
-    return spark.read.format("wav").option("splitBytes", split_bytes).option("blockFrames", block_frames).load(path)
+    return spark.read.format("wav").option("partitions", 4 * spark.sparkContext.defaultParallelism).option("splitBytes", split_bytes).option("blockFrames", block_frames).load(path)
