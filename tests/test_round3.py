@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from phonolake.functions import dsp
 from phonolake.jobs import registry
@@ -202,3 +203,23 @@ def test_f12_short_ranges_share_tasks(spark, tmp_path):
     for r in sorted(d.collect(), key=lambda r: r["at"]):
         got.setdefault(r["path"].rsplit("/", 1)[1], []).extend(r["samples"])
     assert {k: len(v) for k, v in got.items()} == {f"{k}.wav": 200 * (k + 1) for k in range(20)}
+
+
+def test_f15_levels_and_methods_are_made_in_the_block(spark):
+    """Sums of blocks give the ratios that whole enhanced recordings have; no enhanced sample is sent or joined to its own."""
+    from phonolake.operators import blocks as B
+    from phonolake.operators import levels as L
+
+    s = spark.createDataFrame([(r, n, float(R.normal())) for r, m in ((1, 300), (2, 70), (3, 5)) for n in range(m)], "rec_id long, n long, x double").cache()
+    noise = spark.createDataFrame([(n, float(R.normal())) for n in range(40)], "n long, v double")
+    psd, snrs = [float(v) for v in R.uniform(1, 5, 17)], (0.0, 10.0)
+    got = B.enhancement_snr(L.tiled_noise(s, noise, snrs), psd, snrs, nfft=32, size=24, hop=8, block_size=64)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+    got = {(r["rec_id"], r["snr"], r["method"]): (r["snr_in"], r["snr_out"]) for r in got.collect()}
+    d = L.add_noise_at_snr(s, noise, snrs).select(F.struct("rec_id", "snr").alias("rec_id"), "n", "x", "y").cache()
+    before, want = {r["rec_id"]: r["snr_db"] for r in L.snr_db(d, "rec_id").collect()}, {}
+    for method in ("subtract", "wiener"):
+        z = B.enhance(d.select("rec_id", "n", F.col("y").alias("x")), psd, method, nfft=32, size=24, hop=8, block_size=64).withColumnRenamed("x", "z")
+        for r in L.snr_db(d.join(z, ["rec_id", "n"]), "rec_id", test="z").collect():
+            want[r["rec_id"]["rec_id"], r["rec_id"]["snr"], method] = (pytest.approx(before[r["rec_id"]]), pytest.approx(r["snr_db"]))
+    assert len(got) == 12 and got == want
