@@ -223,3 +223,31 @@ def test_f15_levels_and_methods_are_made_in_the_block(spark):
         for r in L.snr_db(d.join(z, ["rec_id", "n"]), "rec_id", test="z").collect():
             want[r["rec_id"]["rec_id"], r["rec_id"]["snr"], method] = (pytest.approx(before[r["rec_id"]]), pytest.approx(r["snr_db"]))
     assert len(got) == 12 and got == want
+
+
+def test_f11_steps_of_training_and_clusters_have_no_shuffle(spark, monkeypatch):
+    """A label that is most of all is not one task's work; each step of training or clustering is a job of one stage, with a task for each core at most, and the models are the same."""
+    sc = spark.sparkContext
+    x = R.normal(size=(120, 6, 2)) + 4 * R.integers(0, 3, (120, 6, 1))
+    s = spark.createDataFrame([(k, "all", v[: 1 + k % 6].tolist()) for k, v in enumerate(x)], "rec_id long, label string, seq array<array<double>>").repartition(16)
+    start = models.clustered_start(s, 3, "all")
+    want, log = models.hmm_train(s, 3, 12, start=start)
+    monkeypatch.setattr(models, "TASK_NUMBERS", 1600)  # the label has 840 numbers: more than an eighth of that
+
+    def stages(group, f):
+        sc.setJobGroup(group, "")
+        out, tracker = f(), sc.statusTracker()
+        sc.setJobGroup("", "")
+        return out, [[tracker.getStageInfo(k).numTasks for k in tracker.getJobInfo(j).stageIds] for j in sorted(tracker.getJobIdsForGroup(group))]
+
+    (got, steps), jobs = stages("f11 train", lambda: models.hmm_train(s, 3, 12, start=start))
+    assert len(steps) == len(log) and [r[2] for r in steps] == pytest.approx([r[2] for r in log])
+    assert all(np.allclose(getattr(got["all"], f), getattr(want["all"], f)) for f in ("pi", "a", "mean", "var"))
+    assert all(len(j) == 1 and j[0] <= sc.defaultParallelism for j in jobs[-len(steps) :])
+    frames = s.select(F.explode("seq").alias("vec")).localCheckpoint()
+    one, _ = stages("f11 one", lambda: models.k_means(frames, 3, n_iter=1, tol=0.0))
+    two, jobs = stages("f11 two", lambda: models.k_means(frames, 3, n_iter=2, tol=0.0))
+    v = np.array([r["vec"] for r in frames.collect()])
+    near = ((v[:, None] - one) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(two, sorted(v[near == k].mean(axis=0).tolist() for k in range(3)))
+    assert all(len(j) == 1 and j[0] <= sc.defaultParallelism for j in jobs[-2:])
