@@ -13,66 +13,117 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.operators.models import TINY, Hmm, stacked
+from phonolake.operators.models import TINY, Hmm, stacks
 from phonolake.sources.folders import checkpointed
 
 #: Frames of a block, and elements that are combined in a row before the next level.
 FRAMES, FAN = 4096, 256
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows in order of their keys -> batches that no group goes beyond, and where their groups begin."""
+    held = None
+    for d in batches:
+        d = d if held is None else pd.concat([held, d], ignore_index=True)
+        new = np.append(True, (d[keys].to_numpy()[1:] != d[keys].to_numpy()[:-1]).any(axis=1)) if len(d) else np.zeros(0, dtype=bool)
+        starts = np.flatnonzero(new)
+        cut = starts[-1] if len(starts) else 0
+        held = d[cut:]
+        if cut:
+            yield d[:cut], starts[:-1]
+    if held is not None and len(held):
+        yield held.reset_index(drop=True), np.array([0])
+
+
+def of_one_size(arrays: pd.Series, starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups whose arrays have one size: where they begin, how many rows they have, and the stack of all rows (of other groups: zeros)."""
+    sizes, count = np.array([len(m) for m in arrays]), np.diff(np.append(starts, n))
+    for size in np.unique(sizes):
+        out, at = np.zeros((n, size)), sizes == size
+        out[at] = np.stack(arrays[at].to_list())
+        own = at[starts]
+        yield starts[own], count[own], out
+
+
 def scan(elements: DataFrame, starts: DataFrame, combine: Callable, apply: Callable, fan: int = FAN) -> DataFrame:
     """(rec_id, idx from 0 on, m) and (rec_id, e) -> (rec_id, idx, e): what e is before each element, if apply(e, m) is what it is after it.
 
-    combine(a, b) is the element that does what a and then b do. Elements are combined by so many, and these again, until a recording has one; then what comes into
-    each is handed down. No task has more than so many elements of a recording.
+    combine(a, b) is the element that does what a and then b do; both take stacks, a row for each of many groups. Elements are combined by so many, and these again, until a recording has one; then what comes into
+    each is handed down. No group has more than so many elements of a recording, and the groups of a batch are worked on together.
     """
     kind = dict(elements.dtypes)["rec_id"]
-    levels = [checkpointed(elements.select("rec_id", "idx", "m"))]
+    up, keys = F.floor(F.col("idx") / fan).cast("long").alias("up"), ["rec_id", "up"]
+    in_groups = lambda d: d.repartition(*keys).sortWithinPartitions(*keys, "idx")
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d, starts in whole_groups(batches, keys):
+            found = [None] * len(d)
+            for at, count, m in of_one_size(d["m"], starts, len(d)):
+                out = m[at]
+                for k in range(1, count.max()):
+                    more = count > k
+                    out[more] = combine(out[more], m[at[more] + k])
+                for k, v in zip(at.tolist(), out, strict=True):
+                    found[k] = v
+            yield pd.DataFrame({"rec_id": d["rec_id"].to_numpy()[starts], "idx": d["up"].to_numpy()[starts], "m": [found[k] for k in starts]})
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for m in rows.sort_values("idx")["m"]:
-            out = np.asarray(m) if out is None else combine(out, np.asarray(m))
-        return pd.DataFrame({"rec_id": rows["rec_id"].iloc[:1], "idx": rows["up"].iloc[:1], "m": [out]})
-
-    up = F.floor(F.col("idx") / fan).cast("long").alias("up")
-    while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
-        levels.append(checkpointed(levels[-1].select("rec_id", "idx", "m", up).groupBy("rec_id", "up").applyInPandas(merge, f"rec_id {kind}, idx long, m array<double>")))
-
-    def hand_down(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        out = [np.asarray(rows["e"].iloc[0])]
-        for m in rows["m"].iloc[:-1]:
-            out.append(apply(out[-1], np.asarray(m)))
-        return rows[["rec_id", "idx"]].assign(e=out)
+    levels = [checkpointed(elements.select("rec_id", "idx", "m"))]
+    top = levels[0].agg(F.max("idx")).first()[0] or 0
+    while top > 0:
+        d = in_groups(levels[-1].select("rec_id", "idx", "m", up)).mapInPandas(merge, f"rec_id {kind}, idx long, m array<double>")
+        levels.append(checkpointed(d))
+        top //= fan
+
+    def hand_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d, starts in whole_groups(batches, keys):
+            count, found = np.diff(np.append(starts, len(d))), [None] * len(d)
+            for at, _, m in of_one_size(d["m"], starts, len(d)):
+                own = np.isin(starts, at)
+                e, n, k = np.stack(d["e"].iloc[at].to_list()), count[own], 0
+                while len(at):
+                    for j, v in zip((at + k).tolist(), e, strict=True):
+                        found[j] = v
+                    more = n > k + 1
+                    at, n = at[more], n[more]
+                    e = apply(e[more], m[at + k]) if len(at) else e
+                    k += 1
+            yield d[["rec_id", "idx"]].assign(e=found)
 
     e = starts.select("rec_id", F.lit(0).cast("long").alias("idx"), "e")
     for level in levels[-2::-1]:
-        d = level.select("rec_id", "idx", "m", up).join(e.select("rec_id", F.col("idx").alias("up"), "e"), ["rec_id", "up"])
-        e = checkpointed(d.groupBy("rec_id", "up").applyInPandas(hand_down, f"rec_id {kind}, idx long, e array<double>"))
+        d = level.select("rec_id", "idx", "m", up).join(e.select("rec_id", F.col("idx").alias("up"), "e"), keys)
+        e = checkpointed(in_groups(d).mapInPandas(hand_down, f"rec_id {kind}, idx long, e array<double>"))
     return e
 
 
 def products(semiring: str) -> tuple[Callable, Callable, Callable]:
-    """Of (max, +) or (log-sum, +): the sum over an axis, the product of two flat matrices, and that of a vector and a flat matrix."""
+    """Of (max, +) or (log-sum, +): the sum over an axis, and for stacks the products of two flat matrices, and of a vector and a flat matrix."""
     add = np.max if semiring == "max" else np.logaddexp.reduce
-    square = lambda m: m.reshape(int(len(m) ** 0.5), -1)
-    return add, lambda a, b: add(square(a)[:, :, None] + square(b)[None], axis=1).ravel(), lambda e, m: add(e[:, None] + square(m), axis=0)
+    square = lambda m: m.reshape(len(m), int(m.shape[1] ** 0.5), -1)
+    return add, lambda a, b: add(square(a)[..., None] + square(b)[:, None], axis=2).reshape(a.shape), lambda e, m: add(e[..., None] + square(m), axis=1)
 
 
 def frame_blocks(frames: DataFrame, size: int) -> DataFrame:
-    """(rec_id, label, frame_idx, vec) -> (rec_id, label, idx, seq): so many frames in order, of a recording's idx-th block."""
+    """(rec_id, label, frame_idx, vec) -> (rec_id, label, idx, seq): so many frames in order, of a recording's idx-th block, one after the other in one array."""
     d = frames.withColumn("idx", F.floor(F.col("frame_idx") / size).cast("long"))
-    return d.groupBy("rec_id", "label", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "vec"))), lambda s: s["vec"]).alias("seq"))
+    return d.groupBy("rec_id", "label", "idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "vec"))), lambda s: s["vec"])).alias("seq"))
+
+
+def block_stacks(d: pd.DataFrame, models: dict[str, Hmm]) -> Iterator[tuple[Hmm, np.ndarray, np.ndarray, bool]]:
+    """The blocks of a batch that have one label and length, first blocks apart: their model, places, frames, and whether they are first."""
+    for (label, first), g in d.assign(first=d["idx"] == 0).reset_index(drop=True).groupby(["label", "first"]):
+        dims = models[label].mean.shape[1]
+        for at, x in stacks([np.asarray(s, dtype=float).reshape(-1, dims) for s in g["seq"]]):
+            yield models[label], g.index.to_numpy()[at], x, bool(first)
 
 
-def block_matrix(model: Hmm, x: np.ndarray, first: bool, add: Callable) -> np.ndarray:
-    """What frames x add from each state before them to each state at their end; the first block has the start in all its rows."""
+def block_matrices(model: Hmm, x: np.ndarray, first: bool, add: Callable) -> np.ndarray:
+    """What each block's frames add from each state before them to each state at their end, as flat matrices; first blocks have the start in all their rows."""
     b, a = model.log_emission(x), np.log(model.a + TINY)
-    m = (np.tile(np.log(model.pi + TINY), (len(a), 1)) if first else a) + b[0]
-    for t in range(1, len(b)):
-        m = add(m[:, :, None] + a, axis=1) + b[t]
-    return m
+    m = (np.tile(np.log(model.pi + TINY), (len(a), 1)) if first else a) + b[:, 0][:, None]
+    for t in range(1, b.shape[1]):
+        m = add(m[..., None] + a, axis=2) + b[:, t][:, None]
+    return m.reshape(len(x), -1)
 
 
 def entries(blocks: DataFrame, models: dict[str, Hmm], semiring: str, fan: int) -> DataFrame:
@@ -82,7 +133,8 @@ def entries(blocks: DataFrame, models: dict[str, Hmm], semiring: str, fan: int)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            yield d[["rec_id", "idx"]].assign(m=[block_matrix(models[label], stacked(s), k == 0, add).ravel() for label, k, s in zip(d["label"], d["idx"], d["seq"], strict=True)])
+            for model, at, x, first in block_stacks(d, models):
+                yield d[["rec_id", "idx"]].iloc[at].assign(m=list(block_matrices(model, x, first, add)))
 
     n = {label: len(m.pi) for label, m in models.items()}
     sizes = F.create_map(*[F.lit(x) for pair in n.items() for x in pair])
@@ -107,20 +159,21 @@ def forward_long(frames: DataFrame, models: dict[str, Hmm], size: int = FRAMES,
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ends = [apply(np.asarray(e), block_matrix(models[label], stacked(s), k == 0, add).ravel()) for label, k, s, e in zip(p["label"], p["idx"], p["seq"], p["e"], strict=True)]
-            yield p[["rec_id", "label"]].assign(score=[float(np.logaddexp.reduce(x)) for x in ends])
+            for model, at, x, first in block_stacks(p, models):
+                ends = apply(np.stack(p["e"].iloc[at].to_list()), block_matrices(model, x, first, add))
+                yield p[["rec_id", "label"]].iloc[at].assign(score=np.logaddexp.reduce(ends, axis=1))
 
     return d.select("rec_id", "label", "idx", "seq", "e").mapInPandas(rows, f"rec_id {kind}, label string, score double")
 
 
-def trace(model: Hmm, x: np.ndarray, e: np.ndarray, first: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Scores of the states at the block's end, and for each frame which state before it is best for each state (of the first frame: in the block before)."""
+def trace(model: Hmm, x: np.ndarray, e: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a stack of blocks the scores of the states at their ends, and for each frame which state before it is best for each state (of the first frame: in the block before)."""
     b, a = model.log_emission(x), np.log(model.a + TINY)
-    d, back = np.log(model.pi + TINY) + b[0] if first else None, [np.zeros(len(a), dtype=int)] if first else []
-    for t in range(int(first), len(b)):
-        s = (e if d is None else d)[:, None] + a
-        back.append(s.argmax(axis=0))
-        d = s.max(axis=0) + b[t]
+    d, back = np.log(model.pi + TINY) + b[:, 0] if first else e, np.zeros(b.shape, dtype=np.int16)
+    for t in range(int(first), b.shape[1]):
+        s = d[..., None] + a
+        back[:, t] = s.argmax(axis=1)
+        d = s.max(axis=1) + b[:, t]
     return d, back
 
 
@@ -136,30 +189,30 @@ def viterbi_long(frames: DataFrame, models: dict[str, Hmm], size: int = FRAMES,
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = []
-            for label, k, last, s, e in zip(p["label"], p["idx"], p["last"], p["seq"], p["e"], strict=True):
-                end, back = trace(models[label], stacked(s), np.asarray(e), k == 0)
-                came = np.arange(len(end))
-                for step in reversed(back):
-                    came = step[came]
-                out.append((last - k, came.astype(float), float(end.argmax()) if k == last else None, float(end.max()) if k == last else None))
-            yield p[["rec_id"]].assign(idx=[x[0] for x in out], m=[x[1] for x in out], exit=[x[2] for x in out], score=[x[3] for x in out])
+            for model, at, x, first in block_stacks(p, models):
+                own = p.iloc[at]
+                end, back = trace(model, x, np.stack(own["e"].to_list()), first)
+                came = np.tile(np.arange(end.shape[1]), (len(at), 1))
+                for k in range(x.shape[1] - 1, -1, -1):
+                    came = np.take_along_axis(back[:, k], came, axis=1)
+                last = (own["idx"] == own["last"]).to_numpy()
+                yield own[["rec_id"]].assign(idx=own["last"] - own["idx"], m=list(came.astype(float)), exit=np.where(last, end.argmax(axis=1), np.nan), score=np.where(last, end.max(axis=1), np.nan))
 
     m = checkpointed(d.select("rec_id", "label", "idx", "last", "seq", "e").mapInPandas(maps, f"rec_id {kind}, idx long, m array<double>, exit double, score double"))
-    step = lambda e, f: f[e.astype(int)]
+    step = lambda e, f: np.take_along_axis(f, e.astype(int), axis=1)
     ends = m.filter("idx = 0")
-    exits = scan(m, ends.select("rec_id", F.array("exit").alias("e")), lambda a, b: b[a.astype(int)], step, fan).select("rec_id", F.col("idx").alias("back"), F.get("e", F.lit(0)).cast("int").alias("exit"))
+    exits = scan(m, ends.select("rec_id", F.array("exit").alias("e")), step, step, fan).select("rec_id", F.col("idx").alias("back"), F.get("e", F.lit(0)).cast("int").alias("exit"))
     d = d.withColumn("back", F.col("last") - F.col("idx")).join(exits, ["rec_id", "back"]).join(ends.select("rec_id", "score"), "rec_id")
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = []
-            for label, k, s, e, state in zip(p["label"], p["idx"], p["seq"], p["e"], p["exit"], strict=True):
-                _, back = trace(models[label], stacked(s), np.asarray(e), k == 0)
-                path = [int(state)]
-                for before in reversed(back[1:]):
-                    path.append(int(before[path[-1]]))
-                out.append(path[::-1])
-            yield p[["rec_id", "label"]].assign(at=p["idx"] * size, path=out, score=p["score"])
+            for model, at, x, first in block_stacks(p, models):
+                own = p.iloc[at]
+                _, back = trace(model, x, np.stack(own["e"].to_list()), first)
+                path = np.empty(x.shape[:2], dtype=np.int32)
+                path[:, -1] = own["exit"]
+                for k in range(x.shape[1] - 1, 0, -1):
+                    path[:, k - 1] = np.take_along_axis(back[:, k], path[:, k : k + 1], axis=1)[:, 0]
+                yield own[["rec_id", "label"]].assign(at=own["idx"] * size, path=list(path), score=own["score"])
 
     return d.select("rec_id", "label", "idx", "seq", "e", "exit", "score").mapInPandas(paths, f"rec_id {kind}, label string, at long, path array<int>, score double")

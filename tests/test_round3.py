@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from phonolake.functions import dsp
 from phonolake.jobs import registry
-from phonolake.operators import models, ngrams, separation, speakers, spectral, units
+from phonolake.operators import models, ngrams, separation, speakers, spectral, timeline, units
 
 R = np.random.default_rng(33)
 
@@ -251,3 +251,27 @@ def test_f11_steps_of_training_and_clusters_have_no_shuffle(spark, monkeypatch):
     near = ((v[:, None] - one) ** 2).sum(axis=2).argmin(axis=1)
     assert np.allclose(two, sorted(v[near == k].mean(axis=0).tolist() for k in range(3)))
     assert all(len(j) == 1 and j[0] <= sc.defaultParallelism for j in jobs[-2:])
+
+
+def test_f14_groups_of_a_batch_are_combined_together(spark):
+    """However many recordings there are, elements are combined and handed down a few times for each batch, not for each element; also where batches end within groups and sizes differ."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def add(a, b):
+        calls.add(1)
+        return a + b
+
+    own = {r: R.integers(0, 9, (1 + r % 11, 1 + r % 2)).astype(float) for r in range(300)}
+    m = spark.createDataFrame([(r, k, v.tolist()) for r, x in own.items() for k, v in enumerate(x)], "rec_id long, idx long, m array<double>").repartition(3)
+    e = spark.createDataFrame([(r, [0.0] * x.shape[1]) for r, x in own.items()], "rec_id long, e array<double>")
+    want = {(r, k): x[:k].sum(axis=0).tolist() for r, x in own.items() for k in range(len(x))}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for records in (None, "7"):
+        if records:
+            spark.conf.set(name, records)
+        try:
+            got = {(r["rec_id"], r["idx"]): r["e"] for r in timeline.scan(m, e, add, add, 3).collect()}
+        finally:
+            spark.conf.unset(name)
+        assert got == want
+        assert records or calls.value < 200
